@@ -131,8 +131,8 @@ def _main_exprs(u: Column, scheme: Column, netloc: Column, path: Column, query:
     e["num_subdomains"] = num_sub
     e["has_multiple_subdomains"] = T.flag(num_sub >= 3)
     e["domain_length"] = nd
-    e["host_entropy"] = T.entropy(dom)
-    e["domain_entropy"] = T.entropy(dom)
+    e["host_entropy"] = T.entropy(dom, False)
+    e["domain_entropy"] = T.entropy(dom, False)
     e["domain_has_digits"] = T.flag(dom.rlike("[0-9]"))
     e["domain_digit_ratio"] = T.ratio(T.count_re(dom, "[0-9]"), nd)
     e["domain_vowel_ratio"] = T.vowel_consonant_ratio(dom)
@@ -157,7 +157,7 @@ def _main_exprs(u: Column, scheme: Column, netloc: Column, path: Column, query:
     e["query_length"] = T.slen(query)
     e["num_encoded_chars"] = T.count_re(u, "%")
     e["num_fragments"] = T.count_re(u, "#")
-    e["path_entropy"] = T.entropy(path)
+    e["path_entropy"] = T.entropy(path, False)
     e["path_has_suspicious_ext"] = T.flag(T.any_literal(F.lower(path), K.SUSPICIOUS_EXTENSIONS))
     e["query_has_redirect"] = T.flag(T.any_literal(F.lower(query), K.REDIRECT_WORDS))
     e["path_url_ratio"] = T.ratio(T.slen(path), n)
@@ -175,7 +175,7 @@ def _main_exprs(u: Column, scheme: Column, netloc: Column, path: Column, query:
     e["special_char_ratio"] = T.ratio(num_special, n)
     e["uppercase_ratio"] = T.ratio(T.count_re(u, "[A-Z]"), n)
     e["consecutive_consonants"] = T.longest_match(lu, "[bcdfghjklmnpqrstvwxyz]+")
-    e["url_entropy"] = T.entropy(u)
+    e["url_entropy"] = T.entropy(u, False)
     e["has_port"] = T.flag(netloc.contains(":") & ~netloc.startswith("["))
     e["uses_https"] = T.flag(scheme == "https")
     e["punycode_domain"] = T.flag(dom.contains("xn--"))

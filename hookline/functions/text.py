@@ -61,20 +61,16 @@ def printable(c: Column | str) -> Column:
 def entropy(c: Column | str, printable_only: bool = True) -> Column:
     """Shannon entropy in bits over the distinct characters; 0 for empty.
 
-    Occurrences of a character are counted with ``length - length(replace)``,
-    which stays linear per character.  Non-printable characters are dropped
-    first, as the original helper does.
+    Occurrences of each distinct character are counted with
+    ``length - length(replace)`` (one pass per distinct character), then
+    ``-sum(p * log2 p)``.  Non-printable characters are dropped first when
+    ``printable_only`` (the original helper does; pass False for input that
+    is already clean, to skip the extra regex).
     """
     s = printable(c) if printable_only else col_(c)
     n = F.length(s)
-    chars = F.array_distinct(F.split(s, ""))
-    total = F.aggregate(
-        chars,
-        F.lit(0.0),
-        lambda acc, ch: acc
-        - ((n - F.length(F.replace(s, ch, F.lit("")))) / n)
-        * F.log2((n - F.length(F.replace(s, ch, F.lit("")))) / n),
-    )
+    counts = F.transform(F.array_distinct(F.split(s, "")), lambda ch: n - F.length(F.replace(s, ch, F.lit(""))))
+    total = F.aggregate(counts, F.lit(0.0), lambda acc, k: acc - (k / n) * F.log2(k / n))
     return F.when(F.coalesce(n, F.lit(0)) > 0, total).otherwise(F.lit(0.0))
 
 

@@ -100,3 +100,69 @@ def q_url_features_mini11_py(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_url_features_mini11_js(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DV7: eleven columns of the browser side."""
     return FT.featurize_mini11_js(D.typed_urls(spark, sf_dir).drop("type"))
+
+
+# ------------------------------------------------------------- look-alikes
+
+from hookline import constants as K  # noqa: E402
+from hookline.operators import lookalike as LK  # noqa: E402
+
+
+@register("typo_urls", lambda: O.typo_urls_sql())
+def q_typo_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H2: typo variants (homoglyph, omission, duplication, swap, affixes,
+    digrams) of the brand picked by each part key, as URLs."""
+    return D.typo_urls(spark, sf_dir)
+
+
+@register("lookalike_patterns", O.lookalike_patterns_sql)
+def q_lookalike_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E2, E4, E5 (pattern rules), E6 per distinct domain of the derived URLs."""
+    parts = U.add_url_parts(D.typed_urls(spark, sf_dir), "url", "_p_", clean=True)
+    prof = LK.domain_profile(spark, parts.select(F.col("_p_dom").alias("domain")), "domain", with_ratios=False)
+    return prof.select(
+        "domain",
+        F.col("e5.flag").alias("typo_flag"),
+        F.col("e5.brand").alias("typo_brand"),
+        F.round(F.col("e5.confidence"), ROUND).alias("typo_confidence"),
+        F.col("e6").alias("homograph"),
+        F.col("subst").alias("char_substitution"),
+    )
+
+
+def _override(spark: SparkSession, sf_dir: str, with_ratios: bool) -> DataFrame:
+    scored = D.url_model_probs(D.typed_urls(spark, sf_dir))
+    out = LK.apply_override(spark, scored, "url", "model_pred", "p_", with_ratios=with_ratios)
+    return round_doubles(out)
+
+
+@register("url_override_rules", O.override_rules_sql)
+def q_url_override_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E8 + E9 cascade with the pattern rules (no sequence-ratio rules)."""
+    return _override(spark, sf_dir, with_ratios=False)
+
+
+@register("url_override")
+def q_url_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E8 full cascade, including the sequence-ratio rules."""
+    return _override(spark, sf_dir, with_ratios=True)
+
+
+@register("typosquat_profile")
+def q_typosquat_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E1, E3, E5, E7 per distinct domain of the derived URLs."""
+    parts = U.add_url_parts(D.typed_urls(spark, sf_dir), "url", "_p_", clean=True)
+    prof = LK.domain_profile(spark, parts.select(F.col("_p_dom").alias("domain")), "domain", with_ratios=True)
+    return prof.select(
+        "domain",
+        F.col("e3.flag").alias("adv_flag"), F.round(F.col("e3.score"), ROUND).alias("adv_score"), F.col("e3.brand").alias("adv_brand"),
+        F.col("e5.flag").alias("typo_flag"), F.col("e5.brand").alias("typo_brand"),
+        F.round(F.col("e5.confidence"), ROUND).alias("typo_confidence"),
+        F.round(F.col("e7.score"), ROUND).alias("suspicion_score"), F.array_join(F.col("e7.reasons"), "_").alias("suspicion_reasons"),
+    )
+
+
+@register("url_features_full")
+def q_url_features_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole 66-column profile, D61/D62 included."""
+    return round_doubles(FT.featurize_urls(D.typed_urls(spark, sf_dir), "url", "main"))

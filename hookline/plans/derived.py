@@ -139,3 +139,16 @@ def given_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
             cols[f"{m}_{c}"] = vals[ci] / total
     label = _pick(K.CLASSES, F.floor(k / 3))
     return read(spark, sf_dir, "orders").select(k.alias("id"), label.alias("label"), *[v.alias(n) for n, v in cols.items()])
+
+
+def url_model_probs(typed: DataFrame) -> DataFrame:
+    """One model's class probabilities per typed URL from key arithmetic;
+    ``model_pred`` is the boosted (largest) class."""
+    k = F.col("id") * 7 + F.length("source")
+    vals = [
+        (F.pmod(k * (7 + ci) + 11 * ci, F.lit(97)) + 1 + F.when(F.pmod(k, F.lit(4)) == ci, F.lit(300)).otherwise(F.lit(0))).cast("double")
+        for ci in range(4)
+    ]
+    total = vals[0] + vals[1] + vals[2] + vals[3]
+    cols = {f"p_{c}": vals[ci] / total for ci, c in enumerate(K.CLASSES)}
+    return typed.select("id", "source", "url", _pick(K.CLASSES, k).alias("model_pred"), *[v.alias(n) for n, v in cols.items()])

@@ -201,13 +201,13 @@ IPVFUTURE = r"^v[A-Fa-f0-9]+\..+$"
 WS = "chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
 
 
-def url_parts_ctes(src: str, url: str = "url") -> str:
+def url_parts_ctes(src: str, url: str = "url", clean: bool = True) -> str:
     """CTEs p1..p4 over ``src``: u (printable ASCII), bad, scheme, netloc,
     path, query, fragment, subdomain, domain, suffix."""
     schemes = lst(K.URL_SCHEMES_WITH_PARAMS)
     sfx = lst(K.SUFFIX_SEED)
     return f"""p1 AS (
-      SELECT *, regexp_replace({url}, '[^\\x20-\\x7E]', '', 'g') AS u,
+      SELECT *, {"regexp_replace(" + url + ", '[^\\x20-\\x7E]', '', 'g')" if clean else url} AS u,
              ({url} IS NULL OR length(trim({url}, {WS})) = 0) AS blank
       FROM {src}),
     p2 AS (
@@ -498,3 +498,121 @@ def mini11_js_sql() -> str:
     }
     cols = ", ".join(f"CASE WHEN {ok} THEN ({e[c]})::INTEGER END AS {c}" for c in MINI11_FEATURES)
     return f"SELECT id, source, url, {cols} FROM {typed_urls_sql()}"
+
+
+# ----------------------------------------------------------- look-alikes
+
+def typo_patterns_sql() -> str:
+    """E4 pattern table (brand_ord, pattern) in SQL."""
+    subs = ", ".join(f"({q(k)}, {q(r)})" for k, v in K.TYPO_SUBSTITUTIONS.items() for r in v)
+    return f"""(WITH b AS {brands_values()},
+      pos AS (SELECT brand_ord, brand, unnest(range(1, length(brand) + 1)) AS i FROM b),
+      subs AS (SELECT * FROM (VALUES {subs}) s(ch, rep)),
+      allp AS (
+        SELECT brand_ord, substr(brand, 1, i - 1) || rep || substr(brand, i + 1) AS pattern
+          FROM pos JOIN subs ON substr(brand, i, 1) = ch
+        UNION ALL
+        SELECT p1.brand_ord, substr(p1.brand, 1, p1.i - 1) || s1.rep || substr(p1.brand, p1.i + 1, p2.i - p1.i - 1)
+               || s2.rep || substr(p1.brand, p2.i + 1)
+          FROM pos p1 JOIN pos p2 ON p1.brand_ord = p2.brand_ord AND p2.i > p1.i
+          JOIN subs s1 ON substr(p1.brand, p1.i, 1) = s1.ch
+          JOIN subs s2 ON substr(p2.brand, p2.i, 1) = s2.ch
+        UNION ALL SELECT brand_ord, substr(brand, 1, i - 1) || substr(brand, i + 1) FROM pos WHERE length(brand) > 4
+        UNION ALL SELECT brand_ord, substr(brand, 1, i) || substr(brand, i) FROM pos
+        UNION ALL SELECT brand_ord, substr(brand, 1, i - 1) || substr(brand, i + 1, 1) || substr(brand, i, 1)
+                  || substr(brand, i + 2) FROM pos WHERE i < length(brand))
+      SELECT DISTINCT brand_ord, pattern FROM allp)"""
+
+
+def legit_first_labels() -> list[str]:
+    return sorted({d.split(".")[0] for d in K.LEGITIMATE_DOMAINS})
+
+
+def homograph_pairs() -> list[tuple[str, str]]:
+    return [(r, o) for o, reps in K.HOMOGLYPHS.items() for r in reps if r.isalnum() and r == r.lower()]
+
+
+def homograph_sql(dl: str) -> str:
+    pairs = ", ".join(f"{{'c': {q(r)}, 'o': {q(o)}}}" for r, o in homograph_pairs())
+    brands = lst(K.BRAND_KEYWORDS)
+    return (
+        f"(len(list_filter([{pairs}], lambda pr: contains({dl}, pr.c) AND "
+        f"len(list_filter({brands}, lambda bb: contains(replace({dl}, pr.c, pr.o), bb))) > 0)) > 0)"
+    )
+
+
+def pattern_verdict_ctes(domains: str) -> str:
+    """CTEs over ``domains`` (one column ``domain``): ``verdict`` with the
+    pattern-only look-alike verdict, homograph and substitution flags."""
+    brands = brands_values()
+    return f"""pats AS {typo_patterns_sql()},
+    doms AS (SELECT DISTINCT domain, lower(domain) AS dl FROM {domains} WHERE domain IS NOT NULL),
+    hits AS (
+      SELECT d.domain, d.dl, p.brand_ord, bool_or(p.pattern = d.dl) AS exact
+      FROM doms d JOIN pats p ON contains(d.dl, p.pattern)
+      GROUP BY d.domain, d.dl, p.brand_ord),
+    qual AS (
+      SELECT h.domain, h.brand_ord, CASE WHEN h.exact THEN 0.95 ELSE 0.90 END AS conf
+      FROM hits h JOIN {brands} b ON b.brand_ord = h.brand_ord
+      WHERE h.dl <> b.brand
+        AND (h.exact OR NOT len(list_filter({lst(K.LEGITIMATE_DOMAINS)}, lambda g: starts_with(g, h.dl))) > 0)),
+    firsts AS (SELECT domain, arg_min(brand_ord, brand_ord) AS brand_ord, arg_min(conf, brand_ord) AS conf FROM qual GROUP BY domain),
+    verdict AS (
+      SELECT d.domain,
+        (f.brand_ord IS NOT NULL AND NOT list_contains({lst(legit_first_labels())}, d.domain)) AS typo_flag,
+        CASE WHEN f.brand_ord IS NOT NULL AND NOT list_contains({lst(legit_first_labels())}, d.domain)
+             THEN b.brand END AS typo_brand,
+        CASE WHEN f.brand_ord IS NOT NULL AND NOT list_contains({lst(legit_first_labels())}, d.domain)
+             THEN f.conf ELSE 0.0 END AS typo_confidence,
+        {homograph_sql('d.dl')} AS homograph,
+        {contains_any('d.dl', leet_patterns())} AS char_substitution
+      FROM doms d LEFT JOIN firsts f ON f.domain = d.domain LEFT JOIN {brands} b ON b.brand_ord = f.brand_ord)"""
+
+
+def lookalike_patterns_sql() -> str:
+    return f"""WITH src AS {typed_urls_sql()},
+    {url_parts_ctes('src')},
+    dsrc AS (SELECT dom AS domain FROM parts),
+    {pattern_verdict_ctes('dsrc')}
+    SELECT domain, typo_flag, typo_brand, round(typo_confidence::DOUBLE, {ROUND}) AS typo_confidence, homograph, char_substitution
+    FROM verdict"""
+
+
+def url_model_probs_sql(src: str) -> str:
+    """One model's probabilities per typed URL from key arithmetic."""
+    k = "(id * 7 + length(source))"
+    vals = [f"(({k} * {7 + ci} + {11 * ci}) % 97 + 1 + CASE WHEN {k} % 4 = {ci} THEN 300 ELSE 0 END)::DOUBLE" for ci in range(4)]
+    total = "(" + " + ".join(vals) + ")"
+    cols = ", ".join(f"{vals[ci]} / {total} AS p_{c}" for ci, c in enumerate(K.CLASSES))
+    pred = pick(K.CLASSES, k)
+    return f"(SELECT id, source, url, {pred} AS model_pred, {cols} FROM {src})"
+
+
+def override_rules_sql() -> str:
+    fixed = {1: K.WHITELIST_PROBS, 3: K.TYPOSQUAT_PROBS, 4: K.HOMOGRAPH_PROBS}
+    finals = []
+    for c in K.CLASSES:
+        cases = " ".join(f"WHEN {k} THEN {probs[c]}" for k, probs in fixed.items())
+        finals.append(f"round((CASE ocase {cases} ELSE p_{c} END)::DOUBLE, {ROUND}) AS final_{c}")
+    return f"""WITH typed AS {typed_urls_sql()},
+    scored AS {url_model_probs_sql('typed')},
+    src AS (SELECT *, CASE WHEN regexp_matches(url, '^https?://') THEN url ELSE 'https://' || url END AS url2 FROM scored),
+    {url_parts_ctes('src', 'url2', clean=False)},
+    dsrc AS (SELECT dom AS domain FROM parts),
+    {pattern_verdict_ctes('dsrc')},
+    cased AS (
+      SELECT p.*, v.typo_brand,
+        CASE WHEN list_contains({lst(K.LEGITIMATE_DOMAINS)}, lower(p.dom || '.' || p.sfx)) THEN 1
+             WHEN p.model_pred = 'phishing' AND p.p_phishing > {K.MODEL_CONFIDENT_THRESHOLD} THEN 2
+             WHEN v.typo_flag AND v.typo_confidence > {K.TYPOSQUAT_ACCEPT} THEN 3
+             WHEN v.homograph THEN 4
+             ELSE 6 END AS ocase
+      FROM parts p LEFT JOIN verdict v ON v.domain = p.dom)
+    SELECT id, source, url, model_pred,
+      {', '.join(f'round(p_{c}, {ROUND}) AS p_{c}' for c in K.CLASSES)},
+      CASE WHEN ocase = 1 THEN 'benign' WHEN ocase IN (3, 4) THEN 'phishing' ELSE model_pred END AS final_pred,
+      {', '.join(finals)},
+      CASE ocase WHEN 1 THEN 'whitelist_match' WHEN 2 THEN 'model_confident' WHEN 3 THEN 'typosquatting_' || typo_brand
+                 WHEN 4 THEN 'homograph_attack' ELSE 'model_decision' END AS reason,
+      ocase <> 6 AS heuristic_applied
+    FROM cased"""
