@@ -166,3 +166,56 @@ def q_typosquat_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_url_features_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole 66-column profile, D61/D62 included."""
     return round_doubles(FT.featurize_urls(D.typed_urls(spark, sf_dir), "url", "main"))
+
+
+# ----------------------------------------------------------- rules and pages
+
+from hookline.operators import rules as R  # noqa: E402
+
+
+@register("risk_navigation", lambda: O.risk_navigation_sql())
+def q_risk_navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1, F2, F3, F5, F6 over navigation requests against the threat list."""
+    nav = D.navigations(spark, sf_dir)
+    x = R.threat_match(nav, D.threats(spark, sf_dir), "url", "threat")
+    x = x.withColumn("risk", R.quick_risk_score(F.col("url")))
+    x = x.withColumn("decision", R.navigation_decision(F.col("resource_type"), F.col("known_threat"), F.col("risk")))
+    return x.select(
+        "id", "source", "url", "resource_type", F.round("risk", ROUND).alias("risk"), "known_threat",
+        F.col("decision.action").alias("action"), F.col("decision.reason").alias("reason"),
+        F.when(F.col("decision.action") == "block", R.threat_type(F.col("decision.reason"))).alias("threat_type"),
+        R.scam_categories(F.col("url")).alias("scam_categories"),
+    )
+
+
+@register("model_gate", lambda: O.model_gate_sql())
+def q_model_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F4, F5, F7, F8 on one model's verdict per URL."""
+    s = D.url_model_probs(D.typed_urls(spark, sf_dir))
+    conf = F.greatest(*[F.col(f"p_{c}") for c in K.CLASSES])
+    gate = R.model_block_gate(F.col("model_pred") == "phishing", conf)
+    reason = F.when(gate == "block", R.model_block_reason(conf))
+    band = R.confidence_band(conf)
+    return s.select(
+        "id", "source", "url", "model_pred", F.round(conf, ROUND).alias("confidence"), gate.alias("gate"),
+        reason.alias("reason"), F.when(gate == "block", R.threat_type(reason)).alias("threat_type"),
+        band.alias("band"), R.route_action(band).alias("route"),
+    )
+
+
+@register("page_scans", lambda: O.page_scans_sql())
+def q_page_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1, G2, G3, G5 over every page."""
+    return R.page_scan(D.page_html(spark, sf_dir)).drop("html")
+
+
+@register("xss_params", lambda: O.xss_params_sql())
+def q_xss_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C5 + G4: query pairs and the keys whose values look like XSS."""
+    t = D.typed_urls(spark, sf_dir)
+    q = U.url_query(F.col("url"))
+    return t.select(
+        "id", "source", "url",
+        F.size(U.query_pairs(q)).cast("int").alias("n_params"),
+        R.xss_params(F.col("url")).alias("xss_keys"),
+    )

@@ -152,3 +152,37 @@ def url_model_probs(typed: DataFrame) -> DataFrame:
     total = vals[0] + vals[1] + vals[2] + vals[3]
     cols = {f"p_{c}": vals[ci] / total for ci, c in enumerate(K.CLASSES)}
     return typed.select("id", "source", "url", _pick(K.CLASSES, k).alias("model_pred"), *[v.alias(n) for n, v in cols.items()])
+
+
+# Tags appended to the driver's pages by ``page_id % 6`` (the driver's HTML has
+# no forms, password fields or external scripts).
+PAGE_TAGS = [
+    '<form action="http://forms.example.com/login" method="post"><input name="u"></form>',
+    '<form action="https://secure.example.com/login"></form><form method="get"></form>',
+    '<form action="/signin"><input type="password" name="pw"></form>',
+    '<script src="https://coinhive.com/lib/coinhive.min.js"></script>',
+    '<script src="https://cdn.example.com/app.js"></script><SCRIPT SRC="//webminer.pro/m.js"></SCRIPT>',
+    "",
+]
+
+
+def page_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id")
+    return read(spark, sf_dir, "pages").select(
+        k, "url", F.concat(F.col("html"), _pick(PAGE_TAGS, k)).alias("html")
+    )
+
+
+def threats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Threat strings: the hosts of every tenth page."""
+    from hookline.functions.urls import browser_hostname
+
+    p = read(spark, sf_dir, "pages")
+    return p.where(F.pmod(F.col("page_id"), F.lit(10)) == 0).select(browser_hostname(F.col("url")).alias("threat")).distinct()
+
+
+def navigations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed URLs as navigation requests; every fifth is a sub-resource."""
+    t = typed_urls(spark, sf_dir)
+    rtype = F.when(F.pmod(F.col("id"), F.lit(5)) == 4, F.lit("image")).otherwise(F.lit("main_frame"))
+    return t.select("id", "source", "url", rtype.alias("resource_type"))

@@ -616,3 +616,130 @@ def override_rules_sql() -> str:
                  WHEN 4 THEN 'homograph_attack' ELSE 'model_decision' END AS reason,
       ocase <> 6 AS heuristic_applied
     FROM cased"""
+
+
+# ------------------------------------------------------------ rules, pages
+
+def hostname_expr(x: str) -> str:
+    """Browser hostname (lower-cased), the raw string when it does not parse."""
+    auth = f"regexp_extract({x}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#\\\\]*)', 1)"
+    host = f"regexp_extract(regexp_replace({auth}, '^.*@', ''), '^(\\[[^\\]]*\\]|[^:]*)', 1)"
+    return (
+        f"(CASE WHEN regexp_matches({x}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#\\\\]') AND {host} <> '' "
+        f"THEN lower({host}) ELSE {x} END)"
+    )
+
+
+def threat_type_sql(reason: str) -> str:
+    r = f"lower({reason})"
+    whens = " ".join(f"WHEN contains({r}, {q(w)}) THEN {q(label)}" for w, label in K.THREAT_TYPES)
+    return f"(CASE {whens} ELSE {q(K.DEFAULT_THREAT_TYPE)} END)"
+
+
+def risk_sql(url: str, host: str) -> str:
+    terms = [
+        (f"regexp_matches({url}, '[0-9]{{1,3}}\\.[0-9]{{1,3}}\\.[0-9]{{1,3}}\\.[0-9]{{1,3}}')", 0.3),
+        (f"regexp_matches({url}, '(?i)\\.({'|'.join(K.RISK_TLDS)})$')", 0.3),
+        (f"contains({url}, '@')", 0.4),
+        (f"{nsub(host, '.')} > 3", 0.2),
+        (f"regexp_matches({host}, '(?i)({'|'.join(K.RISK_HOST_WORDS)})')", 0.2),
+        (f"length({url}) > 100", 0.15),
+        (f"starts_with({url}, 'http://') AND NOT starts_with({url}, 'http://localhost')", 0.1),
+    ]
+    s = "0.0::DOUBLE"
+    for cond, w in terms:
+        s = f"({s} + CASE WHEN {cond} THEN {w}::DOUBLE ELSE 0.0::DOUBLE END)"
+    return f"least({s}, 1.0::DOUBLE)"
+
+
+def risk_navigation_sql() -> str:
+    host_of_slash = "coalesce(string_split(url, '/')[3], '')"
+    return f"""WITH typed AS {typed_urls_sql()},
+    nav AS (SELECT id, source, url, CASE WHEN id % 5 = 4 THEN 'image' ELSE 'main_frame' END AS resource_type FROM typed),
+    th AS (SELECT DISTINCT {hostname_expr('url')} AS threat FROM pages WHERE page_id % 10 = 0),
+    x AS (SELECT n.*, {hostname_expr('n.url')} AS host FROM nav n),
+    y AS (SELECT x.*, EXISTS (SELECT 1 FROM th WHERE th.threat IS NOT NULL AND th.threat <> ''
+                               AND (contains(x.url, th.threat) OR contains(x.host, th.threat))) AS known_threat FROM x),
+    z AS (SELECT y.*, {risk_sql('url', 'host')} AS risk FROM y),
+    d AS (SELECT z.*,
+        CASE WHEN resource_type <> 'main_frame' THEN 'allow' WHEN known_threat THEN 'block'
+             WHEN risk > {K.BLOCK_SCORE_THRESHOLD} THEN 'block' ELSE 'scan' END AS action,
+        CASE WHEN resource_type <> 'main_frame' THEN NULL WHEN known_threat THEN 'This URL is in our threat database'
+             WHEN risk > {K.BLOCK_SCORE_THRESHOLD} THEN 'URL contains suspicious patterns' END AS reason
+      FROM z)
+    SELECT id, source, url, resource_type, round(risk, {ROUND}) AS risk, known_threat, action, reason,
+      CASE WHEN action = 'block' THEN {threat_type_sql('reason')} END AS threat_type,
+      list_filter([CASE WHEN {contains_any(host_of_slash, K.BANKING_WORDS)} THEN 'banking' END,
+                   CASE WHEN {contains_any(host_of_slash, K.CRYPTO_WORDS)} THEN 'crypto' END], lambda c: c IS NOT NULL)
+        AS scam_categories
+    FROM d"""
+
+
+def band_sql(p: str) -> str:
+    return f"(CASE WHEN {p} > {K.HIGH_BAND} THEN 'HIGH' WHEN {p} > {K.MEDIUM_BAND} THEN 'MEDIUM' ELSE 'LOW' END)"
+
+
+def route_sql(band: str) -> str:
+    whens = " ".join(f"WHEN {q(b)} THEN {q(a)}" for b, a in K.BAND_ACTIONS.items())
+    return f"(CASE {band} {whens} END)"
+
+
+def model_gate_sql() -> str:
+    conf = "greatest(" + ", ".join(f"p_{c}" for c in K.CLASSES) + ")"
+    return f"""WITH typed AS {typed_urls_sql()},
+    s AS {url_model_probs_sql('typed')},
+    g AS (SELECT *, {conf} AS conf,
+            CASE WHEN model_pred = 'phishing' AND {conf} > {K.MODEL_BLOCK_THRESHOLD} THEN 'block' ELSE 'safe' END AS gate
+          FROM s),
+    r AS (SELECT *, CASE WHEN gate = 'block' THEN 'ML model detected phishing (' || round(conf * 100, 0)::BIGINT::VARCHAR
+                  || '% confidence)' END AS reason FROM g)
+    SELECT id, source, url, model_pred, round(conf, {ROUND}) AS confidence, gate, reason,
+      CASE WHEN gate = 'block' THEN {threat_type_sql('reason')} END AS threat_type,
+      {band_sql('conf')} AS band, {route_sql(band_sql('conf'))} AS route
+    FROM r"""
+
+
+def page_scans_sql() -> str:
+    from hookline.operators.rules import ACTION_ATTR, FORM_TAG, PASSWORD_INPUT, SCRIPT_SRC
+    from hookline.plans.derived import PAGE_TAGS
+
+    origin = "regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
+    scheme = "regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*:)', 1)"
+    resolve = (
+        f"CASE WHEN a IS NULL OR trim(a) = '' THEN url "
+        f"WHEN regexp_matches(a, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN a "
+        f"WHEN starts_with(a, '//') THEN {scheme} || a "
+        f"WHEN starts_with(a, '/') THEN {origin} || a ELSE {origin} || '/' || a END"
+    )
+    return f"""WITH pg AS (SELECT page_id, url, html || {pick(PAGE_TAGS, 'page_id')} AS html FROM pages),
+    f AS (SELECT *, regexp_extract_all(html, {q(FORM_TAG)}) AS forms,
+                 regexp_extract_all(html, {q(SCRIPT_SRC)}, 1) AS srcs,
+                 len(regexp_extract_all(html, {q(PASSWORD_INPUT)}))::INTEGER AS n_pw,
+                 {hostname_expr('url')} AS host
+          FROM pg),
+    a AS (SELECT *, list_transform(forms, lambda fm: nullif(regexp_extract(fm, {q(ACTION_ATTR)}, 1), '')) AS raw_actions FROM f)
+    SELECT page_id, url, len(forms)::INTEGER AS n_forms, len(srcs)::INTEGER AS n_external_scripts,
+      n_pw AS n_password_fields,
+      list_filter(list_transform(raw_actions, lambda a: {resolve}),
+                  lambda x: starts_with(x, 'http://') AND NOT contains(x, 'localhost')) AS insecure_forms,
+      (n_pw > 0 AND NOT {contains_any('host', K.TRUSTED_PASSWORD_HOSTS)}) AS password_on_untrusted,
+      list_filter(srcs, lambda s: {contains_any('s', K.MINER_HOSTS)}) AS miner_scripts
+    FROM a"""
+
+
+def xss_params_sql() -> str:
+    pat = "(?i)(" + "|".join(K.XSS_PATTERNS) + ")"
+
+    def dec(x: str) -> str:
+        return f"url_decode(replace({x}, '+', ' '))"
+
+    return f"""WITH src AS {typed_urls_sql()},
+    {url_parts_ctes('src', 'url', clean=False)},
+    pr AS (SELECT id, source, url, list_transform(list_filter(string_split(query, '&'), lambda p: p <> ''),
+             lambda p: {{'key': {dec("split_part(p, '=', 1)")},
+                         'value': {dec("CASE WHEN contains(p, '=') THEN regexp_extract(p, '^[^=]*=(.*)$', 1) ELSE '' END")}}})
+             AS pairs
+           FROM parts)
+    SELECT id, source, url, len(pairs)::INTEGER AS n_params,
+      list_transform(list_filter(pairs, lambda x: regexp_matches(x.value, {q(pat)})), lambda x: x.key) AS xss_keys
+    FROM pr"""
