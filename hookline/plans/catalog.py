@@ -219,3 +219,84 @@ def q_xss_params(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size(U.query_pairs(q)).cast("int").alias("n_params"),
         R.xss_params(F.col("url")).alias("xss_keys"),
     )
+
+
+# --------------------------------------------------------- scoring, metrics
+
+from hookline.operators import scoring as S  # noqa: E402
+
+
+def _preds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = S.soft_vote(D.given_probs(spark, sf_dir))
+    return v.select("id", "label", F.col("vote_pred").alias("pred"), F.col("vote_confidence").alias("confidence"),
+                    *[f"vote_{c}" for c in K.CLASSES])
+
+
+@register("soft_vote", lambda: O.soft_vote_sql())
+def q_soft_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted soft vote of three models per order."""
+    v = S.soft_vote(D.given_probs(spark, sf_dir))
+    band = R.confidence_band(F.col("vote_confidence"))
+    return v.select(
+        "id", "label", "vote_pred", "vote_confidence", *[f"vote_{c}" for c in K.CLASSES],
+        (F.col("vote_pred") != "benign").alias("threat_detected"), band.alias("band"), R.route_action(band).alias("route"),
+    )
+
+
+@register("meta_features", lambda: O.meta_features_sql())
+def q_meta_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M6, M7: the 25-column meta-feature matrix."""
+    m = S.meta_features(S.base_prob_vector(D.given_probs(spark, sf_dir)))
+    return round_doubles(m.select("id", "label", *S.META_NAMES))
+
+
+@register("classification_report", lambda: O.classification_report_sql())
+def q_classification_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-class precision/recall/F1/support plus accuracy, macro, weighted."""
+    return round_doubles(S.classification_report(_preds(spark, sf_dir)))
+
+
+@register("confusion_matrix", lambda: O.confusion_matrix_sql())
+def q_confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """N5."""
+    return S.confusion_matrix(_preds(spark, sf_dir))
+
+
+@register("confidence_distribution", lambda: O.confidence_distribution_sql())
+def q_confidence_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """N9."""
+    return round_doubles(S.confidence_distribution(_preds(spark, sf_dir)))
+
+
+@register("error_summary", lambda: O.error_summary_sql())
+def q_error_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """N6, N7 (first five errors by key), N8."""
+    return round_doubles(S.error_summary(_preds(spark, sf_dir)))
+
+
+@register("prediction_table", lambda: O.prediction_table_sql())
+def q_prediction_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """N12."""
+    p = _preds(spark, sf_dir)
+    return p.select("id", "label", "pred", "confidence", S.confidence_band(F.col("confidence")).alias("band"),
+                    (F.col("label") == F.col("pred")).alias("correct"))
+
+
+@register("weighted_roc_auc", lambda: O.weighted_roc_auc_sql())
+def q_weighted_roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One-vs-rest AUC per class and support-weighted."""
+    return round_doubles(S.weighted_roc_auc(_preds(spark, sf_dir), "label", "vote_"))
+
+
+@register("model_comparison", lambda: O.model_comparison_sql())
+def q_model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy per base model and of the vote, gain over the best base."""
+    v = S.soft_vote(D.given_probs(spark, sf_dir))
+    classes = F.array(*[F.lit(c) for c in K.CLASSES])
+    cols = {m: F.element_at(classes, S.first_argmax([F.col(f"{m}_{c}") for c in K.CLASSES]) + 1) for m in S.MODELS}
+    cols["vote"] = F.col("vote_pred")
+    acc = v.select(
+        F.explode(F.array(*[F.struct(F.lit(m).alias("model"), (c == F.col("label")).cast("double").alias("hit")) for m, c in cols.items()])).alias("x")
+    ).select("x.*").groupBy("model").agg(F.avg("hit").alias("accuracy"))
+    best = acc.where(F.col("model") != "vote").agg(F.max("accuracy").alias("best"))
+    return round_doubles(acc.crossJoin(best).select("model", "accuracy", (F.col("accuracy") - F.col("best")).alias("improvement_over_best_base")))

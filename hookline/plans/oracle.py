@@ -743,3 +743,137 @@ def xss_params_sql() -> str:
     SELECT id, source, url, len(pairs)::INTEGER AS n_params,
       list_transform(list_filter(pairs, lambda x: regexp_matches(x.value, {q(pat)})), lambda x: x.key) AS xss_keys
     FROM pr"""
+
+
+# --------------------------------------------------------- scoring, metrics
+
+def vote_cols_sql(src: str) -> str:
+    w = K.VOTE_WEIGHTS
+    v = {c: f"({w['xgb']}::DOUBLE * xgb_{c} + {w['rf']}::DOUBLE * rf_{c} + {w['lgb']}::DOUBLE * lgb_{c})" for c in K.CLASSES}
+    m = "greatest(" + ", ".join(v.values()) + ")"
+    pred = "CASE " + " ".join(f"WHEN {v[c]} = {m} THEN {q(c)}" for c in K.CLASSES) + " END"
+    cols = ", ".join(f"round({v[c]}, 4) AS vote_{c}" for c in K.CLASSES)
+    return f"(SELECT *, {pred} AS vote_pred, round({m}, 4) AS vote_confidence, {cols} FROM {src})"
+
+
+def soft_vote_sql() -> str:
+    return f"""WITH g AS {given_probs_sql()}, v AS {vote_cols_sql('g')}
+    SELECT id, label, vote_pred, vote_confidence, {', '.join(f'vote_{c}' for c in K.CLASSES)},
+      vote_pred <> 'benign' AS threat_detected, {band_sql('vote_confidence')} AS band,
+      {route_sql(band_sql('vote_confidence'))} AS route
+    FROM v"""
+
+
+def meta_features_sql() -> str:
+    models = ["xgb", "lgb", "rf"]
+    mean = {c: f"((xgb_{c} + lgb_{c} + rf_{c}) / 3.0)" for c in K.CLASSES}
+    std = {
+        c: "sqrt((" + " + ".join(f"({m}_{c} - {mean[c]}) * ({m}_{c} - {mean[c]})" for m in models) + ") / 3.0)"
+        for c in K.CLASSES
+    }
+    allp = ", ".join(f"{m}_{c}" for m in models for c in K.CLASSES)
+
+    def top(m):
+        mx = "greatest(" + ", ".join(f"{m}_{c}" for c in K.CLASSES) + ")"
+        return "CASE " + " ".join(f"WHEN {m}_{c} = {mx} THEN {i}" for i, c in enumerate(K.CLASSES)) + " END"
+
+    counts = [" + ".join(f"(CASE WHEN {top(m)} = {i} THEN 1 ELSE 0 END)" for m in models) for i in range(4)]
+    agreement = "greatest(" + ", ".join(f"({c})" for c in counts) + ") / 3.0"
+    ent = "-(" + " + ".join(f"{mean[c]} * ln({mean[c]} + 1e-10)" for c in K.CLASSES) + ")"
+    srt = "list_sort([" + ", ".join(mean.values()) + "])"
+    cols = [f"round({m}_{c}, {ROUND}) AS {m}_{c}" for m in models for c in K.CLASSES]
+    cols += [f"round({mean[c]}, {ROUND}) AS mean_{c}" for c in K.CLASSES]
+    cols += [f"round({std[c]}, {ROUND}) AS std_{c}" for c in K.CLASSES]
+    cols += [
+        f"round(greatest({allp}), {ROUND}) AS max_prob", f"round(least({allp}), {ROUND}) AS min_prob",
+        f"round({agreement}, {ROUND}) AS agreement", f"round({ent}, {ROUND}) AS entropy",
+        f"round({srt}[4] - {srt}[3], {ROUND}) AS margin",
+    ]
+    return f"SELECT id, label, {', '.join(cols)} FROM {given_probs_sql()}"
+
+
+def preds_sql() -> str:
+    return f"(SELECT id, label, vote_pred AS pred, vote_confidence AS confidence, {', '.join(f'vote_{c}' for c in K.CLASSES)} FROM {vote_cols_sql(given_probs_sql())})"
+
+
+def classes_sql() -> str:
+    return "(SELECT * FROM (VALUES " + ", ".join(f"({i}, {q(c)})" for i, c in enumerate(K.CLASSES)) + ") t(class_ord, class))"
+
+
+def classification_report_sql() -> str:
+    return f"""WITH p AS {preds_sql()},
+    per AS (
+      SELECT c.class_ord, c.class,
+        (SELECT count(*) FROM p WHERE label = c.class) AS support,
+        (SELECT count(*) FROM p WHERE pred = c.class) AS n_pred,
+        (SELECT count(*) FROM p WHERE pred = c.class AND label = c.class) AS tp
+      FROM {classes_sql()} c),
+    m AS (SELECT *, CASE WHEN n_pred > 0 THEN tp / n_pred ELSE 0.0 END AS precision,
+                    CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall FROM per),
+    f AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM m),
+    t AS (SELECT sum(support) AS n, sum(tp) AS correct, avg(precision) AS mp, avg(recall) AS mr, avg(f1) AS mf,
+                 sum(precision * support) / sum(support) AS wp, sum(recall * support) / sum(support) AS wr,
+                 sum(f1 * support) / sum(support) AS wf FROM f)
+    SELECT class_ord, class, round(precision, {ROUND}) AS precision, round(recall, {ROUND}) AS recall,
+           round(f1, {ROUND}) AS f1, support::BIGINT AS support FROM f
+    UNION ALL SELECT 4, 'accuracy', round(correct / n, {ROUND}), round(correct / n, {ROUND}), round(correct / n, {ROUND}), n::BIGINT FROM t
+    UNION ALL SELECT 5, 'macro avg', round(mp, {ROUND}), round(mr, {ROUND}), round(mf, {ROUND}), n::BIGINT FROM t
+    UNION ALL SELECT 6, 'weighted avg', round(wp, {ROUND}), round(wr, {ROUND}), round(wf, {ROUND}), n::BIGINT FROM t"""
+
+
+def confusion_matrix_sql() -> str:
+    cols = ", ".join(f"count(p.id) FILTER (WHERE p.pred = {q(c)})::BIGINT AS {c}" for c in K.CLASSES)
+    return f"""WITH p AS {preds_sql()}
+    SELECT c.class_ord, c.class AS true_class, {cols}
+    FROM {classes_sql()} c LEFT JOIN p ON p.label = c.class GROUP BY c.class_ord, c.class"""
+
+
+def confidence_distribution_sql() -> str:
+    return f"""WITH p AS {preds_sql()},
+    b AS (SELECT * FROM (VALUES (0, 'HIGH'), (1, 'MEDIUM'), (2, 'LOW')) t(band_ord, band)),
+    c AS (SELECT {band_sql('confidence')} AS band, count(*) AS n FROM p GROUP BY 1)
+    SELECT band_ord, b.band, coalesce(n, 0)::BIGINT AS n, round(coalesce(n, 0) / (SELECT count(*) FROM p), {ROUND}) AS share
+    FROM b LEFT JOIN c ON c.band = b.band"""
+
+
+def error_summary_sql() -> str:
+    return f"""WITH p AS {preds_sql()},
+    e AS (SELECT * FROM p WHERE label <> pred ORDER BY id LIMIT 5)
+    SELECT count(*)::BIGINT AS n, sum(CASE WHEN label <> pred THEN 1 ELSE 0 END)::BIGINT AS misclassified,
+      sum(CASE WHEN label = pred AND confidence < {K.MEDIUM_BAND} THEN 1 ELSE 0 END)::BIGINT AS low_confidence_correct,
+      round(sum(CASE WHEN label <> pred THEN 1 ELSE 0 END) / count(*), {ROUND}) AS misclassified_share,
+      (SELECT list({{'key': id, 'true': label, 'pred': pred, 'confidence': confidence}} ORDER BY id) FROM e) AS first_errors
+    FROM p"""
+
+
+def prediction_table_sql() -> str:
+    return f"""SELECT id, label, pred, confidence, {band_sql('confidence')} AS band, label = pred AS correct
+    FROM {preds_sql()}"""
+
+
+def weighted_roc_auc_sql() -> str:
+    unions = " UNION ALL ".join(f"SELECT {q(c)} AS cls, vote_{c} AS score, label = {q(c)} AS pos FROM p" for c in K.CLASSES)
+    return f"""WITH p AS {preds_sql()},
+    x AS ({unions}),
+    r AS (SELECT cls, pos, rank() OVER (PARTITION BY cls ORDER BY score) + (count(*) OVER (PARTITION BY cls, score) - 1) / 2.0 AS rk FROM x),
+    a AS (SELECT cls, sum(CASE WHEN pos THEN 1 ELSE 0 END) AS P, sum(CASE WHEN pos THEN 0 ELSE 1 END) AS N,
+                 sum(CASE WHEN pos THEN rk ELSE 0 END) AS rsum FROM r GROUP BY cls),
+    u AS (SELECT cls, P, CASE WHEN P > 0 AND N > 0 THEN (rsum - P * (P + 1) / 2.0) / (P * N) END AS auc FROM a)
+    SELECT cls, round(auc, {ROUND}) AS auc, P::BIGINT AS support FROM u
+    UNION ALL SELECT 'weighted', round(sum(auc * P) / sum(CASE WHEN auc IS NOT NULL THEN P END), {ROUND}), NULL FROM u"""
+
+
+def model_comparison_sql() -> str:
+    def pred_of(m):
+        mx = "greatest(" + ", ".join(f"{m}_{c}" for c in K.CLASSES) + ")"
+        return "CASE " + " ".join(f"WHEN {m}_{c} = {mx} THEN {q(c)}" for c in K.CLASSES) + " END"
+
+    parts = " UNION ALL ".join(
+        f"SELECT {q(m)} AS model, avg(CASE WHEN {pred_of(m)} = label THEN 1.0 ELSE 0.0 END) AS accuracy FROM v"
+        for m in ["xgb", "lgb", "rf"]
+    )
+    return f"""WITH v AS {vote_cols_sql(given_probs_sql())},
+    acc AS ({parts} UNION ALL SELECT 'vote', avg(CASE WHEN vote_pred = label THEN 1.0 ELSE 0.0 END) FROM v)
+    SELECT model, round(accuracy, {ROUND}) AS accuracy,
+      round(accuracy - (SELECT max(accuracy) FROM acc WHERE model <> 'vote'), {ROUND}) AS improvement_over_best_base
+    FROM acc"""
