@@ -252,6 +252,17 @@ SMALL_SET_DOMAINS = [
 ]
 SMALL_SET_PATHS = ["", "/about", "/contact", "/products", "/services", "/blog", "/news"]
 
+# Coverage check of a ranked domain list: category -> sites.
+COVERAGE_SITES = [
+    ("Global", ["google.com", "facebook.com", "youtube.com", "amazon.com", "microsoft.com"]),
+    ("Indian Banks", ["icicibank.com", "hdfcbank.com", "sbi.co.in", "axisbank.com", "kotak.com"]),
+    ("Payment Apps", ["paytm.com", "phonepe.com", "mobikwik.com"]),
+    ("E-commerce", ["flipkart.com", "myntra.com", "snapdeal.com", "nykaa.com"]),
+    ("Food/Services", ["swiggy.com", "zomato.com", "irctc.co.in", "makemytrip.com"]),
+]
+RANK_HEAD = 1000
+RANK_SLICE = (40001, 48000)
+
 # ---------------------------------------------------------------------------
 # FIXED VALUES — end
 # ---------------------------------------------------------------------------

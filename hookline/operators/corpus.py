@@ -264,15 +264,19 @@ def domains_to_urls(df: DataFrame) -> DataFrame:
     return df.select("rank", F.concat(F.lit("https://www."), F.col("domain")).alias("url"), F.lit("benign").alias("type"))
 
 
-def coverage_check(domains: DataFrame, categories: DataFrame) -> DataFrame:
-    """For each (category, name) whether some domain contains the name,
-    with the best rank.  ``categories`` is a small fixed list (broadcast)."""
-    j = F.broadcast(categories).join(domains, F.instr(F.col("domain"), F.col("name")) > 0, "left")
-    return j.groupBy("category", "name").agg(
-        F.count("domain").cast("int").alias("n_domains"), F.min("rank").alias("best_rank")
+def coverage_check(domains: DataFrame, sites: DataFrame) -> DataFrame:
+    """For each (category, site) whether the ranked list holds the exact
+    domain, and its best rank.  ``sites`` is a small fixed list (broadcast)."""
+    j = F.broadcast(sites).join(domains, F.col("site") == F.col("domain"), "left")
+    return j.groupBy("category", "site").agg(
+        (F.count("domain") > 0).alias("found"), F.min("rank").alias("rank")
     )
 
 
+def site_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(c, s) for c, sites in K.COVERAGE_SITES for s in sites], "category string, site string")
+
+
 # ------------------------------------------------------------ set operations
 
 def merge_on_common_columns(frames: Sequence[DataFrame]) -> DataFrame:
@@ -348,3 +352,20 @@ def size_ladder(df: DataFrame, steps: int = 10, label: str = "type", key: str =
     """Smallest ladder step (1..steps) whose fraction includes the row."""
     r = stratified_ranks(df, label, key, seed)
     return r.withColumn("step", F.ceil(F.col("cls_rank") * steps / F.col("cls_n")).cast("int"))
+
+
+def split_assignments(df: DataFrame, label: str = "type", key: str = "url", seed: int = 42, k: int = 5,
+                      steps: int = 10, train: float = 0.8, valid: float = 0.1) -> DataFrame:
+    """J3 + J4 + J5 from one exact per-class ranking: ``split``
+    (train/valid/test), ``fold`` (0..k-1) and ladder ``step`` (1..steps)."""
+    r = stratified_ranks(df, label, key, seed)
+    pos, n = F.col("cls_rank"), F.col("cls_n")
+    n_train = F.floor(n * train + 1e-9)
+    n_valid = F.floor((n - n_train) * (valid / (1 - train)) + 1e-9)
+    return r.withColumns(
+        {
+            "split": F.when(pos <= n_train, "train").when(pos <= n_train + n_valid, "valid").otherwise("test"),
+            "fold": F.pmod(pos - 1, F.lit(k)).cast("int"),
+            "step": F.ceil(pos * steps / n).cast("int"),
+        }
+    )

@@ -300,3 +300,96 @@ def q_model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("x.*").groupBy("model").agg(F.avg("hit").alias("accuracy"))
     best = acc.where(F.col("model") != "vote").agg(F.max("accuracy").alias("best"))
     return round_doubles(acc.crossJoin(best).select("model", "accuracy", (F.col("accuracy") - F.col("best")).alias("improvement_over_best_base")))
+
+
+# ------------------------------------------------------ corpus and statistics
+
+from hookline.operators import corpus as CO  # noqa: E402
+from hookline.operators import stats as ST  # noqa: E402
+
+
+def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = D.typed_urls(spark, sf_dir)
+    return t.withColumn("key", F.concat_ws(":", F.col("source"), F.col("id").cast("string")))
+
+
+@register("stratified_split", lambda: O.stratified_split_sql())
+def q_stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact per-class 80/10/10 split, 5 folds, 10-step ladder."""
+    s = CO.split_assignments(_keyed(spark, sf_dir), "type", "key", 42)
+    return s.select("key", "type", "cls_rank", "cls_n", "split", "fold", "step")
+
+
+@register("class_stats", lambda: O.class_stats_sql())
+def q_class_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1, K2, K4 (B6 label normalisation)."""
+    return round_doubles(ST.class_stats(D.typed_urls(spark, sf_dir), "type"))
+
+
+@register("sample_weights", lambda: O.sample_weights_sql())
+def q_sample_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K5: balanced class weight per row."""
+    return round_doubles(ST.sample_weights(_keyed(spark, sf_dir), "type").select("key", "type", "weight"))
+
+
+def _mini_js(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FT.featurize_mini11_js(D.typed_urls(spark, sf_dir).drop("type"))
+
+
+@register("median_fill", lambda: O.median_fill_sql())
+def q_median_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3: exact-median fill of the browser features (null when unparsable)."""
+    return round_doubles(ST.median_fill(_mini_js(spark, sf_dir).drop("url"), FT.MINI11_FEATURES))
+
+
+@register("standardise", lambda: O.standardise_sql())
+def q_standardise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K6: population standardisation of five URL features."""
+    f = FT.featurize_main(D.typed_urls(spark, sf_dir)).select("id", "source", *O.STD_COLS)
+    return round_doubles(ST.standardise(f, O.STD_COLS))
+
+
+@register("profile_columns", lambda: O.profile_columns_sql())
+def q_profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, nulls, distinct, min, max per feature column."""
+    return ST.profile_columns(_mini_js(spark, sf_dir), FT.MINI11_FEATURES)
+
+
+@register("dataset_summary", lambda: O.dataset_summary_sql())
+def q_dataset_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K7: rows, feature count, class distribution."""
+    return ST.dataset_summary(D.typed_urls(spark, sf_dir), "type", FT.MAIN_NATIVE_FEATURES)
+
+
+@register("ranked_urls", lambda: O.ranked_urls_sql())
+def q_ranked_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank slices of the ranked list as benign URLs."""
+    r = D.ranked_domains(spark, sf_dir)
+    return CO.domains_to_urls(CO.rank_slices(r, K.RANK_HEAD, *K.RANK_SLICE))
+
+
+@register("coverage_check", lambda: O.coverage_check_sql())
+def q_coverage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which named sites the ranked list holds, with rank."""
+    return CO.coverage_check(D.ranked_domains(spark, sf_dir), CO.site_table(spark))
+
+
+@register("merged_sample", lambda: O.merged_sample_sql())
+def q_merged_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I1 (common columns, union all) then J1 (seeded sample of 5,000)."""
+    ranked = CO.domains_to_urls(D.ranked_domains(spark, sf_dir))
+    merged = CO.merge_on_common_columns([D.typed_urls(spark, sf_dir), ranked])
+    return CO.sample_up_to(merged, 5000, 42, "url")
+
+
+@register("synthetic_corpus", lambda: O.synthetic_corpus_sql())
+def q_synthetic_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pattern, brand-path and numeric look-alike
+    URLs for the generator brands, de-duplicated and tagged."""
+    b = D.synth_brands(spark, sf_dir)
+    urls = (
+        CO.pattern_urls(b).select("url")
+        .unionByName(CO.brand_path_urls(b).select("url"))
+        .unionByName(CO.numeric_brand_urls(b).select("url"))
+    )
+    return CO.tag_seed(CO.dedupe_urls(urls), "phishing", 42)

@@ -186,3 +186,18 @@ def navigations(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = typed_urls(spark, sf_dir)
     rtype = F.when(F.pmod(F.col("id"), F.lit(5)) == 4, F.lit("image")).otherwise(F.lit("main_frame"))
     return t.select("id", "source", "url", rtype.alias("resource_type"))
+
+
+def ranked_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(rank, domain): rank = customer key; even ranks a legitimate domain,
+    odd ranks a brand look-alike host."""
+    k = F.col("c_custkey")
+    lookalike = F.concat(F.replace(_pick(K.SYNTH_PATTERNS, k), F.lit("{brand}"), _pick(K.BRAND_KEYWORDS, k)), _pick(K.SYNTH_TLDS, k))
+    dom = F.when(F.pmod(k, F.lit(2)) == 0, _pick(K.LEGITIMATE_DOMAINS, k)).otherwise(lookalike)
+    return read(spark, sf_dir, "customer").select(k.cast("int").alias("rank"), dom.alias("domain"))
+
+
+def synth_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generator brands named by the customer keys (distinct)."""
+    k = F.col("c_custkey")
+    return read(spark, sf_dir, "customer").select(_pick(K.SYNTH_BRANDS, k).alias("brand")).distinct()

@@ -877,3 +877,173 @@ def model_comparison_sql() -> str:
     SELECT model, round(accuracy, {ROUND}) AS accuracy,
       round(accuracy - (SELECT max(accuracy) FROM acc WHERE model <> 'vote'), {ROUND}) AS improvement_over_best_base
     FROM acc"""
+
+
+# ------------------------------------------------------ corpus and statistics
+
+def keyed_sql() -> str:
+    return f"(SELECT *, source || ':' || id::VARCHAR AS key FROM {typed_urls_sql()})"
+
+
+def stratified_split_sql() -> str:
+    return f"""WITH t AS {keyed_sql()},
+    r AS (SELECT key, type,
+            row_number() OVER (PARTITION BY type ORDER BY md5('42|' || key), key) AS cls_rank,
+            count(*) OVER (PARTITION BY type) AS cls_n FROM t),
+    s AS (SELECT *, floor(cls_n * 0.8 + 1e-9) AS n_train FROM r),
+    v AS (SELECT *, floor((cls_n - n_train) * (0.1 / (1 - 0.8)) + 1e-9) AS n_valid FROM s)
+    SELECT key, type, cls_rank::BIGINT AS cls_rank, cls_n::BIGINT AS cls_n,
+      CASE WHEN cls_rank <= n_train THEN 'train' WHEN cls_rank <= n_train + n_valid THEN 'valid' ELSE 'test' END AS split,
+      ((cls_rank - 1) % 5)::INTEGER AS fold, ceil(cls_rank * 10 / cls_n)::INTEGER AS step
+    FROM v"""
+
+
+def class_stats_inner(src: str) -> str:
+    return f"""(SELECT c.class_ord, c.class, coalesce(n.n, 0)::BIGINT AS count,
+        coalesce(n.n, 0) / (SELECT count(*) FROM {src}) AS share,
+        CASE WHEN n.n > 0 THEN (SELECT count(*) FROM {src}) / ({len(K.CLASSES)} * n.n) END AS weight
+      FROM {classes_sql()} c LEFT JOIN (SELECT trim(lower(type)) AS class, count(*) AS n FROM {src} GROUP BY 1) n
+      ON n.class = c.class)"""
+
+
+def class_stats_sql() -> str:
+    return f"""WITH t AS {typed_urls_sql()}
+    SELECT class_ord, class, count, round(share, {ROUND}) AS share, round(weight, {ROUND}) AS weight FROM {class_stats_inner('t')}"""
+
+
+def sample_weights_sql() -> str:
+    return f"""WITH t AS {keyed_sql()}, w AS {class_stats_inner('t')}
+    SELECT t.key, t.type, round(w.weight, {ROUND}) AS weight FROM t LEFT JOIN w ON w.class = trim(lower(t.type))"""
+
+
+def mini_js_src() -> str:
+    return f"({mini11_js_sql()})"
+
+
+def median_fill_sql() -> str:
+    meds = ", ".join(f"median({c}::DOUBLE) AS m_{c}" for c in MINI11_FEATURES)
+    cols = ", ".join(f"round(coalesce({c}::DOUBLE, m_{c}), {ROUND}) AS {c}" for c in MINI11_FEATURES)
+    return f"""WITH f AS {mini_js_src()}, m AS (SELECT {meds} FROM f)
+    SELECT id, source, {cols} FROM f, m"""
+
+
+STD_COLS = ["url_length", "num_dots", "domain_length", "path_length", "url_entropy"]
+
+
+def standardise_sql() -> str:
+    stats = ", ".join(f"avg({c}) AS mu_{c}, stddev_pop({c}) AS sd_{c}" for c in STD_COLS)
+    cols = ", ".join(
+        f"round(({c} - mu_{c}) / CASE WHEN sd_{c} = 0 OR sd_{c} IS NULL THEN 1.0 ELSE sd_{c} END, {ROUND}) AS {c}"
+        for c in STD_COLS
+    )
+    return f"""WITH f AS ({url_features_sql()}), s AS (SELECT {stats} FROM f)
+    SELECT id, source, {cols} FROM f, s"""
+
+
+def profile_columns_sql() -> str:
+    parts = " UNION ALL ".join(
+        f"SELECT {q(c)} AS column, count(*)::BIGINT AS rows, count(*) FILTER (WHERE {c} IS NULL)::BIGINT AS nulls, "
+        f"count(DISTINCT {c})::BIGINT AS distinct, min({c})::DOUBLE AS min, max({c})::DOUBLE AS max FROM f"
+        for c in MINI11_FEATURES
+    )
+    return f"WITH f AS {mini_js_src()} {parts}"
+
+
+def dataset_summary_sql() -> str:
+    return f"""WITH t AS {typed_urls_sql()}, d AS (SELECT type, count(*) AS n FROM t GROUP BY type)
+    SELECT (SELECT count(*) FROM t) AS rows,
+      (SELECT list({'class': type, 'n': n} ORDER BY type) FROM d) AS distribution,
+      {len(MAIN_NATIVE_FEATURES)} AS n_features"""
+
+
+def ranked_domains_sql() -> str:
+    k = "c_custkey"
+    look = f"replace({pick(K.SYNTH_PATTERNS, k)}, '{{brand}}', {pick(K.BRAND_KEYWORDS, k)}) || {pick(K.SYNTH_TLDS, k)}"
+    return f"(SELECT {k}::INTEGER AS rank, CASE WHEN {k} % 2 = 0 THEN {pick(K.LEGITIMATE_DOMAINS, k)} ELSE {look} END AS domain FROM customer)"
+
+
+def ranked_urls_sql() -> str:
+    lo, hi = K.RANK_SLICE
+    return f"""SELECT rank, 'https://www.' || domain AS url, 'benign' AS type FROM {ranked_domains_sql()}
+    WHERE rank <= {K.RANK_HEAD} OR rank BETWEEN {lo} AND {hi}"""
+
+
+def coverage_check_sql() -> str:
+    sites = ", ".join(f"({q(c)}, {q(s)})" for c, ss in K.COVERAGE_SITES for s in ss)
+    return f"""WITH s AS (SELECT * FROM (VALUES {sites}) t(category, site)), r AS {ranked_domains_sql()}
+    SELECT category, site, count(r.domain) > 0 AS found, min(r.rank) AS rank
+    FROM s LEFT JOIN r ON r.domain = s.site GROUP BY category, site"""
+
+
+def merged_sample_sql() -> str:
+    return f"""WITH m AS (SELECT type, url FROM {typed_urls_sql()}
+                  UNION ALL SELECT 'benign' AS type, 'https://www.' || domain AS url FROM {ranked_domains_sql()})
+    SELECT type, url FROM m ORDER BY md5('42|' || url), url LIMIT 5000"""
+
+
+def uh(seed: int, *parts: str) -> str:
+    """Hash draw in [0, 1): first 32 bits of md5(seed|parts)."""
+    inner = " || '|' || ".join([q(str(seed))] + [f"({p})::VARCHAR" for p in parts])
+    return f"(('0x' || substr(md5({inner}), 1, 8))::BIGINT::DOUBLE / 4294967296.0)"
+
+
+def upick(values, h: str) -> str:
+    return f"({lst(values)})[floor({h} * {len(values)})::BIGINT + 1]"
+
+
+def token(key: str, n: int) -> str:
+    return f"substr(md5('t|' || ({key})), 1, {n})"
+
+
+def make_url_sql(host: str, tld: str, sub: str | None, path: str, query: str, h: str) -> str:
+    scheme = f"(CASE WHEN {h} < {K.SYNTH_HTTPS_SHARE} THEN 'https://' ELSE 'http://' END)"
+    full = f"({host} || {tld})" if sub is None else f"(CASE WHEN {sub} IS NULL THEN {host} || {tld} ELSE {sub} || '.' || {host} || {tld} END)"
+    return f"{scheme} || {full} || {path} || {query}"
+
+
+def random_path_sql(key: str, seed: int) -> str:
+    w = K.SYNTH_PATH_DEPTH_WEIGHTS
+    d = uh(seed, key)
+    depth = f"(CASE WHEN {d} < {w[0]!r} THEN 0 WHEN {d} < {w[0] + w[1]!r} THEN 1 WHEN {d} < {w[0] + w[1] + w[2]!r} THEN 2 ELSE 3 END)"
+    words = K.SYNTH_PATH_WORDS + ["<token>"]
+
+    def part(j: int) -> str:
+        wj = upick(words, uh(seed + 1, key, str(j)))
+        return f"(CASE WHEN {wj} = '<token>' THEN {token(f'({key}) || {q(str(j))}', 6)} ELSE {wj} END)"
+
+    segs = f"[{part(1)}, {part(2)}, {part(3)}]"
+    return f"(CASE WHEN {depth} = 0 THEN '' ELSE '/' || array_to_string(list_slice({segs}, 1, {depth}), '/') END)"
+
+
+def random_query_sql(key: str, seed: int) -> str:
+    k = upick(K.SYNTH_QUERY_KEYS, uh(seed + 1, key))
+    return f"(CASE WHEN {uh(seed, key)} < {K.SYNTH_QUERY_SHARE} THEN '?' || {k} || '=' || {token(key, 6)} ELSE '' END)"
+
+
+def synthetic_corpus_sql(seed: int = 42) -> str:
+    brands = f"(SELECT DISTINCT {pick(K.SYNTH_BRANDS, 'c_custkey')} AS brand FROM customer)"
+    pats = ", ".join(f"({i}, {q(p)})" for i, p in enumerate(K.SYNTH_PATTERNS))
+    tlds = ", ".join(f"({i}, {q(t)})" for i, t in enumerate(K.SYNTH_TLDS))
+    key1 = "brand || '|' || pat_ord::VARCHAR || '|' || tld_ord::VARCHAR || '|' || shape::VARCHAR"
+    h1 = uh(seed, "key")
+    sub1 = f"CASE WHEN shape = 1 THEN {upick(K.SYNTH_SUBS, uh(seed + 1, 'key'))} END"
+    path1 = f"CASE WHEN shape = 2 THEN '/' || {upick(['login', 'secure', 'account'], uh(seed + 2, 'key'))} || '/' || {token('key', 5)} ELSE '' END"
+    qtok = token("key || 'q'", 6)
+    query1 = f"CASE WHEN shape = 2 AND {uh(seed + 3, 'key')} < 0.3 THEN '?ref=' || {qtok} ELSE '' END"
+    key2 = "brand || '|' || n::VARCHAR"
+    sub2 = upick(K.SYNTH_SUBS + ["<none>"], uh(seed + 1, "key"))
+    path2 = f"'/' || {upick(K.SYNTH_BRAND_PATH_WORDS, uh(seed + 2, 'key'))} || '/' || {token('key', 5)}"
+    lo = "[10, 1000, 10000][n + 1]"
+    hi = "[999, 9999, 99999][n + 1]"
+    num = f"({lo} + floor({uh(seed, 'key')} * ({hi} - {lo} + 1)))::BIGINT::VARCHAR"
+    return f"""WITH b AS {brands},
+    p AS (SELECT * FROM (VALUES {pats}) t(pat_ord, pat)),
+    tl AS (SELECT * FROM (VALUES {tlds}) t(tld_ord, tld)),
+    h1 AS (SELECT brand, replace(pat, '{{brand}}', brand) AS host, tld, {key1} AS key, shape
+           FROM b, p, tl, (SELECT unnest([0, 1, 2]) AS shape)),
+    u1 AS (SELECT {make_url_sql('host', 'tld', sub1, path1, query1, h1)} AS url FROM h1),
+    h2 AS (SELECT brand, {key2} AS key FROM b, (SELECT unnest(range(1, 9)) AS n)),
+    u2 AS (SELECT {make_url_sql('brand', upick(K.SYNTH_TLDS, uh(seed, 'key')), f"CASE WHEN {sub2} <> '<none>' THEN {sub2} END", path2, random_query_sql('key', seed + 3), uh(seed + 4, 'key'))} AS url FROM h2),
+    h3 AS (SELECT brand, n, {key2} AS key FROM b, (SELECT unnest([0, 1, 2]) AS n)),
+    u3 AS (SELECT {make_url_sql(f"brand || {num}", upick(K.SYNTH_TLDS, uh(seed + 1, 'key')), None, random_path_sql('key', seed + 2), random_query_sql('key', seed + 4), uh(seed + 6, 'key'))} AS url FROM h3)
+    SELECT DISTINCT url, 'phishing' AS type, {seed} AS seed FROM (SELECT url FROM u1 UNION ALL SELECT url FROM u2 UNION ALL SELECT url FROM u3)"""
