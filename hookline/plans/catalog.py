@@ -393,3 +393,84 @@ def q_synthetic_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         .unionByName(CO.numeric_brand_urls(b).select("url"))
     )
     return CO.tag_seed(CO.dedupe_urls(urls), "phishing", 42)
+
+
+# ----------------------------------------------------------------- training
+
+from hookline.operators import train as TR  # noqa: E402
+
+# Training sizes of the registered queries (the library defaults follow the
+# original settings: 300 trees of depth 25, 500 boosting rounds).
+RF_QUICK = dict(num_trees=20, max_depth=10)
+GBT_QUICK = dict(rounds=10, depth=4)
+
+
+def _train_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = FT.featurize_main(D.typed_urls(spark, sf_dir))
+    f = f.withColumn("key", F.concat_ws(":", F.col("source"), F.col("id").cast("string")))
+    return CO.split_assignments(f, "type", "key", 42)
+
+
+def _report(model, test: DataFrame) -> DataFrame:
+    pred = TR.score(model, test).select(F.col("type").alias("label"), F.col("model_pred").alias("pred"))
+    return round_doubles(S.classification_report(pred), 6)
+
+
+@register("train_random_forest")
+def q_train_random_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L1 (+ J3, K4, K5, N4): class-weighted random forest on URL features,
+    evaluated on the held-out test split."""
+    d = _train_frame(spark, sf_dir)
+    model = TR.fit(d.where(F.col("split") == "train"), FT.MAIN_NATIVE_FEATURES, TR.random_forest(**RF_QUICK))
+    return _report(model, d.where(F.col("split") == "test"))
+
+
+@register("train_boosted_trees")
+def q_train_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L2/L3: one-vs-rest boosted trees on URL features, test-split report."""
+    d = _train_frame(spark, sf_dir)
+    model = TR.fit(d.where(F.col("split") == "train"), FT.MAIN_NATIVE_FEATURES, TR.boosted_trees(**GBT_QUICK))
+    return _report(model, d.where(F.col("split") == "test"))
+
+
+@register("train_meta_logistic")
+def q_train_meta_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L4 on M6/M7 meta features of the three models' probabilities."""
+    m = S.meta_features(S.base_prob_vector(D.given_probs(spark, sf_dir)))
+    m = m.withColumn("key", F.col("id").cast("string")).withColumnRenamed("label", "type")
+    d = CO.split_assignments(m, "type", "key", 42)
+    train = d.where(F.col("split") == "train")
+    total_w = train.count()
+    model = TR.fit(train, S.META_NAMES, TR.meta_logistic(total_weight=float(total_w), max_iter=200))
+    return _report(model, d.where(F.col("split") == "test"))
+
+
+@register("score_with_model")
+def q_score_with_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1, M3, M5, M9: score every URL with a forest trained on the train
+    split, then the look-alike override cascade and the verdict fields."""
+    d = _train_frame(spark, sf_dir)
+    model = TR.fit(d.where(F.col("split") == "train"), FT.MAIN_NATIVE_FEATURES, TR.random_forest(**RF_QUICK))
+    scored = TR.score(model, d).select("id", "source", "url", "model_pred", *[f"p_{c}" for c in K.CLASSES])
+    out = LK.apply_override(spark, scored, "url", "model_pred", "p_", with_ratios=True)
+    conf = F.greatest(*[F.col(f"final_{c}") for c in K.CLASSES])
+    return out.select(
+        "id", "source", "url", "model_pred", "final_pred", (F.col("final_pred") != "benign").alias("threat_detected"),
+        F.round(conf, 6).alias("confidence"), "reason", "heuristic_applied",
+    )
+
+
+@register("feature_importance")
+def q_feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top 15 feature importances of the forest."""
+    d = _train_frame(spark, sf_dir)
+    model = TR.fit(d.where(F.col("split") == "train"), FT.MAIN_NATIVE_FEATURES, TR.random_forest(**RF_QUICK))
+    return TR.feature_importance(model, FT.MAIN_NATIVE_FEATURES, 15)
+
+
+@register("cross_validate")
+def q_cross_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five-fold accuracy and macro F1 of a small forest."""
+    d = _train_frame(spark, sf_dir).persist()
+    res = TR.cross_validate(d, FT.MAIN_NATIVE_FEATURES, lambda: TR.random_forest(num_trees=10, max_depth=8), "type", "fold", 5)
+    return round_doubles(res, 6)

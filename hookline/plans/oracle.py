@@ -952,7 +952,7 @@ def profile_columns_sql() -> str:
 def dataset_summary_sql() -> str:
     return f"""WITH t AS {typed_urls_sql()}, d AS (SELECT type, count(*) AS n FROM t GROUP BY type)
     SELECT (SELECT count(*) FROM t) AS rows,
-      (SELECT list({'class': type, 'n': n} ORDER BY type) FROM d) AS distribution,
+      (SELECT list({{'class': type, 'n': n}} ORDER BY type) FROM d) AS distribution,
       {len(MAIN_NATIVE_FEATURES)} AS n_features"""
 
 
