@@ -474,3 +474,76 @@ def q_cross_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _train_frame(spark, sf_dir).persist()
     res = TR.cross_validate(d, FT.MAIN_NATIVE_FEATURES, lambda: TR.random_forest(num_trees=10, max_depth=8), "type", "fold", 5)
     return round_doubles(res, 6)
+
+
+# ---------------------------------------------------------------- streaming
+
+from hookline.streaming import streams as SS  # noqa: E402
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.read(spark, sf_dir, "events")
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    p = D.read(spark, sf_dir, "pages").select("page_id", "url")
+    return p, p.count()
+
+
+@register("nav_stats", lambda: O.nav_stats_sql())
+def q_nav_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O2 (batch twin): blocked / scanned / safe counters per user."""
+    return SS.running_stats(_events(spark, sf_dir))
+
+
+@register("stream_running_stats", lambda: O.nav_stats_sql())
+def q_stream_running_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O2 as a Structured Streaming aggregation (complete mode, availableNow)."""
+    return SS.run_available_now(SS.running_stats(SS.event_stream(spark, sf_dir)), "running_stats", mode="complete")
+
+
+@register("event_report", lambda: O.event_report_sql())
+def q_event_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reported events per type."""
+    return SS.report_counts(_events(spark, sf_dir))
+
+
+@register("redirect_alerts", lambda: O.redirect_alerts_sql())
+def q_redirect_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O3 (batch twin): redirect alerts after the third per page view."""
+    return SS.redirect_alerts(_events(spark, sf_dir))
+
+
+@register("stream_redirect_alerts", lambda: O.redirect_alerts_sql())
+def q_stream_redirect_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O3 as a stateful stream (applyInPandasWithState, per page view)."""
+    return SS.run_available_now(SS.redirect_alerts_stateful(SS.event_stream(spark, sf_dir)), "redirect_alerts")
+
+
+@register("warning_dwell", lambda: O.warning_dwell_sql())
+def q_warning_dwell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Milliseconds from a block to the next event of the page view."""
+    return SS.warning_dwell(_events(spark, sf_dir))
+
+
+@register("feedback_count", lambda: O.feedback_count_sql())
+def q_feedback_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feedback records appended by a stream, then counted."""
+    pages, n = _pages(spark, sf_dir)
+    fb = SS.run_available_now(SS.feedback_records(SS.event_stream(spark, sf_dir), pages, n), "feedback")
+    return SS.feedback_counts(fb)
+
+
+@register("navigation_events", lambda: O.navigation_events_sql())
+def q_navigation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O1 + O7 (batch twin): decision per navigation event."""
+    pages, n = _pages(spark, sf_dir)
+    return SS.navigation_decisions(_events(spark, sf_dir), pages, n, D.threats(spark, sf_dir))
+
+
+@register("stream_navigation", lambda: O.navigation_events_sql())
+def q_stream_navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O1 + O7 as a stream: stream-static joins to pages and the threat list."""
+    pages, n = _pages(spark, sf_dir)
+    s = SS.navigation_decisions(SS.event_stream(spark, sf_dir), pages, n, D.threats(spark, sf_dir))
+    return SS.run_available_now(s, "navigation")

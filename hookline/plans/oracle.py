@@ -1047,3 +1047,60 @@ def synthetic_corpus_sql(seed: int = 42) -> str:
     h3 AS (SELECT brand, n, {key2} AS key FROM b, (SELECT unnest([0, 1, 2]) AS n)),
     u3 AS (SELECT {make_url_sql(f"brand || {num}", upick(K.SYNTH_TLDS, uh(seed + 1, 'key')), None, random_path_sql('key', seed + 2), random_query_sql('key', seed + 4), uh(seed + 6, 'key'))} AS url FROM h3)
     SELECT DISTINCT url, 'phishing' AS type, {seed} AS seed FROM (SELECT url FROM u1 UNION ALL SELECT url FROM u2 UNION ALL SELECT url FROM u3)"""
+
+
+# ---------------------------------------------------------------- streaming
+
+def events_kind_sql() -> str:
+    from hookline.streaming.streams import EVENT_KINDS
+
+    whens = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in EVENT_KINDS.items())
+    return f"(SELECT *, CASE event_type {whens} END AS kind, ts::DATE AS day FROM events)"
+
+
+def nav_stats_sql() -> str:
+    return f"""SELECT user_id, count(*) FILTER (WHERE kind = 'blocked') AS blocked,
+      count(*) FILTER (WHERE kind = 'scanned') AS scanned, count(*) FILTER (WHERE kind = 'safe') AS safe
+    FROM {events_kind_sql()} GROUP BY user_id"""
+
+
+def event_report_sql() -> str:
+    return f"SELECT kind, count(*) AS n FROM {events_kind_sql()} GROUP BY kind"
+
+
+def redirect_alerts_sql() -> str:
+    return f"""SELECT user_id, day, event_id, ts, redirect_count::INTEGER AS redirect_count FROM (
+      SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY ts, event_id) AS redirect_count
+      FROM {events_kind_sql()} WHERE kind = 'redirect') WHERE redirect_count > {K.REDIRECT_ALERT_AFTER}"""
+
+
+def warning_dwell_sql() -> str:
+    return f"""SELECT user_id, event_id, (epoch_us(next_ts) - epoch_us(ts)) // 1000 AS dwell_ms FROM (
+      SELECT *, lead(ts) OVER (PARTITION BY user_id, day ORDER BY ts, event_id) AS next_ts FROM {events_kind_sql()})
+    WHERE kind = 'blocked' AND next_ts IS NOT NULL"""
+
+
+def feedback_count_sql() -> str:
+    cls = lst(K.CLASSES)
+    return f"""WITH e AS (SELECT * FROM {events_kind_sql()} WHERE kind = 'feedback'),
+    f AS (SELECT e.event_id, p.url, ({cls})[e.event_id % 4 + 1] AS user_label,
+                 CASE WHEN e.event_id % 5 <> 0 THEN ({cls})[floor(e.event_id / 4)::BIGINT % 4 + 1] END AS model_pred
+          FROM e JOIN pages p ON p.page_id = e.event_id % (SELECT count(*) FROM pages))
+    SELECT user_label, count(*) AS n, count(*) FILTER (WHERE user_label = model_pred) AS agrees FROM f GROUP BY user_label"""
+
+
+def navigation_events_sql() -> str:
+    return f"""WITH e AS (SELECT k.*, p.url FROM {events_kind_sql()} k
+                JOIN pages p ON p.page_id = k.event_id % (SELECT count(*) FROM pages)),
+    th AS (SELECT DISTINCT {hostname_expr('url')} AS threat FROM pages WHERE page_id % 10 = 0),
+    x AS (SELECT e.*, {hostname_expr('e.url')} AS host,
+                 CASE WHEN kind = 'feedback' THEN 'xhr' ELSE 'main_frame' END AS resource_type FROM e),
+    y AS (SELECT x.*, EXISTS (SELECT 1 FROM th WHERE th.threat IS NOT NULL AND th.threat <> ''
+                               AND (contains(x.url, th.threat) OR contains(x.host, th.threat))) AS known_threat FROM x),
+    z AS (SELECT y.*, {risk_sql('url', 'host')} AS risk FROM y)
+    SELECT event_id, user_id, url, resource_type, known_threat, round(risk, {ROUND}) AS risk,
+      CASE WHEN resource_type <> 'main_frame' THEN 'allow' WHEN known_threat THEN 'block'
+           WHEN risk > {K.BLOCK_SCORE_THRESHOLD} THEN 'block' ELSE 'scan' END AS action,
+      CASE WHEN resource_type <> 'main_frame' THEN NULL WHEN known_threat THEN 'This URL is in our threat database'
+           WHEN risk > {K.BLOCK_SCORE_THRESHOLD} THEN 'URL contains suspicious patterns' END AS reason
+    FROM z"""
