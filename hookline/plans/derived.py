@@ -121,7 +121,9 @@ def typed_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    from hookline.session import spread
+
+    return spread(out)
 
 
 def given_probs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ def spark():
         SparkSession.builder.master("local[4]")
         .appName("hookline-tests")
         .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
