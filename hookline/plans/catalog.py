@@ -547,3 +547,35 @@ def q_stream_navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, n = _pages(spark, sf_dir)
     s = SS.navigation_decisions(SS.event_stream(spark, sf_dir), pages, n, D.threats(spark, sf_dir))
     return SS.run_available_now(s, "navigation")
+
+
+# ------------------------------------------------------ sources and cleaning
+
+from hookline.sources import io as IO  # noqa: E402
+
+RECORD_FEATURES = FT.MINI11_FEATURES + ["index"]
+
+
+@register("feature_records", lambda: O.feature_records_sql())
+def q_feature_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A6 + B3: browser feature JSON per URL parsed back into the model's
+    feature order, missing keys (and the stray ``index``) as 0."""
+    f = FT.featurize_mini11_js(D.typed_urls(spark, sf_dir).drop("type"))
+    js = f.select("id", "source", F.to_json(F.struct(*FT.MINI11_FEATURES)).alias("features_json"))
+    return js.select("id", "source", *IO.feature_record_from_json("features_json", RECORD_FEATURES))
+
+
+@register("tld_one_hot", lambda: O.tld_one_hot_sql())
+def q_tld_one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suffix indicators with the first (alphabetical) level dropped."""
+    parts = U.add_url_parts(D.typed_urls(spark, sf_dir), "url", "_p_", clean=True)
+    x = parts.select("id", "source", F.col("_p_sfx").alias("suffix"))
+    return IO.one_hot(x, "suffix", "suffix_onehot")
+
+
+@register("phishing_head", lambda: O.phishing_head_sql())
+def q_phishing_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalised columns, phishing rows, the first 1,000 by key."""
+    t = D.typed_urls(spark, sf_dir).toDF("ID", " Source", "URL ", "Type")
+    n = IO.normalise_columns(t)
+    return IO.read_first(IO.filter_by_label(n, "PHISHING", "label"), 1000, ["source", "id"])

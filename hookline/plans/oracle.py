@@ -1104,3 +1104,24 @@ def navigation_events_sql() -> str:
       CASE WHEN resource_type <> 'main_frame' THEN NULL WHEN known_threat THEN 'This URL is in our threat database'
            WHEN risk > {K.BLOCK_SCORE_THRESHOLD} THEN 'URL contains suspicious patterns' END AS reason
     FROM z"""
+
+
+# ------------------------------------------------------ sources and cleaning
+
+def feature_records_sql() -> str:
+    cols = ", ".join(f"coalesce({c}::DOUBLE, 0.0) AS {c}" for c in MINI11_FEATURES)
+    return f"SELECT id, source, {cols}, 0.0 AS index FROM ({mini11_js_sql()})"
+
+
+def tld_one_hot_sql() -> str:
+    return f"""WITH src AS {typed_urls_sql()},
+    {url_parts_ctes('src')},
+    lv AS (SELECT list(DISTINCT sfx ORDER BY sfx) AS levels FROM parts)
+    SELECT id, source, sfx AS suffix,
+      list_transform(levels[2:], lambda l: CASE WHEN sfx = l THEN 1.0 ELSE 0.0 END) AS suffix_onehot
+    FROM parts, lv"""
+
+
+def phishing_head_sql() -> str:
+    return f"""SELECT id, source, url, type AS label FROM {typed_urls_sql()}
+    WHERE lower(type) = 'phishing' ORDER BY source, id LIMIT 1000"""
