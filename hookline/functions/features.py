@@ -373,4 +373,105 @@ def featurize_urls(df: DataFrame, url_col: str = "url", profile: str = "main") -
         return featurize_mini11_py(df, url_col)
     if profile == "mini11_js":
         return featurize_mini11_js(df, url_col)
+    if profile == "decoded":
+        return featurize_decoded(df, url_col)
+    if profile == "decoded_https":
+        return featurize_decoded(df, url_col, https_first=True)
     raise ValueError(f"unknown profile {profile!r}")
+
+
+# Fixed word lists of the 58-column decoded profile.
+DECODED_DICTIONARY = ["google", "facebook", "amazon", "apple", "microsoft", "wikipedia", "paypal", "youtube", "twitter",
+                      "linkedin", "instagram", "flipkart", "zomato", "swiggy", "nykaa", "icici", "hdfc", "sbi", "axis"]
+DECODED_BRANDS = ["google", "facebook", "amazon", "microsoft", "apple", "paypal", "netflix", "instagram", "twitter",
+                  "linkedin", "youtube", "yahoo", "ebay", "icici", "hdfc", "sbi", "axis", "swiggy", "zomato"]
+DECODED_BRANDS_DOMAIN = ["google", "facebook", "amazon", "apple", "paypal", "youtube"]
+DECODED_FEATURES = [c for c in MAIN_FEATURES if c not in {
+    "brand_impersonation", "brand_with_hyphen", "is_typosquatting", "typosquatting_similarity",
+    "has_character_substitution", "suspicious_tld_brand_combo", "multiple_brands_in_domain", "brand_not_in_main_domain"}]
+
+
+def featurize_decoded(df: DataFrame, url_col: str = "url", https_first: bool = False) -> DataFrame:
+    """DV3 (and DV4 with ``https_first``): 58 columns computed on the
+    percent-decoded URL, with a lower-cased netloc, shorter brand lists and
+    ``special_char_ratio`` over every non-alphanumeric character."""
+    p = "_d_"
+    u0 = F.col(url_col)
+    if https_first:
+        u0 = U.ensure_scheme_https(u0)
+    staged = U.add_url_parts(df.withColumn(f"{p}url", U.ensure_scheme_http(u0)), f"{p}url", p, clean=False)
+    staged = staged.withColumn(f"{p}full", U.percent_decode(F.col(f"{p}url")))
+    full = F.col(f"{p}full")
+    host = F.lower(F.col(f"{p}netloc"))
+    path, q = F.col(f"{p}path"), F.col(f"{p}query")
+    dom, sub, sfx = F.col(f"{p}dom"), F.col(f"{p}sub"), F.col(f"{p}sfx")
+    lf, ld, lsfx = F.lower(full), F.lower(dom), F.lower(sfx)
+    n = T.slen(full)
+    nd = T.slen(dom)
+    digits = T.count_re(full, "[0-9]")
+    letters = T.count_re(full, r"\p{L}")
+    special = T.count_re(full, r"[@?=%&!+$]")
+    nsub = F.when(sub == "", F.lit(0)).otherwise(F.size(F.split(sub, r"\.", -1))).cast("int")
+    e = {
+        "url_length": n,
+        "num_dots": T.count_re(full, r"\."),
+        "num_hyphens": T.count_re(full, "-"),
+        "num_underscores": T.count_re(full, "_"),
+        "num_digits": digits,
+        "num_letters": letters,
+        "num_special_chars": special,
+        "has_ip": T.flag(host.rlike(r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")),
+        "num_subdomains": nsub,
+        "has_multiple_subdomains": T.flag(nsub >= 3),
+        "domain_length": nd,
+        "host_entropy": T.entropy(dom),
+        "domain_entropy": T.entropy(dom),
+        "domain_has_digits": T.flag(dom.rlike("[0-9]")),
+        "domain_digit_ratio": T.ratio(T.count_re(dom, "[0-9]"), nd),
+        "domain_vowel_ratio": T.ratio(T.count_re(ld, "[aeiou]"), T.count_re(ld, r"\p{L}") - T.count_re(ld, "[aeiou]")),
+        "domain_bigram_diversity": T.ngram_diversity(dom, 2),
+        "domain_trigram_diversity": T.ngram_diversity(dom, 3),
+        "suspicious_prefix_suffix": T.flag(dom.contains("-")),
+        "num_suspicious_symbols": T.count_re(dom, r"[@!*]"),
+        "subdomain_length": T.slen(sub),
+        "domain_is_dictionary_word": T.flag(ld.isin(*DECODED_DICTIONARY)),
+        "tld_length": T.slen(sfx),
+        "tld_trust_category": F.when(lsfx.isin(*K.HIGH_TRUST_TLDS), F.lit(2))
+        .when(lsfx.isin(*K.SUSPICIOUS_TLDS_CATEGORY), F.lit(0)).otherwise(F.lit(1)),
+        "is_suspicious_tld": T.flag(lsfx.isin(*K.SUSPICIOUS_TLDS_CATEGORY)),
+        "is_high_trust_tld": T.flag(lsfx.isin(*K.HIGH_TRUST_TLDS)),
+        "is_country_tld": T.flag(sfx.rlike(r"^\p{L}{2}$")),
+        "path_length": T.slen(path),
+        "num_path_segments": F.size(F.filter(F.split(path, "/", -1), lambda s: s != "")).cast("int"),
+        "num_query_params": F.when(q == "", F.lit(0)).otherwise(F.size(F.split(q, "&", -1))).cast("int"),
+        "query_length": T.slen(q),
+        "num_encoded_chars": T.count_re(full, "%"),
+        "num_fragments": T.count_re(full, "#"),
+        "path_entropy": T.entropy(path),
+        "path_has_suspicious_ext": T.flag(T.any_literal(F.lower(path), K.SUSPICIOUS_EXTENSIONS)),
+        "query_has_redirect": T.flag(T.any_literal(F.lower(q), K.REDIRECT_WORDS)),
+        "path_url_ratio": T.ratio(T.slen(path), n),
+        "suspicious_word": T.flag(T.any_literal(lf, K.SUSPICIOUS_WORDS)),
+        "num_suspicious_words": T.count_present(lf, K.SUSPICIOUS_WORDS),
+        "sensitive_word": T.flag(T.any_literal(lf, K.SENSITIVE_WORDS)),
+        "action_word": T.flag(T.any_literal(lf, K.ACTION_WORDS)),
+        "has_brand_name": T.flag(T.any_literal(lf, DECODED_BRANDS)),
+        "brand_not_in_domain": T.flag(T.any_literal(lf, DECODED_BRANDS_DOMAIN) & ~T.any_literal(ld, DECODED_BRANDS_DOMAIN)),
+        "is_shortening_service": T.flag(T.any_literal(full, K.SHORTENERS)),
+        "is_mixed_case": T.flag(full.rlike(r"\p{Lu}") & full.rlike(r"\p{Ll}")),
+        "num_repeated_chars": T.longest_run(full),
+        "longest_token_length": T.longest_token(full, r"[./?=&_-]"),
+        "digit_letter_ratio": T.ratio(digits, letters),
+        "special_char_ratio": T.ratio(T.count_re(full, r"[^\p{L}\p{N}]"), n),
+        "uppercase_ratio": T.ratio(T.count_re(full, r"\p{Lu}"), n),
+        "consecutive_consonants": T.longest_match(lf, "[bcdfghjklmnpqrstvwxyz]+"),
+        "url_entropy": T.entropy(full),
+        "has_port": T.flag(host.contains(":") & ~host.startswith("[")),
+        "uses_https": T.flag(F.col(f"{p}scheme") == "https"),
+        "punycode_domain": T.flag(dom.contains("xn--")),
+        "subdomain_count_dot": T.count_re(sub, r"\."),
+        "domain_url_ratio": T.ratio(nd, n),
+        "query_url_ratio": T.ratio(T.slen(q), n),
+    }
+    cols = {k: v.cast("double" if k in DOUBLE_FEATURES else "int") for k, v in e.items()}
+    return staged.withColumns(cols).select(*df.columns, *DECODED_FEATURES)

@@ -579,3 +579,15 @@ def q_phishing_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = D.typed_urls(spark, sf_dir).toDF("ID", " Source", "URL ", "Type")
     n = IO.normalise_columns(t)
     return IO.read_first(IO.filter_by_label(n, "PHISHING", "label"), 1000, ["source", "id"])
+
+
+@register("url_features_decoded", lambda: O.decoded_features_sql(False))
+def q_url_features_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DV3: 58 columns on the percent-decoded URL."""
+    return round_doubles(FT.featurize_decoded(D.typed_urls(spark, sf_dir).drop("type")))
+
+
+@register("url_features_decoded_https", lambda: O.decoded_features_sql(True))
+def q_url_features_decoded_https(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DV4: DV3 after the https prefix."""
+    return round_doubles(FT.featurize_decoded(D.typed_urls(spark, sf_dir).drop("type"), https_first=True))

@@ -1125,3 +1125,87 @@ def tld_one_hot_sql() -> str:
 def phishing_head_sql() -> str:
     return f"""SELECT id, source, url, type AS label FROM {typed_urls_sql()}
     WHERE lower(type) = 'phishing' ORDER BY source, id LIMIT 1000"""
+
+
+def decoded_features_sql(https_first: bool = False) -> str:
+    """DV3 / DV4 in SQL."""
+    from hookline.functions.features import (
+        DECODED_BRANDS, DECODED_BRANDS_DOMAIN, DECODED_DICTIONARY, DECODED_FEATURES,
+    )
+
+    full, host = "fullu", "lower(netloc)"
+    lf, ld, lsx = f"lower({full})", "lower(dom)", "lower(sfx)"
+    n = f"length({full})"
+    letters = f"length(regexp_replace({full}, '[^\\pL]', '', 'g'))"
+    nsd = "(CASE WHEN sub = '' THEN 0 ELSE len(string_split(sub, '.')) END)"
+    e = {
+        "url_length": n,
+        "num_dots": nsub(full, "."),
+        "num_hyphens": nsub(full, "-"),
+        "num_underscores": nsub(full, "_"),
+        "num_digits": nchars(full, "0-9"),
+        "num_letters": letters,
+        "num_special_chars": nchars(full, "@?=%&!+$"),
+        "has_ip": flag(f"regexp_matches({host}, '^[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+')"),
+        "num_subdomains": nsd,
+        "has_multiple_subdomains": flag(f"{nsd} >= 3"),
+        "domain_length": "length(dom)",
+        "host_entropy": entropy("dom"),
+        "domain_entropy": entropy("dom"),
+        "domain_has_digits": flag("regexp_matches(dom, '[0-9]')"),
+        "domain_digit_ratio": ratio(nchars("dom", "0-9"), "length(dom)"),
+        "domain_vowel_ratio": ratio(nchars(ld, "aeiou"), f"(length(regexp_replace({ld}, '[^\\pL]', '', 'g')) - {nchars(ld, 'aeiou')})"),
+        "domain_bigram_diversity": ngram_div("dom", 2),
+        "domain_trigram_diversity": ngram_div("dom", 3),
+        "suspicious_prefix_suffix": flag("contains(dom, '-')"),
+        "num_suspicious_symbols": nchars("dom", "@!*"),
+        "subdomain_length": "length(sub)",
+        "domain_is_dictionary_word": flag(f"list_contains({lst(DECODED_DICTIONARY)}, {ld})"),
+        "tld_length": "length(sfx)",
+        "tld_trust_category": f"(CASE WHEN list_contains({lst(K.HIGH_TRUST_TLDS)}, {lsx}) THEN 2 "
+        f"WHEN list_contains({lst(K.SUSPICIOUS_TLDS_CATEGORY)}, {lsx}) THEN 0 ELSE 1 END)",
+        "is_suspicious_tld": flag(f"list_contains({lst(K.SUSPICIOUS_TLDS_CATEGORY)}, {lsx})"),
+        "is_high_trust_tld": flag(f"list_contains({lst(K.HIGH_TRUST_TLDS)}, {lsx})"),
+        "is_country_tld": flag("regexp_matches(sfx, '^\\pL{2}$')"),
+        "path_length": "length(path)",
+        "num_path_segments": "len(list_filter(string_split(path, '/'), lambda s: s <> ''))",
+        "num_query_params": "(CASE WHEN query = '' THEN 0 ELSE len(string_split(query, '&')) END)",
+        "query_length": "length(query)",
+        "num_encoded_chars": nsub(full, "%"),
+        "num_fragments": nsub(full, "#"),
+        "path_entropy": entropy("path"),
+        "path_has_suspicious_ext": flag(contains_any("lower(path)", K.SUSPICIOUS_EXTENSIONS)),
+        "query_has_redirect": flag(contains_any("lower(query)", K.REDIRECT_WORDS)),
+        "path_url_ratio": ratio("length(path)", n),
+        "suspicious_word": flag(contains_any(lf, K.SUSPICIOUS_WORDS)),
+        "num_suspicious_words": count_present(lf, K.SUSPICIOUS_WORDS),
+        "sensitive_word": flag(contains_any(lf, K.SENSITIVE_WORDS)),
+        "action_word": flag(contains_any(lf, K.ACTION_WORDS)),
+        "has_brand_name": flag(contains_any(lf, DECODED_BRANDS)),
+        "brand_not_in_domain": flag(f"{contains_any(lf, DECODED_BRANDS_DOMAIN)} AND NOT {contains_any(ld, DECODED_BRANDS_DOMAIN)}"),
+        "is_shortening_service": flag(contains_any(full, K.SHORTENERS)),
+        "is_mixed_case": flag(f"regexp_matches({full}, '\\p{{Lu}}') AND regexp_matches({full}, '\\p{{Ll}}')"),
+        "num_repeated_chars": longest_run(full),
+        "longest_token_length": longest_token(full, "[./?=&_-]"),
+        "digit_letter_ratio": ratio(nchars(full, "0-9"), letters),
+        "special_char_ratio": ratio(f"length(regexp_replace({full}, '[\\pL\\pN]', '', 'g'))", n),
+        "uppercase_ratio": ratio(f"length(regexp_replace({full}, '[^\\p{{Lu}}]', '', 'g'))", n),
+        "consecutive_consonants": longest_match(lf, "[bcdfghjklmnpqrstvwxyz]+"),
+        "url_entropy": entropy(full),
+        "has_port": flag(f"contains({host}, ':') AND NOT starts_with({host}, '[')"),
+        "uses_https": flag("scheme = 'https'"),
+        "punycode_domain": flag("contains(dom, 'xn--')"),
+        "subdomain_count_dot": nsub("sub", "."),
+        "domain_url_ratio": ratio("length(dom)", n),
+        "query_url_ratio": ratio("length(query)", n),
+    }
+    cols = ", ".join(
+        f"{rnd(e[c]) if c in DOUBLE_FEATURES else '(' + e[c] + ')::INTEGER'} AS {c}" for c in DECODED_FEATURES
+    )
+    first = "CASE WHEN regexp_matches(url, '^https?://') THEN url ELSE 'https://' || url END" if https_first else "url"
+    return f"""WITH src0 AS {typed_urls_sql()},
+    src1 AS (SELECT id, source, url AS url_in, {first} AS u1 FROM src0),
+    src AS (SELECT id, source, url_in, CASE WHEN regexp_matches(u1, '^[a-zA-Z]+://') THEN u1 ELSE 'http://' || u1 END AS url FROM src1),
+    {url_parts_ctes('src', 'url', clean=False)},
+    h AS (SELECT *, url_decode(url) AS fullu FROM parts)
+    SELECT id, source, url_in AS url, {cols} FROM h"""
