@@ -373,6 +373,8 @@ def featurize_urls(df: DataFrame, url_col: str = "url", profile: str = "main") -
         return featurize_mini11_py(df, url_col)
     if profile == "mini11_js":
         return featurize_mini11_js(df, url_col)
+    if profile == "v2":
+        return featurize_v2(df, url_col)
     if profile == "decoded":
         return featurize_decoded(df, url_col)
     if profile == "decoded_https":
@@ -475,3 +477,113 @@ def featurize_decoded(df: DataFrame, url_col: str = "url", https_first: bool = F
     }
     cols = {k: v.cast("double" if k in DOUBLE_FEATURES else "int") for k, v in e.items()}
     return staged.withColumns(cols).select(*df.columns, *DECODED_FEATURES)
+
+
+# Fixed lists of the 57-column second-generation profile.
+V2_DICTIONARY = [
+    "google", "facebook", "amazon", "microsoft", "apple", "youtube", "twitter", "instagram", "linkedin", "netflix",
+    "wikipedia", "reddit", "github", "stackoverflow", "medium", "wordpress", "yahoo", "ebay", "paypal", "adobe",
+    "salesforce", "spotify", "pinterest", "nike", "walmart", "target", "intel", "samsung", "tesla", "bmw", "ford",
+    "shell", "python", "java", "mozilla", "chrome", "firefox", "opera", "ubuntu", "debian", "mysql", "oracle",
+    "docker", "nginx", "apache",
+]
+V2_HIGH_TRUST = ["com", "org", "net", "edu", "gov", "mil"]
+V2_SUSPICIOUS_CATEGORY = ["tk", "ml", "ga", "cf", "gq", "pw", "cc", "top", "xyz"]
+V2_SUSPICIOUS_FLAG = ["tk", "ml", "ga", "cf", "gq", "pw", "cc", "top", "xyz", "club", "work", "info", "biz"]
+V2_SUSPICIOUS_WORDS = [
+    "login", "secure", "update", "account", "verify", "confirm", "click", "bank", "paypal", "signin", "password",
+    "urgent", "suspended", "locked", "expire", "reward", "prize", "winner", "claim", "free",
+]
+V2_SENSITIVE_WORDS = ["bank", "paypal", "account", "password", "credit", "card"]
+V2_BRANDS = [
+    "google", "facebook", "amazon", "microsoft", "apple", "paypal", "netflix", "instagram", "twitter", "linkedin",
+    "youtube", "yahoo", "ebay", "bank", "chase", "wellsfargo", "citibank", "hsbc", "dhl", "fedex", "usps", "irs", "uscis",
+]
+V2_FEATURES = [
+    "url_length", "num_dots", "num_hyphens", "num_underscores", "num_digits", "num_letters", "num_special_chars",
+    "has_ip", "num_subdomains", "domain_length", "host_entropy", "domain_has_digits", "domain_digit_ratio",
+    "domain_vowel_ratio", "domain_is_dictionary_word", "tld_length", "tld_trust_category", "is_suspicious_tld",
+    "is_high_trust_tld", "is_country_tld", "path_length", "num_path_segments", "num_query_params", "query_length",
+    "num_encoded_chars", "num_fragments", "path_has_suspicious_ext", "query_has_redirect", "suspicious_word",
+    "num_suspicious_words", "sensitive_word", "action_word", "has_brand_name", "brand_not_in_domain",
+    "is_shortening_service", "is_mixed_case", "num_repeated_chars", "longest_token_length", "digit_letter_ratio",
+    "special_char_ratio", "uppercase_ratio", "consecutive_consonants", "url_entropy", "path_entropy", "domain_entropy",
+    "domain_bigram_diversity", "domain_trigram_diversity", "suspicious_prefix_suffix", "num_suspicious_symbols",
+    "has_multiple_subdomains", "subdomain_length", "has_port", "uses_https", "punycode_domain", "domain_url_ratio",
+    "path_url_ratio", "query_url_ratio",
+]
+
+
+def featurize_v2(df: DataFrame, url_col: str = "url") -> DataFrame:
+    """DV2: 57 columns on the raw URL with the second-generation lists.
+
+    A failing row (unparsable netloc, or a non-empty URL without any
+    consonant run, where the original's ``max`` of an empty list raises) gets
+    the all-zero row with the regular column names (the original switched to
+    45 ``feature_i`` columns, a schema bug not reproduced)."""
+    p = "_v2_"
+    staged = U.add_url_parts(df, url_col, p, clean=False)
+    u = F.col(url_col)
+    netloc, path, q = F.col(f"{p}netloc"), F.col(f"{p}path"), F.col(f"{p}query")
+    dom, sub, sfx = F.col(f"{p}dom"), F.col(f"{p}sub"), F.col(f"{p}sfx")
+    lu, ld, lsfx = F.lower(u), F.lower(dom), F.lower(sfx)
+    n, nd = T.slen(u), T.slen(dom)
+    digits = T.count_re(u, "[0-9]")
+    letters = T.count_re(u, r"\p{L}")
+    special = T.count_re(u, r"[@?=%&!+$]")
+    nsub = F.when(sub == "", F.lit(0)).otherwise(F.size(F.split(sub, r"\.", -1))).cast("int")
+    e = {
+        "url_length": n, "num_dots": T.count_re(u, r"\."), "num_hyphens": T.count_re(u, "-"),
+        "num_underscores": T.count_re(u, "_"), "num_digits": digits, "num_letters": letters,
+        "num_special_chars": special,
+        "has_ip": T.flag(netloc.rlike(r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")),
+        "num_subdomains": nsub, "domain_length": nd, "host_entropy": T.entropy(dom, False),
+        "domain_has_digits": T.flag(dom.rlike("[0-9]")),
+        "domain_digit_ratio": T.ratio(T.count_re(dom, "[0-9]"), nd),
+        "domain_vowel_ratio": T.ratio(T.count_re(ld, "[aeiou]"), T.count_re(ld, r"\p{L}") - T.count_re(ld, "[aeiou]")),
+        "domain_is_dictionary_word": T.flag(ld.isin(*V2_DICTIONARY)),
+        "tld_length": T.slen(sfx),
+        "tld_trust_category": F.when(lsfx.isin(*V2_HIGH_TRUST), F.lit(2))
+        .when(lsfx.isin(*V2_SUSPICIOUS_CATEGORY), F.lit(0)).otherwise(F.lit(1)),
+        "is_suspicious_tld": T.flag(lsfx.isin(*V2_SUSPICIOUS_FLAG)),
+        "is_high_trust_tld": T.flag(lsfx.isin(*V2_HIGH_TRUST)),
+        "is_country_tld": T.flag(sfx.rlike(r"^\p{L}{2}$")),
+        "path_length": T.slen(path),
+        "num_path_segments": F.size(F.filter(F.split(path, "/", -1), lambda s: s != "")).cast("int"),
+        "num_query_params": F.when(q == "", F.lit(0)).otherwise(F.size(F.split(q, "&", -1))).cast("int"),
+        "query_length": T.slen(q), "num_encoded_chars": T.count_re(u, "%"), "num_fragments": T.count_re(u, "#"),
+        "path_has_suspicious_ext": T.flag(T.any_literal(F.lower(path), K.SUSPICIOUS_EXTENSIONS)),
+        "query_has_redirect": T.flag(T.any_literal(F.lower(q), K.REDIRECT_WORDS)),
+        "suspicious_word": T.flag(T.any_literal(lu, V2_SUSPICIOUS_WORDS)),
+        "num_suspicious_words": T.count_present(lu, V2_SUSPICIOUS_WORDS),
+        "sensitive_word": T.flag(T.any_literal(lu, V2_SENSITIVE_WORDS)),
+        "action_word": T.flag(T.any_literal(lu, K.ACTION_WORDS)),
+        "has_brand_name": T.flag(T.any_literal(lu, V2_BRANDS)),
+        "brand_not_in_domain": T.flag(T.any_literal(lu, V2_BRANDS) & ~T.any_literal(ld, V2_BRANDS)),
+        "is_shortening_service": T.flag(T.any_literal(u, K.SHORTENERS)),
+        "is_mixed_case": T.flag(u.rlike(r"\p{Lu}") & u.rlike(r"\p{Ll}")),
+        "num_repeated_chars": T.longest_run(u),
+        "longest_token_length": T.longest_token(u, r"[./?=&_-]"),
+        "digit_letter_ratio": T.ratio(digits, letters),
+        "special_char_ratio": T.ratio(special, n),
+        "uppercase_ratio": T.ratio(T.count_re(u, r"\p{Lu}"), n),
+        "consecutive_consonants": T.longest_match(lu, "[bcdfghjklmnpqrstvwxyz]+"),
+        "url_entropy": T.entropy(u, False), "path_entropy": T.entropy(path, False),
+        "domain_entropy": T.entropy(dom, False),
+        "domain_bigram_diversity": T.ngram_diversity(dom, 2), "domain_trigram_diversity": T.ngram_diversity(dom, 3),
+        "suspicious_prefix_suffix": T.flag(dom.contains("-")),
+        "num_suspicious_symbols": T.count_re(dom, r"[@!*]"),
+        "has_multiple_subdomains": T.flag(nsub >= 3),
+        "subdomain_length": T.slen(sub),
+        "has_port": T.flag(netloc.contains(":") & ~netloc.startswith("[")),
+        "uses_https": T.flag(F.col(f"{p}scheme") == "https"),
+        "punycode_domain": T.flag(dom.contains("xn--")),
+        "domain_url_ratio": T.ratio(nd, n), "path_url_ratio": T.ratio(T.slen(path), n),
+        "query_url_ratio": T.ratio(T.slen(q), n),
+    }
+    parse_error = F.col(f"{p}bad") & ~U.url_is_blank(u)
+    bad = parse_error | u.isNull() | ((n > 0) & ~F.lower(u).rlike("[bcdfghjklmnpqrstvwxyz]"))
+    cols = {
+        k: F.when(bad, _zero(k)).otherwise(v).cast("double" if k in DOUBLE_FEATURES else "int") for k, v in e.items()
+    }
+    return staged.withColumns(cols).select(*df.columns, *V2_FEATURES)

@@ -591,3 +591,9 @@ def q_url_features_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_url_features_decoded_https(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DV4: DV3 after the https prefix."""
     return round_doubles(FT.featurize_decoded(D.typed_urls(spark, sf_dir).drop("type"), https_first=True))
+
+
+@register("url_features_v2", lambda: O.v2_features_sql())
+def q_url_features_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DV2: 57-column second-generation profile."""
+    return round_doubles(FT.featurize_v2(D.typed_urls(spark, sf_dir).drop("type")))

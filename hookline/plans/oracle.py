@@ -1209,3 +1209,68 @@ def decoded_features_sql(https_first: bool = False) -> str:
     {url_parts_ctes('src', 'url', clean=False)},
     h AS (SELECT *, url_decode(url) AS fullu FROM parts)
     SELECT id, source, url_in AS url, {cols} FROM h"""
+
+
+def v2_features_sql() -> str:
+    from hookline.functions.features import (
+        V2_BRANDS, V2_DICTIONARY, V2_FEATURES, V2_HIGH_TRUST, V2_SENSITIVE_WORDS, V2_SUSPICIOUS_CATEGORY,
+        V2_SUSPICIOUS_FLAG, V2_SUSPICIOUS_WORDS,
+    )
+
+    u = "url"
+    lu, ld, lsx = "lower(url)", "lower(dom)", "lower(sfx)"
+    n = "length(url)"
+    letters = "length(regexp_replace(url, '[^\\pL]', '', 'g'))"
+    nsd = "(CASE WHEN sub = '' THEN 0 ELSE len(string_split(sub, '.')) END)"
+    e = {
+        "url_length": n, "num_dots": nsub(u, "."), "num_hyphens": nsub(u, "-"), "num_underscores": nsub(u, "_"),
+        "num_digits": nchars(u, "0-9"), "num_letters": letters, "num_special_chars": nchars(u, "@?=%&!+$"),
+        "has_ip": flag("regexp_matches(netloc, '^[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+')"),
+        "num_subdomains": nsd, "domain_length": "length(dom)", "host_entropy": entropy("dom", False),
+        "domain_has_digits": flag("regexp_matches(dom, '[0-9]')"),
+        "domain_digit_ratio": ratio(nchars("dom", "0-9"), "length(dom)"),
+        "domain_vowel_ratio": ratio(nchars(ld, "aeiou"), f"(length(regexp_replace({ld}, '[^\\pL]', '', 'g')) - {nchars(ld, 'aeiou')})"),
+        "domain_is_dictionary_word": flag(f"list_contains({lst(V2_DICTIONARY)}, {ld})"),
+        "tld_length": "length(sfx)",
+        "tld_trust_category": f"(CASE WHEN list_contains({lst(V2_HIGH_TRUST)}, {lsx}) THEN 2 "
+        f"WHEN list_contains({lst(V2_SUSPICIOUS_CATEGORY)}, {lsx}) THEN 0 ELSE 1 END)",
+        "is_suspicious_tld": flag(f"list_contains({lst(V2_SUSPICIOUS_FLAG)}, {lsx})"),
+        "is_high_trust_tld": flag(f"list_contains({lst(V2_HIGH_TRUST)}, {lsx})"),
+        "is_country_tld": flag("regexp_matches(sfx, '^\\pL{2}$')"),
+        "path_length": "length(path)",
+        "num_path_segments": "len(list_filter(string_split(path, '/'), lambda s: s <> ''))",
+        "num_query_params": "(CASE WHEN query = '' THEN 0 ELSE len(string_split(query, '&')) END)",
+        "query_length": "length(query)", "num_encoded_chars": nsub(u, "%"), "num_fragments": nsub(u, "#"),
+        "path_has_suspicious_ext": flag(contains_any("lower(path)", K.SUSPICIOUS_EXTENSIONS)),
+        "query_has_redirect": flag(contains_any("lower(query)", K.REDIRECT_WORDS)),
+        "suspicious_word": flag(contains_any(lu, V2_SUSPICIOUS_WORDS)),
+        "num_suspicious_words": count_present(lu, V2_SUSPICIOUS_WORDS),
+        "sensitive_word": flag(contains_any(lu, V2_SENSITIVE_WORDS)),
+        "action_word": flag(contains_any(lu, K.ACTION_WORDS)),
+        "has_brand_name": flag(contains_any(lu, V2_BRANDS)),
+        "brand_not_in_domain": flag(f"{contains_any(lu, V2_BRANDS)} AND NOT {contains_any(ld, V2_BRANDS)}"),
+        "is_shortening_service": flag(contains_any(u, K.SHORTENERS)),
+        "is_mixed_case": flag("regexp_matches(url, '\\p{Lu}') AND regexp_matches(url, '\\p{Ll}')"),
+        "num_repeated_chars": longest_run(u), "longest_token_length": longest_token(u, "[./?=&_-]"),
+        "digit_letter_ratio": ratio(nchars(u, "0-9"), letters),
+        "special_char_ratio": ratio(nchars(u, "@?=%&!+$"), n),
+        "uppercase_ratio": ratio("length(regexp_replace(url, '[^\\p{Lu}]', '', 'g'))", n),
+        "consecutive_consonants": longest_match(lu, "[bcdfghjklmnpqrstvwxyz]+"),
+        "url_entropy": entropy(u, False), "path_entropy": entropy("path", False), "domain_entropy": entropy("dom", False),
+        "domain_bigram_diversity": ngram_div("dom", 2), "domain_trigram_diversity": ngram_div("dom", 3),
+        "suspicious_prefix_suffix": flag("contains(dom, '-')"), "num_suspicious_symbols": nchars("dom", "@!*"),
+        "has_multiple_subdomains": flag(f"{nsd} >= 3"), "subdomain_length": "length(sub)",
+        "has_port": flag("contains(netloc, ':') AND NOT starts_with(netloc, '[')"),
+        "uses_https": flag("scheme = 'https'"), "punycode_domain": flag("contains(dom, 'xn--')"),
+        "domain_url_ratio": ratio("length(dom)", n), "path_url_ratio": ratio("length(path)", n),
+        "query_url_ratio": ratio("length(query)", n),
+    }
+    bad = "(parse_error OR url IS NULL OR (length(url) > 0 AND NOT regexp_matches(lower(url), '[bcdfghjklmnpqrstvwxyz]')))"
+    cols = ", ".join(
+        (f"CASE WHEN {bad} THEN 0.0 ELSE {rnd(e[c])} END" if c in DOUBLE_FEATURES else f"CASE WHEN {bad} THEN 0 ELSE ({e[c]})::INTEGER END")
+        + f" AS {c}"
+        for c in V2_FEATURES
+    )
+    return f"""WITH src AS {typed_urls_sql()},
+    {url_parts_ctes('src', 'url', clean=False)}
+    SELECT id, source, url, {cols} FROM parts"""
