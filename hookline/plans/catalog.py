@@ -597,3 +597,88 @@ def q_url_features_decoded_https(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_url_features_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DV2: 57-column second-generation profile."""
     return round_doubles(FT.featurize_v2(D.typed_urls(spark, sf_dir).drop("type")))
+
+
+@register("train_meta_calibrated")
+def q_train_meta_calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L5 + L6: population-standardised meta features (K6, fitted on the
+    training split) → tree ensemble → 3-fold isotonic calibration; test report.
+
+    The registered check uses a 20-tree forest as the meta classifier (one
+    fit per fold); ``TR.boosted_trees`` plugs in the same way but fits one
+    binary booster per class and fold."""
+    m = S.meta_features(S.base_prob_vector(D.given_probs(spark, sf_dir)))
+    m = m.withColumn("key", F.col("id").cast("string")).withColumnRenamed("label", "type")
+    d = CO.split_assignments(m, "type", "key", 42)
+    train = d.where(F.col("split") == "train")
+    stats = train.agg(*[F.avg(c).alias(f"mu_{c}") for c in S.META_NAMES], *[F.stddev_pop(c).alias(f"sd_{c}") for c in S.META_NAMES])
+    d = d.crossJoin(F.broadcast(stats)).withColumns(
+        {c: (F.col(c) - F.col(f"mu_{c}")) / F.when(F.col(f"sd_{c}") > 0, F.col(f"sd_{c}")).otherwise(F.lit(1.0)) for c in S.META_NAMES}
+    ).select("id", "type", "split", "fold", *S.META_NAMES)
+    # Fitted nine times below (three folds × models and calibrators): cut the
+    # lineage once into the shared checkpoint folder.
+    from hookline.session import checkpoint_dir
+
+    checkpoint_dir(spark)
+    d = d.checkpoint(eager=True)
+    cal = TR.calibrate_isotonic(d.where(F.col("split") == "train"), S.META_NAMES, lambda: TR.random_forest(num_trees=20, max_depth=5), "type", "fold", 3)
+    pred = cal.transform(d.where(F.col("split") == "test")).select(F.col("type").alias("label"), F.col("model_pred").alias("pred"))
+    return round_doubles(S.classification_report(pred), 6)
+
+
+@register("learning_curve")
+def q_learning_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted F1 against training fraction (10 ladder steps)."""
+    d = _train_frame(spark, sf_dir).persist()
+    return round_doubles(TR.learning_curve(d, FT.MAIN_NATIVE_FEATURES, lambda: TR.random_forest(num_trees=5, max_depth=6)), 6)
+
+
+@register("random_search")
+def q_random_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hash-drawn parameter sets of a forest scored by 3-fold weighted F1."""
+    d = _train_frame(spark, sf_dir).where(F.col("split") == "train")
+    grid = {"maxDepth": [4, 6, 8], "minInstancesPerNode": [1, 2, 4], "numTrees": [5, 10]}
+    return round_doubles(TR.random_search(d, FT.MAIN_NATIVE_FEATURES, grid, draws=3, folds=3), 6)
+
+
+@register("coefficient_topk")
+def q_coefficient_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten meta features with the largest phishing coefficients."""
+    m = S.meta_features(S.base_prob_vector(D.given_probs(spark, sf_dir))).withColumnRenamed("label", "type")
+    model = TR.fit(m, S.META_NAMES, TR.meta_logistic(total_weight=float(m.count()), max_iter=100))
+    return TR.coefficient_topk(model, S.META_NAMES, "phishing", 10)
+
+
+@register("predict_from_record")
+def q_predict_from_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M8: browser feature JSON per URL scored by a binary forest trained on
+    the eleven-column set (phishing vs the rest)."""
+    f = FT.featurize_mini11_py(D.typed_urls(spark, sf_dir))
+    f = f.withColumn("is_phishing", (F.col("type") == "phishing").cast("double"))
+    data = VectorAssemblerStage(FT.MINI11_FEATURES).transform(f)
+    from pyspark.ml.classification import RandomForestClassifier
+
+    rf = RandomForestClassifier(numTrees=10, maxDepth=10, labelCol="is_phishing", featuresCol="features", seed=42).fit(data)
+    from pyspark.ml import PipelineModel
+
+    model = PipelineModel(stages=[VectorAssemblerStage(FT.MINI11_FEATURES), rf])
+    js = f.select("id", "source", F.to_json(F.struct(*FT.MINI11_FEATURES)).alias("features_json"))
+    return TR.predict_from_record(model, js, "features_json", FT.MINI11_FEATURES)
+
+
+def VectorAssemblerStage(cols):
+    from pyspark.ml.feature import VectorAssembler
+
+    return VectorAssembler(inputCols=list(cols), outputCol="features", handleInvalid="keep")
+
+
+@register("labelled_case_check", lambda: O.labelled_case_check_sql())
+def q_labelled_case_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source category, share of verdicts (override cascade) that
+    match the expectation (benign sources benign, the others not)."""
+    v = _override(spark, sf_dir, with_ratios=False)
+    expect_benign = F.col("source").isin("real", "legit")
+    ok = F.when(expect_benign, F.col("final_pred") == "benign").otherwise(F.col("final_pred") != "benign")
+    return round_doubles(
+        v.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.avg(ok.cast("double")).alias("accuracy"))
+    )

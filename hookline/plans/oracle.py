@@ -1274,3 +1274,10 @@ def v2_features_sql() -> str:
     return f"""WITH src AS {typed_urls_sql()},
     {url_parts_ctes('src', 'url', clean=False)}
     SELECT id, source, url, {cols} FROM parts"""
+
+
+def labelled_case_check_sql() -> str:
+    return f"""WITH v AS ({override_rules_sql()})
+    SELECT source, count(*) AS n, round(avg(CASE WHEN (source IN ('real', 'legit') AND final_pred = 'benign')
+        OR (source NOT IN ('real', 'legit') AND final_pred <> 'benign') THEN 1.0 ELSE 0.0 END), {ROUND}) AS accuracy
+    FROM v GROUP BY source"""
