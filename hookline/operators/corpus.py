@@ -369,3 +369,93 @@ def split_assignments(df: DataFrame, label: str = "type", key: str = "url", seed
             "step": F.ceil(pos * steps / n).cast("int"),
         }
     )
+
+
+# ------------------------------------------------- more generators
+
+def typo_tld_urls(brands: DataFrame, seed: int = 42, per_brand: int = 15, tlds_per_typo: int = 8) -> DataFrame:
+    """H3: the first ``per_brand`` typos of each brand (sorted) × ``tlds_per_typo``
+    TLDs drawn without replacement, optional subdomain, path and query."""
+    t = typos_for(brands).select("brand", "typo")
+    per = t.groupBy("brand").agg(F.slice(F.array_sort(F.collect_set("typo")), 1, per_brand).alias("typos"))
+    x = per.select("brand", F.explode("typos").alias("typo"))
+    key = F.concat_ws("|", F.col("brand"), F.col("typo"))
+    tlds = F.array(*[F.lit(v) for v in K.SYNTH_TLDS])
+    ranked = F.array_sort(F.transform(tlds, lambda v: F.struct(F.md5(F.concat(key, F.lit("|"), v)).alias("h"), v.alias("t"))))
+    x = x.select("brand", "typo", F.explode(F.slice(ranked, 1, tlds_per_typo)).alias("p")).select("brand", "typo", F.col("p.t").alias("tld"))
+    k2 = F.concat_ws("|", F.col("brand"), F.col("typo"), F.col("tld"))
+    sub = _pick(["<none>"] + K.SYNTH_SUBS, unit_hash(k2, seed=seed))
+    sub = F.when(sub != "<none>", sub)
+    return x.select(
+        "brand", "typo", "tld",
+        make_url(F.col("typo"), F.col("tld"), sub, random_path(k2, seed + 1), random_query(k2, seed + 3), unit_hash(k2, seed=seed + 5)).alias("url"),
+    )
+
+
+def brand_pair_urls(brands: DataFrame, seed: int = 42, first: int = 50, share: float = K.SYNTH_PAIR_SHARE) -> DataFrame:
+    """H5: ordered pairs of the first ``first`` generator brands present, kept
+    with probability ``share``; each brand row explodes the (bounded) list of
+    partners, no join."""
+    order = {b: i for i, b in reversed(list(enumerate(K.SYNTH_BRANDS)))}
+    head = sorted({b for b in K.SYNTH_BRANDS}, key=lambda b: order[b])[:first]
+    partners = F.array(*[F.lit(b) for b in head])
+    x = brands.where(F.col("brand").isin(*head)).select(F.col("brand").alias("a"), F.explode(partners).alias("b"))
+    x = x.where(F.col("a") != F.col("b"))
+    key = F.concat_ws("|", F.col("a"), F.col("b"))
+    x = x.where(unit_hash(key, seed=seed) < share)
+    sub = _pick(["<none>", "www", "login"], unit_hash(key, seed=seed + 1))
+    sub = F.when(sub != "<none>", sub)
+    host = F.concat(F.col("a"), F.lit("-"), F.col("b"))
+    tld = _pick(K.SYNTH_TLDS, unit_hash(key, seed=seed + 2))
+    return x.select("a", "b", make_url(host, tld, sub, random_path(key, seed + 3), random_query(key, seed + 5), unit_hash(key, seed=seed + 7)).alias("url"))
+
+
+def five_pattern_urls(keys: DataFrame, key_col: str, seed: int = 42) -> DataFrame:
+    """H9: per key either a phishing URL of one of five shapes (IPv4 host,
+    brand-keyword on a bad TLD, leetspeak brand, keyword subdomain spam, ``@``
+    trick) or a legitimate URL (16 domains × 7 paths, https with p=.9)."""
+    k = F.col(key_col).cast("string")
+
+    def h(i: int) -> Column:
+        return unit_hash(k, seed=seed + i)
+
+    octet = [(F.floor(h(10 + j) * 255) + 1).cast("int").cast("string") for j in range(8)]
+    ip1 = F.concat_ws(".", *octet[:4])
+    ip2 = F.concat_ws(".", *octet[4:])
+    kw, kw2 = _pick(K.RISK_HOST_WORDS, h(2)), _pick(K.RISK_HOST_WORDS, h(3))
+    site = _pick(K.SMALL_SET_LEGIT_SITES, h(4))
+    shape = F.floor(h(1) * 5).cast("int")
+    phishing = (
+        F.when(shape == 0, F.concat(F.lit("http://"), ip1, F.lit("/"), kw))
+        .when(shape == 1, F.concat(F.lit("http://"), site, F.lit("-"), kw, F.lit("."), _pick(K.MINI_SUSPICIOUS_TLDS, h(5))))
+        .when(shape == 2, F.concat(F.lit("http://"), F.replace(F.replace(site, F.lit("a"), F.lit("4")), F.lit("o"), F.lit("0")), F.lit(".com/"), kw))
+        .when(shape == 3, F.concat(F.lit("http://"), kw, F.lit("."), site, F.lit("."), kw2, F.lit(".com")))
+        .otherwise(F.concat(F.lit("http://legitimate.com@"), ip2))
+    )
+    legit = F.concat(
+        F.when(h(6) > 0.1, F.lit("https")).otherwise(F.lit("http")), F.lit("://"),
+        _pick(K.SMALL_SET_DOMAINS, h(7)), _pick(K.SMALL_SET_PATHS, h(8)),
+    )
+    is_ph = F.pmod(F.col(key_col), F.lit(2)) == 1
+    return keys.select(F.col(key_col).alias("id"), F.when(is_ph, phishing).otherwise(legit).alias("url"), is_ph.cast("int").alias("is_phishing"))
+
+
+def host_diverse_sample(df: DataFrame, target: int, seed: int = 42, repeat_share: float = K.SYNTH_REPEAT_HOST_SHARE,
+                        url_col: str = "url") -> DataFrame:
+    """The first ``target`` URLs of a seeded shuffle, keeping a URL whose
+    host is new, or a repeat with probability ``repeat_share``; when fewer
+    than ``target`` remain the plain prefix is used.
+
+    "New host" is the host's first position in the shuffle, found with a
+    grouped ``min`` (map-side combined, so a hot host is one partial row per
+    task) instead of a window over each host."""
+    order = F.md5(F.concat(F.lit(f"{seed}|"), F.col(url_col)))
+    prefix = df.select(url_col, order.alias("_o")).orderBy("_o", url_col).limit(target)
+    host = F.substring_index(F.regexp_extract(F.col(url_col), r"^.*?://(.*)$", 1), "/", 1)
+    x = prefix.withColumn("_host", host)
+    firsts = x.groupBy("_host").agg(F.min(F.struct("_o", url_col)).alias("_first"))
+    x = x.join(firsts, "_host")
+    keep = (F.struct("_o", url_col) == F.col("_first")) | (unit_hash(F.col(url_col), seed=seed + 1) < repeat_share)
+    x = x.withColumn("_keep", keep)
+    kept = x.agg(F.sum(F.col("_keep").cast("int")).alias("_n"))
+    return x.crossJoin(kept).where(F.col("_keep") | (F.col("_n") < target)).select(url_col)

@@ -682,3 +682,27 @@ def q_labelled_case_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(
         v.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.avg(ok.cast("double")).alias("accuracy"))
     )
+
+
+@register("typo_tld_urls", lambda: O.typo_tld_urls_sql())
+def q_typo_tld_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H3 (+ H2, H8): 15 typos per generator brand × 8 drawn TLDs."""
+    return CO.typo_tld_urls(D.synth_brands(spark, sf_dir))
+
+
+@register("brand_pair_urls", lambda: O.brand_pair_urls_sql())
+def q_brand_pair_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H5: brand-pair hosts kept with p=0.03."""
+    return CO.brand_pair_urls(D.synth_brands(spark, sf_dir))
+
+
+@register("five_pattern_urls", lambda: O.five_pattern_urls_sql())
+def q_five_pattern_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H9: five phishing shapes and legitimate URLs, one per part key."""
+    return CO.five_pattern_urls(D.read(spark, sf_dir, "part").select("p_partkey"), "p_partkey")
+
+
+@register("host_diverse_sample", lambda: O.host_diverse_sample_sql())
+def q_host_diverse_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host-diverse sample of 5,000 synthetic URLs."""
+    return CO.host_diverse_sample(q_synthetic_corpus(spark, sf_dir).select("url"), 5000)

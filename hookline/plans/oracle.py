@@ -1281,3 +1281,84 @@ def labelled_case_check_sql() -> str:
     SELECT source, count(*) AS n, round(avg(CASE WHEN (source IN ('real', 'legit') AND final_pred = 'benign')
         OR (source NOT IN ('real', 'legit') AND final_pred <> 'benign') THEN 1.0 ELSE 0.0 END), {ROUND}) AS accuracy
     FROM v GROUP BY source"""
+
+
+# ------------------------------------------------------ more generators
+
+def typo_tld_urls_sql(seed: int = 42) -> str:
+    brands = f"(SELECT DISTINCT {pick(K.SYNTH_BRANDS, 'c_custkey')} AS brand FROM customer)"
+    homo = ", ".join(f"({q(a)}, {q(b)})" for a, b in K.SYNTH_HOMO.items())
+    affix = " UNION ALL ".join(
+        f"SELECT brand, brand || {q(d)} AS typo FROM b UNION ALL SELECT brand, {q(d)} || brand FROM b" for d in K.SYNTH_DIGIT_AFFIXES
+    )
+    digram = " UNION ALL ".join(
+        f"SELECT brand, replace(brand, {q(o)}, {q(n)}) FROM b WHERE contains(brand, {q(o)})" for o, n in K.SYNTH_DIGRAMS
+    )
+    tl = lst(K.SYNTH_TLDS)
+    key2 = "brand || '|' || typo || '|' || tld"
+    sub = upick(["<none>"] + K.SYNTH_SUBS, uh(seed, "key2"))
+    return f"""WITH b AS {brands},
+    pos AS (SELECT brand, unnest(range(1, length(brand) + 1)) AS i FROM b),
+    homo AS (SELECT * FROM (VALUES {homo}) h(ch, rep)),
+    v AS (
+      SELECT brand, substr(brand, 1, i - 1) || rep || substr(brand, i + 1) AS typo FROM pos JOIN homo ON substr(brand, i, 1) = ch
+      UNION ALL SELECT brand, substr(brand, 1, i - 1) || substr(brand, i + 1) FROM pos WHERE length(brand) > 3
+      UNION ALL SELECT brand, substr(brand, 1, i) || substr(brand, i) FROM pos
+      UNION ALL SELECT brand, substr(brand, 1, i - 1) || substr(brand, i + 1, 1) || substr(brand, i, 1) || substr(brand, i + 2)
+                FROM pos WHERE i <= length(brand) - 1
+      UNION ALL {affix} UNION ALL {digram}),
+    per AS (SELECT brand, list_slice(list_sort(list(DISTINCT typo)), 1, 15) AS typos FROM v WHERE typo <> '' AND typo <> brand GROUP BY brand),
+    x AS (SELECT brand, unnest(typos) AS typo FROM per),
+    y AS (SELECT brand, typo, unnest(list_slice(list_sort(list_transform({tl}, lambda t: {{'h': md5(brand || '|' || typo || '|' || t), 't': t}})), 1, 8)).t AS tld FROM x),
+    z AS (SELECT *, {key2} AS key2 FROM y)
+    SELECT brand, typo, tld, {make_url_sql('typo', 'tld', f"CASE WHEN {sub} <> '<none>' THEN {sub} END", random_path_sql('key2', seed + 1), random_query_sql('key2', seed + 3), uh(seed + 5, 'key2'))} AS url
+    FROM z"""
+
+
+def brand_pair_urls_sql(seed: int = 42) -> str:
+
+    order = {b: i for i, b in reversed(list(enumerate(K.SYNTH_BRANDS)))}
+    head = sorted(set(K.SYNTH_BRANDS), key=lambda b: order[b])[:50]
+    brands = f"(SELECT DISTINCT {pick(K.SYNTH_BRANDS, 'c_custkey')} AS brand FROM customer)"
+    key = "a || '|' || b"
+    sub = upick(["<none>", "www", "login"], uh(seed + 1, "key"))
+    return f"""WITH br AS {brands},
+    x AS (SELECT brand AS a, unnest({lst(head)}) AS b FROM br WHERE list_contains({lst(head)}, brand)),
+    y AS (SELECT a, b, {key} AS key FROM x WHERE a <> b),
+    z AS (SELECT * FROM y WHERE {uh(seed, 'key')} < {K.SYNTH_PAIR_SHARE})
+    SELECT a, b, {make_url_sql("a || '-' || b", upick(K.SYNTH_TLDS, uh(seed + 2, 'key')), f"CASE WHEN {sub} <> '<none>' THEN {sub} END", random_path_sql('key', seed + 3), random_query_sql('key', seed + 5), uh(seed + 7, 'key'))} AS url
+    FROM z"""
+
+
+def five_pattern_urls_sql(seed: int = 42) -> str:
+    k = "p_partkey::VARCHAR"
+
+    def h(i):
+        return uh(seed + i, k)
+
+    octs = [f"(floor({h(10 + j)} * 255) + 1)::INTEGER::VARCHAR" for j in range(8)]
+    ip1 = " || '.' || ".join(octs[:4])
+    ip2 = " || '.' || ".join(octs[4:])
+    kw, kw2 = upick(K.RISK_HOST_WORDS, h(2)), upick(K.RISK_HOST_WORDS, h(3))
+    site = upick(K.SMALL_SET_LEGIT_SITES, h(4))
+    shape = f"floor({h(1)} * 5)::INTEGER"
+    ph = f"""CASE {shape}
+        WHEN 0 THEN 'http://' || {ip1} || '/' || {kw}
+        WHEN 1 THEN 'http://' || {site} || '-' || {kw} || '.' || {upick(K.MINI_SUSPICIOUS_TLDS, h(5))}
+        WHEN 2 THEN 'http://' || replace(replace({site}, 'a', '4'), 'o', '0') || '.com/' || {kw}
+        WHEN 3 THEN 'http://' || {kw} || '.' || {site} || '.' || {kw2} || '.com'
+        ELSE 'http://legitimate.com@' || {ip2} END"""
+    legit = f"(CASE WHEN {h(6)} > 0.1 THEN 'https' ELSE 'http' END) || '://' || {upick(K.SMALL_SET_DOMAINS, h(7))} || {upick(K.SMALL_SET_PATHS, h(8))}"
+    return f"""SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 1 THEN {ph} ELSE {legit} END AS url,
+      (p_partkey % 2 = 1)::INTEGER AS is_phishing FROM part"""
+
+
+def host_diverse_sample_sql(target: int = 5000, seed: int = 42) -> str:
+    return f"""WITH c AS ({synthetic_corpus_sql(seed)}),
+    p AS (SELECT url, md5('{seed}|' || url) AS o FROM c ORDER BY o, url LIMIT {target}),
+    x AS (SELECT *, split_part(regexp_extract(url, '^.*?://(.*)$', 1), '/', 1) AS host FROM p),
+    f AS (SELECT host, min({{'o': o, 'u': url}}) AS first FROM x GROUP BY host),
+    k AS (SELECT x.*, ({{'o': x.o, 'u': x.url}} = f.first OR {uh(seed + 1, 'x.url')} < {K.SYNTH_REPEAT_HOST_SHARE}) AS keep
+          FROM x JOIN f ON f.host = x.host),
+    n AS (SELECT sum(keep::INTEGER) AS nk FROM k)
+    SELECT url FROM k, n WHERE keep OR nk < {target}"""
