@@ -102,9 +102,58 @@ def _isin(c: Column, values: list[str]) -> Column:
     return c.isin(*values)
 
 
+CUMULATIVE_RULES = [("o", "0"), ("i", "1"), ("l", "1"), ("e", "3"), ("a", "@"), ("s", "$"), ("g", "9"), ("t", "7")]
+
+
+def cumulative_variants(brand: str) -> list[str]:
+    """E10 helper: the brand with every subset of the applicable leetspeak
+    rules applied (each rule replaces all occurrences), brand first."""
+    out = [brand]
+    for letter, rep in CUMULATIVE_RULES:
+        if letter in brand:
+            out = out + [v.replace(letter, rep) for v in out]
+    seen: list[str] = []
+    for v in out:
+        if v not in seen:
+            seen.append(v)
+    return seen
+
+
+def substitution_variants() -> list[str]:
+    """Every cumulative variant of every brand (the brands included)."""
+    out: list[str] = []
+    for b in K.BRAND_KEYWORDS:
+        for v in cumulative_variants(b):
+            if v not in out:
+                out.append(v)
+    return out
+
+
+def brand_with_substitution(c: Column | str) -> Column:
+    """E10 flag: a brand, or a brand with any subset of leetspeak rules
+    applied, is a substring of lower(s)."""
+    return T.any_literal(F.lower(T.col_(c)), substitution_variants())
+
+
+def brand_with_substitution_match(c: Column | str) -> Column:
+    """E10 brand: the first brand contained as is, else the first brand one
+    of whose (substituted) variants is contained; null when none."""
+    s = F.lower(T.col_(c))
+    brands = F.array(*[F.lit(b) for b in K.BRAND_KEYWORDS])
+    plain = F.array_position(F.transform(brands, lambda b: F.instr(s, b) > 0), True)
+    variants = F.array(*[F.array(*[F.lit(v) for v in cumulative_variants(b)[1:]] or [F.lit(None).cast("string")])
+                         for b in K.BRAND_KEYWORDS])
+    subst = F.array_position(F.transform(variants, lambda vs: F.exists(vs, lambda v: F.coalesce(F.instr(s, v) > 0, F.lit(False)))), True)
+    pos = F.when(plain > 0, plain).when(subst > 0, subst)
+    return F.when(pos.isNotNull(), F.element_at(brands, pos.cast("int")))
+
+
 def _main_exprs(u: Column, scheme: Column, netloc: Column, path: Column, query: Column,
-                sub: Column, dom: Column, sfx: Column) -> dict[str, Column]:
-    """The 64 native features of the main profile (everything but the ratio pair)."""
+                sub: Column, dom: Column, sfx: Column, brand_check: Column | None = None) -> dict[str, Column]:
+    """The 64 native features of the main profile (everything but the ratio pair).
+
+    ``brand_check`` replaces "some brand is in the domain" in the impersonation
+    features (the substitution-aware profile passes E10 there)."""
     lu = F.lower(u)
     ld = F.lower(dom)
     lsfx = F.lower(sfx)
@@ -182,12 +231,13 @@ def _main_exprs(u: Column, scheme: Column, netloc: Column, path: Column, query:
     e["subdomain_count_dot"] = T.count_re(sub, r"\.")
     e["domain_url_ratio"] = T.ratio(nd, n)
     e["query_url_ratio"] = T.ratio(T.slen(query), n)
-    e["brand_impersonation"] = T.flag(brand_in_domain & ~legit)
-    e["brand_with_hyphen"] = T.flag(brand_in_domain & dom.contains("-") & ~legit)
+    bcheck = brand_in_domain if brand_check is None else brand_check
+    e["brand_impersonation"] = T.flag(bcheck & ~legit)
+    e["brand_with_hyphen"] = T.flag(bcheck & dom.contains("-") & ~legit)
     e["has_character_substitution"] = T.flag(has_character_substitution(dom))
-    e["suspicious_tld_brand_combo"] = T.flag(_isin(lsfx, K.SUSPICIOUS_TLDS_BRAND_COMBO) & brand_in_domain & ~legit)
+    e["suspicious_tld_brand_combo"] = T.flag(_isin(lsfx, K.SUSPICIOUS_TLDS_BRAND_COMBO) & bcheck & ~legit)
     e["multiple_brands_in_domain"] = T.flag(brand_count >= 2)
-    e["brand_not_in_main_domain"] = T.flag(brand_in_url & ~brand_in_domain)
+    e["brand_not_in_main_domain"] = T.flag(brand_in_url & ~bcheck)
     return e
 
 
@@ -587,3 +637,32 @@ def featurize_v2(df: DataFrame, url_col: str = "url") -> DataFrame:
         k: F.when(bad, _zero(k)).otherwise(v).cast("double" if k in DOUBLE_FEATURES else "int") for k, v in e.items()
     }
     return staged.withColumns(cols).select(*df.columns, *V2_FEATURES)
+
+
+def featurize_subst_aware(df: DataFrame, url_col: str = "url", native_only: bool = True) -> DataFrame:
+    """DV8: the 66-column profile after strict cleaning (B11: only
+    ``[a-zA-Z0-9:/?&=._%-]`` kept; shorter than 8 or without a dot gives the
+    zero row), with the impersonation features testing brands under
+    cumulative leetspeak substitutions (E10)."""
+    p = "_s_"
+    raw = F.col(url_col)
+    x = df.withColumn(f"{p}url", U.strict_clean(U.keep_printable_ascii(raw)))
+    staged = U.add_url_parts(x, f"{p}url", p, clean=False)
+    s_url = F.col(f"{p}url")
+    ex = _main_exprs(
+        s_url, F.col(f"{p}scheme"), F.col(f"{p}netloc"), F.col(f"{p}path"), F.col(f"{p}query"),
+        F.col(f"{p}sub"), F.col(f"{p}dom"), F.col(f"{p}sfx"), brand_check=brand_with_substitution(F.col(f"{p}dom")),
+    )
+    bad = U.url_is_blank(raw) | (F.length(s_url) < 8) | ~s_url.contains(".") | (F.col(f"{p}bad") & ~U.url_is_blank(s_url))
+    cols = {
+        name: F.when(bad, _zero(name)).otherwise(ex[name]).cast("double" if name in DOUBLE_FEATURES else "int")
+        for name in MAIN_NATIVE_FEATURES
+    }
+    out = staged.withColumns(cols).withColumn("_s_bad", bad)
+    if native_only:
+        return out.select(*df.columns, *MAIN_NATIVE_FEATURES)
+    from hookline.operators.lookalike import add_typosquatting
+
+    res = add_typosquatting(out.select(*df.columns, f"{p}url", "_s_bad", *MAIN_NATIVE_FEATURES), f"{p}url")
+    res = res.withColumns({c: F.when(F.col("_s_bad"), _zero(c)).otherwise(F.col(c)) for c in RATIO_FEATURES})
+    return res.select(*df.columns, *MAIN_FEATURES)

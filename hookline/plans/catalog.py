@@ -706,3 +706,19 @@ def q_five_pattern_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_host_diverse_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host-diverse sample of 5,000 synthetic URLs."""
     return CO.host_diverse_sample(q_synthetic_corpus(spark, sf_dir).select("url"), 5000)
+
+
+@register("url_features_subst_aware", lambda: O.subst_aware_features_sql())
+def q_url_features_subst_aware(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DV8 (native part): strict cleaning and substitution-aware brand tests."""
+    return round_doubles(FT.featurize_subst_aware(D.typed_urls(spark, sf_dir)))
+
+
+@register("brand_substitution", lambda: O.brand_substitution_sql())
+def q_brand_substitution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E10 per distinct domain: brand contained as is or under cumulative
+    leetspeak substitutions, and which brand."""
+    parts = U.add_url_parts(D.typed_urls(spark, sf_dir), "url", "_p_", clean=True)
+    d = parts.select(F.col("_p_dom").alias("domain")).distinct()
+    return d.select("domain", FT.brand_with_substitution(F.col("domain")).alias("flag"),
+                    FT.brand_with_substitution_match(F.col("domain")).alias("brand"))

@@ -254,11 +254,12 @@ def url_parts_ctes(src: str, url: str = "url", clean: bool = True) -> str:
       FROM p7)"""
 
 
-def main_feature_exprs() -> dict[str, str]:
+def main_feature_exprs(brand_check: str | None = None) -> dict[str, str]:
     u, d, sd, sx, p, qq, n = "u", "dom", "sub", "sfx", "path", "query", "netloc"
     lu, ld, lsx = "lower(u)", "lower(dom)", "lower(sfx)"
     brand_in_url = contains_any(lu, K.BRAND_KEYWORDS)
-    brand_in_dom = contains_any(ld, K.BRAND_KEYWORDS)
+    brand_in_dom_plain = contains_any(ld, K.BRAND_KEYWORDS)
+    brand_in_dom = brand_check or brand_in_dom_plain
     full = f"lower(CASE WHEN {sx} <> '' THEN {d} || '.' || {sx} ELSE {d} END)"
     legit = f"list_contains({lst(K.LEGITIMATE_DOMAINS)}, {full})"
     nsd = f"(CASE WHEN {sd} = '' THEN 0 ELSE len(string_split({sd}, '.')) END)"
@@ -306,7 +307,7 @@ def main_feature_exprs() -> dict[str, str]:
         "sensitive_word": flag(contains_any(lu, K.SENSITIVE_WORDS)),
         "action_word": flag(contains_any(lu, K.ACTION_WORDS)),
         "has_brand_name": flag(brand_in_url),
-        "brand_not_in_domain": flag(f"{brand_in_url} AND NOT {brand_in_dom}"),
+        "brand_not_in_domain": flag(f"{brand_in_url} AND NOT {brand_in_dom_plain}"),
         "is_shortening_service": flag(contains_any(u, K.SHORTENERS)),
         "is_mixed_case": flag(f"regexp_matches({u}, '[A-Z]') AND regexp_matches({u}, '[a-z]')"),
         "num_repeated_chars": longest_run(u),
@@ -1362,3 +1363,39 @@ def host_diverse_sample_sql(target: int = 5000, seed: int = 42) -> str:
           FROM x JOIN f ON f.host = x.host),
     n AS (SELECT sum(keep::INTEGER) AS nk FROM k)
     SELECT url FROM k, n WHERE keep OR nk < {target}"""
+
+
+
+def subst_aware_features_sql() -> str:
+    from hookline.functions.features import substitution_variants
+
+    e = main_feature_exprs(brand_check=contains_any("lower(dom)", substitution_variants()))
+    cols = []
+    bad = "(raw_blank OR length(u) < 8 OR NOT contains(u, '.') OR (parse_error AND NOT blank))"
+    for name in MAIN_NATIVE_FEATURES:
+        if name in DOUBLE_FEATURES:
+            cols.append(f"CASE WHEN {bad} THEN 0.0 ELSE {rnd(e[name])} END AS {name}")
+        else:
+            cols.append(f"CASE WHEN {bad} THEN 0 ELSE ({e[name]})::INTEGER END AS {name}")
+    return f"""WITH src0 AS {typed_urls_sql()},
+    src AS (SELECT id, source, url AS url_in, type, (url IS NULL OR length(trim(url, {WS})) = 0) AS raw_blank,
+                   regexp_replace(regexp_replace(url, '[^\\x20-\\x7E]', '', 'g'), '[^a-zA-Z0-9:/?&=._%-]', '', 'g') AS url
+            FROM src0),
+    {url_parts_ctes('src', 'url', clean=False)}
+    SELECT id, source, url_in AS url, type, {', '.join(cols)} FROM parts"""
+
+
+def brand_substitution_sql() -> str:
+    from hookline.functions.features import cumulative_variants
+
+    brands = brands_values()
+    var_rows = ", ".join(f"({i + 1}, {q(v)})" for i, b in enumerate(K.BRAND_KEYWORDS) for v in cumulative_variants(b)[1:])
+    return f"""WITH src AS {typed_urls_sql()},
+    {url_parts_ctes('src')},
+    d AS (SELECT DISTINCT dom AS domain, lower(dom) AS dl FROM parts),
+    v AS (SELECT * FROM (VALUES {var_rows}) t(brand_ord, variant)),
+    plain AS (SELECT d.domain, min(b.brand_ord) AS o FROM d JOIN {brands} b ON contains(d.dl, b.brand) GROUP BY d.domain),
+    sub AS (SELECT d.domain, min(v.brand_ord) AS o FROM d JOIN v ON contains(d.dl, v.variant) GROUP BY d.domain)
+    SELECT d.domain, coalesce(plain.o, sub.o) IS NOT NULL AS flag, b.brand AS brand
+    FROM d LEFT JOIN plain ON plain.domain = d.domain LEFT JOIN sub ON sub.domain = d.domain
+    LEFT JOIN {brands} b ON b.brand_ord = coalesce(plain.o, sub.o)"""

@@ -79,3 +79,35 @@ def test_pattern_table_matches_generator(spark):
         got.setdefault(r.brand, set()).add(r.pattern)
     for b in K.BRAND_KEYWORDS:
         assert got[b] == brute.typo_patterns(b), b
+
+
+def _cumulative_match(domain):
+    d = domain.lower()
+    for b in K.BRAND_KEYWORDS:
+        if b in d:
+            return True, b
+    rules = {"o": ["0"], "i": ["1"], "l": ["1"], "e": ["3"], "a": ["@"], "s": ["$"], "g": ["9"], "t": ["7"]}
+    for b in K.BRAND_KEYWORDS:
+        variations = [b]
+        for ch, reps in rules.items():
+            if ch in b:
+                new = []
+                for v in variations:
+                    for r in reps:
+                        new.append(v.replace(ch, r))
+                variations.extend(new)
+        for v in set(variations):
+            if v in d and v != b:
+                return True, b
+    return False, None
+
+
+def test_cumulative_substitution_matches_brute_force(spark):
+    from hookline.functions.features import brand_with_substitution, brand_with_substitution_match
+
+    doms = ["g00gle", "9oogle", "g0og1e", "p@ypa1", "$t@ck0verf1ow", "micr0s0ft", "example", "amaz0n", "wh@t$@pp",
+            "1cici", "fl1pk@rt", "x", "", "d0pbox", "b0b", "ub3r", "zoom", "z00m"]
+    df = spark.createDataFrame([(d,) for d in doms], "d string")
+    rows = df.select("d", brand_with_substitution(F.col("d")).alias("f"), brand_with_substitution_match(F.col("d")).alias("b")).collect()
+    for r in rows:
+        assert (r.f, r.b) == _cumulative_match(r.d), r.d
