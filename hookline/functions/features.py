@@ -666,3 +666,82 @@ def featurize_subst_aware(df: DataFrame, url_col: str = "url", native_only: bool
     res = add_typosquatting(out.select(*df.columns, f"{p}url", "_s_bad", *MAIN_NATIVE_FEATURES), f"{p}url")
     res = res.withColumns({c: F.when(F.col("_s_bad"), _zero(c)).otherwise(F.col(c)) for c in RATIO_FEATURES})
     return res.select(*df.columns, *MAIN_FEATURES)
+
+
+# Fixed lists of the first-draft 63-column profile.
+DRAFT_DICTIONARY = [
+    "google", "facebook", "amazon", "microsoft", "apple", "youtube", "twitter", "instagram",
+    "linkedin", "netflix", "wikipedia", "reddit", "github", "stackoverflow", "medium", "wordpress",
+    "yahoo", "ebay", "paypal", "adobe", "salesforce", "spotify", "pinterest", "tiktok",
+    "flipkart", "myntra", "snapdeal", "meesho", "ajio", "nykaa", "bigbasket", "grofers",
+    "icici", "hdfc", "sbi", "axis", "kotak", "pnb", "canara", "bob", "unionbank", "idbi",
+    "paytm", "phonepe", "googlepay", "bhim", "mobikwik", "freecharge", "amazonpay",
+    "irctc", "uidai", "epfo", "nsdl", "swiggy", "zomato", "ola", "uber", "makemytrip", "goibibo",
+    "nike", "walmart", "target", "intel", "samsung", "tesla", "bmw", "ford", "shell",
+    "python", "java", "mozilla", "chrome", "firefox", "opera", "ubuntu", "debian",
+    "mysql", "oracle", "docker", "nginx", "apache",
+]
+DRAFT_BRANDS = [
+    "google", "facebook", "amazon", "microsoft", "apple", "paypal", "netflix", "instagram",
+    "twitter", "linkedin", "youtube", "yahoo", "ebay", "chase", "wellsfargo", "citibank",
+    "hsbc", "dhl", "fedex", "usps", "irs", "uscis",
+    "flipkart", "paytm", "phonepe", "googlepay", "icici", "hdfc", "sbi", "axis", "kotak",
+    "swiggy", "zomato", "ola", "irctc", "uidai", "epfo", "myntra", "snapdeal", "nykaa",
+]
+DRAFT_HYPHEN_PATTERNS = [
+    "google-", "facebook-", "amazon-", "paypal-", "netflix-", "apple-",
+    "microsoft-", "flipkart-", "paytm-", "icici-", "hdfc-", "sbi-",
+    "axis-", "kotak-", "swiggy-", "zomato-",
+]
+DRAFT_LEGIT = [
+    "google.com", "facebook.com", "amazon.com", "paypal.com", "netflix.com",
+    "apple.com", "microsoft.com", "twitter.com", "instagram.com", "linkedin.com",
+    "youtube.com", "yahoo.com", "ebay.com", "github.com", "stackoverflow.com",
+    "flipkart.com", "paytm.com", "phonepe.com", "icicibank.com", "hdfcbank.com",
+    "sbi.co.in", "axisbank.com", "kotak.com", "swiggy.com", "zomato.com",
+    "myntra.com", "snapdeal.com", "nykaa.com", "makemytrip.com", "irctc.co.in",
+]
+DRAFT_CHECK_BRANDS = ["google", "facebook", "amazon", "paypal", "netflix", "apple", "microsoft", "flipkart", "paytm",
+                      "icici", "hdfc", "sbi", "axis", "kotak", "swiggy", "zomato"]
+DRAFT_MAJOR_BRANDS = ["google", "facebook", "amazon", "paypal", "netflix", "flipkart", "microsoft", "apple", "twitter",
+                      "instagram", "youtube"]
+DRAFT_COMBO_TLDS = ["tk", "ml", "ga", "cf", "gq", "pw", "top", "xyz", "club", "buzz", "loan"]
+DRAFT_NEW = ["brand_with_hyphen", "brand_impersonation", "typosquatting_similarity", "is_typosquatting",
+             "suspicious_tld_brand_combo"]
+DRAFT_FEATURES = [c for c in MAIN_FEATURES if c not in set(DRAFT_NEW) | {
+    "has_character_substitution", "multiple_brands_in_domain", "brand_not_in_main_domain"}] + DRAFT_NEW
+DRAFT_NATIVE = [c for c in DRAFT_FEATURES if c not in RATIO_FEATURES]
+
+
+def featurize_draft63(df: DataFrame, url_col: str = "url", native_only: bool = False) -> DataFrame:
+    """DV9: the 63-column first draft — 58 base columns (own dictionary and
+    brand lists) plus hyphenated-brand, whole-URL impersonation against 30
+    domains, best ratio to 11 major brands (typosquatting when strictly
+    between 0.75 and 0.95) and bad-TLD + brand."""
+    p = "_p_"
+    parts = url_parts(df, url_col, p)
+    u, dom, sfx = F.col(f"{p}u"), F.col(f"{p}dom"), F.col(f"{p}sfx")
+    ex = _main_exprs(u, F.col(f"{p}scheme"), F.col(f"{p}netloc"), F.col(f"{p}path"), F.col(f"{p}query"),
+                     F.col(f"{p}sub"), dom, sfx)
+    lu, ld = F.lower(u), F.lower(dom)
+    brand_in_url = T.any_literal(lu, DRAFT_CHECK_BRANDS)
+    full = F.lower(F.concat(dom, F.lit("."), sfx))
+    ex["domain_is_dictionary_word"] = T.flag(ld.isin(*DRAFT_DICTIONARY))
+    ex["has_brand_name"] = T.flag(T.any_literal(lu, DRAFT_BRANDS))
+    ex["brand_not_in_domain"] = T.flag(T.any_literal(lu, DRAFT_BRANDS) & ~T.any_literal(ld, DRAFT_BRANDS))
+    ex["brand_with_hyphen"] = T.flag(T.any_literal(ld, DRAFT_HYPHEN_PATTERNS))
+    ex["brand_impersonation"] = T.flag(brand_in_url & ~full.isin(*DRAFT_LEGIT))
+    ex["suspicious_tld_brand_combo"] = T.flag(F.lower(sfx).isin(*DRAFT_COMBO_TLDS) & brand_in_url)
+    bad = F.col(f"{p}bad")
+    cols = {n: F.when(bad, _zero(n)).otherwise(ex[n]).cast("double" if n in DOUBLE_FEATURES else "int") for n in DRAFT_NATIVE}
+    out = parts.withColumns(cols)
+    if native_only:
+        return out.select(*df.columns, *DRAFT_NATIVE)
+    from hookline.operators.lookalike import ratios_against
+
+    best = F.array_max(ratios_against(DRAFT_MAJOR_BRANDS)(ld))
+    out = out.withColumn("_best", F.when(bad, F.lit(0.0)).otherwise(F.coalesce(best, F.lit(0.0))))
+    out = out.withColumns(
+        {"typosquatting_similarity": F.col("_best"), "is_typosquatting": T.flag((F.col("_best") > 0.75) & (F.col("_best") < 0.95))}
+    )
+    return out.select(*df.columns, *DRAFT_FEATURES)

@@ -722,3 +722,15 @@ def q_brand_substitution(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = parts.select(F.col("_p_dom").alias("domain")).distinct()
     return d.select("domain", FT.brand_with_substitution(F.col("domain")).alias("flag"),
                     FT.brand_with_substitution_match(F.col("domain")).alias("brand"))
+
+
+@register("url_features_draft63", lambda: O.draft63_features_sql())
+def q_url_features_draft63(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DV9 (native part): the 63-column first draft minus its ratio pair."""
+    return round_doubles(FT.featurize_draft63(D.typed_urls(spark, sf_dir), native_only=True))
+
+
+@register("url_features_draft63_full")
+def q_url_features_draft63_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DV9 with the best-ratio pair (Arrow UDF against 11 brands)."""
+    return round_doubles(FT.featurize_draft63(D.typed_urls(spark, sf_dir)))

@@ -1399,3 +1399,30 @@ def brand_substitution_sql() -> str:
     SELECT d.domain, coalesce(plain.o, sub.o) IS NOT NULL AS flag, b.brand AS brand
     FROM d LEFT JOIN plain ON plain.domain = d.domain LEFT JOIN sub ON sub.domain = d.domain
     LEFT JOIN {brands} b ON b.brand_ord = coalesce(plain.o, sub.o)"""
+
+
+
+def draft63_features_sql() -> str:
+    from hookline.functions.features import (
+        DRAFT_BRANDS, DRAFT_CHECK_BRANDS, DRAFT_COMBO_TLDS, DRAFT_DICTIONARY, DRAFT_HYPHEN_PATTERNS, DRAFT_LEGIT,
+        DRAFT_NATIVE,
+    )
+
+    e = main_feature_exprs()
+    lu, ld = "lower(u)", "lower(dom)"
+    biu = contains_any(lu, DRAFT_CHECK_BRANDS)
+    e["domain_is_dictionary_word"] = flag(f"list_contains({lst(DRAFT_DICTIONARY)}, {ld})")
+    e["has_brand_name"] = flag(contains_any(lu, DRAFT_BRANDS))
+    e["brand_not_in_domain"] = flag(f"{contains_any(lu, DRAFT_BRANDS)} AND NOT {contains_any(ld, DRAFT_BRANDS)}")
+    e["brand_with_hyphen"] = flag(contains_any(ld, DRAFT_HYPHEN_PATTERNS))
+    e["brand_impersonation"] = flag(f"{biu} AND NOT list_contains({lst(DRAFT_LEGIT)}, lower(dom || '.' || sfx))")
+    e["suspicious_tld_brand_combo"] = flag(f"list_contains({lst(DRAFT_COMBO_TLDS)}, lower(sfx)) AND {biu}")
+    cols = []
+    for name in DRAFT_NATIVE:
+        if name in DOUBLE_FEATURES:
+            cols.append(f"CASE WHEN bad THEN 0.0 ELSE {rnd(e[name])} END AS {name}")
+        else:
+            cols.append(f"CASE WHEN bad THEN 0 ELSE ({e[name]})::INTEGER END AS {name}")
+    return f"""WITH src AS {typed_urls_sql()},
+    {url_parts_ctes('src')}
+    SELECT id, source, url, type, {', '.join(cols)} FROM parts"""

@@ -71,3 +71,19 @@ def test_zero_row_for_invalid(spark):
     df = spark.createDataFrame([(None,), ("",), ("http://[bad/x",)], "url string")
     for r in featurize_urls(df, "url", "main").collect():
         assert all(r[k] == 0 for k in MAIN_FEATURES)
+
+
+def test_draft63_ratio_pair(spark):
+    from difflib import SequenceMatcher
+
+    from hookline.functions.features import DRAFT_MAJOR_BRANDS, featurize_draft63
+
+    urls = ["https://gogle.com/x", "https://www.paypa1.com", "https://netflix.com", "https://example.org", "http://[bad/x"]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    out = {r.url: r for r in featurize_draft63(df).collect()}
+    for u in urls[:-1]:
+        d = brute.split_host(u)[1].lower()
+        best = max(SequenceMatcher(None, d, b).ratio() for b in DRAFT_MAJOR_BRANDS)
+        assert abs(out[u].typosquatting_similarity - best) < 1e-12
+        assert out[u].is_typosquatting == int(0.75 < best < 0.95)
+    assert out["http://[bad/x"].typosquatting_similarity == 0.0
