@@ -459,3 +459,30 @@ def host_diverse_sample(df: DataFrame, target: int, seed: int = 42, repeat_share
     x = x.withColumn("_keep", keep)
     kept = x.agg(F.sum(F.col("_keep").cast("int")).alias("_n"))
     return x.crossJoin(kept).where(F.col("_keep") | (F.col("_n") < target)).select(url_col)
+
+
+def crafted_urls(keys: DataFrame, key_col: str, spark: SparkSession, seed: int = 42) -> DataFrame:
+    """H7: one crafted look-alike URL per key: a generator brand, one of its
+    typo variants, one of three host shapes (variant-word, variant+sep+token,
+    variant+suffix word), a TLD, optional subdomain, path and query.  The
+    per-brand variant lists are a bounded table (169 brands), broadcast."""
+    brands = list(dict.fromkeys(K.SYNTH_BRANDS))
+    variants = (
+        typos_for(brand_table(spark, brands)).groupBy("brand").agg(F.array_sort(F.collect_set("typo")).alias("variants"))
+    )
+    k = F.col(key_col).cast("string")
+    x = keys.select(k.alias("key"), _pick(K.SYNTH_BRANDS, unit_hash(k, seed=seed)).alias("brand"))
+    x = x.join(F.broadcast(variants), "brand", "left")
+    key = F.col("key")
+    v = F.element_at(F.col("variants"), (F.floor(unit_hash(key, seed=seed + 1) * F.size("variants")) + 1).cast("int"))
+    variant = F.coalesce(v, F.col("brand"))
+    shape = F.floor(unit_hash(key, seed=seed + 2) * 3).cast("int")
+    host = (
+        F.when(shape == 0, F.concat(variant, F.lit("-"), _pick(["secure", "login", "verify", "auth"], unit_hash(key, seed=seed + 3))))
+        .when(shape == 1, F.concat(variant, _pick(["", "-", "_"], unit_hash(key, seed=seed + 4)), random_token(F.concat(key, F.lit("h")), 3)))
+        .otherwise(F.concat(variant, _pick(["", "auth", "portal", "pay"], unit_hash(key, seed=seed + 5))))
+    )
+    sub = _pick(["<none>"] + K.SYNTH_SUBS, unit_hash(key, seed=seed + 6))
+    sub = F.when(sub != "<none>", sub)
+    tld = _pick(K.SYNTH_TLDS, unit_hash(key, seed=seed + 7))
+    return x.select("key", make_url(host, tld, sub, random_path(key, seed + 8), random_query(key, seed + 10), unit_hash(key, seed=seed + 12)).alias("url"))

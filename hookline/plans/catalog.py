@@ -734,3 +734,12 @@ def q_url_features_draft63(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_url_features_draft63_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DV9 with the best-ratio pair (Arrow UDF against 11 brands)."""
     return round_doubles(FT.featurize_draft63(D.typed_urls(spark, sf_dir)))
+
+
+@register("crafted_urls", lambda: O.crafted_urls_sql())
+def q_crafted_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H7: one crafted look-alike URL per line item."""
+    li = D.read(spark, sf_dir, "lineitem").select(
+        F.concat_ws("|", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("k")
+    )
+    return CO.crafted_urls(li, "k", spark)

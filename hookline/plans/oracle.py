@@ -1426,3 +1426,39 @@ def draft63_features_sql() -> str:
     return f"""WITH src AS {typed_urls_sql()},
     {url_parts_ctes('src')}
     SELECT id, source, url, type, {', '.join(cols)} FROM parts"""
+
+
+def crafted_urls_sql(seed: int = 42) -> str:
+    brands = list(dict.fromkeys(K.SYNTH_BRANDS))
+    bvals = ", ".join(f"({q(b)})" for b in brands)
+    homo = ", ".join(f"({q(a)}, {q(b)})" for a, b in K.SYNTH_HOMO.items())
+    affix = " UNION ALL ".join(
+        f"SELECT brand, brand || {q(d)} AS typo FROM b UNION ALL SELECT brand, {q(d)} || brand FROM b" for d in K.SYNTH_DIGIT_AFFIXES
+    )
+    digram = " UNION ALL ".join(
+        f"SELECT brand, replace(brand, {q(o)}, {q(n)}) FROM b WHERE contains(brand, {q(o)})" for o, n in K.SYNTH_DIGRAMS
+    )
+    key = "key"
+    variant = f"coalesce(variants[floor({uh(seed + 1, key)} * len(variants))::BIGINT + 1], brand)"
+    shape = f"floor({uh(seed + 2, key)} * 3)::INTEGER"
+    host = f"""CASE {shape}
+        WHEN 0 THEN {variant} || '-' || {upick(['secure', 'login', 'verify', 'auth'], uh(seed + 3, key))}
+        WHEN 1 THEN {variant} || {upick(['', '-', '_'], uh(seed + 4, key))} || {token("key || 'h'", 3)}
+        ELSE {variant} || {upick(['', 'auth', 'portal', 'pay'], uh(seed + 5, key))} END"""
+    sub = upick(["<none>"] + K.SYNTH_SUBS, uh(seed + 6, key))
+    return f"""WITH b AS (SELECT * FROM (VALUES {bvals}) t(brand)),
+    pos AS (SELECT brand, unnest(range(1, length(brand) + 1)) AS i FROM b),
+    homo AS (SELECT * FROM (VALUES {homo}) h(ch, rep)),
+    v AS (
+      SELECT brand, substr(brand, 1, i - 1) || rep || substr(brand, i + 1) AS typo FROM pos JOIN homo ON substr(brand, i, 1) = ch
+      UNION ALL SELECT brand, substr(brand, 1, i - 1) || substr(brand, i + 1) FROM pos WHERE length(brand) > 3
+      UNION ALL SELECT brand, substr(brand, 1, i) || substr(brand, i) FROM pos
+      UNION ALL SELECT brand, substr(brand, 1, i - 1) || substr(brand, i + 1, 1) || substr(brand, i, 1) || substr(brand, i + 2)
+                FROM pos WHERE i <= length(brand) - 1
+      UNION ALL {affix} UNION ALL {digram}),
+    vars AS (SELECT brand, list_sort(list(DISTINCT typo)) AS variants FROM v WHERE typo <> '' AND typo <> brand GROUP BY brand),
+    k AS (SELECT l_orderkey::VARCHAR || '|' || l_linenumber::VARCHAR AS key FROM lineitem),
+    x AS (SELECT k.key, {upick(K.SYNTH_BRANDS, uh(seed, 'k.key'))} AS brand FROM k),
+    y AS (SELECT x.key, x.brand, vars.variants FROM x LEFT JOIN vars ON vars.brand = x.brand)
+    SELECT key, {make_url_sql(f'({host})', upick(K.SYNTH_TLDS, uh(seed + 7, key)), f"CASE WHEN {sub} <> '<none>' THEN {sub} END", random_path_sql(key, seed + 8), random_query_sql(key, seed + 10), uh(seed + 12, key))} AS url
+    FROM y"""
