@@ -148,25 +148,55 @@ def brand_with_substitution_match(c: Column | str) -> Column:
     return F.when(pos.isNotNull(), F.element_at(brands, pos.cast("int")))
 
 
+def _main_shared(u: Column, dom: Column, sfx: Column, brand_check: Column | None = None) -> dict[str, Column]:
+    """Values several main-profile features share; ``featurize_main`` adds
+    them as columns first so each is computed once per row."""
+    lu = F.lower(u)
+    ld = F.lower(dom)
+    shared = {
+        "_f_lu": lu,
+        "_f_ld": ld,
+        "_f_n": T.slen(u),
+        "_f_digits": T.count_re(u, "[0-9]"),
+        "_f_letters": T.count_re(u, "[A-Za-z]"),
+        "_f_special": T.count_re(u, r"[@?=%&!+$]"),
+        "_f_biu": _brand_any(lu),
+        "_f_bid": _brand_any(ld),
+        "_f_legit": _isin(U.registered_domain(dom, sfx), K.LEGITIMATE_DOMAINS),
+    }
+    if brand_check is not None:
+        shared["_f_bcheck"] = brand_check
+    return shared
+
+
 def _main_exprs(u: Column, scheme: Column, netloc: Column, path: Column, query: Column,
-                sub: Column, dom: Column, sfx: Column, brand_check: Column | None = None) -> dict[str, Column]:
+                sub: Column, dom: Column, sfx: Column, brand_check: Column | None = None,
+                shared: bool = False) -> dict[str, Column]:
     """The 64 native features of the main profile (everything but the ratio pair).
 
     ``brand_check`` replaces "some brand is in the domain" in the impersonation
-    features (the substitution-aware profile passes E10 there)."""
-    lu = F.lower(u)
-    ld = F.lower(dom)
+    features (the substitution-aware profile passes E10 there).  With
+    ``shared`` the expressions refer to the ``_f_*`` columns of
+    ``_main_shared`` instead of recomputing them."""
+    if shared:
+        lu, ld = F.col("_f_lu"), F.col("_f_ld")
+        n, num_digits, num_letters, num_special = F.col("_f_n"), F.col("_f_digits"), F.col("_f_letters"), F.col("_f_special")
+        brand_in_url, brand_in_domain, legit = F.col("_f_biu"), F.col("_f_bid"), F.col("_f_legit")
+        if brand_check is not None:
+            brand_check = F.col("_f_bcheck")
+    else:
+        lu = F.lower(u)
+        ld = F.lower(dom)
+        n = T.slen(u)
+        num_digits = T.count_re(u, "[0-9]")
+        num_letters = T.count_re(u, "[A-Za-z]")
+        num_special = T.count_re(u, r"[@?=%&!+$]")
+        brand_in_url = _brand_any(lu)
+        brand_in_domain = _brand_any(ld)
+        legit = _isin(U.registered_domain(dom, sfx), K.LEGITIMATE_DOMAINS)
     lsfx = F.lower(sfx)
-    n = T.slen(u)
     nd = T.slen(dom)
-    num_digits = T.count_re(u, "[0-9]")
-    num_letters = T.count_re(u, "[A-Za-z]")
-    num_special = T.count_re(u, r"[@?=%&!+$]")
     num_sub = F.when(sub == "", F.lit(0)).otherwise(F.size(F.split(sub, r"\.", -1))).cast("int")
-    brand_in_url = _brand_any(lu)
-    brand_in_domain = _brand_any(ld)
-    full_domain = U.registered_domain(dom, sfx)
-    legit = _isin(full_domain, K.LEGITIMATE_DOMAINS)
     brand_count = T.count_present(ld, K.BRAND_KEYWORDS)
     e: dict[str, Column] = {}
     e["url_length"] = n
@@ -257,9 +287,10 @@ def featurize_main(df: DataFrame, url_col: str = "url", native_only: bool = True
     """
     p = "_p_"
     parts = url_parts(df, url_col, p)
+    parts = parts.withColumns(_main_shared(F.col(f"{p}u"), F.col(f"{p}dom"), F.col(f"{p}sfx")))
     ex = _main_exprs(
         F.col(f"{p}u"), F.col(f"{p}scheme"), F.col(f"{p}netloc"), F.col(f"{p}path"), F.col(f"{p}query"),
-        F.col(f"{p}sub"), F.col(f"{p}dom"), F.col(f"{p}sfx"),
+        F.col(f"{p}sub"), F.col(f"{p}dom"), F.col(f"{p}sfx"), shared=True,
     )
     bad = F.col(f"{p}bad")
     cols = {
