@@ -162,6 +162,8 @@ def _main_shared(u: Column, dom: Column, sfx: Column, brand_check: Column | None
         "_f_special": T.count_re(u, r"[@?=%&!+$]"),
         "_f_biu": _brand_any(lu),
         "_f_bid": _brand_any(ld),
+        "_f_dent": T.entropy(dom, False),
+        "_f_susp": T.any_literal(lu, K.SUSPICIOUS_WORDS),
         "_f_legit": _isin(U.registered_domain(dom, sfx), K.LEGITIMATE_DOMAINS),
     }
     if brand_check is not None:
@@ -182,6 +184,7 @@ def _main_exprs(u: Column, scheme: Column, netloc: Column, path: Column, query:
         lu, ld = F.col("_f_lu"), F.col("_f_ld")
         n, num_digits, num_letters, num_special = F.col("_f_n"), F.col("_f_digits"), F.col("_f_letters"), F.col("_f_special")
         brand_in_url, brand_in_domain, legit = F.col("_f_biu"), F.col("_f_bid"), F.col("_f_legit")
+        dom_entropy, susp = F.col("_f_dent"), F.col("_f_susp")
         if brand_check is not None:
             brand_check = F.col("_f_bcheck")
     else:
@@ -194,10 +197,13 @@ def _main_exprs(u: Column, scheme: Column, netloc: Column, path: Column, query:
         brand_in_url = _brand_any(lu)
         brand_in_domain = _brand_any(ld)
         legit = _isin(U.registered_domain(dom, sfx), K.LEGITIMATE_DOMAINS)
+        dom_entropy = T.entropy(dom, False)
+        susp = T.any_literal(lu, K.SUSPICIOUS_WORDS)
     lsfx = F.lower(sfx)
     nd = T.slen(dom)
     num_sub = F.when(sub == "", F.lit(0)).otherwise(F.size(F.split(sub, r"\.", -1))).cast("int")
-    brand_count = T.count_present(ld, K.BRAND_KEYWORDS)
+    # The per-word counts only run where the cheap any-match regex hits.
+    brand_count = F.when(brand_in_domain, T.count_present(ld, K.BRAND_KEYWORDS)).otherwise(F.lit(0))
     e: dict[str, Column] = {}
     e["url_length"] = n
     e["num_dots"] = T.count_re(u, r"\.")
@@ -210,8 +216,8 @@ def _main_exprs(u: Column, scheme: Column, netloc: Column, path: Column, query:
     e["num_subdomains"] = num_sub
     e["has_multiple_subdomains"] = T.flag(num_sub >= 3)
     e["domain_length"] = nd
-    e["host_entropy"] = T.entropy(dom, False)
-    e["domain_entropy"] = T.entropy(dom, False)
+    e["host_entropy"] = dom_entropy
+    e["domain_entropy"] = dom_entropy
     e["domain_has_digits"] = T.flag(dom.rlike("[0-9]"))
     e["domain_digit_ratio"] = T.ratio(T.count_re(dom, "[0-9]"), nd)
     e["domain_vowel_ratio"] = T.vowel_consonant_ratio(dom)
@@ -240,8 +246,8 @@ def _main_exprs(u: Column, scheme: Column, netloc: Column, path: Column, query:
     e["path_has_suspicious_ext"] = T.flag(T.any_literal(F.lower(path), K.SUSPICIOUS_EXTENSIONS))
     e["query_has_redirect"] = T.flag(T.any_literal(F.lower(query), K.REDIRECT_WORDS))
     e["path_url_ratio"] = T.ratio(T.slen(path), n)
-    e["suspicious_word"] = T.flag(T.any_literal(lu, K.SUSPICIOUS_WORDS))
-    e["num_suspicious_words"] = T.count_present(lu, K.SUSPICIOUS_WORDS)
+    e["suspicious_word"] = T.flag(susp)
+    e["num_suspicious_words"] = F.when(susp, T.count_present(lu, K.SUSPICIOUS_WORDS)).otherwise(F.lit(0)).cast("int")
     e["sensitive_word"] = T.flag(T.any_literal(lu, K.SENSITIVE_WORDS))
     e["action_word"] = T.flag(T.any_literal(lu, K.ACTION_WORDS))
     e["has_brand_name"] = T.flag(brand_in_url)

@@ -207,7 +207,7 @@ def error_summary(preds: DataFrame, label: str = "label", pred: str = "pred", co
     return agg.crossJoin(first)
 
 
-def weighted_roc_auc(scores: DataFrame, label: str = "label", prefix: str = "vote_", partitions: int = 64) -> DataFrame:
+def weighted_roc_auc(scores: DataFrame, label: str = "label", prefix: str = "vote_", partitions: int | None = None) -> DataFrame:
     """One-vs-rest AUC per class from the rank-sum statistic with tied
     scores sharing half credit, and the support-weighted average.
 
@@ -221,7 +221,10 @@ def weighted_roc_auc(scores: DataFrame, label: str = "label", prefix: str = "vot
     agg = per.groupBy("cls", "score").agg(
         F.sum(F.when(F.col("pos"), 1).otherwise(0)).alias("npos"), F.sum(F.when(F.col("pos"), 0).otherwise(1)).alias("nneg")
     )
-    r = agg.repartitionByRange(partitions, "cls", "score").withColumn("pid", F.spark_partition_id())
+    from hookline.session import parallelism
+
+    n_parts = partitions or parallelism(scores.sparkSession)
+    r = agg.repartitionByRange(n_parts, "cls", "score").withColumn("pid", F.spark_partition_id())
     ptot = r.groupBy("cls", "pid").agg(F.sum("nneg").alias("pneg"))
     off = ptot.withColumn(
         "off", F.coalesce(F.sum("pneg").over(Window.partitionBy("cls").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
