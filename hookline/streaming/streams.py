@@ -75,11 +75,31 @@ def feedback_counts(feedback: DataFrame) -> DataFrame:
 
 def redirect_alerts(events: DataFrame) -> DataFrame:
     """O3 (batch): every redirect after the third within a page view raises an
-    alert carrying its running count."""
-    e = with_kind(events).where(F.col("kind") == "redirect")
-    w = Window.partitionBy("user_id", "day").orderBy("ts", "event_id")
+    alert carrying its running count.
+
+    The running count is a position inside the page view.  Rows are
+    range-partitioned by (user, day, ts, event_id); a small table of
+    (page view, partition) counts gives each partition its offset within the
+    page view by running sum, and rows are numbered only inside their
+    partition — a page view with a third of all events is split over tasks."""
+    from hookline.session import parallelism
+
+    e = with_kind(events).where(F.col("kind") == "redirect").select("user_id", "day", "event_id", "ts")
+    r = e.repartitionByRange(parallelism(events.sparkSession), "user_id", "day", "ts", "event_id").withColumn(
+        "pid", F.spark_partition_id()
+    )
+    counts = r.groupBy("user_id", "day", "pid").agg(F.count(F.lit(1)).alias("pn"))
+    offsets = counts.select(
+        "user_id", "day", "pid",
+        F.coalesce(
+            F.sum("pn").over(Window.partitionBy("user_id", "day").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)),
+            F.lit(0),
+        ).alias("off"),
+    )
+    w = Window.partitionBy("user_id", "day", "pid").orderBy("ts", "event_id")
+    numbered = r.withColumn("_n", F.row_number().over(w)).join(offsets, ["user_id", "day", "pid"])
     return (
-        e.withColumn("redirect_count", F.row_number().over(w))
+        numbered.withColumn("redirect_count", (F.col("off") + F.col("_n")).cast("int"))
         .where(F.col("redirect_count") > K.REDIRECT_ALERT_AFTER)
         .select("user_id", "day", "event_id", "ts", "redirect_count")
     )
