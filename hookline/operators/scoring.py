@@ -221,10 +221,11 @@ def weighted_roc_auc(scores: DataFrame, label: str = "label", prefix: str = "vot
     agg = per.groupBy("cls", "score").agg(
         F.sum(F.when(F.col("pos"), 1).otherwise(0)).alias("npos"), F.sum(F.when(F.col("pos"), 0).otherwise(1)).alias("nneg")
     )
-    from hookline.session import parallelism
+    from hookline.session import materialize, parallelism
 
     n_parts = partitions or parallelism(scores.sparkSession)
-    r = agg.repartitionByRange(n_parts, "cls", "score").withColumn("pid", F.spark_partition_id())
+    # One materialisation: both uses below must see the same partition ids.
+    r = materialize(agg.repartitionByRange(n_parts, "cls", "score").withColumn("pid", F.spark_partition_id()))
     ptot = r.groupBy("cls", "pid").agg(F.sum("nneg").alias("pneg"))
     off = ptot.withColumn(
         "off", F.coalesce(F.sum("pneg").over(Window.partitionBy("cls").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

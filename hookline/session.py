@@ -76,3 +76,13 @@ def spread(df):
     inputs already have many splits and are returned unchanged."""
     target = parallelism(df.sparkSession)
     return df.repartition(target) if df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism else df
+
+
+def materialize(df):
+    """Write ``df`` once to the shared checkpoint folder and read it back.
+
+    Used where two branches must see the same partition assignment (a range
+    partitioning samples its bounds per exchange, so ``spark_partition_id``
+    is only stable within one materialisation), and to cut long lineages."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

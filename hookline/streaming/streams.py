@@ -82,11 +82,13 @@ def redirect_alerts(events: DataFrame) -> DataFrame:
     (page view, partition) counts gives each partition its offset within the
     page view by running sum, and rows are numbered only inside their
     partition — a page view with a third of all events is split over tasks."""
-    from hookline.session import parallelism
+    from hookline.session import materialize, parallelism
 
     e = with_kind(events).where(F.col("kind") == "redirect").select("user_id", "day", "event_id", "ts")
-    r = e.repartitionByRange(parallelism(events.sparkSession), "user_id", "day", "ts", "event_id").withColumn(
-        "pid", F.spark_partition_id()
+    r = materialize(
+        e.repartitionByRange(parallelism(events.sparkSession), "user_id", "day", "ts", "event_id").withColumn(
+            "pid", F.spark_partition_id()
+        )
     )
     counts = r.groupBy("user_id", "day", "pid").agg(F.count(F.lit(1)).alias("pn"))
     offsets = counts.select(
@@ -137,11 +139,31 @@ def redirect_alerts_stateful(events: DataFrame) -> DataFrame:
 
 def warning_dwell(events: DataFrame) -> DataFrame:
     """Time on the warning page — from a blocked event to the user's
-    next event of the same page view, in milliseconds."""
-    e = with_kind(events)
-    w = Window.partitionBy("user_id", "day").orderBy("ts", "event_id")
-    nxt = e.withColumn("next_ts", F.lead("ts").over(w))
-    return nxt.where((F.col("kind") == "blocked") & F.col("next_ts").isNotNull()).select(
+    next event of the same page view, in milliseconds.
+
+    Events are range-partitioned by (user, day, ts, event_id) and ``lead``
+    runs inside each partition; the last event of a page view in a partition
+    takes the first event of the page view's next partition from a small
+    (page view, partition) table, so no page view is gathered into one task."""
+    from hookline.session import materialize, parallelism
+
+    e = with_kind(events).select("user_id", "day", "event_id", "ts", "kind")
+    r = materialize(
+        e.repartitionByRange(parallelism(events.sparkSession), "user_id", "day", "ts", "event_id").withColumn(
+            "pid", F.spark_partition_id()
+        )
+    )
+    firsts = r.groupBy("user_id", "day", "pid").agg(F.min(F.struct("ts", "event_id")).alias("first"))
+    nxt_part = firsts.select(
+        "user_id", "day", "pid",
+        F.lead(F.col("first.ts")).over(Window.partitionBy("user_id", "day").orderBy("pid")).alias("next_part_ts"),
+    )
+    w = Window.partitionBy("user_id", "day", "pid").orderBy("ts", "event_id")
+    x = r.withColumn("next_ts", F.lead("ts").over(w)).where(F.col("kind") == "blocked")
+    x = x.join(nxt_part, ["user_id", "day", "pid"], "left").withColumn(
+        "next_ts", F.coalesce(F.col("next_ts"), F.col("next_part_ts"))
+    )
+    return x.where(F.col("next_ts").isNotNull()).select(
         "user_id", "event_id",
         ((F.unix_micros(F.col("next_ts").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 1000)
         .cast("long").alias("dwell_ms"),
