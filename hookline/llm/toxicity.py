@@ -30,10 +30,10 @@ from hookline.llm import common as C
 #: Coordinates of the hashed feature space: 2**BITS.
 BITS = 22
 #: Labelled rows that the model is fitted on, at most.
-FIT_ROWS = 12_000
+FIT_ROWS = 16_000
 #: Passes over them.
-EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.15, 1.0, 1.5, 1.0
+EPOCHS = 4
+ALPHA, BETA, L1, L2 = 1.2, 1.0, 8.0, 1.0
 #: Non-zero weights that may be sent to the workers: those that FTRL leaves from
 #: FIT_ROWS rows, 12 bytes each.
 MAX_WEIGHTS = 1 << BITS
