@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hookline.llm import common as C
-from hookline.llm import decontam, jump_shard, packing, token_cache, toxicity
+from hookline.llm import decontam, jump_shard, packing, token_cache, toxicity, trie_join
 from hookline.llm.oracles import ORACLES
 from hookline.session import checkpoint_dir
 
@@ -48,6 +48,12 @@ def op3_aho_corasick(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op6_trie_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingles overlap by 90 % or more."""
+    return trie_join.near_duplicates(C.table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 @query
 def op7_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards by jump consistent hashing of doc_id."""
