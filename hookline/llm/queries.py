@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hookline.llm import common as C
-from hookline.llm import decontam, jump_shard, packing, token_cache, toxicity, trie_join
+from hookline.llm import decontam, jump_shard, packing, quality_rules, token_cache, toxicity, trie_join
 from hookline.llm.oracles import ORACLES
 from hookline.session import checkpoint_dir
 
@@ -35,6 +35,12 @@ def op1_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(C.table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+@query
+def op2_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and robust outlier verdicts of all documents."""
+    return quality_rules.verdicts(C.table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_aho_corasick(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows found in all documents."""
