@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hookline.llm import common as C
-from hookline.llm import decontam, jump_shard, packing, quality_rules, token_cache, toxicity, trie_join
+from hookline.llm import bloom_lm, decontam, jump_shard, packing, quality_rules, token_cache, toxicity, trie_join
 from hookline.llm.oracles import ORACLES
 from hookline.session import checkpoint_dir
 
@@ -54,6 +54,12 @@ def op3_aho_corasick(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op4_log_frequency_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model and base scores of all documents."""
+    return bloom_lm.language_model_scores(C.table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_trie_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingles overlap by 90 % or more."""
