@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hookline.llm import common as C
-from hookline.llm import bloom_lm, decontam, jump_shard, packing, quality_rules, token_cache, toxicity, trie_join
+from hookline.llm import bloom_lm, decontam, jump_shard, license_scan, ordinal, packing, quality_rules, token_cache, toxicity, trie_join
 from hookline.llm.oracles import ORACLES
 from hookline.session import checkpoint_dir
 
@@ -60,6 +60,20 @@ def op4_log_frequency_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_lm.language_model_scores(C.table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and tail probabilities of all documents; kept: grade 1 or more likelier than not."""
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = C.table(spark, sf_dir, "labels")
+    rated = labels.select("doc_id", ordinal.grade(F.col("quality"), F.col("toxic")).alias("grade"))
+    model = C.stage(ordinal.train(docs, rated, 3), "ordinal")
+    graded = ordinal.expected_grades(docs, model, 3, "p")
+    return graded.select(
+        "doc_id", toxicity.held_out().alias("held_out"), (F.col("p")[0] + F.col("p")[1]).alias("expected_grade"),
+        F.col("p")[0].alias("p_grade_1"), F.col("p")[1].alias("p_grade_2"), (F.col("p")[0] >= 0.5).alias("kept"),
+    )
+
+
 @query
 def op6_trie_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingles overlap by 90 % or more."""
@@ -91,3 +105,9 @@ def op9_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         "doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+@query
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families of all documents."""
+    return license_scan.licenses(C.table(spark, sf_dir, "documents"))
