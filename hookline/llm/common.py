@@ -7,6 +7,7 @@ import uuid
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hookline.session import checkpoint_dir
@@ -47,6 +48,20 @@ def row_key() -> Column:
     return F.xxhash64(F.col("doc_id"), F.col("text"))
 
 
+_KEY, _PLACE = "_llm_row_key", "_llm_row_place"
+
+
+def rows_of(docs: DataFrame, keys: DataFrame, column: str, one_each: bool = True) -> DataFrame:
+    """Rows of `docs` whose row key is in `keys` (distinct), all columns; of equal
+    rows one, or all of them."""
+    wanted = keys.select(F.col(column).alias(_KEY))
+    found = docs.withColumn(_KEY, row_key()).join(wanted.hint("merge"), _KEY, "left_semi")
+    if one_each:  # the join has sorted by the key already
+        place = F.row_number().over(W.partitionBy(_KEY).orderBy(_KEY))
+        found = found.withColumn(_PLACE, place).where(F.col(_PLACE) == 1)
+    return found.select(*docs.columns)
+
+
 def lower_words(text: bytes | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z."""
     return text.translate(_LOWER_TABLE).split() if text else []

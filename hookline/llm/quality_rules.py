@@ -346,3 +346,10 @@ def verdicts(docs: DataFrame, tail: float = TAIL, min_unit: int = MIN_UNIT, extr
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         kept.alias("kept"), "d2", *extra,
     )
+
+
+def keep_good(docs: DataFrame, tail: float = TAIL) -> DataFrame:
+    """Rows of `docs` that the rules keep, all columns."""
+    found = verdicts(docs, tail, extra={"row_key": C.row_key()})
+    kept = C.stage(found.where("kept").select("row_key").distinct(), "kept")
+    return C.rows_of(docs, kept, "row_key", one_each=False)

@@ -77,7 +77,8 @@ def op5_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_trie_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingles overlap by 90 % or more."""
-    return trie_join.near_duplicates(C.table(spark, sf_dir, "documents"), n=3, percent=90)
+    found = trie_join.near_duplicates(C.table(spark, sf_dir, "documents"), n=3, percent=90)
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 @query

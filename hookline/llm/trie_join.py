@@ -119,12 +119,12 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n (set size), digest of the set, signatures."""
+    """doc_id, row key, n (set size), digest of the set, signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, digests, sigs = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 s = shingle_set(text, n)
                 sizes.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
@@ -132,13 +132,15 @@ def sets_of(docs: DataFrame, n: int, percent: int) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in sigs])]).astype(np.int32)
             values = np.concatenate(sigs) if sigs else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
                  pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int64()))],
-                names=["doc_id", "n", "digest", "sigs"],
+                names=["doc_id", "key", "n", "digest", "sigs"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, digest binary, sigs array<long>")
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), C.row_key().alias("key"), F.col("text").cast("binary").alias("text")
+    )
+    return rows.mapInArrow(run, "doc_id long, key long, n long, digest binary, sigs array<long>")
 
 
 # ------------------------------------------------------------------ the trie
@@ -283,7 +285,8 @@ def _links(blocks: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, trie_sets: int = TRIE_SETS) -> DataFrame:
-    """doc_id, n_shingles, component_id per document; see the module's text."""
+    """doc_id, key (of doc_id and text), n_shingles, component_id per document; see the
+    module's text."""
     C.small_batches(docs.sparkSession)
     rows = C.stage(sets_of(docs, n, percent), "sets")
     some = rows.where("n > 0")
@@ -365,6 +368,19 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, trie_sets: i
     # A class takes the component of its representative.
     label = classes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     return rows.join(label, "digest", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
+        "doc_id", "key", F.col("n").alias("n_shingles"), "digest",
         F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"),
     )
+
+
+def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """`docs` with one row of each component: its smallest doc_id, and of rows that
+    repeat that id the one of the smallest row key.  Rows without an id stay if no
+    row with an id has their set, one of each set."""
+    rows = near_duplicates(docs, n, percent)
+    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("#"), F.hex("digest")), F.lit("#"))
+    first = F.struct(
+        (~F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("other"), F.col("key").alias("key")
+    )
+    chosen = C.stage(rows.groupBy(group.alias("g")).agg(F.min(first).alias("one")).select("one.key").distinct(), "chosen")
+    return C.rows_of(docs, chosen, "key")
