@@ -267,22 +267,10 @@ RANK_SLICE = (40001, 48000)
 # FIXED VALUES — end
 # ---------------------------------------------------------------------------
 
-# Seed public-suffix table.  No public-suffix list ships with the runtime, so
-# the split of a host into (subdomain, domain, suffix) uses the suffixes that
-# the rules themselves name (legitimate domains, TLD lists, generator TLDs)
-# plus the parents of the multi-label ones.  Callers may pass their own list.
-SUFFIX_SEED = sorted(
-    {
-        "com", "net", "org", "edu", "gov", "mil", "in", "co.in", "ac.in", "gov.in",
-        "co.uk", "uk", "ca", "de", "fr", "com.au", "au", "co.jp", "jp", "com.br", "br",
-        "co", "me", "be", "it", "us", "sbi", "cab", "info", "biz", "io", "cc",
-        "tk", "ml", "ga", "cf", "gq", "pw", "xyz", "top", "club", "online", "site",
-        "website", "space", "store", "tech", "app", "pro", "shop", "work", "buzz",
-        "loan", "click",
-    }
-)
-
 URL_SCHEMES_WITH_PARAMS = [
     "", "ftp", "hdl", "prospero", "http", "imap", "https", "shttp", "rtsp", "rtsps",
     "rtspu", "sip", "sips", "mms", "sftp", "tel",
 ]
+
+# Suffixes of one kind of derived URL: plain, two labels, wildcard, exception.
+ODD_SUFFIXES = [".tk", ".ru", ".com.cn", ".co.uk", ".gov.ck", ".www.ck", ".x.kobe.jp", ".city.kobe.jp", ".nosuchsuffix"]

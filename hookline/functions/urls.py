@@ -9,12 +9,11 @@ with an anchored regular expression that follows the standard library's
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hookline import constants as K
+from hookline.functions.suffixes import with_suffix_labels
 from hookline.functions.text import NON_PRINTABLE, col_
 
 IPV4_STRICT = r"^(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}$"
@@ -156,42 +155,6 @@ def lenient_host(c: Column | str) -> Column:
     return F.regexp_replace(F.trim(host), r"\.+$", "")
 
 
-def split_domain(c: Column | str, suffixes: Sequence[str] | None = None) -> Column:
-    """struct(subdomain, domain, suffix) by longest suffix match.
-
-    The suffix table is a constant of bounded size (a literal array), so the
-    lookup is an in-expression membership test, no join.  An IPv4 host is
-    wholly ``domain``; an unknown suffix gives '' and the last label as domain.
-    """
-    sfx = F.array(*[F.lit(s) for s in (suffixes or K.SUFFIX_SEED)])
-    host = lenient_host(c)
-    labels = F.split(host, r"\.", -1)
-    n = F.size(labels)
-    low = F.lower(host)
-
-    def tail(k: int) -> Column:
-        return F.lower(F.array_join(F.slice(labels, -k, k), "."))
-
-    k = (
-        F.when((n >= 3) & F.array_contains(sfx, tail(3)), F.lit(3))
-        .when((n >= 2) & F.array_contains(sfx, tail(2)), F.lit(2))
-        .when((n >= 1) & F.array_contains(sfx, tail(1)), F.lit(1))
-        .otherwise(F.lit(0))
-    )
-    is_ip = (k == 0) & low.rlike(IPV4_STRICT)
-    cut = n - k
-    suffix = F.when(k > 0, F.array_join(F.slice(labels, F.greatest(cut + 1, F.lit(1)), k), ".")).otherwise(F.lit(""))
-    domain = F.when(cut >= 1, F.element_at(labels, F.greatest(cut, F.lit(1)))).otherwise(F.lit(""))
-    sub = F.when(cut >= 2, F.array_join(F.slice(labels, F.lit(1), F.greatest(cut - 1, F.lit(1))), ".")).otherwise(
-        F.lit("")
-    )
-    return F.struct(
-        F.when(is_ip, F.lit("")).otherwise(sub).alias("subdomain"),
-        F.when(is_ip, host).otherwise(domain).alias("domain"),
-        F.when(is_ip, F.lit("")).otherwise(suffix).alias("suffix"),
-    )
-
-
 def registered_domain(domain: Column, suffix: Column) -> Column:
     """``domain.suffix`` lower-cased (just ``domain`` when no suffix)."""
     return F.lower(F.when(suffix != "", F.concat_ws(".", domain, suffix)).otherwise(domain))
@@ -235,7 +198,8 @@ def query_pairs(c: Column | str) -> Column:
     parts = F.filter(F.split(q, "&", -1), lambda p: p != "")
 
     def dec(x: Column) -> Column:
-        return F.coalesce(F.try_url_decode(x), x)
+        # A '%' that begins no escape stands for itself, as in a browser.
+        return F.coalesce(F.try_url_decode(F.regexp_replace(x, "%(?![0-9A-Fa-f]{2})", "%25")), x)
 
     return F.transform(
         parts,
@@ -248,7 +212,8 @@ def query_pairs(c: Column | str) -> Column:
 
 # ------------------------------------------------------------ staged parts
 
-def add_url_parts(df: DataFrame, url_col: str = "url", prefix: str = "_p_", clean: bool = True) -> DataFrame:
+def add_url_parts(df: DataFrame, url_col: str = "url", prefix: str = "_p_", clean: bool = True,
+                  suffixes: tuple[str, ...] | None = None) -> DataFrame:
     """Add the URL parts as columns, one small projection per stage.
 
     Each stage refers to the previous one by attribute, so no part expression
@@ -257,6 +222,10 @@ def add_url_parts(df: DataFrame, url_col: str = "url", prefix: str = "_p_", clea
     ``u`` (printable-ASCII URL when ``clean``), ``bad`` (blank or unparsable),
     ``scheme``, ``netloc``, ``path``, ``query``, ``fragment``, ``host``,
     ``sub``, ``dom``, ``sfx``.
+
+    C2: the host is cut at its public suffix (``suffixes``: rules to use instead of
+    the public list); an IPv4 host is wholly ``dom``, and without a rule the suffix
+    is empty and the last label is ``dom``.
     """
     p = prefix
     c = F.col
@@ -280,13 +249,9 @@ def add_url_parts(df: DataFrame, url_col: str = "url", prefix: str = "_p_", clea
         }
     )
     rest = c(f"{p}rest")
+    s3 = with_suffix_labels(s3, f"{p}labels", f"{p}k", suffixes)
     labels = c(f"{p}labels")
     n = F.size(labels)
-    sfx = F.array(*[F.lit(x) for x in K.SUFFIX_SEED])
-
-    def tail(k: int) -> Column:
-        return F.lower(F.array_join(F.slice(labels, -k, k), "."))
-
     netloc = c(f"{p}netloc")
     has_open = netloc.contains("[")
     bracketed = F.regexp_extract(netloc, r"\[([^\]]*)\]", 1)
@@ -295,10 +260,6 @@ def add_url_parts(df: DataFrame, url_col: str = "url", prefix: str = "_p_", clea
             f"{p}path_raw": F.regexp_extract(rest, r"^([^?#]*)", 1),
             f"{p}query": F.regexp_extract(rest, r"^[^?#]*\?([^#]*)", 1),
             f"{p}fragment": F.regexp_extract(rest, r"^[^#]*#(.*)$", 1),
-            f"{p}k": F.when((n >= 3) & F.array_contains(sfx, tail(3)), F.lit(3))
-            .when((n >= 2) & F.array_contains(sfx, tail(2)), F.lit(2))
-            .when((n >= 1) & F.array_contains(sfx, tail(1)), F.lit(1))
-            .otherwise(F.lit(0)),
             f"{p}bad": c(f"{p}blank")
             | (has_open != netloc.contains("]"))
             | (has_open & ~(bracketed.rlike(IPV6_LIKE) | bracketed.rlike(IPVFUTURE))),

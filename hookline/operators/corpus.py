@@ -43,7 +43,7 @@ def _before(b: Column, i: Column) -> Column:
 
 
 def _after(b: Column, i: Column) -> Column:
-    return F.substr(b, i + 1, F.lit(1 << 16))
+    return F.substr(b, i + 1, F.length(b))
 
 
 def _char(b: Column, i: Column) -> Column:
@@ -69,11 +69,11 @@ def typos_for(brands: DataFrame, brand_col: str = "brand") -> DataFrame:
     omission = F.when(n > 3, F.transform(_positions(b), lambda i: F.concat(_before(b, i), _after(b, i)))).otherwise(
         F.array().cast("array<string>")
     )
-    duplication = F.transform(_positions(b), lambda i: F.concat(F.substr(b, F.lit(1), i), F.substr(b, i, F.lit(1 << 16))))
+    duplication = F.transform(_positions(b), lambda i: F.concat(F.substr(b, F.lit(1), i), F.substr(b, i, F.length(b))))
     swap = F.transform(
         F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
         lambda i: F.when(
-            i <= n - 1, F.concat(_before(b, i), _char(b, i + 1), _char(b, i), F.substr(b, i + 2, F.lit(1 << 16)))
+            i <= n - 1, F.concat(_before(b, i), _char(b, i + 1), _char(b, i), F.substr(b, i + 2, F.length(b)))
         ),
     )
     affix = F.array(*[F.concat(b, F.lit(d)) for d in K.SYNTH_DIGIT_AFFIXES] + [F.concat(F.lit(d), b) for d in K.SYNTH_DIGIT_AFFIXES])
@@ -125,12 +125,12 @@ def typo_patterns(brands: DataFrame, brand_col: str = "brand") -> DataFrame:
     omission = F.when(n > 4, F.transform(pos, lambda i: F.concat(_before(b, i), _after(b, i)))).otherwise(
         F.array().cast("array<string>")
     )
-    duplication = F.transform(pos, lambda i: F.concat(F.substr(b, F.lit(1), i), F.substr(b, i, F.lit(1 << 16))))
+    duplication = F.transform(pos, lambda i: F.concat(F.substr(b, F.lit(1), i), F.substr(b, i, F.length(b))))
     swap = F.filter(
         F.transform(
             pos,
             lambda i: F.when(
-                i <= n - 1, F.concat(_before(b, i), _char(b, i + 1), _char(b, i), F.substr(b, i + 2, F.lit(1 << 16)))
+                i <= n - 1, F.concat(_before(b, i), _char(b, i + 1), _char(b, i), F.substr(b, i + 2, F.length(b)))
             ),
         ),
         lambda x: x.isNotNull(),

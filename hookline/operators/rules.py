@@ -1,14 +1,11 @@
 """Browser-side rules (F1–F8) and page content scans.
 
-All native column expressions; the threat list join (F2) is a broadcast
-nested-loop join behind a size check, with an exact substring equi-join when
-the list is too large to broadcast.
+All native column expressions; the threat list join (F2) is an equi-join on
+the first characters of the threats.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,9 +13,6 @@ from hookline import constants as K
 from hookline.functions import text as TX
 from hookline.functions import urls as U
 
-# Threat lists above this many rows are not broadcast.
-MAX_BROADCAST_THREATS = 200_000
-
 
 # ----------------------------------------------------------------------- F1
 
@@ -43,42 +37,30 @@ def quick_risk_score(url: Column) -> Column:
 
 # ----------------------------------------------------------------------- F2
 
-def threat_match(df: DataFrame, threats: DataFrame, url_col: str = "url", threat_col: str = "threat",
-                 key_cols: list[str] | None = None) -> DataFrame:
+def threat_match(df: DataFrame, threats: DataFrame, url_col: str = "url", threat_col: str = "threat") -> DataFrame:
     """add ``known_threat`` — some threat string is contained in the URL or
     in its hostname.
 
-    Small lists (checked by count) are broadcast: a left-semi and a left-anti
-    broadcast nested-loop join flag every row without shuffling it.  Larger
-    lists use an exact equi-join of the URL's and host's substrings of every
-    threat length against the threat table, then join the flags back by key.
-    """
+    The distinct URLs give their substrings as long as the shortest threat; an
+    equi-join with the threats on those first characters leaves few candidates,
+    which are verified.  The flagged URLs join back on the URL."""
     t = threats.select(F.col(threat_col).alias("_t")).where(F.col("_t").isNotNull() & (F.col("_t") != "")).distinct()
-    x = df.withColumn("_host", U.browser_hostname(F.col(url_col)))
-    n = t.count()
-    if n <= MAX_BROADCAST_THREATS:
-        cond = (F.instr(F.col(url_col), F.col("_t")) > 0) | (F.instr(F.col("_host"), F.col("_t")) > 0)
-        hit = x.join(F.broadcast(t), cond, "left_semi").withColumn("known_threat", F.lit(True))
-        miss = x.join(F.broadcast(t), cond, "left_anti").withColumn("known_threat", F.lit(False))
-        return hit.unionByName(miss).drop("_host")
-    keys = key_cols or [url_col]
-    lens = [r[0] for r in t.select(F.length("_t")).distinct().collect()]
-    lens_arr = F.array(*[F.lit(v) for v in sorted(lens)])
-
-    def subs(c: Column) -> Column:
-        return F.flatten(
-            F.transform(
-                F.filter(lens_arr, lambda k: k <= F.length(c)),
-                lambda k: F.transform(F.sequence(F.lit(1), F.length(c) - k + 1), lambda i: F.substr(c, i, k)),
-            )
-        )
-
-    cand = x.select(*keys, F.explode(F.array_distinct(F.concat(subs(F.col(url_col)), subs(F.col("_host"))))).alias("_t"))
-    flagged = cand.join(t, "_t", "left_semi").select(*keys).distinct().withColumn("known_threat", F.lit(True))
-    return (
-        x.join(flagged, keys, "left")
-        .withColumn("known_threat", F.coalesce(F.col("known_threat"), F.lit(False)))
-        .drop("_host")
+    k = t.agg(F.min(F.length("_t"))).first()[0] or 1
+    t = t.withColumn("_g", F.substring("_t", 1, k))
+
+    def grams(c: Column) -> Column:
+        return F.when(
+            F.length(c) >= k,
+            F.transform(F.sequence(F.lit(1), F.length(c) - k + 1), lambda i: F.substr(c, i, F.lit(k))),
+        ).otherwise(F.array().cast("array<string>"))
+
+    u = df.select(F.col(url_col).alias("_u")).where(F.col(url_col).isNotNull()).distinct()
+    u = u.withColumn("_host", U.browser_hostname(F.col("_u")))
+    cand = u.select("_u", "_host", F.explode(F.array_distinct(F.concat(grams(F.col("_u")), grams(F.col("_host"))))).alias("_g"))
+    hit = (F.instr(F.col("_u"), F.col("_t")) > 0) | (F.instr(F.col("_host"), F.col("_t")) > 0)
+    flagged = cand.join(t, "_g").where(hit).select(F.col("_u").alias(url_col)).distinct()
+    return df.join(flagged.withColumn("known_threat", F.lit(True)), url_col, "left").select(
+        *df.columns, F.coalesce(F.col("known_threat"), F.lit(False)).alias("known_threat")
     )
 
 
@@ -206,7 +188,3 @@ def xss_params(url: Column) -> Column:
     pairs = U.query_pairs(U.url_query(url))
     pat = "(?i)(" + "|".join(K.XSS_PATTERNS) + ")"
     return F.transform(F.filter(pairs, lambda p: p["value"].rlike(pat)), lambda p: p["key"])
-
-
-def _escape(words) -> str:
-    return "|".join(re.escape(w) for w in words)

@@ -498,8 +498,9 @@ def q_nav_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("stream_running_stats", lambda: O.nav_stats_sql())
 def q_stream_running_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O2 as a Structured Streaming aggregation (complete mode, availableNow)."""
-    return SS.run_available_now(SS.running_stats(SS.event_stream(spark, sf_dir)), "running_stats", mode="complete")
+    """O2 as a Structured Streaming aggregation (update mode, keyed upsert)."""
+    stats = SS.running_stats(SS.event_stream(spark, sf_dir))
+    return SS.run_upsert(stats, SS.stream_folder(spark, "running_stats"), ["user_id"])
 
 
 @register("event_report", lambda: O.event_report_sql())
@@ -516,21 +517,30 @@ def q_redirect_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("stream_redirect_alerts", lambda: O.redirect_alerts_sql())
 def q_stream_redirect_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O3 as a stateful stream (applyInPandasWithState, per page view)."""
-    return SS.run_available_now(SS.redirect_alerts_stateful(SS.event_stream(spark, sf_dir)), "redirect_alerts")
+    """O3 as a stream: page views touched by a micro-batch are counted anew."""
+    folder = SS.stream_folder(spark, "redirect_alerts")
+    return SS.run_page_views(SS.event_stream(spark, sf_dir), folder, SS.only("redirect"), SS.redirect_alerts)
 
 
 @register("warning_dwell", lambda: O.warning_dwell_sql())
 def q_warning_dwell(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Milliseconds from a block to the next event of the page view."""
-    return SS.warning_dwell(_events(spark, sf_dir))
+    return SS.warning_dwell(_events(spark, sf_dir)).drop("day")
+
+
+@register("stream_warning_dwell", lambda: O.warning_dwell_sql())
+def q_stream_warning_dwell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O6 as a stream."""
+    folder = SS.stream_folder(spark, "warning_dwell")
+    return SS.run_page_views(SS.event_stream(spark, sf_dir), folder, SS.only(None), SS.warning_dwell).drop("day")
 
 
 @register("feedback_count", lambda: O.feedback_count_sql())
 def q_feedback_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feedback records appended by a stream, then counted."""
     pages, n = _pages(spark, sf_dir)
-    fb = SS.run_available_now(SS.feedback_records(SS.event_stream(spark, sf_dir), pages, n), "feedback")
+    records = SS.feedback_records(SS.event_stream(spark, sf_dir), pages, n)
+    fb = SS.run_append(records, SS.stream_folder(spark, "feedback"))
     return SS.feedback_counts(fb)
 
 
@@ -543,10 +553,15 @@ def q_navigation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("stream_navigation", lambda: O.navigation_events_sql())
 def q_stream_navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O1 + O7 as a stream: stream-static joins to pages and the threat list."""
+    """O1 as a stream: the batch decision on every micro-batch."""
     pages, n = _pages(spark, sf_dir)
-    s = SS.navigation_decisions(SS.event_stream(spark, sf_dir), pages, n, D.threats(spark, sf_dir))
-    return SS.run_available_now(s, "navigation")
+    threats = D.threats(spark, sf_dir)
+
+    def decide(events: DataFrame) -> DataFrame:
+        return SS.navigation_decisions(events, pages, n, threats)
+
+    schema = decide(spark.createDataFrame([], SS.EVENT_SCHEMA)).schema
+    return SS.run_batches(SS.event_stream(spark, sf_dir), SS.stream_folder(spark, "navigation"), decide, schema)
 
 
 # ------------------------------------------------------ sources and cleaning
@@ -570,7 +585,9 @@ def q_tld_one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suffix indicators with the first (alphabetical) level dropped."""
     parts = U.add_url_parts(D.typed_urls(spark, sf_dir), "url", "_p_", clean=True)
     x = parts.select("id", "source", F.col("_p_sfx").alias("suffix"))
-    return IO.one_hot(x, "suffix", "suffix_onehot")
+    from pyspark.ml.functions import vector_to_array
+
+    return IO.one_hot(x, "suffix", "suffix_onehot").withColumn("suffix_onehot", vector_to_array("suffix_onehot"))
 
 
 @register("phishing_head", lambda: O.phishing_head_sql())

@@ -58,6 +58,8 @@ def odd_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     ks = k.cast("string")
     m = F.pmod(k, F.lit(8))
+    ends = F.array(*[F.lit(x) for x in K.ODD_SUFFIXES])
+    end = F.element_at(ends, (F.pmod(F.floor(k / 8), F.lit(len(K.ODD_SUFFIXES))) + 1).cast("int"))
     url = (
         F.when(
             m == 0,
@@ -70,7 +72,7 @@ def odd_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(m == 1, F.concat(F.lit("https://secure-update.com@acct"), ks, F.lit(".example.com/verify")))
         .when(m == 2, F.concat(F.lit("HTTP://Host"), ks, F.lit(".Example.NET:8080/Account/Update")))
         .when(m == 3, F.concat(F.lit("https://files.example.org/"), F.repeat(F.lit("ab1-"), 30), ks))
-        .when(m == 4, F.concat(F.lit("https://news.example.com/%70%61th/"), ks, F.lit("?q=%3Cscript%3E&r=caf%C3%A9+x")))
+        .when(m == 4, F.concat(F.lit("https://news.example.com/%70%61th/"), ks, F.lit("?q=%3Cscript%3E&r=caf%C3%A9+x&d=50%%3Cscript%3E")))
         .when(m == 5, F.concat(F.lit("www.shop"), ks, F.lit(".example.com/cart;v=1?item="), ks))
         .when(
             m == 6,
@@ -79,7 +81,7 @@ def odd_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.lit(")</script>&next=javascript:void(0)"),
             ),
         )
-        .otherwise(F.concat(F.lit("http://download"), ks, F.lit(".tk/setup.exe")))
+        .otherwise(F.concat(F.lit("http://download"), ks, end, F.lit("/setup.exe")))
     )
     return read(spark, sf_dir, "orders").select(k.alias("id"), F.lit("odd").alias("source"), url.alias("url"))
 
@@ -121,9 +123,7 @@ def typed_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    from hookline.session import spread
-
-    return spread(out)
+    return out
 
 
 def given_probs(spark: SparkSession, sf_dir: str) -> DataFrame:

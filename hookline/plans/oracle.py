@@ -15,6 +15,7 @@ from hookline.functions.features import (
     HOST29_SYMBOLS, MAIN_NATIVE_FEATURES, MINI11_FEATURES, V1_ACTION_WORDS, V1_FEATURES, V1_SENSITIVE_WORDS,
     V1_SHORTENERS, V1_SUSPICIOUS_WORDS, leet_patterns,
 )
+from hookline.functions.suffixes import public_suffix_rules
 
 ROUND = 9
 
@@ -118,16 +119,17 @@ def legit_urls_sql() -> str:
 def odd_urls_sql() -> str:
     k = "o_orderkey"
     ks = f"{k}::VARCHAR"
+    ends = lst(K.ODD_SUFFIXES)
     return f"""SELECT {k}::BIGINT AS id, 'odd' AS source, CASE {k} % 8
       WHEN 0 THEN 'http://' || ({k} % 223 + 1)::VARCHAR || '.' || ({k} % 97)::VARCHAR || '.' || ({k} % 13)::VARCHAR
                   || '.' || ({k} % 251)::VARCHAR || '/login.php?id=' || {ks}
       WHEN 1 THEN 'https://secure-update.com@acct' || {ks} || '.example.com/verify'
       WHEN 2 THEN 'HTTP://Host' || {ks} || '.Example.NET:8080/Account/Update'
       WHEN 3 THEN 'https://files.example.org/' || repeat('ab1-', 30) || {ks}
-      WHEN 4 THEN 'https://news.example.com/%70%61th/' || {ks} || '?q=%3Cscript%3E&r=caf%C3%A9+x'
+      WHEN 4 THEN 'https://news.example.com/%70%61th/' || {ks} || '?q=%3Cscript%3E&r=caf%C3%A9+x&d=50%%3Cscript%3E'
       WHEN 5 THEN 'www.shop' || {ks} || '.example.com/cart;v=1?item=' || {ks}
       WHEN 6 THEN 'https://search.example.com/find?q=<script>alert(' || {ks} || ')</script>&next=javascript:void(0)'
-      ELSE 'http://download' || {ks} || '.tk/setup.exe' END AS url
+      ELSE 'http://download' || {ks} || {ends}[(o_orderkey // 8) % {len(K.ODD_SUFFIXES)} + 1] || '/setup.exe' END AS url
     FROM orders"""
 
 
@@ -205,8 +207,9 @@ def url_parts_ctes(src: str, url: str = "url", clean: bool = True) -> str:
     """CTEs p1..p4 over ``src``: u (printable ASCII), bad, scheme, netloc,
     path, query, fragment, subdomain, domain, suffix."""
     schemes = lst(K.URL_SCHEMES_WITH_PARAMS)
-    sfx = lst(K.SUFFIX_SEED)
-    return f"""p1 AS (
+    rules = ", ".join(f"({q(r)})" for r in public_suffix_rules())
+    return f"""psl AS MATERIALIZED (SELECT rule FROM (VALUES {rules}) r(rule)),
+    p1 AS (
       SELECT *, {"regexp_replace(" + url + ", '[^\\x20-\\x7E]', '', 'g')" if clean else url} AS u,
              ({url} IS NULL OR length(trim({url}, {WS})) = 0) AS blank
       FROM {src}),
@@ -236,13 +239,23 @@ def url_parts_ctes(src: str, url: str = "url", clean: bool = True) -> str:
                OR (contains(netloc, '[') AND NOT (regexp_matches(regexp_extract(netloc, '\\[([^\\]]*)\\]', 1), {q(IPV6_LIKE)})
                     OR regexp_matches(regexp_extract(netloc, '\\[([^\\]]*)\\]', 1), {q(IPVFUTURE)})))) AS parse_error
       FROM p4),
+    p5t AS (
+      SELECT *, lower(labels[len(labels)]) AS t1,
+        CASE WHEN len(labels) >= 2 THEN lower(array_to_string(labels[-2:], '.')) END AS t2,
+        CASE WHEN len(labels) >= 3 THEN lower(array_to_string(labels[-3:], '.')) END AS t3,
+        CASE WHEN len(labels) >= 4 THEN lower(array_to_string(labels[-4:], '.')) END AS t4
+      FROM p5),
     p6 AS (
       SELECT *, CASE
-          WHEN len(labels) >= 3 AND list_contains({sfx}, lower(array_to_string(list_slice(labels, len(labels) - 2, len(labels)), '.'))) THEN 3
-          WHEN len(labels) >= 2 AND list_contains({sfx}, lower(array_to_string(list_slice(labels, len(labels) - 1, len(labels)), '.'))) THEN 2
-          WHEN list_contains({sfx}, lower(labels[len(labels)])) THEN 1
+          WHEN t4 IS NOT NULL AND '!' || t4 IN (SELECT rule FROM psl) THEN 3
+          WHEN t3 IS NOT NULL AND '!' || t3 IN (SELECT rule FROM psl) THEN 2
+          WHEN t2 IS NOT NULL AND '!' || t2 IN (SELECT rule FROM psl) THEN 1
+          WHEN t4 IS NOT NULL AND (t4 IN (SELECT rule FROM psl) OR '*.' || t3 IN (SELECT rule FROM psl)) THEN 4
+          WHEN t3 IS NOT NULL AND (t3 IN (SELECT rule FROM psl) OR '*.' || t2 IN (SELECT rule FROM psl)) THEN 3
+          WHEN t2 IS NOT NULL AND (t2 IN (SELECT rule FROM psl) OR '*.' || t1 IN (SELECT rule FROM psl)) THEN 2
+          WHEN t1 IN (SELECT rule FROM psl) THEN 1
           ELSE 0 END AS sk
-      FROM p5),
+      FROM p5t),
     p7 AS (
       SELECT *, (sk = 0 AND regexp_matches(lower(host), {q(IPV4_STRICT)})) AS is_ip FROM p6),
     parts AS (

@@ -30,34 +30,21 @@ def get_spark(cpus: int | str = "*", app: str = "hookline", shuffle_partitions:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    quiet_codegen(spark)
     return spark
 
 
-def quiet_codegen(spark: SparkSession) -> None:
-    """Silence the code generator's fallback messages: a stage whose generated
-    code is too large to compile runs interpreted, which is expected for the
-    wide feature projections and is not an error."""
-    try:
-        jvm = spark.sparkContext._jvm
-        level = jvm.org.apache.logging.log4j.Level.OFF
-        for name in (
-            "org.apache.spark.sql.catalyst.expressions.codegen.CodeGenerator",
-            "org.apache.spark.sql.execution.WholeStageCodegenExec",
-        ):
-            jvm.org.apache.logging.log4j.core.config.Configurator.setLevel(name, level)
-    except Exception:  # logging backend differs: keep the defaults
-        pass
-
-
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a local one only when unset."""
+    """Return the shared checkpoint folder.  Unset, a local one is made for a local
+    master; on a cluster it is an error, since executors share no local folder."""
     conf = spark.sparkContext.getConf()
     current = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         jdir = spark.sparkContext._jsc.getCheckpointDir()
         if jdir.isPresent():
             return jdir.get()
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="hookline-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
@@ -70,14 +57,6 @@ def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
-def spread(df):
-    """Round-robin a frame whose scan yields fewer partitions than task slots
-    (small files are one split each) before per-row CPU-heavy work.  Large
-    inputs already have many splits and are returned unchanged."""
-    target = parallelism(df.sparkSession)
-    return df.repartition(target) if df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism else df
-
-
 def materialize(df):
     """Write ``df`` once to the shared checkpoint folder and read it back.
 

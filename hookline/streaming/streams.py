@@ -2,9 +2,9 @@
 
 Every job is written once as a DataFrame function that works on a batch or a
 streaming DataFrame; the ``run_*`` helpers run the streaming form from a file
-source with ``trigger(availableNow=True)`` into a table under the session's
-``spark.checkpoint.dir`` (shared storage on a cluster), with its own
-checkpoint so a restarted job resumes where it stopped.
+source with ``trigger(availableNow=True)`` into a folder under the session's
+``spark.checkpoint.dir`` (shared storage on a cluster) that holds its table and its
+checkpoint: run again with the same folder, a job resumes where it stopped.
 
 Event mapping of the driver's ``events`` table: error → blocked,
 view → scanned, purchase → safe, click → redirect, signup → feedback; a page
@@ -14,13 +14,11 @@ view is (user_id, calendar day).
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from hookline import constants as K
 from hookline.operators import rules as R
@@ -107,36 +105,6 @@ def redirect_alerts(events: DataFrame) -> DataFrame:
     )
 
 
-ALERT_SCHEMA = T.StructType(
-    [
-        T.StructField("user_id", T.LongType()), T.StructField("day", T.DateType()),
-        T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampType()),
-        T.StructField("redirect_count", T.IntegerType()),
-    ]
-)
-
-
-def _count_redirects(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Per page view: keep the running redirect count in state and emit the
-    events whose count passes the threshold."""
-    seen = state.get[0] if state.exists else 0
-    pdf = pd.concat(list(batches), ignore_index=True)
-    pdf = pdf.sort_values(["ts", "event_id"], kind="mergesort")
-    counts = seen + pd.RangeIndex(1, len(pdf) + 1).to_numpy()
-    state.update((int(counts[-1]) if len(pdf) else seen,))
-    out = pdf.assign(redirect_count=counts.astype("int32"))
-    out = out[out["redirect_count"] > K.REDIRECT_ALERT_AFTER]
-    yield out[["user_id", "day", "event_id", "ts", "redirect_count"]]
-
-
-def redirect_alerts_stateful(events: DataFrame) -> DataFrame:
-    """O3 (stream): the same alerts from per-page-view state."""
-    e = with_kind(events).where(F.col("kind") == "redirect").select("user_id", "day", "event_id", "ts")
-    return e.groupBy("user_id", "day").applyInPandasWithState(
-        _count_redirects, ALERT_SCHEMA, "count int", "append", GroupStateTimeout.NoTimeout
-    )
-
-
 def warning_dwell(events: DataFrame) -> DataFrame:
     """Time on the warning page — from a blocked event to the user's
     next event of the same page view, in milliseconds.
@@ -164,7 +132,7 @@ def warning_dwell(events: DataFrame) -> DataFrame:
         "next_ts", F.coalesce(F.col("next_ts"), F.col("next_part_ts"))
     )
     return x.where(F.col("next_ts").isNotNull()).select(
-        "user_id", "event_id",
+        "user_id", "day", "event_id",
         ((F.unix_micros(F.col("next_ts").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 1000)
         .cast("long").alias("dwell_ms"),
     )
@@ -193,33 +161,93 @@ def navigation_decisions(events: DataFrame, pages: DataFrame, n_pages: int, thre
 # ------------------------------------------------------------- stream runners
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The driver's events table as a file stream (one file per micro-batch)."""
-    return (
-        spark.readStream.schema(EVENT_SCHEMA)
-        .option("pathGlobFilter", "events.parquet")
-        .option("maxFilesPerTrigger", 1)
-        .parquet(sf_dir)
-    )
+    """The driver's events table (a file or a folder of part files) as a file
+    stream, one file per micro-batch.  (As a pattern, since a stream's plain path
+    has to be a folder.)"""
+    return spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/events.parque[t]")
 
 
-def _target(spark: SparkSession, name: str) -> tuple[str, str]:
-    base = checkpoint_dir(spark).rstrip("/")
-    run = uuid.uuid4().hex[:12]
-    return f"{base}/streams/{name}-{run}/out", f"{base}/streams/{name}-{run}/checkpoint"
+def stream_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for one job's table and checkpoint.  A job that is to resume
+    after a restart passes the same folder again."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def run_available_now(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a streaming DataFrame to completion with ``availableNow`` and return
-    the table it wrote.  Append streams append Parquet files; aggregating
-    streams run in complete mode and overwrite the table each micro-batch."""
-    spark = stream.sparkSession
-    out, ckpt = _target(spark, name)
-    if mode == "append":
-        q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt).outputMode("append")
-    else:
-        def write(batch: DataFrame, _id: int) -> None:
-            batch.write.mode("overwrite").parquet(out)
-
-        q = stream.writeStream.foreachBatch(write).option("checkpointLocation", ckpt).outputMode("complete")
+def _run(stream: DataFrame, folder: str, write: Callable[[DataFrame, int], None], mode: str) -> None:
+    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").outputMode(mode)
+    q.trigger(availableNow=True).start().awaitTermination()
+
+
+def run_append(stream: DataFrame, folder: str) -> DataFrame:
+    """Append the rows of a stream to ``folder/out`` (exactly once) and return the table."""
+    q = stream.writeStream.format("parquet").option("path", f"{folder}/out")
+    q = q.option("checkpointLocation", f"{folder}/checkpoint").outputMode("append")
     q.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def latest(table: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of each key's last micro-batch in a table partitioned by ``batch``."""
+    last = table.groupBy(*keys).agg(F.max("batch").alias("batch"))
+    return table.join(last, [*keys, "batch"]).drop("batch")
+
+
+def run_upsert(stream: DataFrame, folder: str, keys: list[str]) -> DataFrame:
+    """Run an aggregating stream in update mode: each micro-batch writes the rows
+    that changed (a repeated batch overwrites its own folder), and a reader takes
+    the last row of each key."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    _run(stream, folder, write, "update")
+    spark = stream.sparkSession
+    table = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())]))
+    return latest(table.parquet(f"{folder}/out"), keys)
+
+
+def run_batches(stream: DataFrame, folder: str, step: Callable[[DataFrame], DataFrame], schema: T.StructType) -> DataFrame:
+    """Apply a batch function to every micro-batch and return the table of all results."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        step(batch).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    _run(stream, folder, write, "append")
+    table = stream.sparkSession.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())]))
+    return table.parquet(f"{folder}/out").drop("batch")
+
+
+PAGE_VIEW = ["user_id", "day"]
+
+
+def run_page_views(stream: DataFrame, folder: str, keep: Callable[[DataFrame], DataFrame],
+                   step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """O3, O6 as streams: results that depend on the order of a page view's events.
+
+    Files may come late, so a micro-batch stores its own events and computes anew
+    the page views that it touches, from the stored events of those alone; the last
+    result of a page view counts.  The order of the files doesn't matter, and no
+    state lives in memory.  ``keep`` selects and prunes events, ``step`` is the batch
+    operator."""
+    spark = stream.sparkSession
+    events = f"{folder}/events"
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows = keep(batch)
+        rows.write.mode("overwrite").parquet(f"{events}/batch={number}")
+        now = with_kind(spark.read.parquet(f"{events}/batch={number}"))
+        # Later batches of a job that is run again are not there yet.
+        seen = with_kind(spark.read.schema(EVENT_SCHEMA + ", batch long").parquet(events)).where(F.col("batch") <= number)
+        touched = seen.join(now.select(*PAGE_VIEW).distinct(), PAGE_VIEW, "left_semi").drop("batch", "kind", "day")
+        step(touched).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    _run(stream, folder, write, "append")
+    empty = step(spark.createDataFrame([], EVENT_SCHEMA)).schema
+    table = spark.read.schema(T.StructType([*empty.fields, T.StructField("batch", T.LongType())]))
+    return latest(table.parquet(f"{folder}/out"), PAGE_VIEW)
+
+
+def only(kind: str | None) -> Callable[[DataFrame], DataFrame]:
+    """Events of one kind (or all), with the columns of the table."""
+    columns = [c.split()[0] for c in EVENT_SCHEMA.split(", ")]
+    return lambda events: (with_kind(events).where(F.col("kind") == kind) if kind else events).select(*columns)

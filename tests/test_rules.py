@@ -45,11 +45,24 @@ def test_page_scan_tags(spark):
     assert rows[1].password_on_untrusted is False
 
 
-def test_threat_match_large_list_path(spark, monkeypatch):
-    urls = spark.createDataFrame([(1, "https://bad.example.com/x"), (2, "https://good.org/evil-path"), (3, "https://ok.net")],
+def test_threat_match(spark):
+    urls = spark.createDataFrame([(1, "https://bad.example.com/x"), (2, "https://good.org/evil-path"), (3, "https://ok.net"),
+                                  (4, None), (5, ""), (6, "HTTPS://BAD.Example.com/"), (1, "https://bad.example.com/x")],
                                  "id long, url string")
-    threats = spark.createDataFrame([("bad.example",), ("evil-path",)], "threat string")
-    small = {r.id: r.known_threat for r in R.threat_match(urls, threats, key_cols=["id"]).collect()}
-    monkeypatch.setattr(R, "MAX_BROADCAST_THREATS", 0)
-    large = {r.id: r.known_threat for r in R.threat_match(urls, threats, key_cols=["id"]).collect()}
-    assert small == large == {1: True, 2: True, 3: False}
+    threats = spark.createDataFrame([("bad.example",), ("evil-path",), ("",), (None,), ("bad.example",)], "threat string")
+    df = R.threat_match(urls, threats)
+    got = sorted((r.id, r.known_threat) for r in df.collect())
+    # The browser's host name is in lower case, so row 6 matches by it.
+    assert got == [(1, True), (1, True), (2, True), (3, False), (4, False), (5, False), (6, True)]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    none = R.threat_match(urls, threats.where("threat IS NULL"))
+    assert none.count() == 7 and none.where("known_threat").count() == 0
+
+
+def test_stray_percent_signs_stand_for_themselves(spark):
+    cases = {"https://x.org/?q=50%%3Cscript%3E": ["q"], "https://x.org/?q=%zz%3Cscript%3E&b=1": ["q"],
+             "https://x.org/?q=100%": [], "https://x.org/?a=%3Cscript%3E": ["a"]}
+    df = spark.createDataFrame([(u,) for u in cases], "url string")
+    for r in df.select("url", R.xss_params(F.col("url")).alias("k")).collect():
+        assert r.k == cases[r.url], r.url
