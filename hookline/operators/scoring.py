@@ -7,7 +7,7 @@ evaluation a handful of small aggregations.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hookline import constants as K
@@ -44,17 +44,42 @@ def soft_vote(df: DataFrame, digits: int = 4) -> DataFrame:
     ).drop(*[f"_v_{c}" for c in K.CLASSES])
 
 
-def verdict_response(pred: Column, confidence: Column, probs: dict[str, Column]) -> Column:
-    """M5: struct(threat_detected, category, confidence, probabilities map)."""
+def verdict_response(pred: Column, confidence: Column, probs: dict[str, Column], reasons: Column) -> Column:
+    """M5: struct(threat_detected, category, confidence, probabilities map, reasons)."""
     return F.struct(
         (pred != "benign").alias("threat_detected"),
         pred.alias("category"),
         confidence.alias("confidence"),
         F.create_map(*[x for c in K.CLASSES for x in (F.lit(c), probs[c])]).alias("probabilities"),
-        F.array().cast("array<string>").alias("reasons"),
+        reasons.alias("reasons"),
     )
 
 
+def ensemble_verdicts(spark: SparkSession, df: DataFrame, url_col: str = "url", with_ratios: bool = True) -> DataFrame:
+    """M3–M5 (and O7 per micro-batch): three models' probabilities ``<model>_<class>``, each
+    through the override cascade, then the vote on the overridden probabilities and the
+    verdict record with the three models' details."""
+    from hookline.operators.lookalike import cascade, with_profile
+
+    x = with_profile(spark, df, url_col, with_ratios)
+    classes = F.array(*[F.lit(c) for c in K.CLASSES])
+    for m in MODELS:
+        probs = {c: F.col(f"{m}_{c}") for c in K.CLASSES}
+        pred = F.element_at(classes, first_argmax(list(probs.values())) + 1)
+        x = cascade(x, pred, probs, {"pred": f"{m}_pred", "reason": f"{m}_reason", **{c: f"_f_{m}_{c}" for c in K.CLASSES}}, with_ratios)
+    x = x.drop(*[f"{m}_{c}" for m in MODELS for c in K.CLASSES])
+    x = soft_vote(x.withColumnsRenamed({f"_f_{m}_{c}": f"{m}_{c}" for m in MODELS for c in K.CLASSES}))
+    reasons = F.array_distinct(F.filter(F.array(*[F.col(f"{m}_reason") for m in MODELS]), lambda r: r != "model_decision"))
+    details = F.struct(*[
+        F.struct(F.col(f"{m}_pred").alias("prediction"), F.greatest(*[F.col(f"{m}_{c}") for c in K.CLASSES]).alias("confidence"),
+                 F.col(f"{m}_reason").alias("reason"), (F.col(f"{m}_reason") != "model_decision").alias("heuristic_applied")).alias(m)
+        for m in MODELS
+    ])
+    verdict = verdict_response(F.col("vote_pred"), F.col("vote_confidence"), {c: F.col(f"vote_{c}") for c in K.CLASSES}, reasons)
+    own = [c for c in df.columns if c not in {f"{m}_{k}" for m in MODELS for k in K.CLASSES}]
+    return x.select(*own, verdict.alias("verdict"), details.alias("model_details"))
+
+
 def base_prob_vector(df: DataFrame) -> DataFrame:
     """M6: 12 columns in model order xgb, lgb, rf; a missing class is 0, a
     missing model (all four null) is 0.25 each."""

@@ -148,6 +148,26 @@ def q_url_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _override(spark, sf_dir, with_ratios=True)
 
 
+def _flat_verdict(df: DataFrame) -> DataFrame:
+    """The verdict record as flat columns."""
+    v, d = F.col("verdict"), F.col("model_details")
+    return df.select(
+        "id", "source", "url", v["threat_detected"].alias("threat_detected"), v["category"].alias("category"),
+        v["confidence"].alias("confidence"), F.array_join(v["reasons"], ",").alias("reasons"),
+        *[F.element_at(v["probabilities"], c).alias(f"prob_{c}") for c in K.CLASSES],
+        *[d[m]["prediction"].alias(f"{m}_pred") for m in S.MODELS],
+        *[d[m]["reason"].alias(f"{m}_reason") for m in S.MODELS],
+        *[F.round(d[m]["confidence"], ROUND).alias(f"{m}_confidence") for m in S.MODELS],
+    )
+
+
+@register("ensemble_verdicts", lambda: O.ensemble_verdicts_sql(O.typed_urls_sql()))
+def q_ensemble_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M4 on overridden probabilities and the M5 record (pattern rules)."""
+    probs = D.ensemble_probs(D.typed_urls(spark, sf_dir))
+    return _flat_verdict(S.ensemble_verdicts(spark, probs, "url", with_ratios=False))
+
+
 @register("typosquat_profile")
 def q_typosquat_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E1, E3, E5, E7 per distinct domain of the derived URLs."""
@@ -564,6 +584,19 @@ def q_stream_navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SS.run_batches(SS.event_stream(spark, sf_dir), SS.stream_folder(spark, "navigation"), decide, schema)
 
 
+@register("stream_score", lambda: O.ensemble_verdicts_sql(O.event_urls_sql()))
+def q_stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The models' probabilities, overrides, vote and verdict record on a URL stream."""
+    pages, n = _pages(spark, sf_dir)
+
+    def score(events: DataFrame) -> DataFrame:
+        urls = SS.attach_urls(events, pages, n).select(F.col("event_id").alias("id"), F.lit("event").alias("source"), "url")
+        return _flat_verdict(S.ensemble_verdicts(spark, D.ensemble_probs(urls), "url", with_ratios=False))
+
+    schema = score(spark.createDataFrame([], SS.EVENT_SCHEMA)).schema
+    return SS.run_batches(SS.event_stream(spark, sf_dir), SS.stream_folder(spark, "score"), score, schema)
+
+
 # ------------------------------------------------------ sources and cleaning
 
 from hookline.sources import io as IO  # noqa: E402

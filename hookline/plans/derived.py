@@ -156,6 +156,20 @@ def url_model_probs(typed: DataFrame) -> DataFrame:
     return typed.select("id", "source", "url", _pick(K.CLASSES, k).alias("model_pred"), *[v.alias(n) for n, v in cols.items()])
 
 
+def ensemble_probs(urls: DataFrame) -> DataFrame:
+    """Three models' class probabilities per URL (id, source, url) from key arithmetic."""
+    out = urls.select("id", "source", "url")
+    for mi, m in enumerate(["xgb", "lgb", "rf"]):
+        k = F.col("id") * 7 + F.length("source") + 5 * mi
+        vals = [
+            (F.pmod(k * (7 + ci) + 11 * ci, F.lit(97)) + 1 + F.when(F.pmod(k, F.lit(4)) == ci, F.lit(300)).otherwise(F.lit(0))).cast("double")
+            for ci in range(4)
+        ]
+        total = vals[0] + vals[1] + vals[2] + vals[3]
+        out = out.withColumns({f"{m}_{c}": vals[ci] / total for ci, c in enumerate(K.CLASSES)})
+    return out
+
+
 # Tags appended to the driver's pages by ``page_id % 6`` (the driver's HTML has
 # no forms, password fields or external scripts).
 PAGE_TAGS = [

@@ -632,6 +632,61 @@ def override_rules_sql() -> str:
     FROM cased"""
 
 
+def event_urls_sql() -> str:
+    """Events as URL rows: page ``event_id`` modulo the number of pages."""
+    return """(SELECT e.event_id AS id, 'event' AS source, p.url
+      FROM events e JOIN pages p ON p.page_id = e.event_id % (SELECT count(*) FROM pages))"""
+
+
+def ensemble_verdicts_sql(src: str) -> str:
+    """Three models' key-arithmetic probabilities, each overridden, then voted."""
+    models, votes = ["xgb", "lgb", "rf"], K.VOTE_WEIGHTS
+    probs, preds = [], []
+    for mi, m in enumerate(models):
+        k = f"(id * 7 + length(source) + {5 * mi})"
+        vals = [f"(({k} * {7 + ci} + {11 * ci}) % 97 + 1 + CASE WHEN {k} % 4 = {ci} THEN 300 ELSE 0 END)::DOUBLE" for ci in range(4)]
+        total = "(" + " + ".join(vals) + ")"
+        probs += [f"{vals[ci]} / {total} AS r_{m}_{c}" for ci, c in enumerate(K.CLASSES)]
+        top = "greatest(" + ", ".join(f"r_{m}_{c}" for c in K.CLASSES) + ")"
+        whens = " ".join(f"WHEN r_{m}_{c} = {top} THEN {q(c)}" for c in K.CLASSES)
+        preds.append(f"CASE {whens} END AS own_{m}")
+    fixed = {1: K.WHITELIST_PROBS, 3: K.TYPOSQUAT_PROBS, 4: K.HOMOGRAPH_PROBS}
+    cases, finals = [], []
+    for m in models:
+        cases.append(f"""CASE WHEN list_contains({lst(K.LEGITIMATE_DOMAINS)}, lower(p.dom || '.' || p.sfx)) THEN 1
+             WHEN own_{m} = 'phishing' AND r_{m}_phishing > {K.MODEL_CONFIDENT_THRESHOLD} THEN 2
+             WHEN v.typo_flag AND v.typo_confidence > {K.TYPOSQUAT_ACCEPT} THEN 3
+             WHEN v.homograph THEN 4 ELSE 6 END AS case_{m}""")
+        finals.append(f"CASE WHEN case_{m} = 1 THEN 'benign' WHEN case_{m} IN (3, 4) THEN 'phishing' ELSE own_{m} END AS {m}_pred")
+        finals.append(f"""CASE case_{m} WHEN 1 THEN 'whitelist_match' WHEN 2 THEN 'model_confident'
+             WHEN 3 THEN 'typosquatting_' || typo_brand WHEN 4 THEN 'homograph_attack' ELSE 'model_decision' END AS {m}_reason""")
+        for c in K.CLASSES:
+            whens = " ".join(f"WHEN {k} THEN {given[c]}" for k, given in fixed.items())
+            finals.append(f"(CASE case_{m} {whens} ELSE r_{m}_{c} END)::DOUBLE AS {m}_{c}")
+    vote = {c: " + ".join(f"{votes[m]}::DOUBLE * {m}_{c}" for m in ("xgb", "rf", "lgb")) for c in K.CLASSES}
+    top = "greatest(" + ", ".join(f"v_{c}" for c in K.CLASSES) + ")"
+    category = "CASE " + " ".join(f"WHEN v_{c} = {top} THEN {q(c)}" for c in K.CLASSES) + " END"
+    reasons = ", ".join(f"{m}_reason" for m in models)
+    return f"""WITH urls AS {src},
+    given AS (SELECT id, source, url, {', '.join(probs)} FROM urls),
+    src AS (SELECT *, {', '.join(preds)},
+              CASE WHEN regexp_matches(url, '^https?://') THEN url ELSE 'https://' || url END AS url2 FROM given),
+    {url_parts_ctes('src', 'url2', clean=False)},
+    dsrc AS (SELECT dom AS domain FROM parts),
+    {pattern_verdict_ctes('dsrc')},
+    cased AS (SELECT p.*, v.typo_brand, {', '.join(cases)} FROM parts p LEFT JOIN verdict v ON v.domain = p.dom),
+    done AS (SELECT id, source, url, {', '.join(finals)} FROM cased),
+    voted AS (SELECT *, {', '.join(f'{e} AS v_{c}' for c, e in vote.items())} FROM done)
+    SELECT id, source, url, {category} <> 'benign' AS threat_detected, {category} AS category,
+      round({top}, 4) AS confidence,
+      array_to_string(list_transform(list_filter([{reasons}], lambda r, i: r <> 'model_decision'
+          AND list_position([{reasons}], r) = i), lambda r: r), ',') AS reasons,
+      {', '.join(f'round(v_{c}, 4) AS prob_{c}' for c in K.CLASSES)},
+      {', '.join(f'{m}_pred, {m}_reason' for m in models)},
+      {', '.join('round(greatest(' + ', '.join(f'{m}_{c}' for c in K.CLASSES) + f'), {ROUND}) AS {m}_confidence' for m in models)}
+    FROM voted"""
+
+
 # ------------------------------------------------------------ rules, pages
 
 def hostname_expr(x: str) -> str:
