@@ -214,19 +214,24 @@ def confidence_distribution(preds: DataFrame, conf: str = "confidence") -> DataF
 
 
 def error_summary(preds: DataFrame, label: str = "label", pred: str = "pred", conf: str = "confidence",
-                  key: str = "id", top: int = 5) -> DataFrame:
-    """Misclassified count and share, low-confidence-but-correct count,
-    and the first ``top`` errors by key (a top-k report)."""
+                  key: str = "id", top: int = 5, prefix: str = "vote_") -> DataFrame:
+    """False positives and negatives (any threat against benign), misclassified
+    count and share, low-confidence-but-correct count, and the first ``top`` errors by
+    key with their probabilities (a top-k report)."""
+    benign, called_benign = F.col(label) == "benign", F.col(pred) == "benign"
     wrong = F.col(label) != F.col(pred)
     agg = preds.agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.when(wrong, 1).otherwise(0)).alias("misclassified"),
         F.sum(F.when(~wrong & (F.col(conf) < K.MEDIUM_BAND), 1).otherwise(0)).alias("low_confidence_correct"),
+        F.sum(F.when(benign & ~called_benign, 1).otherwise(0)).alias("false_positives"),
+        F.sum(F.when(~benign & called_benign, 1).otherwise(0)).alias("false_negatives"),
     ).withColumn("misclassified_share", F.col("misclassified") / F.col("n"))
     first = (
         preds.where(wrong).orderBy(key).limit(top)
         .agg(F.collect_list(F.struct(F.col(key).alias("key"), F.col(label).alias("true"), F.col(pred).alias("pred"),
-                                     F.col(conf).alias("confidence"))).alias("first_errors"))
+                                     F.col(conf).alias("confidence"),
+                                     F.array(*[F.col(f"{prefix}{c}") for c in K.CLASSES]).alias("probabilities"))).alias("first_errors"))
     )
     first = first.select(F.array_sort(F.col("first_errors")).alias("first_errors"))
     return agg.crossJoin(first)

@@ -297,8 +297,8 @@ def q_error_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("prediction_table", lambda: O.prediction_table_sql())
 def q_prediction_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """N12."""
-    p = _preds(spark, sf_dir)
-    return p.select("id", "label", "pred", "confidence", S.confidence_band(F.col("confidence")).alias("band"),
+    p = _preds(spark, sf_dir).join(D.odd_urls(spark, sf_dir).select("id", "url"), "id")
+    return p.select("id", "url", "label", "pred", "confidence", S.confidence_band(F.col("confidence")).alias("band"),
                     (F.col("label") == F.col("pred")).alias("correct"))
 
 
@@ -613,6 +613,55 @@ def q_feature_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return js.select("id", "source", *IO.feature_record_from_json("features_json", RECORD_FEATURES))
 
 
+def _file(spark: SparkSession, name: str) -> str:
+    return f"{SS.stream_folder(spark, 'files')}/{name}"
+
+
+@register("corpus_file", lambda: O.corpus_file_sql())
+def q_corpus_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus written as CSV without its id and read again."""
+    path = _file(spark, "corpus")
+    df = IO.drop_column(D.typed_urls(spark, sf_dir).where("url <> ''").select("id", "url", "type"), "id")
+    IO.write_table(df, path, "csv")
+    return IO.read_url_corpus(spark, path)
+
+
+@register("ranked_file", lambda: O.ranked_file_sql())
+def q_ranked_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2: the first ranks of a file of ranked domains."""
+    path = _file(spark, "ranked")
+    D.ranked_domains(spark, sf_dir).write.csv(path)
+    return IO.read_ranked_domains(spark, path, 500)
+
+
+@register("threat_file", lambda: O.threat_file_sql())
+def q_threat_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A threat list, one substring per line."""
+    path = _file(spark, "threats")
+    D.threats(spark, sf_dir).write.text(path)
+    return IO.read_threat_list(spark, path)
+
+
+@register("aligned_records", lambda: O.aligned_records_sql())
+def q_aligned_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns in a model's order, missing ones 0, others dropped."""
+    u = F.col("url")
+    x = D.typed_urls(spark, sf_dir).where("url <> ''").select(
+        "id", (F.length(u) - F.length(F.replace(u, F.lit("."), F.lit("")))).alias("num_dots"),
+        F.length(u).alias("url_length"), F.lit(1).alias("other"),
+    )
+    return IO.align_to_schema(x, ["url_length", "missing_feature", "num_dots"], ["id"])
+
+
+@register("stacked_corpus", lambda: O.stacked_corpus_sql())
+def q_stacked_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of one schema stacked by name."""
+    from hookline.operators.corpus import merge_same_schema
+
+    t = D.typed_urls(spark, sf_dir).select("id", "source", "url")
+    return merge_same_schema([t.where("source = 'legit'"), t.where("source = 'odd'").select("url", "source", "id")])
+
+
 @register("tld_one_hot", lambda: O.tld_one_hot_sql())
 def q_tld_one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suffix indicators with the first (alphabetical) level dropped."""

@@ -910,14 +910,39 @@ def error_summary_sql() -> str:
     e AS (SELECT * FROM p WHERE label <> pred ORDER BY id LIMIT 5)
     SELECT count(*)::BIGINT AS n, sum(CASE WHEN label <> pred THEN 1 ELSE 0 END)::BIGINT AS misclassified,
       sum(CASE WHEN label = pred AND confidence < {K.MEDIUM_BAND} THEN 1 ELSE 0 END)::BIGINT AS low_confidence_correct,
+      sum(CASE WHEN label = 'benign' AND pred <> 'benign' THEN 1 ELSE 0 END)::BIGINT AS false_positives,
+      sum(CASE WHEN label <> 'benign' AND pred = 'benign' THEN 1 ELSE 0 END)::BIGINT AS false_negatives,
       round(sum(CASE WHEN label <> pred THEN 1 ELSE 0 END) / count(*), {ROUND}) AS misclassified_share,
-      (SELECT list({{'key': id, 'true': label, 'pred': pred, 'confidence': confidence}} ORDER BY id) FROM e) AS first_errors
+      (SELECT list({{'key': id, 'true': label, 'pred': pred, 'confidence': confidence,
+              'probabilities': [{', '.join(f'vote_{c}' for c in K.CLASSES)}]}} ORDER BY id) FROM e) AS first_errors
     FROM p"""
 
 
 def prediction_table_sql() -> str:
-    return f"""SELECT id, label, pred, confidence, {band_sql('confidence')} AS band, label = pred AS correct
-    FROM {preds_sql()}"""
+    return f"""SELECT p.id, o.url, label, pred, confidence, {band_sql('confidence')} AS band, label = pred AS correct
+    FROM {preds_sql()} p JOIN ({odd_urls_sql()}) o ON o.id = p.id"""
+
+
+def corpus_file_sql() -> str:
+    return f"SELECT url, type FROM {typed_urls_sql()} WHERE url <> ''"
+
+
+def ranked_file_sql() -> str:
+    return f"SELECT rank, domain FROM {ranked_domains_sql()} WHERE rank <= 500"
+
+
+def threat_file_sql() -> str:
+    return f"SELECT DISTINCT {hostname_expr('url')} AS threat FROM pages WHERE page_id % 10 = 0"
+
+
+def aligned_records_sql() -> str:
+    return f"""SELECT id, length(url)::INTEGER AS url_length, 0 AS missing_feature, {nsub('url', '.')}::INTEGER AS num_dots
+    FROM {typed_urls_sql()} WHERE url <> ''"""
+
+
+def stacked_corpus_sql() -> str:
+    return f"""SELECT id, source, url FROM {typed_urls_sql()} WHERE source = 'legit'
+    UNION ALL SELECT id, source, url FROM {typed_urls_sql()} WHERE source = 'odd'"""
 
 
 def weighted_roc_auc_sql() -> str:
