@@ -17,6 +17,7 @@ from hookline.functions import features as FT
 from hookline.functions import urls as U
 from hookline.plans import derived as D
 from hookline.plans import oracle as O
+from hookline.session import materialize
 
 ROUND = O.ROUND
 
@@ -491,7 +492,7 @@ def q_feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("cross_validate")
 def q_cross_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five-fold accuracy and macro F1 of a small forest."""
-    d = _train_frame(spark, sf_dir).persist()
+    d = materialize(_train_frame(spark, sf_dir))
     res = TR.cross_validate(d, FT.MAIN_NATIVE_FEATURES, lambda: TR.random_forest(num_trees=10, max_depth=8), "type", "fold", 5)
     return round_doubles(res, 6)
 
@@ -728,7 +729,7 @@ def q_train_meta_calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("learning_curve")
 def q_learning_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted F1 against training fraction (10 ladder steps)."""
-    d = _train_frame(spark, sf_dir).persist()
+    d = materialize(_train_frame(spark, sf_dir))
     return round_doubles(TR.learning_curve(d, FT.MAIN_NATIVE_FEATURES, lambda: TR.random_forest(num_trees=5, max_depth=6)), 6)
 
 
