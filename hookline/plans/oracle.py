@@ -13,7 +13,7 @@ from hookline import constants as K
 from hookline.functions.features import (
     DOUBLE_FEATURES, HOST29_ACTION, HOST29_FEATURES, HOST29_SENSITIVE, HOST29_SHORTENERS, HOST29_SUSPICIOUS,
     HOST29_SYMBOLS, MAIN_NATIVE_FEATURES, MINI11_FEATURES, V1_ACTION_WORDS, V1_FEATURES, V1_SENSITIVE_WORDS,
-    V1_SHORTENERS, V1_SUSPICIOUS_WORDS, leet_patterns,
+    V1_SHORTENERS, V1_SUSPICIOUS_WORDS,
 )
 from hookline.functions.suffixes import public_suffix_rules
 
@@ -90,6 +90,28 @@ def ngram_div(x: str, n: int) -> str:
     )
 
 
+def leet_list_sql() -> str:
+    """Brands with all of one letter replaced, one rule at a time, as a constant list."""
+    brands = ", ".join(f"({q(b)})" for b in K.BRAND_KEYWORDS)
+    rules = ", ".join(f"({q(o)}, {q(n)})" for o, n in K.LEET_RULES)
+    return (
+        f"(SELECT list(replace(b.w, r.o, r.n)) FROM (VALUES {brands}) b(w), (VALUES {rules}) r(o, n) "
+        "WHERE contains(b.w, r.o))"
+    )
+
+
+def has_any_sql(x: str, words: str) -> str:
+    return f"(len(list_filter({words}, lambda w: contains({x}, w))) > 0)"
+
+
+def variant_rows_sql() -> str:
+    """(brand_ord, variant): the brand after any subset of the rules, rule by rule."""
+    steps = [f"c0 AS (SELECT brand_ord, brand AS variant FROM {brands_values()})"]
+    for i, (o, n) in enumerate(K.LEET_RULES):
+        steps.append(f"c{i + 1} AS (SELECT * FROM c{i} UNION SELECT brand_ord, replace(variant, {q(o)}, {q(n)}) FROM c{i})")
+    return f"(WITH {', '.join(steps)} SELECT brand_ord, variant FROM c{len(K.LEET_RULES)})"
+
+
 def rnd(expr: str) -> str:
     return f"round(({expr})::DOUBLE, {ROUND})"
 
@@ -338,7 +360,7 @@ def main_feature_exprs(brand_check: str | None = None) -> dict[str, str]:
         "query_url_ratio": ratio(f"length({qq})", f"length({u})"),
         "brand_impersonation": flag(f"{brand_in_dom} AND NOT {legit}"),
         "brand_with_hyphen": flag(f"{brand_in_dom} AND contains({d}, '-') AND NOT {legit}"),
-        "has_character_substitution": flag(contains_any(ld, leet_patterns())),
+        "has_character_substitution": flag(has_any_sql(ld, leet_list_sql())),
         "suspicious_tld_brand_combo": flag(
             f"list_contains({lst(K.SUSPICIOUS_TLDS_BRAND_COMBO)}, {lsx}) AND {brand_in_dom} AND NOT {legit}"
         ),
@@ -579,7 +601,7 @@ def pattern_verdict_ctes(domains: str) -> str:
         CASE WHEN f.brand_ord IS NOT NULL AND NOT list_contains({lst(legit_first_labels())}, d.domain)
              THEN f.conf ELSE 0.0 END AS typo_confidence,
         {homograph_sql('d.dl')} AS homograph,
-        {contains_any('d.dl', leet_patterns())} AS char_substitution
+        {has_any_sql('d.dl', leet_list_sql())} AS char_substitution
       FROM doms d LEFT JOIN firsts f ON f.domain = d.domain LEFT JOIN {brands} b ON b.brand_ord = f.brand_ord)"""
 
 
@@ -769,7 +791,6 @@ def model_gate_sql() -> str:
 
 
 def page_scans_sql() -> str:
-    from hookline.operators.rules import ACTION_ATTR, FORM_TAG, PASSWORD_INPUT, SCRIPT_SRC
     from hookline.plans.derived import PAGE_TAGS
 
     origin = "regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
@@ -781,12 +802,15 @@ def page_scans_sql() -> str:
         f"WHEN starts_with(a, '/') THEN {origin} || a ELSE {origin} || '/' || a END"
     )
     return f"""WITH pg AS (SELECT page_id, url, html || {pick(PAGE_TAGS, 'page_id')} AS html FROM pages),
-    f AS (SELECT *, regexp_extract_all(html, {q(FORM_TAG)}) AS forms,
-                 regexp_extract_all(html, {q(SCRIPT_SRC)}, 1) AS srcs,
-                 len(regexp_extract_all(html, {q(PASSWORD_INPUT)}))::INTEGER AS n_pw,
+    tags AS (SELECT *, list_transform(string_split(html, '<'), lambda t: string_split(t, '>')[1]) AS tags FROM pg),
+    f AS (SELECT *, list_filter(tags, lambda t: regexp_matches(t, '^(?i:form)([^a-zA-Z0-9_]|$)')) AS forms,
+                 list_filter(list_transform(list_filter(tags, lambda t: regexp_matches(t, '^(?i:script)([^a-zA-Z0-9_]|$)')),
+                     lambda t: regexp_extract(t, '(?i)[^a-zA-Z0-9_]src\\s*=\\s*["'']([^"'']+)["'']', 1)), lambda x: x <> '') AS srcs,
+                 len(list_filter(tags, lambda t: regexp_matches(t, '^(?i:input)([^a-zA-Z0-9_]|$)')
+                     AND regexp_matches(t, '(?i)[^a-zA-Z0-9_]type\\s*=\\s*["'']?password([^a-zA-Z0-9_]|$)')))::INTEGER AS n_pw,
                  {hostname_expr('url')} AS host
-          FROM pg),
-    a AS (SELECT *, list_transform(forms, lambda fm: nullif(regexp_extract(fm, {q(ACTION_ATTR)}, 1), '')) AS raw_actions FROM f)
+          FROM tags),
+    a AS (SELECT *, list_transform(forms, lambda fm: nullif(regexp_extract(fm, '(?i)[^a-zA-Z0-9_]action\\s*=\\s*["'']([^"'']*)["'']', 1), '')) AS raw_actions FROM f)
     SELECT page_id, url, len(forms)::INTEGER AS n_forms, len(srcs)::INTEGER AS n_external_scripts,
       n_pw AS n_password_fields,
       list_filter(list_transform(raw_actions, lambda a: {resolve}),
@@ -1460,9 +1484,8 @@ def host_diverse_sample_sql(target: int = 5000, seed: int = 42) -> str:
 
 
 def subst_aware_features_sql() -> str:
-    from hookline.functions.features import substitution_variants
-
-    e = main_feature_exprs(brand_check=contains_any("lower(dom)", substitution_variants()))
+    variants = f"(SELECT list(variant) FROM {variant_rows_sql()})"
+    e = main_feature_exprs(brand_check=has_any_sql("lower(dom)", variants))
     cols = []
     bad = "(raw_blank OR length(u) < 8 OR NOT contains(u, '.') OR (parse_error AND NOT blank))"
     for name in MAIN_NATIVE_FEATURES:
@@ -1479,14 +1502,11 @@ def subst_aware_features_sql() -> str:
 
 
 def brand_substitution_sql() -> str:
-    from hookline.functions.features import cumulative_variants
-
     brands = brands_values()
-    var_rows = ", ".join(f"({i + 1}, {q(v)})" for i, b in enumerate(K.BRAND_KEYWORDS) for v in cumulative_variants(b)[1:])
     return f"""WITH src AS {typed_urls_sql()},
     {url_parts_ctes('src')},
     d AS (SELECT DISTINCT dom AS domain, lower(dom) AS dl FROM parts),
-    v AS (SELECT * FROM (VALUES {var_rows}) t(brand_ord, variant)),
+    v AS {variant_rows_sql()},
     plain AS (SELECT d.domain, min(b.brand_ord) AS o FROM d JOIN {brands} b ON contains(d.dl, b.brand) GROUP BY d.domain),
     sub AS (SELECT d.domain, min(v.brand_ord) AS o FROM d JOIN v ON contains(d.dl, v.variant) GROUP BY d.domain)
     SELECT d.domain, coalesce(plain.o, sub.o) IS NOT NULL AS flag, b.brand AS brand
