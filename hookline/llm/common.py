@@ -109,3 +109,13 @@ def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     for k in range(1, n):
         out = pair_hash(out, h[k : len(h) - n + 1 + k], k)
     return out
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Bytes of equal significance together, so that zeros compress."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def from_planes(raw: bytes, dtype) -> np.ndarray:
+    width = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(dtype).ravel()

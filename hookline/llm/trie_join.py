@@ -11,16 +11,19 @@ order (by hash).  Two documents link when 100 * |A and B| >= percent * |A or B|.
     its own size family and, if it can link with larger sets there, the next.  A
     pair of linked sets therefore shares a signature; unrelated sets, even if they
     share common n-grams or a passage, hardly ever do.
-3.  Tries.  The sets of a block are stored in a path-compressed prefix tree in
+3.  Groups.  Sets connected by shared signatures form candidate groups, and links
+    never leave a group.
+4.  Tries.  The sets of a group are stored in a path-compressed prefix tree in
     their global order.  A new set walks the tree with the overlap of each shared
     prefix counted once, and a subtree is left when even all remaining elements
     could not reach the overlap that the sizes of its sets ask for.  Sets that are
     already connected are not compared again.
-4.  Large blocks.  Around the member with most shared signatures (the hub) a block
-    is dealt into tries of about `TRIE_SETS` sets that each hold the hub too.
-    Blocks whose members end up in several components after that are joined whole:
-    member chunks against member chunks, so that no link between components is
-    missed and no task holds more than two chunks.
+5.  Large groups.  Beyond `TRIE_SETS` sets, the first round works around hubs (for
+    each signature the set with most shared ones), in tries that hold a hub and a
+    bounded share of its sets.  Where a signature's sets are in several components
+    after that, the sets outside the largest component meet all sets concerned,
+    chunk by chunk, so that no link between components is missed and no task
+    holds more than two chunks.
 
 So the components are those of all links; pairs inside a component need not all
 be emitted.
@@ -48,8 +51,10 @@ from pyspark.sql import functions as F
 from hookline.llm import common as C
 from hookline.llm.components import components
 
-#: Sets in one trie (or in each of the two chunks of a large block).
-TRIE_SETS = 192
+#: Sets in one trie, or in each of the two chunks of a large group, about.
+TRIE_SETS = 400
+#: Signatures that a task holds before it sends them on, and of a bucket, about.
+HELD, BUCKET_KEYS = 2 << 20, 1 << 18
 #: Ratio of the sizes in a family.
 WIDTH = 1.5
 #: Ranges from which on empty ones need no signatures.
@@ -118,29 +123,105 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
     return np.unique(np.concatenate(out)).view(np.int64) if out else np.empty(0, np.int64)
 
 
-def sets_of(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, row key, n (set size), digest of the set, signatures."""
+def sets_of(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, row key, n (set size) and digest of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, digests, sigs = [], [], []
-            for text in batch.column(2).to_pylist():
-                s = shingle_set(text, n)
-                sizes.append(len(s))
-                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                sigs.append(signatures(s, percent) if len(s) else np.empty(0, np.int64))
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in sigs])]).astype(np.int32)
-            values = np.concatenate(sigs) if sigs else np.empty(0, np.int64)
+            sets = [shingle_set(text, n) for text in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int64()))],
-                names=["doc_id", "key", "n", "digest", "sigs"],
+                [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array([_digest(s) if len(s) else None for s in sets], pa.binary())],
+                names=["doc_id", "key", "n", "digest"],
             )
 
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), C.row_key().alias("key"), F.col("text").cast("binary").alias("text")
     )
-    return rows.mapInArrow(run, "doc_id long, key long, n long, digest binary, sigs array<long>")
+    return rows.mapInArrow(run, "doc_id long, key long, n long, digest binary")
+
+
+def _digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
+def _packed(bucket: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """One row per run of equal buckets with its parts of both arrays."""
+    first = np.flatnonzero(np.diff(bucket, prepend=bucket[0] - 1))
+    last = np.append(first[1:], len(bucket))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(bucket[first], pa.int64())]
+        + [pa.array([C.planes(x[i:j]) for i, j in zip(first, last)], pa.binary()) for x in (a, b)],
+        names=["bucket", "a", "b"],
+    )
+
+
+def candidate_links(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
+    """(u, v): documents and the least document that shares a signature with them.
+
+    A task sends each of its signatures once, with the least document that has it;
+    the others are linked to that one in the task.  So a signature of very many
+    documents costs its bucket one entry per task.  A task sends equal sets once."""
+    shift = 64 - int(math.log2(buckets))
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sent() -> Iterator[pa.RecordBatch]:
+            sig, node = np.concatenate(sigs).view(np.uint64), np.concatenate(nodes)
+            order = np.lexsort((node, sig))
+            sig, node = sig[order], node[order]
+            first = np.concatenate([[True], sig[1:] != sig[:-1]])
+            own = sig[first]
+            bucket = (own >> np.uint64(shift)).astype(np.int64)
+            delta = np.diff(own, prepend=np.uint64(0))
+            starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+            delta[starts] = own[starts]
+            yield _packed(bucket, delta, node[first])
+            low = node[np.flatnonzero(first)][np.cumsum(first) - 1]
+            pairs = np.unique(np.stack([node, low], 1)[node != low], axis=0)
+            if len(pairs):
+                place = np.sort(-1 - C.mix(pairs[:, 0].view(np.uint64)).view(np.int64) % buckets)
+                yield _packed(place, np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]))
+
+        sigs: list[np.ndarray] = []
+        nodes: list[np.ndarray] = []
+        held, seen = 0, set()
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                s = shingle_set(text, n)
+                if not len(s):
+                    continue
+                digest = _digest(s)
+                if digest in seen:
+                    continue
+                seen.add(digest)
+                g = signatures(s, percent)
+                sigs.append(g)
+                nodes.append(np.full(len(g), doc_id, np.int64))
+                held += len(g)
+            if held >= HELD:
+                yield from sent()
+                sigs, nodes, held = [], [], 0
+                seen.clear()
+        if held:
+            yield from sent()
+
+    def meet(part: pd.DataFrame) -> pd.DataFrame:
+        if part["bucket"].iloc[0] < 0:  # links that the tasks have found
+            u, v = (np.concatenate([C.from_planes(x, np.int64) for x in part[c]]) for c in ("a", "b"))
+        else:
+            sig = np.concatenate([np.cumsum(C.from_planes(x, np.uint64)) for x in part["a"]])
+            node = np.concatenate([C.from_planes(x, np.int64) for x in part["b"]])
+            order = np.lexsort((node, sig))
+            sig, u = sig[order], node[order]
+            first = np.concatenate([[True], sig[1:] != sig[:-1]])
+            v = u[np.flatnonzero(first)][np.cumsum(first) - 1]
+        pairs = np.unique(np.stack([u, v], 1)[u != v], axis=0)
+        return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
+
+    rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")
+    )
+    return rows.mapInArrow(sign, "bucket long, a binary, b binary").groupBy("bucket").applyInPandas(meet, "u long, v long")
 
 
 # ------------------------------------------------------------------ the trie
@@ -284,37 +365,91 @@ def _links(blocks: DataFrame, percent: int) -> DataFrame:
     return blocks.groupBy("block").applyInPandas(run, "u long, v long")
 
 
+def _hub_places(wide: DataFrame, trie_sets: int) -> DataFrame:
+    """hub, share, node, rank: the sets around each hub in bounded shares, each with
+    the hub first.  A signature's hub is the set that shares most signatures."""
+    degree = wide.join(wide.groupBy("sig").count(), "sig").groupBy("node").agg(F.sum("count").alias("degree"))
+    hub = (
+        wide.join(degree, "node").groupBy("sig")
+        .agg(F.max(F.struct("degree", (-F.col("node")).alias("minus"))).alias("top"))
+        .select("sig", (-F.col("top.minus")).alias("hub"))
+    )
+    stars = C.stage(wide.join(hub, "sig").where("node != hub").select("hub", "node").distinct(), "hubs")
+    sizes = stars.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / trie_sets).alias("shares"))
+    dealt = stars.join(sizes, "hub").withColumn("share", F.pmod(F.xxhash64("node", "hub"), F.col("shares")))
+    return dealt.select("hub", "share", "node", F.lit(1).alias("rank")).unionByName(
+        sizes.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"),
+                     F.col("hub").alias("node"), F.lit(0).alias("rank"))
+    )
+
+
+def _open_places(wide: DataFrame, found: DataFrame, trie_sets: int) -> DataFrame:
+    """block, side, node, component, rank for what the first round left open.
+
+    Sets connected by signatures that still have several components form a group.
+    Its members outside its most frequent component (side 1) meet all its members
+    (side 0), chunk by chunk, so that every pair between components shares a block."""
+    labelled = wide.join(found, "node", "left").select(
+        "sig", "node", F.coalesce("component", "node").alias("component")
+    )
+    mixed = labelled.groupBy("sig").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("v")
+    ).where("low < high")
+    still = C.stage(labelled.join(mixed.select("sig", "v"), "sig").select("node", "component", "v").distinct(), "open")
+    nodes = still.select("node", "component").distinct()
+    group = components(still.select(F.col("node").alias("u"), "v")).withColumnRenamed("component", "grp")
+    nodes = C.stage(nodes.join(group, "node"), "rest")
+    counts = nodes.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("n"))
+    major = counts.groupBy("grp").agg(
+        F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all")
+    ).select(
+        "grp", F.col("top.component").alias("major"), F.ceil(F.col("all") / trie_sets).alias("chunks"),
+        F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("top.n")) / trie_sets)).alias("probes"),
+    )
+    placed = nodes.join(major, "grp").withColumn("at", F.xxhash64("node", "grp"))
+
+    def chunks(column: str):
+        return F.sequence(F.lit(0).cast("long"), F.col(column) - 1)
+
+    targets = placed.select(
+        "grp", F.pmod("at", F.col("chunks")).alias("a"), F.explode(chunks("probes")).alias("b"), F.lit(0).alias("side"),
+        "node", "component",
+    )
+    probes = placed.where("component != major").select(
+        "grp", F.explode(chunks("chunks")).alias("a"), F.pmod("at", F.col("probes")).alias("b"), F.lit(1).alias("side"),
+        "node", "component",
+    )
+    return targets.unionByName(probes).select(
+        F.struct("grp", "a", "b").alias("block"), "side", "node", "component", F.lit(0).alias("rank")
+    )
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, trie_sets: int = TRIE_SETS) -> DataFrame:
     """doc_id, key (of doc_id and text), n_shingles, component_id per document; see the
     module's text."""
     C.small_batches(docs.sparkSession)
-    rows = C.stage(sets_of(docs, n, percent), "sets")
+    rows = C.stage(sets_of(docs, n), "sets")
     some = rows.where("n > 0")
     classes = C.stage(
         some.groupBy("digest").agg(F.min("doc_id").alias("node")).where("node IS NOT NULL"), "classes"
     )
-    # Rows of a representative: of the class's rows those with its smallest doc_id.
-    heads = some.where(F.size("sigs") > 0).alias("r").join(
-        classes.alias("c"), F.expr("r.digest = c.digest AND r.doc_id = c.node")
-    ).select("c.node", "r.digest", "r.sigs")
-    sigs = heads.select("node", F.explode("sigs").alias("sig"))
-    # (signature, node) without repeats; a signature that one node alone has is dropped.
-    shared = sigs.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    pairs = C.stage(sigs.join(shared.select("sig"), "sig").distinct(), "blocks")
-
-    degree = pairs.join(pairs.groupBy("sig").count(), "sig").groupBy("node").agg(F.sum("count").alias("degree"))
-    degree = C.stage(degree, "degrees")
-    hub = (
-        pairs.join(degree, "node").groupBy("sig")
-        .agg(F.max(F.struct("degree", (-F.col("node")).alias("minus"))).alias("top"))
-        .select("sig", (-F.col("top.minus")).alias("hub"))
-    )
-    stars = C.stage(
-        pairs.join(hub, "sig").where("node != hub").select("hub", "node").distinct(), "hubs"
-    )
-    # Sets of the documents in question, from their whole texts.
-    wanted = degree.select("node")
+    # A set has at most about half as many signatures as elements.
+    elements = rows.agg(F.sum("n")).first()[0] or 0
+    buckets = 1 << max(6, math.ceil(math.log2(max(1, elements / 2 / BUCKET_KEYS))))
+    near = candidate_links(docs, n, percent, buckets)
+    # Copies stand for their class.
+    copies = some.join(classes, "digest").where("doc_id != node").select("doc_id", "node").distinct()
+    copies = C.stage(copies, "copies")
+    for end in ("u", "v"):
+        to = copies.select(F.col("doc_id").alias(end), F.col("node").alias("to"))
+        near = near.join(to, end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+
+    # Candidate groups: sets connected by shared signatures.  Links never leave a group.
+    groups = C.stage(components(near.select("u", "v")).withColumnRenamed("component", "grp"), "groups")
+    sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
+    large = C.stage(sizes.where(F.col("size") > trie_sets).select("grp"), "large")
 
+    # Sets of the documents in question, from their whole texts.
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = [shingle_set(t, n).tobytes() for t in batch.column(1).to_pylist()]
@@ -323,18 +458,27 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, trie_sets: i
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("binary").alias("text"))
     # Rows that share an id may hold several sets: each is a member.
     sets = C.stage(
-        texts.where("text IS NOT NULL").join(wanted.hint("shuffle_hash"), "node")
+        texts.where("text IS NOT NULL").join(groups.select("node").hint("shuffle_hash"), "node")
         .mapInArrow(to_sets, "node long, set binary"),
         "wanted",
     ).where(F.octet_length("set") > 0)
 
-    # First round: tries of a hub and a bounded share of its block.
-    sizes = stars.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / trie_sets).alias("shares"))
-    dealt = stars.join(sizes, "hub").withColumn("share", F.pmod(F.xxhash64("node", "hub"), F.col("shares")))
-    places = dealt.select("hub", "share", "node", F.lit(1).alias("rank")).unionByName(
-        sizes.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"),
-                     F.col("hub").alias("node"), F.lit(0).alias("rank"))
+    # First round: a group that fits in one trie is joined whole; a larger one by
+    # tries of a hub and a share of the sets that share a signature with it.
+    whole = groups.join(large, "grp", "left_anti").select(
+        F.col("grp").alias("hub"), F.lit(0).cast("long").alias("share"), "node", F.lit(0).alias("rank")
     )
+    members = groups.join(large, "grp", "left_semi").select("node")
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [signatures(np.frombuffer(x, np.uint64), percent) for x in batch.column(1).to_pylist()]
+            node = np.repeat(batch.column(0).to_numpy(), [len(g) for g in found])
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(found))], names=["node", "sig"])
+
+    wide = sets.join(members, "node").mapInArrow(sign, "node long, sig long").distinct()
+    wide = C.stage(wide, "wide")
+    places = whole.unionByName(_hub_places(wide, trie_sets))
     blocks = places.join(sets, "node").select(
         F.struct("hub", "share").alias("block"), F.lit(0).alias("side"), "node", F.col("node").alias("component"),
         "rank", "set",
@@ -342,27 +486,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, trie_sets: i
     links = C.stage(_links(blocks, percent), "links")
     found = C.stage(components(links), "components")
 
-    # Second round: blocks that still hold several components, whole.
-    labelled = pairs.join(found, "node", "left").select(
-        "sig", "node", F.coalesce("component", "node").alias("component")
-    )
-    mixed = labelled.groupBy("sig").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"),
-        F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("members"),
-    ).where("low < high")
-    # Blocks with the same members are joined once.
-    once = mixed.groupBy("members", "size", "low", "high").agg(F.min("sig").alias("sig"))
-    open_blocks = C.stage(
-        labelled.join(once.select("sig", F.ceil(F.col("size") / trie_sets).alias("chunks")), "sig")
-        .withColumn("chunk", F.pmod(F.xxhash64("node", "sig"), F.col("chunks")).cast("long")),
-        "open",
-    )
-    # Each chunk meets itself (side 0 only) and every other chunk once.
-    meet = open_blocks.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select(
-        F.struct("sig", F.least("chunk", "with").alias("a"), F.greatest("chunk", "with").alias("b")).alias("block"),
-        (F.col("chunk") > F.col("with")).cast("int").alias("side"), "node", "component", F.lit(0).alias("rank"),
-    )
-    late = C.stage(_links(meet.join(sets, "node"), percent), "late")
+    # Second round: signatures of large groups whose sets are in several components.
+    rest = _open_places(wide, found, trie_sets)
+    late = C.stage(_links(rest.join(sets, "node"), percent), "late")
     found = C.stage(components(links.unionByName(late)), "components")
 
     # A class takes the component of its representative.
