@@ -17,6 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hookline import constants as K
+from hookline.constants import (
+    DECODED_BRANDS, DECODED_BRANDS_DOMAIN, DECODED_DICTIONARY, DRAFT_BRANDS, DRAFT_CHECK_BRANDS,
+    DRAFT_COMBO_TLDS, DRAFT_DICTIONARY, DRAFT_HYPHEN_PATTERNS, DRAFT_LEGIT, DRAFT_MAJOR_BRANDS, HOST29_ACTION,
+    HOST29_SENSITIVE, HOST29_SHORTENERS, HOST29_SUSPICIOUS, HOST29_SYMBOLS, V1_ACTION_WORDS,
+    V1_SENSITIVE_WORDS, V1_SHORTENERS, V1_SUSPICIOUS_WORDS, V2_BRANDS, V2_DICTIONARY, V2_HIGH_TRUST,
+    V2_SENSITIVE_WORDS, V2_SUSPICIOUS_CATEGORY, V2_SUSPICIOUS_FLAG, V2_SUSPICIOUS_WORDS,
+)
 from hookline.functions import text as T
 from hookline.functions import urls as U
 
@@ -64,18 +71,6 @@ MINI11_FEATURES = [
     "has_double_slash", "special_chars", "is_https", "suspicious_tld", "has_suspicious_words",
 ]
 
-# Fixed word lists of the smaller profiles (first-generation extractor).
-V1_SUSPICIOUS_WORDS = ["login", "secure", "update", "account", "verify", "confirm", "click", "bank", "paypal"]
-V1_SENSITIVE_WORDS = ["bank", "paypal", "account"]
-V1_ACTION_WORDS = ["click", "verify", "confirm"]
-V1_SHORTENERS = ["bit.ly", "tinyurl", "goo.gl"]
-# Fixed word lists of the 29-column host profile.
-HOST29_SUSPICIOUS = ["login", "secure", "update", "bank"]
-HOST29_SENSITIVE = ["password", "credit", "card"]
-HOST29_ACTION = ["click", "submit", "run"]
-HOST29_SHORTENERS = ["bit.ly", "t.co", "goo.gl"]
-HOST29_SYMBOLS = "!@#$%^&*()=+{}[]|\\:;\"<>,?~`"
-
 
 def leet_patterns() -> list[str]:
     """Brands with every occurrence of one letter replaced, one rule at a time."""
@@ -466,12 +461,6 @@ def featurize_urls(df: DataFrame, url_col: str = "url", profile: str = "main") -
     raise ValueError(f"unknown profile {profile!r}")
 
 
-# Fixed word lists of the 58-column decoded profile.
-DECODED_DICTIONARY = ["google", "facebook", "amazon", "apple", "microsoft", "wikipedia", "paypal", "youtube", "twitter",
-                      "linkedin", "instagram", "flipkart", "zomato", "swiggy", "nykaa", "icici", "hdfc", "sbi", "axis"]
-DECODED_BRANDS = ["google", "facebook", "amazon", "microsoft", "apple", "paypal", "netflix", "instagram", "twitter",
-                  "linkedin", "youtube", "yahoo", "ebay", "icici", "hdfc", "sbi", "axis", "swiggy", "zomato"]
-DECODED_BRANDS_DOMAIN = ["google", "facebook", "amazon", "apple", "paypal", "youtube"]
 DECODED_FEATURES = [c for c in MAIN_FEATURES if c not in {
     "brand_impersonation", "brand_with_hyphen", "is_typosquatting", "typosquatting_similarity",
     "has_character_substitution", "suspicious_tld_brand_combo", "multiple_brands_in_domain", "brand_not_in_main_domain"}]
@@ -564,25 +553,6 @@ def featurize_decoded(df: DataFrame, url_col: str = "url", https_first: bool = F
 
 
 # Fixed lists of the 57-column second-generation profile.
-V2_DICTIONARY = [
-    "google", "facebook", "amazon", "microsoft", "apple", "youtube", "twitter", "instagram", "linkedin", "netflix",
-    "wikipedia", "reddit", "github", "stackoverflow", "medium", "wordpress", "yahoo", "ebay", "paypal", "adobe",
-    "salesforce", "spotify", "pinterest", "nike", "walmart", "target", "intel", "samsung", "tesla", "bmw", "ford",
-    "shell", "python", "java", "mozilla", "chrome", "firefox", "opera", "ubuntu", "debian", "mysql", "oracle",
-    "docker", "nginx", "apache",
-]
-V2_HIGH_TRUST = ["com", "org", "net", "edu", "gov", "mil"]
-V2_SUSPICIOUS_CATEGORY = ["tk", "ml", "ga", "cf", "gq", "pw", "cc", "top", "xyz"]
-V2_SUSPICIOUS_FLAG = ["tk", "ml", "ga", "cf", "gq", "pw", "cc", "top", "xyz", "club", "work", "info", "biz"]
-V2_SUSPICIOUS_WORDS = [
-    "login", "secure", "update", "account", "verify", "confirm", "click", "bank", "paypal", "signin", "password",
-    "urgent", "suspended", "locked", "expire", "reward", "prize", "winner", "claim", "free",
-]
-V2_SENSITIVE_WORDS = ["bank", "paypal", "account", "password", "credit", "card"]
-V2_BRANDS = [
-    "google", "facebook", "amazon", "microsoft", "apple", "paypal", "netflix", "instagram", "twitter", "linkedin",
-    "youtube", "yahoo", "ebay", "bank", "chase", "wellsfargo", "citibank", "hsbc", "dhl", "fedex", "usps", "irs", "uscis",
-]
 V2_FEATURES = [
     "url_length", "num_dots", "num_hyphens", "num_underscores", "num_digits", "num_letters", "num_special_chars",
     "has_ip", "num_subdomains", "domain_length", "host_entropy", "domain_has_digits", "domain_digit_ratio",
@@ -703,43 +673,6 @@ def featurize_subst_aware(df: DataFrame, url_col: str = "url", native_only: bool
 
 
 # Fixed lists of the first-draft 63-column profile.
-DRAFT_DICTIONARY = [
-    "google", "facebook", "amazon", "microsoft", "apple", "youtube", "twitter", "instagram",
-    "linkedin", "netflix", "wikipedia", "reddit", "github", "stackoverflow", "medium", "wordpress",
-    "yahoo", "ebay", "paypal", "adobe", "salesforce", "spotify", "pinterest", "tiktok",
-    "flipkart", "myntra", "snapdeal", "meesho", "ajio", "nykaa", "bigbasket", "grofers",
-    "icici", "hdfc", "sbi", "axis", "kotak", "pnb", "canara", "bob", "unionbank", "idbi",
-    "paytm", "phonepe", "googlepay", "bhim", "mobikwik", "freecharge", "amazonpay",
-    "irctc", "uidai", "epfo", "nsdl", "swiggy", "zomato", "ola", "uber", "makemytrip", "goibibo",
-    "nike", "walmart", "target", "intel", "samsung", "tesla", "bmw", "ford", "shell",
-    "python", "java", "mozilla", "chrome", "firefox", "opera", "ubuntu", "debian",
-    "mysql", "oracle", "docker", "nginx", "apache",
-]
-DRAFT_BRANDS = [
-    "google", "facebook", "amazon", "microsoft", "apple", "paypal", "netflix", "instagram",
-    "twitter", "linkedin", "youtube", "yahoo", "ebay", "chase", "wellsfargo", "citibank",
-    "hsbc", "dhl", "fedex", "usps", "irs", "uscis",
-    "flipkart", "paytm", "phonepe", "googlepay", "icici", "hdfc", "sbi", "axis", "kotak",
-    "swiggy", "zomato", "ola", "irctc", "uidai", "epfo", "myntra", "snapdeal", "nykaa",
-]
-DRAFT_HYPHEN_PATTERNS = [
-    "google-", "facebook-", "amazon-", "paypal-", "netflix-", "apple-",
-    "microsoft-", "flipkart-", "paytm-", "icici-", "hdfc-", "sbi-",
-    "axis-", "kotak-", "swiggy-", "zomato-",
-]
-DRAFT_LEGIT = [
-    "google.com", "facebook.com", "amazon.com", "paypal.com", "netflix.com",
-    "apple.com", "microsoft.com", "twitter.com", "instagram.com", "linkedin.com",
-    "youtube.com", "yahoo.com", "ebay.com", "github.com", "stackoverflow.com",
-    "flipkart.com", "paytm.com", "phonepe.com", "icicibank.com", "hdfcbank.com",
-    "sbi.co.in", "axisbank.com", "kotak.com", "swiggy.com", "zomato.com",
-    "myntra.com", "snapdeal.com", "nykaa.com", "makemytrip.com", "irctc.co.in",
-]
-DRAFT_CHECK_BRANDS = ["google", "facebook", "amazon", "paypal", "netflix", "apple", "microsoft", "flipkart", "paytm",
-                      "icici", "hdfc", "sbi", "axis", "kotak", "swiggy", "zomato"]
-DRAFT_MAJOR_BRANDS = ["google", "facebook", "amazon", "paypal", "netflix", "flipkart", "microsoft", "apple", "twitter",
-                      "instagram", "youtube"]
-DRAFT_COMBO_TLDS = ["tk", "ml", "ga", "cf", "gq", "pw", "top", "xyz", "club", "buzz", "loan"]
 DRAFT_NEW = ["brand_with_hyphen", "brand_impersonation", "typosquatting_similarity", "is_typosquatting",
              "suspicious_tld_brand_combo"]
 DRAFT_FEATURES = [c for c in MAIN_FEATURES if c not in set(DRAFT_NEW) | {
