@@ -81,6 +81,14 @@ def test_ratios(spark):
     assert all(0.0 <= x <= 1.0 for r in got.values() for x in r.values())
 
 
+def test_pruned_ratios_keep_what_the_rules_use(spark):
+    words = sorted({w for w, _ in RATIOS} | {*FOLDS, *VERDICTS} | {f"{b[1:]}{i}" for i, b in enumerate(K.BRAND_KEYWORDS)})
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    for r in df.select("w", LK.sequence_ratios(F.col("w")).alias("a"), LK.near_ratios(F.col("w")).alias("b")).collect():
+        assert max(r.a) == max(r.b) and (max(r.a) == 0 or r.a.index(max(r.a)) == r.b.index(max(r.b))), r.w
+        assert all(x == y or (y == 0.0 and x < LK.RATIO_FLOOR) for x, y in zip(r.a, r.b)), r.w
+
+
 def test_profile_cases(spark):
     doms = sorted({*FOLDS, *VERDICTS, *HOMOGRAPHS})
     df = spark.createDataFrame([(d,) for d in doms], "domain string")
