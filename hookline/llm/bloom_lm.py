@@ -116,16 +116,6 @@ def vocabulary(train: DataFrame) -> DataFrame:
     return rows.groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Bytes of equal significance together, so that zeros compress."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
-
-
-def _from_planes(raw: bytes, dtype) -> np.ndarray:
-    width = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(dtype).ravel()
-
-
 def ngram_counts(train: DataFrame, shift: int) -> DataFrame:
     """(bucket, keys, counts): sorted n-gram keys and their counts within a task."""
 
@@ -142,8 +132,8 @@ def ngram_counts(train: DataFrame, shift: int) -> DataFrame:
             last = np.append(first[1:], len(keys))
             delta = [np.diff(keys[a:b], prepend=np.uint64(0)) for a, b in zip(first, last)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket[first], pa.int64()), pa.array([_planes(d) for d in delta], pa.binary()),
-                 pa.array([_planes(counts[a:b].astype(np.uint32)) for a, b in zip(first, last)], pa.binary())],
+                [pa.array(bucket[first], pa.int64()), pa.array([C.planes(d) for d in delta], pa.binary()),
+                 pa.array([C.planes(counts[a:b].astype(np.uint32)) for a, b in zip(first, last)], pa.binary())],
                 names=["bucket", "keys", "counts"],
             )
 
@@ -162,9 +152,18 @@ def ngram_counts(train: DataFrame, shift: int) -> DataFrame:
     return rows.mapInArrow(count, "bucket long, keys binary, counts binary")
 
 
-def _positions(keys: np.ndarray, level: np.ndarray, k: int, size) -> np.ndarray:
-    seed = level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((k * 0xC2B2AE3D27D4EB4F) & (2**64 - 1))
-    return (C.mix(keys ^ seed) % size).astype(np.int64)
+_LOW32 = np.uint64(0xFFFFFFFF)
+
+
+def _hash_pair(keys: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 32-bit hashes of (n-gram, level), which give all its positions."""
+    h = C.mix(keys ^ (level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    return h & _LOW32, (h >> np.uint64(32)) | np.uint64(1)
+
+
+def _position(pair: tuple[np.ndarray, np.ndarray], k: int, size) -> np.ndarray:
+    """k-th bit of a segment of `size` (below 2**32) bits."""
+    return ((((pair[0] + np.uint64(k) * pair[1]) & _LOW32) * size) >> np.uint64(32)).view(np.int64)
 
 
 def build_segment(keys: np.ndarray, counts: np.ndarray, cap: int) -> tuple[bytes, int, int]:
@@ -183,8 +182,9 @@ def build_segment(keys: np.ndarray, counts: np.ndarray, cap: int) -> tuple[bytes
         d = depth[begin : begin + (1 << 18)]
         key = np.repeat(keys[begin : begin + (1 << 18)], d)
         level = lowest + np.arange(len(key)) - np.repeat(np.cumsum(d) - d, d)
+        pair = _hash_pair(key, level)
         for k in range(HASHES):
-            bits[_positions(key, level, k, np.uint64(size))] = True
+            bits[_position(pair, k, np.uint64(size))] = True
     return np.packbits(bits, bitorder="little").tobytes(), size, lowest
 
 
@@ -193,8 +193,8 @@ def build_filter(counts: DataFrame, buckets: int, max_bits: int = MAX_BITS) -> D
     cap = max(64, max_bits // buckets)
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate([np.cumsum(_from_planes(x, np.uint64)) for x in part["keys"]])
-        n = np.concatenate([_from_planes(x, np.uint32) for x in part["counts"]]).astype(np.int64)
+        keys = np.concatenate([np.cumsum(C.from_planes(x, np.uint64)) for x in part["keys"]])
+        n = np.concatenate([C.from_planes(x, np.uint32) for x in part["counts"]]).astype(np.int64)
         order = np.argsort(keys)
         keys, n = keys[order], n[order]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -215,70 +215,87 @@ class LogFrequencyFilter:
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """Counts of n-grams by repeated membership probes of rising levels."""
         found = np.zeros(len(keys), np.int64)
-        bucket = (keys >> np.uint64(self.shift)).astype(np.int64)
-        level = self.lowest[bucket].copy()
-        live = np.flatnonzero(self.size[bucket] > 0)
+        bucket = (keys >> np.uint64(self.shift)).view(np.int64)
+        live = np.flatnonzero(self.size[bucket])
+        bucket = bucket[live]
+        key, first, size, level = keys[live], self.first[bucket], self.size[bucket], self.lowest[bucket]
         while len(live):
-            b = bucket[live]
-            ok = np.ones(len(live), np.bool_)
+            one, two = _hash_pair(key, level)
             for k in range(HASHES):
-                at = np.flatnonzero(ok)
-                if not len(at):
-                    break
-                bit = self.first[b[at]] + _positions(keys[live[at]], level[live[at]], k, self.size[b[at]])
-                ok[at] = (self.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
-            live = live[ok]
-            found[live] = level[live]
-            level[live] += 1
-            live = live[level[live] < len(self.values)]
+                bit = first + _position((one, two), k, size)
+                ok = np.flatnonzero((self.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
+                if len(ok) < len(live):
+                    live, key, first, size, level, one, two = (x[ok] for x in (live, key, first, size, level, one, two))
+            found[live] = level
+            level = level + 1
+            if len(live) and level.max() >= len(self.values):
+                break
         return self.values[found]
 
 
 # ------------------------------------------------------------------ scoring
 
 
+class _Index(dict):
+    """Numbers of words; new words are listed as they come."""
+
+    def __init__(self, known: dict, new: list):
+        super().__init__(known)
+        self.new = new
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+
 class Scorer:
-    """Word table (hash, filter count, exact log count where known) and model."""
+    """Word table (hash, filter count, exact log count where known) and model.
+
+    Numbers 0 to len(words of the model) are the end token and the words of the model's
+    table, which stay; other words are forgotten when they are too many."""
 
     def __init__(self, model: dict):
         self.filter = LogFrequencyFilter(model["bits"], model["first"], model["size"], model["lowest"], model["shift"])
-        self.exact = dict(zip(model["words"], model["counts"]))
         self.tokens, self.distinct, self.prior = model["tokens"], model["distinct"], model["prior"]
-        self.reset()
-
-    def reset(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.new: list[bytes] = []
         self.words: list[bytes] = []
-        self.hash = np.empty(0, np.uint64)
-        self.count = np.empty(0)
-        self.log = np.empty(0)  # log10(c + 0.1); not a number for words outside the table
-        self.learn([END])
-
-    def learn(self, words: list[bytes]) -> None:
-        for w in words:
-            self.index[w] = len(self.words)
-            self.words.append(w)
-        h = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+        self.hash, self.count, self.log = np.empty(0, np.uint64), np.empty(0), np.empty(0)
+        exact = dict(zip(model["words"], model["counts"]))
+        table = [END, *(w for w in exact if w != END)]
+        # log10(c + 0.1); not a number for words outside the table
+        c = np.array([exact.get(w, np.nan) for w in table], np.float64)
+        self.learn(table, np.log10(c + 0.1))
+        self.base = dict(zip(table, range(len(table))))
+        self.index = _Index(self.base, self.new)
+
+    def learn(self, words: list[bytes], log: np.ndarray) -> None:
+        h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+        self.words += words
         self.hash = np.concatenate([self.hash, h])
         self.count = np.concatenate([self.count, self.filter.counts(unigram_keys(h))])
-        c = np.array([self.exact.get(w, -1) for w in words], np.float64)
-        self.log = np.concatenate([self.log, np.where(c < 0, np.nan, np.log10(np.maximum(c, 0) + 0.1))])
+        self.log = np.concatenate([self.log, log])
+
+    def forget(self) -> None:
+        n = len(self.base)
+        self.words, self.hash, self.count, self.log = self.words[:n], self.hash[:n], self.count[:n], self.log[:n]
+        self.index = _Index(self.base, self.new)
 
     def score(self, texts: list[bytes | None]):
         """Tokens, model score, base score of the table's words, their number, and
         for the other words (text number, word, times)."""
+        if len(self.words) > len(self.base) + WORDS:
+            self.forget()
         split = [C.lower_words(t) for t in texts]
-        new = list(dict.fromkeys(w for w in chain.from_iterable(split) if w not in self.index))
-        if len(self.words) + len(new) > WORDS:
-            self.reset()
-            new = list(dict.fromkeys(w for w in chain.from_iterable(split) if w not in self.index))
-        if new:
-            self.learn(new)
+        flat: list[bytes] = []
+        for words in split:
+            flat += words
+            flat.append(END)
+        token = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
+        if self.new:
+            self.learn(self.new, np.full(len(self.new), np.nan))
+            self.new.clear()
         sizes = np.array([len(w) + 1 for w in split])
-        index = self.index
-        token = np.fromiter(
-            chain.from_iterable(chain(map(index.__getitem__, w), (0,)) for w in split), np.int64, int(sizes.sum())
-        )
         before = np.concatenate([[0], token[:-1]])
         pair = self.filter.counts(bigram_keys(self.hash[before], self.hash[token]))
         history = self.count[before]

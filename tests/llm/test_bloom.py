@@ -85,4 +85,4 @@ def test_a_bounded_segment_drops_its_lowest_levels():
 
 def test_planes_round_trip():
     x = np.array([0, 1, 2**63, 5, 2**64 - 1], np.uint64)
-    assert (B._from_planes(B._planes(x), np.uint64) == x).all()
+    assert (B.C.from_planes(B.C.planes(x), np.uint64) == x).all()
