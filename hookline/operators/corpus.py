@@ -293,8 +293,20 @@ def merge_same_schema(frames: Sequence[DataFrame]) -> DataFrame:
 # ------------------------------------------------------ sampling and splits
 
 def sample_up_to(df: DataFrame, n: int, seed: int, key: str = "url") -> DataFrame:
-    """``n`` rows by a seeded hash order (all rows if fewer)."""
-    return df.orderBy(F.md5(F.concat(F.lit(str(seed)), F.lit("|"), F.col(key))), F.col(key)).limit(n)
+    """``n`` rows by a seeded hash order (all rows if fewer).
+
+    The rows are counted per hash prefix (65,536 small counts).  Prefixes that fit
+    wholly are kept as they are; only the one that the limit cuts is ranked."""
+    h = F.md5(F.concat(F.lit(str(seed)), F.lit("|"), F.col(key)))
+    x = df.withColumn("_h", h).withColumn("_b", F.coalesce(F.substring("_h", 1, 4), F.lit("")))
+    order = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    per = x.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    per = per.withColumn("_before", F.coalesce(F.sum("_n").over(order), F.lit(0))).where(F.col("_before") < n)
+    x = x.join(F.broadcast(per), "_b")
+    whole = F.col("_before") + F.col("_n") <= n
+    rank = F.row_number().over(Window.partitionBy("_b").orderBy("_h", key))
+    cut = x.where(~whole).withColumn("_r", rank).where(F.col("_before") + F.col("_r") <= n)
+    return x.where(whole).unionByName(cut.drop("_r")).select(*df.columns)
 
 
 def stratified_ranks(df: DataFrame, label: str = "type", key: str = "url", seed: int = 42,
@@ -450,7 +462,7 @@ def host_diverse_sample(df: DataFrame, target: int, seed: int = 42, repeat_share
     grouped ``min`` (map-side combined, so a hot host is one partial row per
     task) instead of a window over each host."""
     order = F.md5(F.concat(F.lit(f"{seed}|"), F.col(url_col)))
-    prefix = df.select(url_col, order.alias("_o")).orderBy("_o", url_col).limit(target)
+    prefix = sample_up_to(df.select(url_col), target, seed, url_col).withColumn("_o", order)
     host = F.substring_index(F.regexp_extract(F.col(url_col), r"^.*?://(.*)$", 1), "/", 1)
     x = prefix.withColumn("_host", host)
     firsts = x.groupBy("_host").agg(F.min(F.struct("_o", url_col)).alias("_first"))
