@@ -108,9 +108,11 @@ def test_trie_links_equal_all_pairs():
                 assert known.find(i) == known.find(j)
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("local", [250_000, 7])
+def test_components_of_chains_and_stars(spark, monkeypatch, local):
+    monkeypatch.setattr(K, "LOCAL_LINKS", local)  # many partitions: the joins do the work
     links = [(i, i + 1) for i in range(1, 60)] + [(100, i) for i in range(101, 140)] + [(300, 300), (500, 400)]
-    df = spark.createDataFrame(links, "u long, v long")
+    df = spark.createDataFrame(links, "u long, v long").repartition(8)
     found = {r.node: r.component for r in K.components(df).collect()}
     assert {found[i] for i in range(1, 61)} == {1}
     assert {found[i] for i in range(100, 140)} == {100}
