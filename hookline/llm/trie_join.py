@@ -18,11 +18,15 @@ order (by hash).  Two documents link when 100 * |A and B| >= percent * |A or B|.
     prefix counted once, and a subtree is left when even all remaining elements
     could not reach the overlap that the sizes of its sets ask for.  Sets that are
     already connected are not compared again.
-5.  Large groups.  Beyond `TRIE_SETS` sets, the first round works around hubs (for
-    each signature the set with most shared ones), in tries that hold a hub and a
-    bounded share of its sets.  Where a signature's sets are in several components
-    after that, the sets outside the largest component meet all sets concerned,
-    chunk by chunk, so that no link between components is missed and no task
+5.  Large groups (beyond `TRIE_SETS` sets, such as the documents that share a
+    passage).  Their n-grams are counted in a sketch of fixed size, which gives a
+    global order with rare n-grams first.  Sets that link share one of their first
+    n - ceil(t n) + 1 n-grams in any such order, so those are the blocks from here on:
+    a shared passage, being frequent, is in hardly any of them.  The first round works
+    around hubs (for each block the set with most shared ones), in tries that hold a
+    hub and a bounded share of its sets.  Where a block's sets are in several
+    components after that, the sets outside the largest component meet all sets
+    concerned, chunk by chunk, so that no link between components is missed and no task
     holds more than two chunks.
 
 So the components are those of all links; pairs inside a component need not all
@@ -55,6 +59,8 @@ from hookline.llm.components import components
 TRIE_SETS = 400
 #: Signatures that a task holds before it sends them on, and of a bucket, about.
 HELD, BUCKET_KEYS = 2 << 20, 1 << 18
+#: Counters of n-grams in large groups: 2**SKETCH_BITS.
+SKETCH_BITS = 22
 #: Ratio of the sizes in a family.
 WIDTH = 1.5
 #: Ranges from which on empty ones need no signatures.
@@ -365,6 +371,62 @@ def _links(blocks: DataFrame, percent: int) -> DataFrame:
     return blocks.groupBy("block").applyInPandas(run, "u long, v long")
 
 
+def _sketch(sets: DataFrame) -> np.ndarray:
+    """Upper bounds of the n-grams' document counts: `2**SKETCH_BITS` counters by hash."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        for batch in batches:
+            found = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
+            if found:
+                total += np.bincount(_counter(np.concatenate(found)), minlength=len(total))
+        some = np.flatnonzero(total)
+        if len(some):
+            yield _packed(some >> 16, some, total[some])
+
+    def add(part: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(1 << 16, np.int64)
+        for a, b in zip(part["a"], part["b"]):
+            total[C.from_planes(a, np.int64) & 0xFFFF] += C.from_planes(b, np.int64)
+        return pd.DataFrame({"bucket": [part["bucket"].iloc[0]], "total": [total.tobytes()]})
+
+    rows = sets.select("node", "set").mapInArrow(count, "bucket long, a binary, b binary")
+    out = np.zeros(1 << SKETCH_BITS, np.int64)
+    for r in rows.groupBy("bucket").applyInPandas(add, "bucket long, total binary").collect():
+        out[r["bucket"] << 16 : (r["bucket"] + 1) << 16] = np.frombuffer(r["total"], np.int64)
+    return out
+
+
+def _counter(s: np.ndarray) -> np.ndarray:
+    return (C.mix(s) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def _rare_tokens(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, sig): each set's first n - ceil(t n) + 1 n-grams in a global order that puts
+    rare ones first, as far as several sets have them.  Two sets that link share one."""
+    counts = _sketch(sets)
+    # Levels of the counts: a bounded array (2**SKETCH_BITS bytes) for the workers.
+    levels = np.floor(2 * np.log2(np.maximum(counts, 1))).astype(np.uint8)
+    sent = sets.sparkSession.sparkContext.broadcast(levels.tobytes())
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = np.frombuffer(sent.value, np.uint8)
+        for batch in batches:
+            found = []
+            for x in batch.column(1).to_pylist():
+                s = np.frombuffer(x, np.uint64)
+                rank = (level[_counter(s)].astype(np.uint64) << np.uint64(57)) | (s >> np.uint64(7))
+                size = len(s) + (-percent * len(s) // 100) + 1
+                found.append(s[np.argsort(rank, kind="stable")[:size]])
+            node = np.repeat(batch.column(0).to_numpy(), [len(g) for g in found])
+            sig = np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sig)], names=["node", "sig"])
+
+    tokens = sets.select("node", "set").mapInArrow(first, "node long, sig long")
+    shared = tokens.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    return tokens.join(shared.select("sig"), "sig").distinct()
+
+
 def _hub_places(wide: DataFrame, trie_sets: int) -> DataFrame:
     """hub, share, node, rank: the sets around each hub in bounded shares, each with
     the hub first.  A signature's hub is the set that shares most signatures."""
@@ -469,15 +531,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, trie_sets: i
         F.col("grp").alias("hub"), F.lit(0).cast("long").alias("share"), "node", F.lit(0).alias("rank")
     )
     members = groups.join(large, "grp", "left_semi").select("node")
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [signatures(np.frombuffer(x, np.uint64), percent) for x in batch.column(1).to_pylist()]
-            node = np.repeat(batch.column(0).to_numpy(), [len(g) for g in found])
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(found))], names=["node", "sig"])
-
-    wide = sets.join(members, "node").mapInArrow(sign, "node long, sig long").distinct()
-    wide = C.stage(wide, "wide")
+    wide = C.stage(_rare_tokens(C.stage(sets.join(members, "node"), "members"), percent), "wide")
     places = whole.unionByName(_hub_places(wide, trie_sets))
     blocks = places.join(sets, "node").select(
         F.struct("hub", "share").alias("block"), F.lit(0).alias("side"), "node", F.col("node").alias("component"),
