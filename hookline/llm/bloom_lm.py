@@ -43,21 +43,25 @@ from hookline.llm import common as C
 
 #: Base of the quantisation of counts.
 BASE = 1.5
-#: Hash functions and bits per (n-gram, level): about 2.4 % false positives.
+#: Hash functions and bits per (n-gram, level), and bits of a block: about 3 % false positives.
 HASHES = 4
-BITS_PER_ENTRY = 8
+BITS_PER_ENTRY = 9
+BLOCK = 512
 #: Bits of the filter, at most (64 MB).
 MAX_BITS = 1 << 29
 #: Words with exact counts that the workers hold, at most.
-FREQUENT = 200_000
+FREQUENT = 150_000
 #: Weight of the shorter n-gram, in counts.
 PRIOR = 20.0
 #: N-gram occurrences per bucket, about.
 BUCKET_KEYS = 1 << 20
 #: Occurrences that a counting task holds before it sends them on.
 HELD = 4 << 20
-#: Words that a counting or scoring task remembers before it begins anew.
-WORDS = 400_000
+#: Words that a counting task holds before it sends them on, and words besides the
+#: table that a scoring task remembers before it begins anew.
+COUNTED, WORDS = 300_000, 150_000
+#: Texts scored together.
+BATCH_ROWS = 512
 
 END = b""
 _SALT1, _SALT2 = 101, 102
@@ -107,7 +111,7 @@ def vocabulary(train: DataFrame) -> DataFrame:
             for text in batch.column(0).to_pylist():
                 found.update(C.lower_words(text))
                 found[END] += 1
-                if len(found) > WORDS:
+                if len(found) > COUNTED:
                     yield sent(found)
                     found = Counter()
         yield sent(found)
@@ -152,18 +156,20 @@ def ngram_counts(train: DataFrame, shift: int) -> DataFrame:
     return rows.mapInArrow(count, "bucket long, keys binary, counts binary")
 
 
-_LOW32 = np.uint64(0xFFFFFFFF)
+def _block(keys: np.ndarray, blocks) -> np.ndarray:
+    """First bit of an n-gram's block, which holds all its levels: a worker's probes of
+    one n-gram touch one cache line."""
+    h = C.mix(keys + np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+    return (((h * blocks) >> np.uint64(32)) * np.uint64(BLOCK)).view(np.int64)
 
 
-def _hash_pair(keys: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 32-bit hashes of (n-gram, level), which give all its positions."""
-    h = C.mix(keys ^ (level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-    return h & _LOW32, (h >> np.uint64(32)) | np.uint64(1)
+def _level_hash(keys: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Hash of (n-gram, level), whose parts are the positions in the block."""
+    return C.mix(keys ^ (level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
 
 
-def _position(pair: tuple[np.ndarray, np.ndarray], k: int, size) -> np.ndarray:
-    """k-th bit of a segment of `size` (below 2**32) bits."""
-    return ((((pair[0] + np.uint64(k) * pair[1]) & _LOW32) * size) >> np.uint64(32)).view(np.int64)
+def _place(h: np.ndarray, k: int) -> np.ndarray:
+    return ((h >> np.uint64(9 * k)) & np.uint64(BLOCK - 1)).view(np.int64)
 
 
 def build_segment(keys: np.ndarray, counts: np.ndarray, cap: int) -> tuple[bytes, int, int]:
@@ -176,21 +182,21 @@ def build_segment(keys: np.ndarray, counts: np.ndarray, cap: int) -> tuple[bytes
         if entries * BITS_PER_ENTRY <= cap or not entries:
             break
         lowest += 1
-    size = max(64, -(-entries * BITS_PER_ENTRY // 64) * 64)
+    size = max(1, -(-entries * BITS_PER_ENTRY // BLOCK)) * BLOCK
     bits = np.zeros(size, np.bool_)
     for begin in range(0, len(keys), 1 << 18):  # in chunks, to bound memory
         d = depth[begin : begin + (1 << 18)]
         key = np.repeat(keys[begin : begin + (1 << 18)], d)
         level = lowest + np.arange(len(key)) - np.repeat(np.cumsum(d) - d, d)
-        pair = _hash_pair(key, level)
+        block, h = _block(key, np.uint64(size // BLOCK)), _level_hash(key, level)
         for k in range(HASHES):
-            bits[_position(pair, k, np.uint64(size))] = True
+            bits[block + _place(h, k)] = True
     return np.packbits(bits, bitorder="little").tobytes(), size, lowest
 
 
 def build_filter(counts: DataFrame, buckets: int, max_bits: int = MAX_BITS) -> DataFrame:
     """(bucket, bits, size, lowest) from the task counts."""
-    cap = max(64, max_bits // buckets)
+    cap = max(BLOCK, max_bits // buckets)
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
         keys = np.concatenate([np.cumsum(C.from_planes(x, np.uint64)) for x in part["keys"]])
@@ -218,14 +224,15 @@ class LogFrequencyFilter:
         bucket = (keys >> np.uint64(self.shift)).view(np.int64)
         live = np.flatnonzero(self.size[bucket])
         bucket = bucket[live]
-        key, first, size, level = keys[live], self.first[bucket], self.size[bucket], self.lowest[bucket]
+        key, level = keys[live], self.lowest[bucket]
+        block = self.first[bucket] + _block(key, self.size[bucket] // np.uint64(BLOCK))
         while len(live):
-            one, two = _hash_pair(key, level)
+            h = _level_hash(key, level)
             for k in range(HASHES):
-                bit = first + _position((one, two), k, size)
+                bit = block + _place(h, k)
                 ok = np.flatnonzero((self.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
                 if len(ok) < len(live):
-                    live, key, first, size, level, one, two = (x[ok] for x in (live, key, first, size, level, one, two))
+                    live, key, block, level, h = (x[ok] for x in (live, key, block, level, h))
             found[live] = level
             level = level + 1
             if len(live) and level.max() >= len(self.values):
@@ -352,7 +359,7 @@ def train_model(train: DataFrame, max_bits: int = MAX_BITS, frequent: int = FREQ
 def scores(docs: DataFrame, model: dict, rare: DataFrame, flags: dict[str, Column]) -> DataFrame:
     """doc_id, the columns of `flags`, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    C.small_batches(spark)
+    C.small_batches(spark, BATCH_ROWS)
     sent = spark.sparkContext.broadcast(model)
     name = f"{spark.sparkContext.applicationId}-{sent._jbroadcast.id()}"
     tokens, distinct = model["tokens"], model["distinct"]
@@ -411,6 +418,6 @@ def scores(docs: DataFrame, model: dict, rare: DataFrame, flags: dict[str, Colum
 
 def language_model_scores(docs: DataFrame) -> DataFrame:
     """Scores of all documents, learnt from those that are not held out."""
-    C.small_batches(docs.sparkSession)
+    C.small_batches(docs.sparkSession, BATCH_ROWS)
     model, rare = train_model(docs.where(~held_out()))
     return scores(docs, model, rare, {"held_out": held_out()})

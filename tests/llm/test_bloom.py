@@ -77,7 +77,7 @@ def test_a_bounded_segment_drops_its_lowest_levels():
     keys = np.arange(1, 5001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     counts = np.concatenate([np.ones(4900, np.int64), np.full(100, 500)])
     bits, size, lowest = B.build_segment(keys, counts, 20_000)
-    assert size <= 20_000 + 64 and lowest > 1
+    assert size <= 20_000 + B.BLOCK and lowest > 1
     one = B.LogFrequencyFilter(bits, np.zeros(2, np.int64), np.full(2, size, np.uint64), np.full(2, lowest), 63)
     assert (one.counts(keys[4900:]) > 300).all()
     assert (one.counts(keys[:4900]) > 0).mean() < 0.1
