@@ -60,7 +60,7 @@ TRIE_SETS = 400
 #: Signatures that a task holds before it sends them on, and of a bucket, about.
 HELD, BUCKET_KEYS = 2 << 20, 1 << 18
 #: Counters of n-grams in large groups: 2**SKETCH_BITS.
-SKETCH_BITS = 22
+SKETCH_BITS = 20
 #: Ratio of the sizes in a family.
 WIDTH = 1.5
 #: Ranges from which on empty ones need no signatures.
@@ -377,12 +377,13 @@ def _sketch(sets: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
-            found = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
-            if found:
-                total += np.bincount(_counter(np.concatenate(found)), minlength=len(total))
-        some = np.flatnonzero(total)
-        if len(some):
-            yield _packed(some >> 16, some, total[some])
+            for x in batch.column(1):
+                s = np.frombuffer(x.as_buffer(), np.uint64)  # distinct n-grams, few per counter
+                np.add.at(total, _counter(s), 1)
+        for begin in range(0, len(total), 1 << 16):
+            some = begin + np.flatnonzero(total[begin : begin + (1 << 16)])
+            if len(some):
+                yield _packed(some >> 16, some, total[some])
 
     def add(part: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(1 << 16, np.int64)
@@ -413,8 +414,8 @@ def _rare_tokens(sets: DataFrame, percent: int) -> DataFrame:
         level = np.frombuffer(sent.value, np.uint8)
         for batch in batches:
             found = []
-            for x in batch.column(1).to_pylist():
-                s = np.frombuffer(x, np.uint64)
+            for x in batch.column(1):
+                s = np.frombuffer(x.as_buffer(), np.uint64)
                 rank = (level[_counter(s)].astype(np.uint64) << np.uint64(57)) | (s >> np.uint64(7))
                 size = len(s) + (-percent * len(s) // 100) + 1
                 found.append(s[np.argsort(rank, kind="stable")[:size]])
