@@ -60,7 +60,7 @@ TRIE_SETS = 400
 #: Signatures that a task holds before it sends them on, and of a bucket, about.
 HELD, BUCKET_KEYS = 2 << 20, 1 << 18
 #: Counters of n-grams in large groups: 2**SKETCH_BITS.
-SKETCH_BITS = 20
+SKETCH_BITS = 22
 #: Ratio of the sizes in a family.
 WIDTH = 1.5
 #: Ranges from which on empty ones need no signatures.
@@ -375,7 +375,7 @@ def _sketch(sets: DataFrame) -> np.ndarray:
     """Upper bounds of the n-grams' document counts: `2**SKETCH_BITS` counters by hash."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
             for x in batch.column(1):
                 s = np.frombuffer(x.as_buffer(), np.uint64)  # distinct n-grams, few per counter
@@ -383,7 +383,7 @@ def _sketch(sets: DataFrame) -> np.ndarray:
         for begin in range(0, len(total), 1 << 16):
             some = begin + np.flatnonzero(total[begin : begin + (1 << 16)])
             if len(some):
-                yield _packed(some >> 16, some, total[some])
+                yield _packed(some >> 16, some, total[some].astype(np.int64))
 
     def add(part: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(1 << 16, np.int64)
@@ -437,7 +437,10 @@ def _hub_places(wide: DataFrame, trie_sets: int) -> DataFrame:
         .agg(F.max(F.struct("degree", (-F.col("node")).alias("minus"))).alias("top"))
         .select("sig", (-F.col("top.minus")).alias("hub"))
     )
-    stars = C.stage(wide.join(hub, "sig").where("node != hub").select("hub", "node").distinct(), "hubs")
+    # Each set goes to the hub that it shares most with; the second round does the rest.
+    shares = wide.join(hub, "sig").where("node != hub").groupBy("hub", "node").count()
+    stars = shares.groupBy("node").agg(F.max(F.struct("count", (-F.col("hub")).alias("minus"))).alias("top"))
+    stars = C.stage(stars.select((-F.col("top.minus")).alias("hub"), "node"), "hubs")
     sizes = stars.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / trie_sets).alias("shares"))
     dealt = stars.join(sizes, "hub").withColumn("share", F.pmod(F.xxhash64("node", "hub"), F.col("shares")))
     return dealt.select("hub", "share", "node", F.lit(1).alias("rank")).unionByName(
@@ -449,19 +452,28 @@ def _hub_places(wide: DataFrame, trie_sets: int) -> DataFrame:
 def _open_places(wide: DataFrame, found: DataFrame, trie_sets: int) -> DataFrame:
     """block, side, node, component, rank for what the first round left open.
 
-    Sets connected by signatures that still have several components form a group.
-    Its members outside its most frequent component (side 1) meet all its members
-    (side 0), chunk by chunk, so that every pair between components shares a block."""
+    Blocks whose sets are in several components connect sets to groups.  A group that
+    fits in one trie is joined whole; of a larger one, each block (of equal ones one).
+    The members outside the most frequent component (side 1) meet all members (side 0),
+    chunk by chunk, so that every pair between components shares a block."""
     labelled = wide.join(found, "node", "left").select(
         "sig", "node", F.coalesce("component", "node").alias("component")
     )
     mixed = labelled.groupBy("sig").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("v")
+        F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("v"),
+        F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("members"),
     ).where("low < high")
-    still = C.stage(labelled.join(mixed.select("sig", "v"), "sig").select("node", "component", "v").distinct(), "open")
-    nodes = still.select("node", "component").distinct()
+    once = mixed.groupBy("members", "size", "low", "high", "v").agg(F.min("sig").alias("sig"))
+    still = C.stage(labelled.join(once.select("sig", "v"), "sig").select("sig", "node", "component", "v"), "open")
     group = components(still.select(F.col("node").alias("u"), "v")).withColumnRenamed("component", "grp")
-    nodes = C.stage(nodes.join(group, "node"), "rest")
+    group = C.stage(group, "rest")
+    sizes = group.groupBy("grp").agg((F.count(F.lit(1)) <= trie_sets).alias("fits"))
+    # A group and a signature may have the same number: the flag tells them apart.
+    nodes = still.join(group.join(sizes, "grp"), "node").select(
+        F.struct("fits", F.when(F.col("fits"), F.col("grp")).otherwise(F.col("sig")).alias("number")).alias("grp"),
+        "node", "component",
+    ).distinct()
+    nodes = C.stage(nodes, "blocks")
     counts = nodes.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("n"))
     major = counts.groupBy("grp").agg(
         F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all")
