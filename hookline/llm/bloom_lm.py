@@ -9,11 +9,11 @@ last one found gives its count back.  Probabilities are smoothed from such count
     P1(w)     = (c(w) + 0.1) / (N + 0.1 (V + 1))
     P(w | h)  = (min(c(h w), c(h)) + PRIOR * P1(w)) / (c(h) + PRIOR)
 
-Counting is distributed: tasks count their n-grams by 64-bit hash, and buckets (the
-top bits of the hash) sum them and build their own segment of the filter.  A
-segment takes `BITS_PER_ENTRY` bits per level entered.  The filter that the workers
-get is bounded by `MAX_BITS`; a segment beyond its share leaves out its lowest
-levels (all buckets alike), so that the rarest n-grams back off to shorter ones.
+Counting is distributed: chunks of texts send their distinct n-grams by 64-bit hash with
+their counts to buckets (the top bits of the hash), which sum them and build their own
+segment of the filter.  A segment takes `BITS_PER_ENTRY` bits per level entered and holds
+all levels: the filter grows with the corpus and is never in one place.  The buckets
+probe their segments for the n-grams of each chunk and send the levels back to it.
 
 The base score needs exact counts of all words.  The `FREQUENT` most frequent words
 at most (whole bins of their counts, hence bounded) are sent to the workers; the
@@ -28,6 +28,7 @@ other than doc_id and text are not read.
 from __future__ import annotations
 
 import math
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -47,16 +48,12 @@ BASE = 1.5
 HASHES = 4
 BITS_PER_ENTRY = 9
 BLOCK = 512
-#: Bits of the filter, at most (64 MB).
-MAX_BITS = 1 << 29
+#: Bytes of a chunk and n-gram occurrences per bucket, about.
+CHUNK_BYTES, BUCKET_KEYS = 4 << 20, 1 << 22
 #: Words with exact counts that the workers hold, at most.
 FREQUENT = 150_000
 #: Weight of the shorter n-gram, in counts.
 PRIOR = 20.0
-#: N-gram occurrences per bucket, about.
-BUCKET_KEYS = 1 << 20
-#: Occurrences that a counting task holds before it sends them on.
-HELD = 4 << 20
 #: Words that a counting task holds before it sends them on, and words besides the
 #: table that a scoring task remembers before it begins anew.
 COUNTED, WORDS = 300_000, 150_000
@@ -65,6 +62,9 @@ BATCH_ROWS = 512
 
 END = b""
 _SALT1, _SALT2 = 101, 102
+#: N-gram keys are 48 bits (two n-grams share one far below the rate of false positives): sorted
+#: keys take fewer bytes.
+_TOP = np.uint64(0xFFFF_FFFF_FFFF_0000)
 _STATE: dict[str, Scorer] = {}
 
 
@@ -73,11 +73,11 @@ def held_out(modulus: int = 10) -> Column:
 
 
 def unigram_keys(h: np.ndarray) -> np.ndarray:
-    return C.pair_hash(h, h, _SALT1)
+    return C.pair_hash(h, h, _SALT1) & _TOP
 
 
 def bigram_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return C.pair_hash(left, right, _SALT2)
+    return C.pair_hash(left, right, _SALT2) & _TOP
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -120,40 +120,10 @@ def vocabulary(train: DataFrame) -> DataFrame:
     return rows.groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def ngram_counts(train: DataFrame, shift: int) -> DataFrame:
-    """(bucket, keys, counts): sorted n-gram keys and their counts within a task."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = C.WordHashes()
-        end = np.array([xxhash.xxh64_intdigest(END)], np.uint64)
-        parts: list[np.ndarray] = []
-        held = 0
-
-        def sent() -> Iterator[pa.RecordBatch]:
-            keys, counts = np.unique(np.concatenate(parts), return_counts=True)
-            bucket = (keys >> np.uint64(shift)).astype(np.int64)
-            first = np.flatnonzero(np.diff(bucket, prepend=-1))
-            last = np.append(first[1:], len(keys))
-            delta = [np.diff(keys[a:b], prepend=np.uint64(0)) for a, b in zip(first, last)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket[first], pa.int64()), pa.array([C.planes(d) for d in delta], pa.binary()),
-                 pa.array([C.planes(counts[a:b].astype(np.uint32)) for a, b in zip(first, last)], pa.binary())],
-                names=["bucket", "keys", "counts"],
-            )
-
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                h = np.concatenate([hashes.of(C.lower_words(text)), end])
-                parts += [unigram_keys(h), bigram_keys(np.concatenate([end, h[:-1]]), h)]
-                held += 2 * len(h)
-                if held >= HELD:
-                    yield from sent()
-                    parts, held = [], 0
-        if parts:
-            yield from sent()
-
-    rows = train.select(F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(count, "bucket long, keys binary, counts binary")
+def _runs(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the runs of equal values."""
+    first = np.flatnonzero(np.diff(part, prepend=-1))
+    return first, np.append(first[1:], len(part))
 
 
 def _block(keys: np.ndarray, blocks) -> np.ndarray:
@@ -194,22 +164,6 @@ def build_segment(keys: np.ndarray, counts: np.ndarray, cap: int) -> tuple[bytes
     return np.packbits(bits, bitorder="little").tobytes(), size, lowest
 
 
-def build_filter(counts: DataFrame, buckets: int, max_bits: int = MAX_BITS) -> DataFrame:
-    """(bucket, bits, size, lowest) from the task counts."""
-    cap = max(BLOCK, max_bits // buckets)
-
-    def build(part: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate([np.cumsum(C.from_planes(x, np.uint64)) for x in part["keys"]])
-        n = np.concatenate([C.from_planes(x, np.uint32) for x in part["counts"]]).astype(np.int64)
-        order = np.argsort(keys)
-        keys, n = keys[order], n[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        bits, size, lowest = build_segment(keys[first], np.add.reduceat(n, first), cap)
-        return pd.DataFrame({"bucket": [part["bucket"].iloc[0]], "bits": [bits], "size": [size], "lowest": [lowest]})
-
-    return counts.groupBy("bucket").applyInPandas(build, "bucket long, bits binary, size long, lowest int")
-
-
 class LogFrequencyFilter:
     """The filter as the workers hold it: segments one after another."""
 
@@ -219,7 +173,10 @@ class LogFrequencyFilter:
         self.values = level_values()
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of n-grams by repeated membership probes of rising levels."""
+        return self.values[self.levels(keys)]
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """Levels of n-grams by repeated membership probes of rising levels."""
         found = np.zeros(len(keys), np.int64)
         bucket = (keys >> np.uint64(self.shift)).view(np.int64)
         live = np.flatnonzero(self.size[bucket])
@@ -237,7 +194,7 @@ class LogFrequencyFilter:
             level = level + 1
             if len(live) and level.max() >= len(self.values):
                 break
-        return self.values[found]
+        return found
 
 
 # ------------------------------------------------------------------ scoring
@@ -257,17 +214,16 @@ class _Index(dict):
 
 
 class Scorer:
-    """Word table (hash, filter count, exact log count where known) and model.
+    """Word table (hash, exact log count where known) and model.
 
     Numbers 0 to len(words of the model) are the end token and the words of the model's
     table, which stay; other words are forgotten when they are too many."""
 
     def __init__(self, model: dict):
-        self.filter = LogFrequencyFilter(model["bits"], model["first"], model["size"], model["lowest"], model["shift"])
-        self.tokens, self.distinct, self.prior = model["tokens"], model["distinct"], model["prior"]
+        self.model = model
         self.new: list[bytes] = []
         self.words: list[bytes] = []
-        self.hash, self.count, self.log = np.empty(0, np.uint64), np.empty(0), np.empty(0)
+        self.hash, self.log = np.empty(0, np.uint64), np.empty(0)
         exact = dict(zip(model["words"], model["counts"]))
         table = [END, *(w for w in exact if w != END)]
         # log10(c + 0.1); not a number for words outside the table
@@ -280,16 +236,26 @@ class Scorer:
         h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
         self.words += words
         self.hash = np.concatenate([self.hash, h])
-        self.count = np.concatenate([self.count, self.filter.counts(unigram_keys(h))])
         self.log = np.concatenate([self.log, log])
 
     def forget(self) -> None:
         n = len(self.base)
-        self.words, self.hash, self.count, self.log = self.words[:n], self.hash[:n], self.count[:n], self.log[:n]
+        self.words, self.hash, self.log = self.words[:n], self.hash[:n], self.log[:n]
         self.index = _Index(self.base, self.new)
 
-    def score(self, texts: list[bytes | None]):
-        """Tokens, model score, base score of the table's words, their number, and
+    def score(self, texts: list[bytes | None], level: np.ndarray):
+        """As `read`, the model score in place of the tokens.  `level` has the levels of the
+        distinct n-grams of the texts in the order of their keys."""
+        sizes, token, *base = self.read(texts)
+        h = self.hash[token]
+        keys, place = np.unique(np.concatenate([unigram_keys(h), bigram_keys(np.roll(h, 1), h)]), return_inverse=True)
+        if len(keys) != len(level):
+            raise ValueError(f"{len(level)} levels for {len(keys)} n-grams")
+        own, pair = np.split(level_values()[level][place], 2)
+        return sizes, model_score(sizes, own, pair, self.model), *base
+
+    def read(self, texts: list[bytes | None]):
+        """Numbers of tokens, tokens, base score of the table's words, their number, and
         for the other words (text number, word, times)."""
         if len(self.words) > len(self.base) + WORDS:
             self.forget()
@@ -303,51 +269,45 @@ class Scorer:
             self.learn(self.new, np.full(len(self.new), np.nan))
             self.new.clear()
         sizes = np.array([len(w) + 1 for w in split])
-        before = np.concatenate([[0], token[:-1]])
-        pair = self.filter.counts(bigram_keys(self.hash[before], self.hash[token]))
-        history = self.count[before]
-        one = (self.count[token] + 0.1) / (self.tokens + 0.1 * (self.distinct + 1))
-        p = (np.minimum(pair, history) + self.prior * one) / (history + self.prior)
         starts = np.cumsum(sizes) - sizes
-        score = np.add.reduceat(np.log10(p), starts)
         log = self.log[token]
         rare = np.isnan(log)
         base = np.add.reduceat(np.where(rare, 0.0, log), starts)
         known = np.add.reduceat((~rare).astype(np.int64), starts)
         text_of = np.repeat(np.arange(len(texts)), sizes)[rare]
         places, times = np.unique(text_of * len(self.words) + token[rare], return_counts=True)
-        return sizes, score, base, known, places // len(self.words), places % len(self.words), times
+        return sizes, token, base, known, places // len(self.words), places % len(self.words), times
+
 
+def model_score(sizes: np.ndarray, own: np.ndarray, pair: np.ndarray, model: dict) -> np.ndarray:
+    """Log probabilities of texts from the counts of their words and pairs.  The end
+    token closes each text and is the history of the next one's first word."""
+    one = (own + 0.1) / (model["tokens"] + 0.1 * (model["distinct"] + 1))
+    history = np.roll(own, 1)
+    p = (np.minimum(pair, history) + model["prior"] * one) / (history + model["prior"])
+    return np.add.reduceat(np.log10(p), np.cumsum(sizes) - sizes)
 
-def train_model(train: DataFrame, max_bits: int = MAX_BITS, frequent: int = FREQUENT) -> tuple[dict, DataFrame]:
-    """(model for the workers, staged vocabulary (word, c))."""
+
+def n_buckets(tokens: int) -> int:
+    return 1 << max(4, math.ceil(math.log2(max(1, 2 * tokens / BUCKET_KEYS))))
+
+
+def train_model(train: DataFrame, frequent: int = FREQUENT) -> tuple[dict, DataFrame]:
+    """(word table and totals for the workers, staged vocabulary (word, c) of the other words)."""
     vocab = C.stage(vocabulary(train), "vocabulary")
     totals = vocab.agg(F.sum("c"), F.count(F.lit(1))).first()
     tokens, distinct = int(totals[0] or 0), int(totals[1])
-    buckets = 1 << max(4, math.ceil(math.log2(max(1, 2 * tokens / BUCKET_KEYS))))
-    shift = 64 - int(math.log2(buckets))
-    # Segments of MAX_BITS bits in all come to the driver and go to the workers.
-    parts = C.stage(build_filter(ngram_counts(train, shift), buckets, max_bits), "segments").collect()
-    first, size = np.zeros(buckets, np.int64), np.zeros(buckets, np.uint64)
-    lowest = np.ones(buckets, np.int64)
-    bits, at = [], 0
-    for r in parts:
-        b = r["bucket"]
-        first[b], size[b], lowest[b] = at, r["size"], r["lowest"]
-        bits.append(bytes(r["bits"]))
-        at += r["size"]
     # Whole bins of the counts, the most frequent first, as far as the bound goes.
     bin_of = F.floor(F.log2("c") * 16).cast("int")
     bins = sorted(((r[0], r[1]) for r in vocab.groupBy(bin_of).count().collect()), reverse=True)
-    least, total = None, 0
+    least, held = None, 0
     for b, n in bins:
-        total += n
-        if total > frequent:
+        held += n
+        if held > frequent:
             break
         least = b
     table = vocab.where(bin_of >= least).toArrow() if least is not None else None
     model = {
-        "bits": b"".join(bits), "first": first, "size": size, "lowest": lowest, "shift": shift,
         "words": table.column("word").to_pylist() if table else [],
         "counts": table.column("c").to_pylist() if table else [],
         "tokens": tokens, "distinct": distinct, "prior": PRIOR,
@@ -356,49 +316,148 @@ def train_model(train: DataFrame, max_bits: int = MAX_BITS, frequent: int = FREQ
     return model, rare
 
 
-def scores(docs: DataFrame, model: dict, rare: DataFrame, flags: dict[str, Column]) -> DataFrame:
-    """doc_id, the columns of `flags`, n_tokens, n_known, train_tokens, base_score, score."""
+def text_keys(h: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+    """Keys of the words and pairs of a text's word hashes, the end token among them."""
+    h = np.concatenate([h, end])
+    return [unigram_keys(h), bigram_keys(np.concatenate([end, h[:-1]]), h)]
+
+
+def levels_by_bucket(chunks: DataFrame, buckets: int) -> DataFrame:
+    """(chunk, bucket, levels): filter levels of the distinct n-grams of each chunk, in the
+    order of their keys; the filter learns from the rows that teach."""
+    shift = np.uint64(64 - int(math.log2(buckets)))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = C.WordHashes()
+        end = np.array([xxhash.xxh64_intdigest(END)], np.uint64)
+        none = [np.empty(0, np.uint64)]
+        for batch in batches:
+            for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows = pa.ipc.open_stream(raw).read_all()
+                parts = {True: list(none), False: list(none)}
+                for text, teach in zip(rows.column("text").to_pylist(), rows.column("teach").to_pylist()):
+                    parts[teach] += text_keys(hashes.of(C.lower_words(text)), end)
+                taught, n = np.unique(np.concatenate(parts[True]), return_counts=True)
+                keys = np.union1d(taught, np.concatenate(parts[False]))
+                counts = np.zeros(len(keys), np.uint32)
+                counts[np.searchsorted(keys, taught)] = n
+                bucket = (keys >> shift).astype(np.int64)
+                first, last = _runs(bucket)
+                delta = [C.planes(np.diff(keys[a:b], prepend=np.uint64(0))) for a, b in zip(first, last)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(first), chunk)), pa.array(bucket[first]), pa.array(delta, pa.binary()),
+                     pa.array([C.planes(counts[a:b]) for a, b in zip(first, last)], pa.binary())],
+                    names=["chunk", "bucket", "keys", "counts"],
+                )
+
+    def answer(rows: pa.Table) -> pa.Table:
+        parts = [np.cumsum(C.from_planes(x, np.uint64)) for x in rows.column("keys").to_pylist()]
+        n = np.concatenate([C.from_planes(x, np.uint32) for x in rows.column("counts").to_pylist()]).astype(np.int64)
+        ends = np.cumsum([len(x) for x in parts])
+        keys = np.concatenate(parts)
+        order = np.argsort(keys)
+        keys, n = keys[order], n[order]
+        new = np.concatenate([[True], keys[1:] != keys[:-1]])
+        first = np.flatnonzero(new)
+        keys, n = keys[first], np.add.reduceat(n, first)
+        bits, size, _ = build_segment(keys[n > 0], n[n > 0], sys.maxsize)
+        one = LogFrequencyFilter(
+            bits, np.zeros(buckets, np.int64), np.full(buckets, size, np.uint64), np.ones(buckets, np.int64), int(shift)
+        )
+        level = one.levels(keys).astype(np.uint8)
+        out = np.empty(len(order), np.uint8)
+        out[order] = level[np.cumsum(new) - 1]
+        return pa.table({
+            "chunk": rows.column("chunk"), "bucket": rows.column("bucket"),
+            "levels": pa.array([x.tobytes() for x in np.split(out, ends[:-1])], pa.binary()),
+        })
+
+    sent = chunks.mapInArrow(send, "chunk long, bucket long, keys binary, counts binary")
+    return sent.groupBy("bucket").applyInArrow(answer, "chunk long, bucket long, levels binary")
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of CHUNK_BYTES or more, but for the last one."""
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        kept.append(batch)
+        if sum(b.nbytes for b in kept) >= CHUNK_BYTES:
+            yield pa.concat_batches(kept)
+            kept = []
+    if kept:
+        yield pa.concat_batches(kept)
+
+
+def scores(
+    docs: DataFrame, model: dict, rare: DataFrame, flags: dict[str, Column], teach: Column | None = None
+) -> DataFrame:
+    """`teach` (those not held out) tells the rows that the n-gram counts are of.
+
+    doc_id, the columns of `flags`, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     C.small_batches(spark, BATCH_ROWS)
     sent = spark.sparkContext.broadcast(model)
     name = f"{spark.sparkContext.applicationId}-{sent._jbroadcast.id()}"
     tokens, distinct = model["tokens"], model["distinct"]
+    teach = ~held_out() if teach is None else teach
     names = ["doc_id", *flags, "uid", "n_tokens", "score", "base", "known", "other"]
     schema = (
         "doc_id long, " + "".join(f"{f} boolean, " for f in flags)
         + "uid long, n_tokens long, score double, base double, known long, other array<struct<word:binary,times:int>>"
     )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
+    def scored(batch: pa.Table, uid: pa.Array, level: np.ndarray) -> list:
         if name not in _STATE:
             _STATE.clear()
             _STATE[name] = Scorer(sent.value)
         scorer = _STATE[name]
+        texts = batch.column(batch.num_columns - 1).to_pylist()
+        sizes, score, base, known, text_of, word_of, times = scorer.score(texts, level)
+        words = pa.array([scorer.words[w] for w in word_of], pa.binary())
+        offsets = np.searchsorted(text_of, np.arange(len(texts) + 1)).astype(np.int32)
+        other = pa.ListArray.from_arrays(
+            pa.array(offsets),
+            pa.StructArray.from_arrays([words, pa.array(times.astype(np.int32))], names=["word", "times"]),
+        )
+        cols = [batch.column(i) for i in range(batch.num_columns - 1)]
+        return cols + [uid, pa.array(sizes.astype(np.int64)), pa.array(score), pa.array(base), pa.array(known), other]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """chunk, its rows as an Arrow stream."""
+        from pyspark import TaskContext
+
         uid = TaskContext.get().partitionId() << 36
-        for batch in batches:
+        packed = pa.ipc.IpcWriteOptions(compression="zstd")
+        for batch in _merged(batches):
             if not batch.num_rows:
                 continue
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            sizes, score, base, known, text_of, word_of, times = scorer.score(texts)
-            words = pa.array([scorer.words[w] for w in word_of], pa.binary())
-            offsets = np.searchsorted(text_of, np.arange(len(texts) + 1)).astype(np.int32)
-            other = pa.ListArray.from_arrays(
-                pa.array(offsets),
-                pa.StructArray.from_arrays([words, pa.array(times.astype(np.int32))], names=["word", "times"]),
+            uids = pa.array(np.arange(uid, uid + batch.num_rows))
+            batch = pa.RecordBatch.from_arrays([uids, *batch.columns], names=["uid", *batch.schema.names])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema, options=packed) as out:
+                out.write_batch(batch)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([uid]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "rows"]
             )
-            cols = [batch.column(i) for i in range(batch.num_columns - 1)]
-            cols += [pa.array(np.arange(uid, uid + len(texts))), pa.array(sizes.astype(np.int64)), pa.array(score),
-                     pa.array(base), pa.array(known), other]
-            uid += len(texts)
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            uid += batch.num_rows
+
+    def finish(chunk: pa.Table, levels: pa.Table) -> pa.Table:
+        rows = pa.ipc.open_stream(chunk.column("rows")[0].as_py()).read_all().drop_columns(["teach"])
+        level = np.frombuffer(b"".join(levels.sort_by("bucket").column("levels").to_pylist()), np.uint8)
+        return pa.Table.from_arrays(scored(rows.drop_columns(["uid"]), rows.column("uid"), level), names=names)
 
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), *(c.alias(f) for f, c in flags.items()),
+        teach.alias("teach"), F.col("doc_id").cast("long").alias("doc_id"), *(c.alias(f) for f, c in flags.items()),
         F.col("text").cast("binary").alias("text"),
     )
-    part = C.stage(rows.mapInArrow(run, schema), "scores")
+    # Rows are large: row groups are closed by size after a few of them.
+    chunks = C.stage(rows.mapInArrow(cut, "chunk long, rows binary"), "chunks", {
+        "parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 4, "parquet.page.size.row.check.min": 4,
+        "parquet.enable.dictionary": "false",
+    })
+    levels = levels_by_bucket(chunks, n_buckets(tokens))
+    found = chunks.groupBy("chunk").cogroup(levels.groupBy("chunk")).applyInArrow(finish, schema)
+    part = C.stage(found, "scores")
     # Words outside the workers' table: joined with their exact counts.
     other = part.select("uid", F.explode("other").alias("o")).select("uid", "o.word", "o.times")
     c = F.coalesce("c", F.lit(0))

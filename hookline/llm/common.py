@@ -34,12 +34,12 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
     """Write ``df`` once as Parquet under the shared checkpoint folder and read
     it back: lineage is cut, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

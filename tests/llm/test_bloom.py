@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from hookline.llm import bloom_lm as B
 
@@ -86,3 +87,18 @@ def test_a_bounded_segment_drops_its_lowest_levels():
 def test_planes_round_trip():
     x = np.array([0, 1, 2**63, 5, 2**64 - 1], np.uint64)
     assert (B.C.from_planes(B.C.planes(x), np.uint64) == x).all()
+
+
+def test_no_levels_are_dropped_however_small_the_parts(spark, monkeypatch):
+    for name, value in (("MAX_BITS", 1 << 14), ("CHUNK_BYTES", 1 << 16), ("BUCKET_KEYS", 1 << 10)):
+        monkeypatch.setattr(B, name, value, raising=False)
+    docs = data.documents(spark).repartition(3)
+    compare(B.language_model_scores(docs), list(data.texts().items()), 0.12)
+    chunk = pa.table({"teach": [True] * 3, "text": [b"a b c", b"a b", b"a"]})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, chunk.schema) as out:
+        out.write_table(chunk)
+    rows = spark.createDataFrame([(0, bytearray(sink.getvalue()))], "chunk long, rows binary")
+    got = B.levels_by_bucket(rows, 16).orderBy("bucket").collect()
+    level = np.frombuffer(b"".join(bytes(r.levels) for r in got), np.uint8)
+    assert len(level) == 4 + 6 and (level >= 1).all()  # a b c, end; end-a, a-b, b-c, c-end, b-end, a-end
