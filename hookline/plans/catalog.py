@@ -420,10 +420,8 @@ def q_synthetic_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 from hookline.operators import train as TR  # noqa: E402
 
-# Training sizes of the registered queries (the library defaults follow the
-# original settings: 300 trees of depth 25, 500 boosting rounds).
-RF_QUICK = dict(num_trees=20, max_depth=10)
-GBT_QUICK = dict(rounds=10, depth=4)
+# The registered queries fit models of the original sizes (the library defaults: 300 trees of
+# depth 25, 500 boosting rounds of depth 6) on all labelled rows.
 
 
 def _train_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -442,7 +440,7 @@ def q_train_random_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L1 (+ J3, K4, K5, N4): class-weighted random forest on URL features,
     evaluated on the held-out test split."""
     d = _train_frame(spark, sf_dir)
-    model = TR.fit(d.where(F.col("split") == "train"), FT.MAIN_NATIVE_FEATURES, TR.random_forest(**RF_QUICK))
+    model = TR.fit(d.where(F.col("split") == "train"), FT.MAIN_NATIVE_FEATURES, TR.random_forest())
     return _report(model, d.where(F.col("split") == "test"))
 
 
@@ -450,7 +448,7 @@ def q_train_random_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_train_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L2/L3: one-vs-rest boosted trees on URL features, test-split report."""
     d = _train_frame(spark, sf_dir)
-    model = TR.fit(d.where(F.col("split") == "train"), FT.MAIN_NATIVE_FEATURES, TR.boosted_trees(**GBT_QUICK))
+    model = TR.fit(d.where(F.col("split") == "train"), FT.MAIN_NATIVE_FEATURES, TR.boosted_trees())
     return _report(model, d.where(F.col("split") == "test"))
 
 
@@ -471,7 +469,7 @@ def q_score_with_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M1, M3, M5, M9: score every URL with a forest trained on the train
     split, then the look-alike override cascade and the verdict fields."""
     d = _train_frame(spark, sf_dir)
-    model = TR.fit(d.where(F.col("split") == "train"), FT.MAIN_NATIVE_FEATURES, TR.random_forest(**RF_QUICK))
+    model = TR.fit(d.where(F.col("split") == "train"), FT.MAIN_NATIVE_FEATURES, TR.random_forest())
     scored = TR.score(model, d).select("id", "source", "url", "model_pred", *[f"p_{c}" for c in K.CLASSES])
     out = LK.apply_override(spark, scored, "url", "model_pred", "p_", with_ratios=True)
     conf = F.greatest(*[F.col(f"final_{c}") for c in K.CLASSES])
@@ -485,15 +483,15 @@ def q_score_with_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top 15 feature importances of the forest."""
     d = _train_frame(spark, sf_dir)
-    model = TR.fit(d.where(F.col("split") == "train"), FT.MAIN_NATIVE_FEATURES, TR.random_forest(**RF_QUICK))
+    model = TR.fit(d.where(F.col("split") == "train"), FT.MAIN_NATIVE_FEATURES, TR.random_forest())
     return TR.feature_importance(model, FT.MAIN_NATIVE_FEATURES, 15)
 
 
 @register("cross_validate")
 def q_cross_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five-fold accuracy and macro F1 of a small forest."""
+    """Five-fold accuracy and macro F1 of the forest."""
     d = materialize(_train_frame(spark, sf_dir))
-    res = TR.cross_validate(d, FT.MAIN_NATIVE_FEATURES, lambda: TR.random_forest(num_trees=10, max_depth=8), "type", "fold", 5)
+    res = TR.cross_validate(d, FT.MAIN_NATIVE_FEATURES, TR.random_forest, "type", "fold", 5)
     return round_doubles(res, 6)
 
 
@@ -704,9 +702,7 @@ def q_train_meta_calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L5 + L6: population-standardised meta features (K6, fitted on the
     training split) → tree ensemble → 3-fold isotonic calibration; test report.
 
-    The registered check uses a 20-tree forest as the meta classifier (one
-    fit per fold); ``TR.boosted_trees`` plugs in the same way but fits one
-    binary booster per class and fold."""
+    The meta classifier is boosted: 100 rounds of depth 5, one binary booster per class and fold."""
     m = S.meta_features(S.base_prob_vector(D.given_probs(spark, sf_dir)))
     m = m.withColumn("key", F.col("id").cast("string")).withColumnRenamed("label", "type")
     d = CO.split_assignments(m, "type", "key", 42)
@@ -721,7 +717,7 @@ def q_train_meta_calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     checkpoint_dir(spark)
     d = d.checkpoint(eager=True)
-    cal = TR.calibrate_isotonic(d.where(F.col("split") == "train"), S.META_NAMES, lambda: TR.random_forest(num_trees=20, max_depth=5), "type", "fold", 3)
+    cal = TR.calibrate_isotonic(d.where(F.col("split") == "train"), S.META_NAMES, lambda: TR.boosted_trees(rounds=100, depth=5), "type", "fold", 3)
     pred = cal.transform(d.where(F.col("split") == "test")).select(F.col("type").alias("label"), F.col("model_pred").alias("pred"))
     return round_doubles(S.classification_report(pred), 6)
 
@@ -758,7 +754,7 @@ def q_predict_from_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = VectorAssemblerStage(FT.MINI11_FEATURES).transform(f)
     from pyspark.ml.classification import RandomForestClassifier
 
-    rf = RandomForestClassifier(numTrees=10, maxDepth=10, labelCol="is_phishing", featuresCol="features", seed=42).fit(data)
+    rf = RandomForestClassifier(numTrees=100, maxDepth=10, labelCol="is_phishing", featuresCol="features", seed=42).fit(data)
     from pyspark.ml import PipelineModel
 
     model = PipelineModel(stages=[VectorAssemblerStage(FT.MINI11_FEATURES), rf])
