@@ -501,7 +501,10 @@ def _open_places(wide: DataFrame, found: DataFrame, trie_sets: int) -> DataFrame
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, trie_sets: int = TRIE_SETS) -> DataFrame:
     """doc_id, key (of doc_id and text), n_shingles, component_id per document; see the
-    module's text."""
+    module's text.  `percent` is at least 67: linked sets then lie in one or two adjacent
+    size families."""
+    if percent * WIDTH < 100:
+        raise ValueError(f"percent must be 67 or more, not {percent}")
     C.small_batches(docs.sparkSession)
     rows = C.stage(sets_of(docs, n), "sets")
     some = rows.where("n > 0")

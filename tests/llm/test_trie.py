@@ -127,3 +127,10 @@ def test_keep_one_keeps_one_of_each_group(spark):
     assert [ids.count(i) for i in (1, 2, 3, 4, 5, 6, 7, 8)] == [1, 0, 0, 1, 1, 1, 1, 1]
     assert ids.count(None) == 2
     assert T.keep_one(data.empty_docs(spark)).count() == 0
+
+
+def test_a_percent_beyond_the_size_families_is_refused(spark):
+    with pytest.raises(ValueError):
+        T.near_duplicates(data.edge_docs(spark), 5, 66)
+    assert all(T.families(s, 67)[-1] >= T.families(-(-s * 67 // 100), 67)[0] for s in range(1, 3000))
+    assert all(set(T.families(s, 67)) & set(T.families(t, 67)) for s in range(1, 400) for t in range(s, s * 100 // 67 + 1))
