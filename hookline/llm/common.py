@@ -113,7 +113,7 @@ def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
 
 def planes(x: np.ndarray) -> bytes:
     """Bytes of equal significance together, so that zeros compress."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
 
 
 def from_planes(raw: bytes, dtype) -> np.ndarray:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hookline.llm import common as C
-from hookline.llm import bloom_lm, decontam, jump_shard, license_scan, ordinal, packing, quality_rules, token_cache, toxicity, trie_join
+from hookline.llm import alignment, bloom_lm, decontam, jump_shard, license_scan, ordinal, packing, quality_rules, resampling, token_cache, token_files, toxicity, trie_join
 from hookline.llm.oracles import ORACLES
 from hookline.session import checkpoint_dir
 
@@ -112,3 +112,26 @@ def op9_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence families of all documents."""
     return license_scan.licenses(C.table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_simple8b_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places and checksums of the ids of all documents, read back from Simple-8b files."""
+    path = f"{checkpoint_dir(spark)}/llm-token-files-{uuid.uuid4().hex}"
+    token_files.write(C.table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), path)
+    return token_files.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op12_pair_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment of two tokenizers over all documents, scored by linked pairs."""
+    docs = C.table(spark, sf_dir, "documents")
+    return alignment.alignments(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
+@query
+def op13_regular_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weights of all documents towards the benchmark, and the ranks of the drawn ones."""
+    drawn = resampling.resample(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
