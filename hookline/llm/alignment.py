@@ -27,9 +27,9 @@ read.
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +44,10 @@ from hookline.llm.packing import Encoder
 CHUNK_DOCS = 4096
 CHUNK_LINKS = 6_000_000
 #: Units that a task remembers, and the longest that is remembered.
-KNOWN_UNITS = 250_000
+KNOWN_UNITS = 400_000
 LONGEST_UNIT = 200
+#: Characters of units that are encoded together.
+JOINED_UNITS = 1 << 16
 #: Pairs of occurrences of a group beyond which ids are counted before they are paired.
 LARGE_GROUP = 1 << 12
 
@@ -77,10 +79,10 @@ class TokenizerPair:
         self.a = Encoder(path_a)
         self.a.whole.encode_special_tokens = True  # special strings in texts are plain text
         plain = _byte_of_character()
-        self.bytes_a = {
-            i: bytes(map(plain.__getitem__, entry)) if all(c in plain for c in entry) else entry.encode()
-            for entry, i in self.a.whole.get_vocab(with_added_tokens=True).items()
-        }
+        entries = self.a.whole.get_vocab(with_added_tokens=True)
+        self.bytes_a = [b""] * (max(entries.values()) + 1)
+        for entry, i in entries.items():
+            self.bytes_a[i] = bytes(map(plain.__getitem__, entry)) if all(c in plain for c in entry) else entry.encode()
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [
@@ -89,6 +91,10 @@ class TokenizerPair:
         ]
         self.blank = [self.b.piece_to_id("▁")]
         self.by_units = not any(re.search("[^▁]▁", p) for p in pieces)
+        # An id as it is shown before another of its group, and as the last of its side.
+        shown = [f"{i}{mark}" for size, marks in ((len(self.bytes_a), ",|"), (len(pieces), ",;"))
+                 for mark in marks for i in range(size)]
+        self.shown, self.shown_length = np.array(shown, object), np.fromiter(map(len, shown), np.int64, len(shown))
 
     def units(self, text: str) -> list[str]:
         """`text` with a space before it, cut where neither encoder joins."""
@@ -99,46 +105,94 @@ class TokenizerPair:
         found = self.b.encode([u[1:] for u in units], num_threads=1)
         return [self.blank if u == " " else ids for u, ids in zip(units, found)]
 
-    def ids_a(self, unit: str) -> list[int]:
+    def ids_a(self, units: list[str]) -> list[int]:
+        """Ids of units, one after the other."""
         if self.a.fast is None:
-            return self.a.whole.encode(unit, add_special_tokens=False).ids
-        return self.a.fast.encode_ordinary(unit)
-
-    def align(self, unit: str, ids_b: list[int]):
-        """(tokens of A, of B, groups, ids of A and of B of the distinct links, how
-        often each, group string), or None if the bytes differ."""
-        ids_a = self.ids_a(unit)
-        of_a, of_b = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b]
-        raw = unit.encode()
-        if b"".join(of_a) != raw or b"".join(of_b) != raw:
-            return None
-        if len(ids_a) == 1 or len(ids_b) == 1:  # one group
-            cut_a, cut_b = [0, len(ids_a)], [0, len(ids_b)]
-        else:
-            ends_a, ends_b = _ends(of_a), _ends(of_b)
-            _, cut_a, cut_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-            cut_a, cut_b = [0, *(cut_a + 1).tolist()], [0, *(cut_b + 1).tolist()]
-        links: dict[tuple[int, int], int] = {}
-        shown = []
-        for a0, a1, b0, b1 in zip(cut_a, cut_a[1:], cut_b, cut_b[1:]):
-            group_a, group_b = ids_a[a0:a1], ids_b[b0:b1]
-            shown.append(",".join(map(str, group_a)) + "|" + ",".join(map(str, group_b)))
-            many_a, many_b = _counted(group_a, group_b)
-            for x, m in many_a:
-                for y, k in many_b:
-                    links[x, y] = links.get((x, y), 0) + m * k
-        return (len(ids_a), len(ids_b), len(shown), [x for x, _ in links], [y for _, y in links],
-                list(links.values()), ";".join(shown))
-
-
-def _counted(group_a: list[int], group_b: list[int]):
-    if len(group_a) * len(group_b) <= LARGE_GROUP:
-        return [(x, 1) for x in group_a], [(y, 1) for y in group_b]
-    return [list(zip(*(v.tolist() for v in np.unique(g, return_counts=True)))) for g in (group_a, group_b)]
-
-
-def _ends(tokens: list[bytes]) -> np.ndarray:
-    return np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)))
+            return [i for u in units for i in self.a.whole.encode(u, add_special_tokens=False).ids]
+        out: list[int] = []
+        together = ""
+        for unit in units:
+            together += unit
+            # Units that end in white space could run on into the next one.
+            if len(together) > JOINED_UNITS or not _CUT.search(unit + " "):
+                out += self.a.fast.encode_ordinary(together)
+                together = ""
+        return out + self.a.fast.encode_ordinary(together)
+
+    def align(self, units: list[str]) -> Aligned:
+        """Alignment of units, all at once."""
+        raws = [u.encode() for u in units]
+        of_b = self.ids_b(units)
+        # Where B gives other bytes back, the text has no tokens.
+        same = [b"".join(map(self.bytes_b.__getitem__, ids)) == raw for ids, raw in zip(of_b, raws)]
+        good = np.flatnonzero(same)
+        raw = b"".join(raws[k] for k in good)
+        a = np.array(self.ids_a([units[k] for k in good]), np.int64)
+        if b"".join(map(self.bytes_a.__getitem__, a.tolist())) != raw:
+            raise ValueError("the byte-level encoder lost bytes")
+        b = np.fromiter((i for k in good for i in of_b[k]), np.int64)
+        ends_a, ends_b = (np.cumsum(t[i]) for t, i in zip(self._lengths(), (a, b)))
+        in_a, in_b = np.zeros((2, len(raw) + 1), bool)
+        in_a[ends_a], in_b[ends_b] = True, True
+        both = in_a & in_b
+        group_end = np.flatnonzero(both)
+        last_a, last_b = both[ends_a], both[ends_b]
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        unit_end = np.cumsum([len(raws[k]) for k in good]) if len(good) else np.zeros(0, np.int64)
+        unit_of = np.searchsorted(unit_end, group_end, "left")
+        links = _links(a, b, group_a, group_b, len(group_end))
+
+        def per_unit(of: np.ndarray, weight=None) -> np.ndarray:
+            out = np.zeros(len(units), np.int64)
+            out[good] = np.bincount(of, weight, len(good)).astype(np.int64)
+            return out
+
+        group, left, right, times = links
+        sizes = np.stack([per_unit(unit_of[group_a]), per_unit(unit_of[group_b]), per_unit(unit_of),
+                          per_unit(unit_of[group], times)], axis=1)
+        # Group by group: the ids of A, then those of B.
+        n = len(self.bytes_a)
+        at = np.concatenate([a + n * last_a, 2 * n + b + len(self.bytes_b) * last_b])
+        order = np.lexsort([np.repeat([0, 1], [len(a), len(b)]), np.concatenate([group_a, group_b])])
+        at, of = at[order], unit_of[np.concatenate([group_a, group_b])[order]]
+        text = "".join(self.shown[at])
+        ends = np.cumsum(per_unit(of, self.shown_length[at])).tolist()
+        shown = [text[i : j - 1] if ok else None for i, j, ok in zip([0, *ends], ends, same)]
+        return Aligned(sizes, shown, left << 32 | right, times, per_unit(unit_of[group]))
+
+    def _lengths(self):
+        return [np.fromiter(map(len, t), np.int64, len(t)) for t in (self.bytes_a, self.bytes_b)]
+
+
+class Aligned(NamedTuple):
+    """Of units: tokens of A, of B, groups and links (a row each), group strings (None
+    where bytes differ), the pairs linked in them, how often, and how many pairs of each."""
+
+    sizes: np.ndarray
+    shown: list[str | None]
+    pairs: np.ndarray
+    times: np.ndarray
+    n_pairs: np.ndarray
+
+
+def _links(a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, n: int):
+    """(group, id of A, id of B, how often) of all links, in the order of the groups."""
+    n_a, n_b = np.bincount(group_a, minlength=n), np.bincount(group_b, minlength=n)
+    start_a, start_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+    large = n_a * n_b > LARGE_GROUP
+    reps = np.where(large, 0, n_b)[group_a]
+    place = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+    group = np.repeat(group_a, reps)
+    out = [group, np.repeat(a, reps), b[start_b[group] + place], np.ones(len(group), np.int64)]
+    for g in np.flatnonzero(large):  # ids are counted before they are paired
+        x, m = np.unique(a[start_a[g] : start_a[g] + n_a[g]], return_counts=True)
+        y, k = np.unique(b[start_b[g] : start_b[g] + n_b[g]], return_counts=True)
+        many = [np.full(len(x) * len(y), g), np.repeat(x, len(y)), np.tile(y, len(x)), np.outer(m, k).ravel()]
+        out = [np.concatenate(v) for v in zip(out, many)]
+    if large.any():
+        order = np.argsort(out[0], kind="stable")
+        out = [v[order] for v in out]
+    return out
 
 
 def _byte_of_character() -> dict[str, int]:
@@ -236,7 +290,7 @@ def _or_merge(spots: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 class _Units:
-    """Alignments of units, remembered up to a bound, with their links as arrays."""
+    """Alignments of units, remembered up to a bound, with their pairs as arrays."""
 
     def __init__(self, pair: TokenizerPair):
         self.pair = pair
@@ -244,36 +298,28 @@ class _Units:
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.sizes: list[tuple[int, int, int, int]] = []  # tokens of A, of B, groups, links
-        self.shown: list[str | None] = []  # None: bytes differ
-        self.left: list[int] = []
-        self.right: list[int] = []
-        self.times: list[int] = []
-        self.ends: list[int] = [0]
+        self.shown: list[str | None] = []
+        self.sizes = np.zeros((0, 4), np.int64)
+        self.pairs, self.times = np.zeros((2, 0), np.int64)
+        self.ends = np.zeros(1, np.int64)  # of the pairs of each unit
 
     def learn(self, units: list[str]) -> None:
-        encoded = self.pair.ids_b(units)
-        for unit, ids_b in zip(units, encoded):
-            self.number[unit] = len(self.shown)
-            found = self.pair.align(unit, ids_b)
-            if found is None:
-                found = 0, 0, 0, [], [], [], None
-            n_a, n_b, n_groups, left, right, times, shown = found
-            self.sizes.append((n_a, n_b, n_groups, sum(times)))
-            self.shown.append(shown)
-            self.left += left
-            self.right += right
-            self.times += times
-            self.ends.append(len(self.left))
+        found = self.pair.align(units)
+        self.number.update(zip(units, range(len(self.shown), len(self.shown) + len(units))))
+        self.shown += found.shown
+        self.sizes = np.concatenate([self.sizes, found.sizes])
+        self.pairs = np.concatenate([self.pairs, found.pairs])
+        self.times = np.concatenate([self.times, found.times])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(found.n_pairs)])
 
     def batch(self, texts: list[str | None], show) -> tuple[np.ndarray, list[str], PairBitmaps]:
         """Sizes and group strings of texts, and the bitmaps of their places."""
         cut = [self.pair.units(t) if t else [] for t in texts]
         new = dict.fromkeys(u for units in cut for u in units if u not in self.number)
-        self.learn(list(new))
+        if new:
+            self.learn(list(new))
         shown, kept, docs = [], [], []
         sizes = np.zeros((len(texts), 4), np.int64)
-        known = np.array(self.sizes, np.int64).reshape(-1, 4)
         for at, units in enumerate(cut):
             numbers = [self.number[u] for u in units]
             parts = [self.shown[n] for n in numbers]
@@ -282,17 +328,14 @@ class _Units:
                 continue
             shown.append(show(";".join(parts)))
             mine, often = np.unique(numbers, return_counts=True)
-            sizes[at] = (known[mine] * often[:, None]).sum(axis=0)
+            sizes[at] = (self.sizes[mine] * often[:, None]).sum(axis=0)
             kept.append(np.stack([mine, often]))
             docs.append(np.full(len(mine), at))
         unit, often = np.concatenate(kept, axis=1) if kept else np.zeros((2, 0), np.int64)
         doc = np.concatenate(docs) if docs else np.zeros(0, np.int64)
-        ends = np.array(self.ends, np.int64)
-        long = ends[unit + 1] - ends[unit]
-        link = np.repeat(ends[unit] - np.cumsum(long) + long, long) + np.arange(long.sum())
-        pairs = (np.array(self.left, np.int64) << 32 | np.array(self.right, np.int64))[link]
-        times = np.array(self.times, np.int64)[link] * np.repeat(often, long)
-        maps = PairBitmaps.of(pairs, np.repeat(doc, long), times)
+        long = self.ends[unit + 1] - self.ends[unit]
+        link = np.repeat(self.ends[unit] - np.cumsum(long) + long, long) + np.arange(long.sum())
+        maps = PairBitmaps.of(self.pairs[link], np.repeat(doc, long), self.times[link] * np.repeat(often, long))
         if len(self.number) > KNOWN_UNITS or any(len(u) > LONGEST_UNIT for u in new):
             self.forget()
         return sizes, shown, maps

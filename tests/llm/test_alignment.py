@@ -142,7 +142,15 @@ def test_bitmaps_count_and_merge(left, right):
     assert links.sum() == sum(want.values())
 
 
-def test_large_groups_are_counted_first():
-    a, b = [5] * 3000 + [6], [7] * 2000
-    many_a, many_b = K._counted(a, b)
-    assert many_a == [(5, 3000), (6, 1)] and many_b == [(7, 2000)]
+def test_large_groups_are_counted_first(monkeypatch):
+    rng = np.random.default_rng(5)
+    group_a, group_b = np.sort(np.r_[0:9, rng.integers(0, 9, 90)]), np.sort(np.r_[0:9, rng.integers(0, 9, 70)])
+    a, b = rng.integers(0, 4, len(group_a)), rng.integers(0, 4, len(group_b))
+    want = Counter((int(g), int(x), int(y)) for x, g in zip(a, group_a) for y, k in zip(b, group_b) if g == k)
+    for limit in (0, 60, 1 << 12):
+        monkeypatch.setattr(K, "LARGE_GROUP", limit)
+        got = Counter()
+        group, left, right, times = (v.tolist() for v in K._links(a, b, group_a, group_b, 9))
+        for g, x, y, n in zip(group, left, right, times):
+            got[g, x, y] += n
+        assert got == want and group == sorted(group)
