@@ -50,8 +50,9 @@ STRIDE = 256
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 
-#: Limits that a block tries, and the largest share of escapes for which one is tried.
-LIMITS = [(1 << int(b)) - 1 for b in (10, 12, 15, 20, 30, 60)]
+#: Bits of the limits that a block tries, and the largest share of escapes for which one
+#: is tried.  An escape costs a word, so it can pay only for ids of over twice the bits.
+LIMIT_BITS = [10, 12, 15, 20, 30, 60]
 ESCAPED_SHARE = 0.1
 
 _MAGIC = b"S8B1"
@@ -111,9 +112,12 @@ def encode_block(ids: np.ndarray) -> bytes:
     ids = ids.astype(np.uint64)
     top = int(ids.max()) if len(ids) else 0
     best = None
-    for limit in LIMITS:
+    for bits in LIMIT_BITS:
+        limit = (1 << bits) - 1
+        if bits < 60 and limit <= top < 1 << 2 * bits:
+            continue
         escaped = np.flatnonzero(ids >= np.uint64(limit))
-        if limit != LIMITS[-1] and len(escaped) > ESCAPED_SHARE * len(ids):
+        if bits < 60 and len(escaped) > ESCAPED_SHARE * len(ids):
             continue
         words = pack(np.minimum(ids, np.uint64(limit)))
         if best is None or len(words) + len(escaped) < len(best[1]) + len(best[2]):
