@@ -43,11 +43,11 @@ from hookline.llm.packing import Encoder
 #: Documents of a chunk, at most; links (distinct per document) that close one early.
 CHUNK_DOCS = 4096
 CHUNK_LINKS = 6_000_000
-#: Units that a task remembers, and the longest that is remembered.
+#: Units that a task remembers, and their characters.
 KNOWN_UNITS = 400_000
-LONGEST_UNIT = 200
-#: Characters of units that are encoded together.
-JOINED_UNITS = 1 << 16
+KNOWN_CHARACTERS = 20_000_000
+#: Units that are encoded together.
+JOINED_UNITS = 1 << 13
 #: Pairs of occurrences of a group beyond which ids are counted before they are paired.
 LARGE_GROUP = 1 << 12
 
@@ -67,6 +67,8 @@ SCORE_SCHEMA = (
 # A blank after a character that is surely no white space to either encoder.
 _CUT = re.compile(r"(?<=[^\s\x00-\x20᠎​-‏⁠﻿])(?= )")
 
+_MARKS = set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+
 _PAIRS: dict[tuple[str, str], TokenizerPair] = {}
 
 
@@ -109,28 +111,25 @@ class TokenizerPair:
         """Ids of units, one after the other."""
         if self.a.fast is None:
             return [i for u in units for i in self.a.whole.encode(u, add_special_tokens=False).ids]
-        out: list[int] = []
-        together = ""
-        for unit in units:
-            together += unit
-            # Units that end in white space could run on into the next one.
-            if len(together) > JOINED_UNITS or not _CUT.search(unit + " "):
-                out += self.a.fast.encode_ordinary(together)
-                together = ""
-        return out + self.a.fast.encode_ordinary(together)
+        # A unit that ends in white space could run on into the next one.
+        ends = np.flatnonzero([not (u[-1].isalnum() or u[-1] in _MARKS) for u in units]) + 1
+        cuts = sorted({*ends.tolist(), *range(0, len(units), JOINED_UNITS), len(units)})
+        return [i for a, b in zip(cuts, cuts[1:]) for i in self.a.fast.encode_ordinary("".join(units[a:b]))]
 
     def align(self, units: list[str]) -> Aligned:
         """Alignment of units, all at once."""
         raws = [u.encode() for u in units]
         of_b = self.ids_b(units)
-        # Where B gives other bytes back, the text has no tokens.
-        same = [b"".join(map(self.bytes_b.__getitem__, ids)) == raw for ids, raw in zip(of_b, raws)]
+        same, raw = [True] * len(units), b"".join(raws)
+        if b"".join([self.bytes_b[i] for ids in of_b for i in ids]) != raw:
+            # Where B gives other bytes back, the text has no tokens.
+            same = [b"".join(map(self.bytes_b.__getitem__, ids)) == raw for ids, raw in zip(of_b, raws)]
+            raw = b"".join([raw for raw, ok in zip(raws, same) if ok])
         good = np.flatnonzero(same)
-        raw = b"".join(raws[k] for k in good)
         a = np.array(self.ids_a([units[k] for k in good]), np.int64)
         if b"".join(map(self.bytes_a.__getitem__, a.tolist())) != raw:
             raise ValueError("the byte-level encoder lost bytes")
-        b = np.fromiter((i for k in good for i in of_b[k]), np.int64)
+        b = np.array([i for ids, ok in zip(of_b, same) if ok for i in ids], np.int64)
         ends_a, ends_b = (np.cumsum(t[i]) for t, i in zip(self._lengths(), (a, b)))
         in_a, in_b = np.zeros((2, len(raw) + 1), bool)
         in_a[ends_a], in_b[ends_b] = True, True
@@ -289,6 +288,18 @@ def _or_merge(spots: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndar
 # ------------------------------------------------------------------- the index
 
 
+class _Numbers(dict):
+    """Numbers of units in the order of their first use; `new`: not yet aligned."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        self.new.append(unit)
+        number = self[unit] = len(self)
+        return number
+
+
 class _Units:
     """Alignments of units, remembered up to a bound, with their pairs as arrays."""
 
@@ -297,16 +308,22 @@ class _Units:
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
+        self.numbers = _Numbers()
+        self.characters = 0
         self.shown: list[str | None] = []
+        self.differs = np.zeros(0, bool)
         self.sizes = np.zeros((0, 4), np.int64)
         self.pairs, self.times = np.zeros((2, 0), np.int64)
         self.ends = np.zeros(1, np.int64)  # of the pairs of each unit
 
-    def learn(self, units: list[str]) -> None:
-        found = self.pair.align(units)
-        self.number.update(zip(units, range(len(self.shown), len(self.shown) + len(units))))
+    def learn(self) -> None:
+        new, self.numbers.new = self.numbers.new, []
+        if not new:
+            return
+        found = self.pair.align(new)
+        self.characters += sum(map(len, new))
         self.shown += found.shown
+        self.differs = np.concatenate([self.differs, [s is None for s in found.shown]])
         self.sizes = np.concatenate([self.sizes, found.sizes])
         self.pairs = np.concatenate([self.pairs, found.pairs])
         self.times = np.concatenate([self.times, found.times])
@@ -314,21 +331,18 @@ class _Units:
 
     def batch(self, texts: list[str | None], show) -> tuple[np.ndarray, list[str], PairBitmaps]:
         """Sizes and group strings of texts, and the bitmaps of their places."""
-        cut = [self.pair.units(t) if t else [] for t in texts]
-        new = dict.fromkeys(u for units in cut for u in units if u not in self.number)
-        if new:
-            self.learn(list(new))
+        of_text = [list(map(self.numbers.__getitem__, self.pair.units(t))) if t else [] for t in texts]
+        self.learn()
         shown, kept, docs = [], [], []
         sizes = np.zeros((len(texts), 4), np.int64)
-        for at, units in enumerate(cut):
-            numbers = [self.number[u] for u in units]
-            parts = [self.shown[n] for n in numbers]
-            if not units or None in parts:
+        for at, numbers in enumerate(of_text):
+            mine, often = np.unique(numbers, return_counts=True)
+            mine = mine.astype(np.int64)
+            if not numbers or self.differs[mine].any():
                 shown.append("")
                 continue
-            shown.append(show(";".join(parts)))
-            mine, often = np.unique(numbers, return_counts=True)
-            sizes[at] = (self.sizes[mine] * often[:, None]).sum(axis=0)
+            shown.append(show(";".join(map(self.shown.__getitem__, numbers))))
+            sizes[at] = often @ self.sizes[mine]
             kept.append(np.stack([mine, often]))
             docs.append(np.full(len(mine), at))
         unit, often = np.concatenate(kept, axis=1) if kept else np.zeros((2, 0), np.int64)
@@ -336,7 +350,7 @@ class _Units:
         long = self.ends[unit + 1] - self.ends[unit]
         link = np.repeat(self.ends[unit] - np.cumsum(long) + long, long) + np.arange(long.sum())
         maps = PairBitmaps.of(self.pairs[link], np.repeat(doc, long), self.times[link] * np.repeat(often, long))
-        if len(self.number) > KNOWN_UNITS or any(len(u) > LONGEST_UNIT for u in new):
+        if len(self.numbers) > KNOWN_UNITS or self.characters > KNOWN_CHARACTERS:
             self.forget()
         return sizes, shown, maps
 
