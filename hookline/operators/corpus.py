@@ -309,6 +309,36 @@ def sample_up_to(df: DataFrame, n: int, seed: int, key: str = "url") -> DataFram
     return x.where(whole).unionByName(cut.drop("_r")).select(*df.columns)
 
 
+def numbered(df: DataFrame, order: list, column: str = "position") -> DataFrame:
+    """`df` with its place (from 0) in the order of the `order` columns, nulls first.
+
+    Rows are dealt out by ranges of the order and numbered inside their range, behind
+    the rows of the ranges before; no window spans the table.  Rows that are equal in
+    all of `order` may change places, and are split over ranges like others."""
+    from hookline.session import materialize, parallelism
+
+    keys = [f"_o{i}" for i in range(len(order))]
+    x = df.withColumns(dict(zip(keys, order)) | {"_row": F.monotonically_increasing_id()})
+    # One materialisation: both uses below must see the same ranges.
+    x = materialize(
+        x.repartitionByRange(parallelism(df.sparkSession), *keys, "_row").withColumn("_range", F.spark_partition_id()))
+    sizes = x.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # one row per range
+    before = sizes.select("_range", F.coalesce(
+        F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*keys, "_row")) - 1
+    return (
+        x.withColumn("_place", place).join(F.broadcast(before), "_range")
+        .withColumn(column, F.col("_before") + F.col("_place")).drop(*keys, "_row", "_range", "_place", "_before")
+    )
+
+
+def shuffle(df: DataFrame, key: str = "url", seed: int = 42, column: str = "position") -> DataFrame:
+    """A permutation of all rows as their new place (from 0), the same on any
+    partitioning: the order of a seeded hash of the key, then of the whole row."""
+    h = F.md5(F.concat(F.lit(str(seed)), F.lit("|"), F.col(key).cast("string")))
+    return numbered(df, [h, F.xxhash64(*df.columns)], column)
+
+
 def stratified_ranks(df: DataFrame, label: str = "type", key: str = "url", seed: int = 42,
                      prefix_hex: int = 4) -> DataFrame:
     """Rank rows inside their class by a seeded hash; adds ``cls_rank``

@@ -341,6 +341,12 @@ def q_stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("key", "type", "cls_rank", "cls_n", "split", "fold", "step")
 
 
+@register("shuffle", lambda: O.shuffle_sql())
+def q_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All URLs in a seeded random order, as positions."""
+    return CO.shuffle(_keyed(spark, sf_dir), "key", 42).select("key", "url", "position")
+
+
 @register("class_stats", lambda: O.class_stats_sql())
 def q_class_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K1, K2, K4 (B6 label normalisation)."""
@@ -418,10 +424,11 @@ def q_synthetic_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ----------------------------------------------------------------- training
 
+from hookline.operators import balance as BA  # noqa: E402
+from hookline.operators import boosting as BO  # noqa: E402
 from hookline.operators import train as TR  # noqa: E402
 
-# The registered queries fit models of the original sizes (the library defaults: 300 trees of
-# depth 25, 500 boosting rounds of depth 6) on all labelled rows.
+# The registered queries fit models of the original sizes (the library defaults) on all labelled rows.
 
 
 def _train_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -444,23 +451,39 @@ def q_train_random_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _report(model, d.where(F.col("split") == "test"))
 
 
+def _boosted(spark: SparkSession, sf_dir: str, params) -> DataFrame:
+    d = materialize(_train_frame(spark, sf_dir).select("key", "type", "split", *FT.MAIN_NATIVE_FEATURES))
+    model = BO.fit(d.where(F.col("split") != "test"), FT.MAIN_NATIVE_FEATURES, params, valid="split = 'valid'")
+    test = model.score(d.where(F.col("split") == "test"))
+    report = S.classification_report(test.select(F.col("type").alias("label"), F.col("model_pred").alias("pred")))
+    return round_doubles(report, 6)
+
+
 @register("train_boosted_trees")
 def q_train_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L2/L3: one-vs-rest boosted trees on URL features, test-split report."""
-    d = _train_frame(spark, sf_dir)
-    model = TR.fit(d.where(F.col("split") == "train"), FT.MAIN_NATIVE_FEATURES, TR.boosted_trees())
-    return _report(model, d.where(F.col("split") == "test"))
+    """L2: 500 rounds of leaf-wise boosted trees (64 leaves) on URL features, held-out
+    loss on the validation split, report on the test split."""
+    return _boosted(spark, sf_dir, BO.LEAF_WISE)
+
+
+@register("train_boosted_trees_depth")
+def q_train_boosted_trees_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L3: 500 rounds to depth 7 with L1 and L2 penalties, as above."""
+    return _boosted(spark, sf_dir, BO.DEPTH_WISE)
+
+
+def _meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = S.meta_features(S.base_prob_vector(D.given_probs(spark, sf_dir)))
+    return m.withColumn("key", F.col("id").cast("string")).withColumnRenamed("label", "type")
 
 
 @register("train_meta_logistic")
 def q_train_meta_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L4 on M6/M7 meta features of the three models' probabilities."""
-    m = S.meta_features(S.base_prob_vector(D.given_probs(spark, sf_dir)))
-    m = m.withColumn("key", F.col("id").cast("string")).withColumnRenamed("label", "type")
-    d = CO.split_assignments(m, "type", "key", 42)
+    d = CO.split_assignments(_meta(spark, sf_dir), "type", "key", 42)
     train = d.where(F.col("split") == "train")
     total_w = train.count()
-    model = TR.fit(train, S.META_NAMES, TR.meta_logistic(total_weight=float(total_w), max_iter=200))
+    model = TR.fit(train, S.META_NAMES, TR.meta_logistic(total_weight=float(total_w)))
     return _report(model, d.where(F.col("split") == "test"))
 
 
@@ -697,27 +720,23 @@ def q_url_features_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(FT.featurize_v2(D.typed_urls(spark, sf_dir).drop("type")))
 
 
-@register("train_meta_calibrated")
-def q_train_meta_calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L5 + L6: population-standardised meta features (K6, fitted on the
-    training split) → tree ensemble → 3-fold isotonic calibration; test report.
+@register("smote_balanced")
+def q_smote_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Meta features of all orders and the rows made until every class has as many
+    as the largest, counted and averaged per class."""
+    got = BA.smote(_meta(spark, sf_dir), S.META_NAMES, "type", "key")
+    return round_doubles(got.groupBy("type", "synthetic").agg(
+        F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in S.META_NAMES]), 6)
 
-    The meta classifier is boosted: 100 rounds of depth 5, one binary booster per class and fold."""
-    m = S.meta_features(S.base_prob_vector(D.given_probs(spark, sf_dir)))
-    m = m.withColumn("key", F.col("id").cast("string")).withColumnRenamed("label", "type")
-    d = CO.split_assignments(m, "type", "key", 42)
-    train = d.where(F.col("split") == "train")
-    stats = train.agg(*[F.avg(c).alias(f"mu_{c}") for c in S.META_NAMES], *[F.stddev_pop(c).alias(f"sd_{c}") for c in S.META_NAMES])
-    d = d.crossJoin(F.broadcast(stats)).withColumns(
-        {c: (F.col(c) - F.col(f"mu_{c}")) / F.when(F.col(f"sd_{c}") > 0, F.col(f"sd_{c}")).otherwise(F.lit(1.0)) for c in S.META_NAMES}
-    ).select("id", "type", "split", "fold", *S.META_NAMES)
-    # Fitted nine times below (three folds × models and calibrators): cut the
-    # lineage once into the shared checkpoint folder.
-    from hookline.session import checkpoint_dir
 
-    checkpoint_dir(spark)
-    d = d.checkpoint(eager=True)
-    cal = TR.calibrate_isotonic(d.where(F.col("split") == "train"), S.META_NAMES, lambda: TR.boosted_trees(rounds=100, depth=5), "type", "fold", 3)
+@register("train_meta_calibrated")
+def q_train_meta_calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L5 + L6: in each of three folds, meta features scaled and oversampled on the other
+    two → 100 rounds of boosted trees (depth 5, 31 leaves) → isotonic calibration on the
+    fold; report on the test split."""
+    d = materialize(CO.split_assignments(_meta(spark, sf_dir), "type", "key", 42).select("key", "type", "split", "fold", *S.META_NAMES))
+    cal = TR.calibrate_isotonic(d.where(F.col("split") == "train"), S.META_NAMES, None, "type", "fold", 3,
+                                fit_member=lambda rows: TR.fit_meta_boosted(rows, S.META_NAMES))
     pred = cal.transform(d.where(F.col("split") == "test")).select(F.col("type").alias("label"), F.col("model_pred").alias("pred"))
     return round_doubles(S.classification_report(pred), 6)
 
@@ -726,24 +745,49 @@ def q_train_meta_calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_learning_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted F1 against training fraction (10 ladder steps x 5 folds, mean and sd)."""
     d = materialize(_train_frame(spark, sf_dir))
-    return round_doubles(TR.learning_curve(d, FT.MAIN_NATIVE_FEATURES, lambda: TR.random_forest(num_trees=200, max_depth=20)), 6)
+    estimator = TR.random_forest(num_trees=200, max_depth=20)
+    return round_doubles(TR.learning_curve(d, FT.MAIN_NATIVE_FEATURES, lambda: estimator), 6)
 
 
 @register("random_search")
 def q_random_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hash-drawn parameter sets of a forest scored by 3-fold weighted F1."""
-    d = _train_frame(spark, sf_dir).where(F.col("split") == "train")
-    # Spark has no least rows of a split; the least share of weight in a leaf takes its place.
-    grid = {"numTrees": [100, 200, 300], "maxDepth": [10, 20, 30], "minInstancesPerNode": [1, 2, 4],
-            "featureSubsetStrategy": ["sqrt", "log2", "all"], "minWeightFractionPerNode": [0.0, 0.0001, 0.0005]}
+    d = materialize(_train_frame(spark, sf_dir).where(F.col("split") == "train"))
+    grid = {"trees": [100, 200, 300], "depth": [10, 20, 30, None], "least_split": [2, 5, 10], "least_leaf": [1, 2, 4],
+            "features": ["sqrt", "log2", "all"]}
     return round_doubles(TR.random_search(d, FT.MAIN_NATIVE_FEATURES, grid, draws=10, folds=3), 6)
 
 
+@register("model_bundle")
+def q_model_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model saved with its metadata, loaded again, and its scores of the test
+    split beside those of the model that was saved."""
+    import uuid
+
+    from hookline.session import checkpoint_dir
+
+    d = materialize(CO.split_assignments(_meta(spark, sf_dir), "type", "key", 42))
+    train = d.where(F.col("split") == "train")
+    model = TR.fit(train, S.META_NAMES, TR.meta_logistic(total_weight=float(train.count())))
+    test = d.where(F.col("split") == "test")
+    pred = TR.score(model, test).select(F.col("type").alias("label"), F.col("model_pred").alias("pred"))
+    metrics = S.classification_report(pred).where(F.col("class") == "accuracy").select(F.col("f1").alias("accuracy"))
+    path = f"{checkpoint_dir(spark)}/bundle-{uuid.uuid4().hex}"
+    TR.save_bundle(model, TR.model_metadata("logistic", S.META_NAMES, metrics, {"C": 1.0, "max_iter": 2000}), path)
+    loaded, metadata = TR.load_bundle(spark, path)
+    probs = [f"p_{c}" for c in K.CLASSES]
+    before = TR.score(model, test).select("id", *probs)
+    after = TR.score(loaded, test).select("id", F.col("model_pred").alias("pred"), *[F.col(p).alias(f"again_{p}") for p in probs])
+    drift = F.greatest(*[F.abs(F.col(p) - F.col(f"again_{p}")) for p in probs])
+    return after.join(before, "id").select("id", "pred", drift.alias("drift")).crossJoin(
+        F.broadcast(metadata.select("model_type", "n_features", F.round("accuracy", 6).alias("accuracy"))))
+
+
 @register("coefficient_topk")
 def q_coefficient_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten meta features with the largest phishing coefficients."""
     m = S.meta_features(S.base_prob_vector(D.given_probs(spark, sf_dir))).withColumnRenamed("label", "type")
-    model = TR.fit(m, S.META_NAMES, TR.meta_logistic(total_weight=float(m.count()), max_iter=100))
+    model = TR.fit(m, S.META_NAMES, TR.meta_logistic(total_weight=float(m.count())))
     return TR.coefficient_topk(model, S.META_NAMES, "phishing", 10)
 
 

@@ -1016,6 +1016,10 @@ def stratified_split_sql() -> str:
     FROM v"""
 
 
+def shuffle_sql() -> str:
+    return f"""SELECT key, url, row_number() OVER (ORDER BY md5('42|' || key)) - 1 AS position FROM {keyed_sql()}"""
+
+
 def class_stats_inner(src: str) -> str:
     return f"""(SELECT c.class_ord, c.class, coalesce(n.n, 0)::BIGINT AS count,
         coalesce(n.n, 0) / (SELECT count(*) FROM {src}) AS share,
@@ -1049,12 +1053,17 @@ STD_COLS = ["url_length", "num_dots", "domain_length", "path_length", "url_entro
 
 
 def standardise_sql() -> str:
-    stats = ", ".join(f"avg({c}) AS mu_{c}, stddev_pop({c}) AS sd_{c}" for c in STD_COLS)
+    def whole(x: str) -> str:
+        return f"sum(CAST({x} AS DECIMAL(38,15)))::DOUBLE"
+
+    means = ", ".join(f"{whole(c)} / count({c}) AS mu_{c}" for c in STD_COLS)
+    stats = ", ".join(
+        f"any_value(mu_{c}) AS mu_{c}, sqrt({whole(f'pow({c} - mu_{c}, 2)')} / count({c})) AS sd_{c}" for c in STD_COLS)
     cols = ", ".join(
         f"round(({c} - mu_{c}) / CASE WHEN sd_{c} = 0 OR sd_{c} IS NULL THEN 1.0 ELSE sd_{c} END, {ROUND}) AS {c}"
         for c in STD_COLS
     )
-    return f"""WITH f AS ({url_features_sql()}), s AS (SELECT {stats} FROM f)
+    return f"""WITH f AS ({url_features_sql()}), m AS (SELECT {means} FROM f), s AS (SELECT {stats} FROM f, m)
     SELECT id, source, {cols} FROM f, s"""
 
 
