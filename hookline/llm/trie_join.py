@@ -3,40 +3,35 @@
 A document's set holds the hashes of its distinct word n-grams, in one global
 order (by hash).  Two documents link when 100 * |A and B| >= percent * |A or B|.
 
-1.  Classes.  Documents with equal sets form a class, which its smallest doc_id
-    represents; only representatives go on.
-2.  Blocks.  Sets that link differ in at most H = (1 - t) / (1 + t) * (|A| + |B|)
-    elements, so of H + 1 ranges of the hash order at least one holds the same
-    elements in both.  Each set emits one signature per range (`signatures`), for
-    its own size family and, if it can link with larger sets there, the next.  A
-    pair of linked sets therefore shares a signature; unrelated sets, even if they
-    share common n-grams or a passage, hardly ever do.
-3.  Groups.  Sets connected by shared signatures form candidate groups, and links
-    never leave a group.
-4.  Tries.  The sets of a group are stored in a path-compressed prefix tree in
+1.  Shared n-grams.  An n-gram that only one set holds is in no overlap.  Tasks send
+    the n-grams of a chunk of documents, each once, to buckets by hash, and a bucket
+    answers which of them others hold too; each set is cut down to those (its full size
+    stays with it).  A set that keeps less than `percent` of its n-grams links with
+    nothing and goes no further, so documents that merely share a passage end here.
+2.  Groups.  Sets that link share one of their first n - ceil(t n) + 1 n-grams in any
+    global order.  The order puts n-grams of one set alone first (they were counted in
+    step 1 and are left out), then rare ones, by a count sketch of fixed size.  Sets
+    connected by these n-grams form candidate groups, and links never leave a group.
+3.  Tries.  The sets of a group are stored in a path-compressed prefix tree in
     their global order.  A new set walks the tree with the overlap of each shared
     prefix counted once, and a subtree is left when even all remaining elements
     could not reach the overlap that the sizes of its sets ask for.  Sets that are
     already connected are not compared again.
-5.  Large groups (beyond `TRIE_SETS` sets, such as the documents that share a
-    passage).  Their n-grams are counted in a sketch of fixed size, which gives a
-    global order with rare n-grams first.  Sets that link share one of their first
-    n - ceil(t n) + 1 n-grams in any such order, so those are the blocks from here on:
-    a shared passage, being frequent, is in hardly any of them.  The first round works
-    around hubs (for each block the set with most shared ones), in tries that hold a
-    hub and a bounded share of its sets.  Where a block's sets are in several
+4.  Large groups (beyond `TRIE_SETS` sets).  The first round works around hubs (for
+    each n-gram of step 2 the set with most shared ones), in tries that hold a hub and
+    a bounded share of its sets.  Where the sets of such an n-gram are in several
     components after that, the sets outside the largest component meet all sets
     concerned, chunk by chunk, so that no link between components is missed and no task
     holds more than two chunks.
 
-So the components are those of all links; pairs inside a component need not all
-be emitted.
+A set is named by 64 bits of its digest, so copies are one set from the start.  The
+components are those of all links; pairs inside a component need not all be emitted.
 
 Edge cases: null and empty texts and texts without words have the empty set, link
 with nothing and are their own component; texts with fewer than n words have one
-n-gram, the whole text; repeated rows are one class; rows that share a doc_id but
-not the text are joined by their own texts; rows with a null doc_id get the
-component of their class (null if the class has no other rows); an empty table
+n-gram, the whole text; repeated rows and copies are one set; rows that share a doc_id
+but not the text are joined by their own texts; rows with a null doc_id link like others
+and get the smallest doc_id of their component (null if it has none); an empty table
 gives no rows; other columns are not read.
 """
 
@@ -57,19 +52,17 @@ from hookline.llm.components import components
 
 #: Sets in one trie, or in each of the two chunks of a large group, about.
 TRIE_SETS = 400
-#: Signatures that a task holds before it sends them on, and of a bucket, about.
+#: N-grams of a chunk of documents, and of a bucket, about.
 HELD, BUCKET_KEYS = 2 << 20, 1 << 18
-#: Counters of n-grams in large groups: 2**SKETCH_BITS.
+#: Counters of shared n-grams: 2**SKETCH_BITS.
 SKETCH_BITS = 22
-#: Ratio of the sizes in a family.
-WIDTH = 1.5
-#: Ranges from which on empty ones need no signatures.
-FEW = 32
+#: Stands for "several documents of the chunk" in place of one's number.
+_SEVERAL = 0xFFFFFFFF
 
 _HASHES = C.WordHashes()
 
 
-# ------------------------------------------------------------------ sets and signatures
+# ------------------------------------------------------------------ sets and shared n-grams
 
 
 def shingle_set(text: bytes | None, n: int) -> np.ndarray:
@@ -81,168 +74,151 @@ def shingle_set(text: bytes | None, n: int) -> np.ndarray:
     return np.unique(C.ngram_hashes(h, min(n, len(h))) ^ np.uint64(min(n, len(h))))
 
 
-def families(size: int, percent: int) -> list[int]:
-    """Size families of a set.  Family f holds the sizes from WIDTH**f to below
-    WIDTH**(f + 1), and smaller ones that can link with them."""
-    f = max(0, math.floor(math.log(size) / math.log(WIDTH)) - 1)
-    while WIDTH ** (f + 1) <= size:
-        f += 1
-    return [f, f + 1] if 100 * size >= percent * WIDTH ** (f + 1) * (1 - 1e-9) else [f]
-
-
-def ranges(family: int, percent: int) -> int:
-    """Hash ranges of a family: one more than two linked sets of it differ by."""
-    top = math.ceil(WIDTH ** (family + 1) * (1 + 1e-9))
-    return (100 - percent) * 2 * top // (100 + percent) + 1
-
-
-def signatures(s: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures of the non-empty hash ranges of a set, for each of its families.
-
-    In a linked pair some range is clean, that is, equal in both.  If all clean
-    ranges are empty, each other range holds about one difference, so sets of few
-    ranges that have an empty one also sign their ranges less one element each.
-    (With FEW ranges or more, a pair at the threshold has over ten clean ranges.)"""
-    mixed = C.mix(s)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed)])
-    out = []
-    for family in families(len(s), percent):
-        k = ranges(family, percent)
-        if k == 1:  # only equal sets link, and those are one class
-            continue
-        cut = np.searchsorted(s >> np.uint64(32), (np.arange(1, k, dtype=np.uint64) << np.uint64(32)) // np.uint64(k))
-        cut = np.concatenate([[0], cut, [len(s)]])
-        size = np.diff(cut)
-        part = sums[cut[1:]] - sums[cut[:-1]]
-        seed = np.uint64(((family + 1) * 0x9E3779B97F4A7C15) & (2**64 - 1))
-        tag = seed + np.arange(k, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
-        some = size > 0
-        out.append(C.mix(part[some] ^ tag[some]))
-        empty = k - int(some.sum())
-        if empty and k < FEW:
-            at = np.repeat(np.arange(k), size)
-            wide = size[at] > 1
-            less = C.mix((part[at] - mixed) ^ ~tag[at])
-            out += [C.mix(part[some] ^ ~tag[some]), less[wide]]
-            if k - empty <= 2:
-                out.append(C.mix(part[~some] ^ tag[~some]))
-    return np.unique(np.concatenate(out)).view(np.int64) if out else np.empty(0, np.int64)
-
-
 def sets_of(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, row key, n (set size) and digest of the set."""
+    """doc_id, row key, n (set size) and node (name of the set) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(text, n) for text in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([_digest(s) if len(s) else None for s in sets], pa.binary())],
-                names=["doc_id", "key", "n", "digest"],
+                 pa.array([_name(s) if len(s) else None for s in sets], pa.int64())],
+                names=["doc_id", "key", "n", "node"],
             )
 
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), C.row_key().alias("key"), F.col("text").cast("binary").alias("text")
     )
-    return rows.mapInArrow(run, "doc_id long, key long, n long, digest binary")
+    return rows.mapInArrow(run, "doc_id long, key long, n long, node long")
+
 
+def _name(s: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
-def _digest(s: np.ndarray) -> bytes:
-    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
+MESSAGE = "place long, chunk long, kind int, a binary, b binary"
 
-def _packed(bucket: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    """One row per run of equal buckets with its parts of both arrays."""
-    first = np.flatnonzero(np.diff(bucket, prepend=bucket[0] - 1))
-    last = np.append(first[1:], len(bucket))
+
+def _message(place, chunk, kind: int, a: list[bytes], b: list[bytes]) -> pa.RecordBatch:
+    n = len(a)
     return pa.RecordBatch.from_arrays(
-        [pa.array(bucket[first], pa.int64())]
-        + [pa.array([C.planes(x[i:j]) for i, j in zip(first, last)], pa.binary()) for x in (a, b)],
-        names=["bucket", "a", "b"],
-    )
+        [pa.array(np.broadcast_to(np.asarray(x, np.int64), n)) for x in (place, chunk)]
+        + [pa.array(np.full(n, kind, np.int32)), pa.array(a, pa.binary()), pa.array(b, pa.binary())],
+        names=["place", "chunk", "kind", "a", "b"])
+
 
+def _parts(first: np.ndarray, x: np.ndarray) -> list[bytes]:
+    return [C.planes(np.ascontiguousarray(part)) for part in np.split(x, first[1:])] if len(first) else []
 
-def candidate_links(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
-    """(u, v): documents and the least document that shares a signature with them.
 
-    A task sends each of its signatures once, with the least document that has it;
-    the others are linked to that one in the task.  So a signature of very many
-    documents costs its bucket one entry per task.  A task sends equal sets once."""
+#: Kinds of messages: n-grams asked for, shared n-grams with the numbers of their
+#: documents, names and sizes of a chunk's sets.
+_ASKED, _SHARED, _NAMES = range(3)
+
+
+def shared_sets(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
+    """node, n (full size) and set (n-grams that another set holds too, ascending) of the
+    distinct sets that keep at least `percent` of their n-grams.
+
+    An n-gram of very many documents costs its bucket one entry per chunk.  (Where
+    copies of a set lie in several chunks, their n-grams count as shared.)"""
     shift = 64 - int(math.log2(buckets))
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        chunk = TaskContext.get().partitionId() << 32
+        sets: list[np.ndarray] = []
+        names: dict[int, None] = {}
+        held = 0
+
         def sent() -> Iterator[pa.RecordBatch]:
-            sig, node = np.concatenate(sigs).view(np.uint64), np.concatenate(nodes)
-            order = np.lexsort((node, sig))
-            sig, node = sig[order], node[order]
-            first = np.concatenate([[True], sig[1:] != sig[:-1]])
-            own = sig[first]
+            size = np.array([len(s) for s in sets])
+            gram, number = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint32), size)
+            order = np.argsort(gram, kind="stable")
+            gram, number = gram[order], number[order]
+            new = np.concatenate([[True], gram[1:] != gram[:-1]])
+            several = np.diff(np.append(np.flatnonzero(new), len(gram))) > 1
+            own, one = gram[new], np.where(several, np.uint32(_SEVERAL), number[new])
             bucket = (own >> np.uint64(shift)).astype(np.int64)
-            delta = np.diff(own, prepend=np.uint64(0))
-            starts = np.flatnonzero(np.diff(bucket, prepend=-1))
-            delta[starts] = own[starts]
-            yield _packed(bucket, delta, node[first])
-            low = node[np.flatnonzero(first)][np.cumsum(first) - 1]
-            pairs = np.unique(np.stack([node, low], 1)[node != low], axis=0)
-            if len(pairs):
-                place = np.sort(-1 - C.mix(pairs[:, 0].view(np.uint64)).view(np.int64) % buckets)
-                yield _packed(place, np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]))
-
-        sigs: list[np.ndarray] = []
-        nodes: list[np.ndarray] = []
-        held, seen = 0, set()
+            first = np.flatnonzero(np.diff(bucket, prepend=-1))
+            step = np.diff(own, prepend=np.uint64(0))
+            step[first] = own[first]
+            yield _message(bucket[first], chunk, _ASKED, _parts(first, step), _parts(first, one))
+            # What the chunk knows by itself goes where its answers go.
+            known = several[np.cumsum(new) - 1]
+            place = -1 - chunk
+            yield _message(place, chunk, _SHARED, [C.planes(gram[known])], [C.planes(number[known])])
+            yield _message(place, chunk, _NAMES, [C.planes(np.array(list(names), np.int64))], [C.planes(size)])
+
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for text in batch.column(0).to_pylist():
                 s = shingle_set(text, n)
-                if not len(s):
+                if not len(s) or (name := _name(s)) in names:
                     continue
-                digest = _digest(s)
-                if digest in seen:
-                    continue
-                seen.add(digest)
-                g = signatures(s, percent)
-                sigs.append(g)
-                nodes.append(np.full(len(g), doc_id, np.int64))
-                held += len(g)
-            if held >= HELD:
-                yield from sent()
-                sigs, nodes, held = [], [], 0
-                seen.clear()
-        if held:
+                names[name] = None
+                sets.append(s)
+                held += len(s)
+                if held >= HELD:
+                    yield from sent()
+                    chunk, held, sets, names = chunk + 1, 0, [], {}
+        if sets:
             yield from sent()
 
-    def meet(part: pd.DataFrame) -> pd.DataFrame:
-        if part["bucket"].iloc[0] < 0:  # links that the tasks have found
-            u, v = (np.concatenate([C.from_planes(x, np.int64) for x in part[c]]) for c in ("a", "b"))
-        else:
-            sig = np.concatenate([np.cumsum(C.from_planes(x, np.uint64)) for x in part["a"]])
-            node = np.concatenate([C.from_planes(x, np.int64) for x in part["b"]])
-            order = np.lexsort((node, sig))
-            sig, u = sig[order], node[order]
-            first = np.concatenate([[True], sig[1:] != sig[:-1]])
-            v = u[np.flatnonzero(first)][np.cumsum(first) - 1]
-        pairs = np.unique(np.stack([u, v], 1)[u != v], axis=0)
-        return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
-
-    rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")
-    )
-    return rows.mapInArrow(sign, "bucket long, a binary, b binary").groupBy("bucket").applyInPandas(meet, "u long, v long")
+    def answer(part: pa.Table) -> pa.Table:
+        if part.column("kind")[0].as_py() != _ASKED:  # a chunk's own messages pass
+            return part
+        rows = part.to_pylist()
+        gram = np.concatenate([np.cumsum(C.from_planes(r["a"], np.uint64)) for r in rows])
+        number = np.concatenate([C.from_planes(r["b"], np.uint32) for r in rows])
+        ends = np.cumsum([len(r["b"]) // 4 for r in rows])
+        order = np.argsort(gram, kind="stable")
+        found = gram[order]
+        alike = found[1:] == found[:-1]
+        shared = np.zeros(len(gram), bool)
+        shared[order] = np.concatenate([[False], alike]) | np.concatenate([alike, [False]])
+        out = []
+        for r, a, b in zip(rows, [0, *ends], ends):
+            mine = a + np.flatnonzero(shared[a:b] & (number[a:b] != _SEVERAL))
+            if len(mine):
+                out.append(_message(r["place"], r["chunk"], _SHARED, [C.planes(gram[mine])], [C.planes(number[mine])]))
+        return pa.Table.from_batches(out, part.schema) if out else part.slice(0, 0)
+
+    def put_together(part: pa.Table) -> pa.Table:
+        rows = part.to_pylist()
+        named = next(r for r in rows if r["kind"] == _NAMES)
+        names, size = C.from_planes(named["a"], np.int64), C.from_planes(named["b"], np.int64)
+        some = [r for r in rows if r["kind"] == _SHARED]
+        gram = np.concatenate([C.from_planes(r["a"], np.uint64) for r in some])
+        number = np.concatenate([C.from_planes(r["b"], np.uint32) for r in some]).astype(np.int64)
+        order = np.lexsort((gram, number))
+        gram, ends = gram[order], np.cumsum(np.bincount(number, minlength=len(names)))
+        kept = np.flatnonzero(100 * np.diff(ends, prepend=0) >= percent * size)
+        raw = [gram[ends[k - 1] if k else 0 : ends[k]].tobytes() for k in kept]
+        return pa.table({"node": names[kept], "n": size[kept], "set": pa.array(raw, pa.binary())})
+
+    asked = docs.where(F.col("text").isNotNull()).select(F.col("text").cast("binary")).mapInArrow(ask, MESSAGE)
+    told = asked.groupBy("place").applyInArrow(answer, MESSAGE)
+    sets = told.groupBy("chunk").applyInArrow(put_together, "node long, n long, set binary")
+    return sets.dropDuplicates(["node"])  # copies in several chunks keep the same n-grams
 
 
 # ------------------------------------------------------------------ the trie
 
 
 class _Node:
-    __slots__ = ("edge", "children", "members", "longest", "shortest")
+    __slots__ = ("edge", "children", "members", "longest", "shortest", "deepest")
 
     def __init__(self, edge: np.ndarray):
         self.edge, self.children, self.members = edge, {}, []
-        self.longest = self.shortest = 0  # set sizes below
+        self.longest = self.shortest = 0  # full sizes of the sets below
+        self.deepest = 0  # and the length of the longest array
 
 
 class Trie:
-    """Prefix tree over ascending arrays, with the bounds of the sizes below each node."""
+    """Prefix tree over ascending arrays, with the bounds of the sizes below each node.
+
+    A set may be given by those of its elements that others hold too, with its full size."""
 
     def __init__(self, percent: int):
         self.percent, self.root = percent, _Node(np.empty(0, np.uint64))
@@ -252,18 +228,21 @@ class Trie:
         """Least overlap of sets of sizes a and b that link."""
         return -(-self.percent * (a + b) // (100 + self.percent))
 
-    def insert(self, s: np.ndarray, member) -> None:
+    def insert(self, s: np.ndarray, member, size: int | None = None) -> None:
+        size = len(s) if size is None else size
         node, at = self.root, 0
         while True:
-            node.longest, node.shortest = max(node.longest, len(s)), min(node.shortest, len(s))
+            node.longest, node.shortest = max(node.longest, size), min(node.shortest, size)
+            node.deepest = max(node.deepest, len(s))
             if at == len(s):
-                node.members.append((member, len(s)))
+                node.members.append((member, size))
                 return
             child = node.children.get(int(s[at]))
             if child is None:
                 leaf = _Node(s[at:])
-                leaf.longest = leaf.shortest = len(s)
-                leaf.members.append((member, len(s)))
+                leaf.longest = leaf.shortest = size
+                leaf.deepest = len(s)
+                leaf.members.append((member, size))
                 node.children[int(s[at])] = leaf
                 return
             width = min(len(child.edge), len(s) - at)
@@ -271,29 +250,30 @@ class Trie:
             same = int(differ[0]) if len(differ) else width
             if same < len(child.edge):  # split the edge
                 top = _Node(child.edge[:same])
-                top.longest, top.shortest = child.longest, child.shortest
+                top.longest, top.shortest, top.deepest = child.longest, child.shortest, child.deepest
                 node.children[int(s[at])] = top
                 child.edge = child.edge[same:]
                 top.children[int(child.edge[0])] = child
                 child = top
             node, at = child, at + same
 
-    def search(self, q: np.ndarray, skip) -> Iterator:
+    def search(self, q: np.ndarray, skip, size: int | None = None) -> Iterator:
         """Members that link with q and that `skip` doesn't name, by depth-first
         traversal; one overlap count serves all sets below a shared path."""
         stack = [(self.root, 0, 0, 0)]
         nq = len(q)
+        size = nq if size is None else size
         while stack:
             node, depth, at, overlap = stack.pop()
-            for member, size in node.members:
-                if overlap >= self.needed(nq, size) and not skip(member):
+            for member, other in node.members:
+                if overlap >= self.needed(size, other) and not skip(member):
                     yield member
             for child in node.children.values():
                 if not child.children and all(skip(m) for m, _ in child.members):
                     continue
-                if 100 * min(nq, child.longest) < self.percent * max(nq, child.shortest):
+                if 100 * min(size, child.longest) < self.percent * max(size, child.shortest):
                     continue
-                need = self.needed(nq, child.shortest)
+                need = self.needed(size, child.shortest)
                 found, p, reached = overlap, at, True
                 for begin in range(0, len(child.edge), 64):
                     chunk = child.edge[begin : begin + 64]
@@ -301,7 +281,7 @@ class Trie:
                     if end > p:
                         found += len(np.intersect1d(q[p:end], chunk, assume_unique=True))
                     p = end
-                    left = child.longest - depth - begin - len(chunk)
+                    left = child.deepest - depth - begin - len(chunk)
                     if found + min(nq - p, left) < need:
                         reached = False
                         break
@@ -325,33 +305,35 @@ class _Union:
         self.up[self.find(b)] = self.find(a)
 
 
-def trie_links(members: list[tuple[int, int, bytes]], percent: int, sides: list[int] | None = None) -> list[tuple]:
+def trie_links(members: list[tuple[int, int, bytes]], percent: int, sides: list[int] | None = None,
+               sizes: list[int] | None = None) -> list[tuple]:
     """Links that connect what is connected among (node, component, set bytes).
 
     Members of one component count as connected already.  With `sides`, only
-    members of different sides are compared."""
+    members of different sides are compared.  `sizes`: full sizes of the sets."""
     known = _Union()
     for node, component, _ in members:
         known.join(("c", component), node)
     sets = [np.frombuffer(raw, np.uint64) for _, _, raw in members]
-    out = []
+    sizes = sizes or [len(s) for s in sets]
+    out, trie = [], Trie(percent)
+
+    def meet(node, s, size) -> None:
+        for other in trie.search(s, lambda m: known.find(m) == known.find(node), size):
+            known.join(other, node)
+            out.append((node, other))
+
     if sides is None:
-        trie = Trie(percent)
-        for (node, _, _), s in zip(members, sets):
-            for other in trie.search(s, lambda m, mine=node: known.find(m) == known.find(mine)):
-                known.join(other, node)
-                out.append((node, other))
-            trie.insert(s, node)
+        for (node, _, _), s, size in zip(members, sets, sizes):
+            meet(node, s, size)
+            trie.insert(s, node, size)
         return out
-    trie = Trie(percent)
-    for (node, _, _), s, side in zip(members, sets, sides):
+    for (node, _, _), s, size, side in zip(members, sets, sizes, sides):
         if side == 0:
-            trie.insert(s, node)
-    for (node, _, _), s, side in zip(members, sets, sides):
+            trie.insert(s, node, size)
+    for (node, _, _), s, size, side in zip(members, sets, sizes, sides):
         if side == 1:
-            for other in trie.search(s, lambda m, mine=node: known.find(m) == known.find(mine)):
-                known.join(other, node)
-                out.append((node, other))
+            meet(node, s, size)
     return out
 
 
@@ -359,13 +341,13 @@ def trie_links(members: list[tuple[int, int, bytes]], percent: int, sides: list[
 
 
 def _links(blocks: DataFrame, percent: int) -> DataFrame:
-    """Links inside each block of (block, side, node, component, rank, set)."""
+    """Links inside each block of (block, side, node, component, rank, n, set)."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["rank", "node"], kind="stable")
         sides = part["side"].tolist()
         members = list(zip(part["node"].tolist(), part["component"].tolist(), part["set"].tolist()))
-        found = trie_links(members, percent, sides if any(sides) else None)
+        found = trie_links(members, percent, sides if any(sides) else None, part["n"].tolist())
         return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
     return blocks.groupBy("block").applyInPandas(run, "u long, v long")
@@ -383,7 +365,9 @@ def _sketch(sets: DataFrame) -> np.ndarray:
         for begin in range(0, len(total), 1 << 16):
             some = begin + np.flatnonzero(total[begin : begin + (1 << 16)])
             if len(some):
-                yield _packed(some >> 16, some, total[some].astype(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([begin >> 16]), *(pa.array([C.planes(x)], pa.binary()) for x in (some, total[some].astype(np.int64)))],
+                    names=["bucket", "a", "b"])
 
     def add(part: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(1 << 16, np.int64)
@@ -404,7 +388,8 @@ def _counter(s: np.ndarray) -> np.ndarray:
 
 def _rare_tokens(sets: DataFrame, percent: int) -> DataFrame:
     """(node, sig): each set's first n - ceil(t n) + 1 n-grams in a global order that puts
-    rare ones first, as far as several sets have them.  Two sets that link share one."""
+    n-grams of one set first (those that `set` lacks), then rare ones, as far as several
+    sets have them.  Two sets that link share one."""
     counts = _sketch(sets)
     # Levels of the counts: a bounded array (2**SKETCH_BITS bytes) for the workers.
     levels = np.floor(2 * np.log2(np.maximum(counts, 1))).astype(np.uint8)
@@ -414,16 +399,16 @@ def _rare_tokens(sets: DataFrame, percent: int) -> DataFrame:
         level = np.frombuffer(sent.value, np.uint8)
         for batch in batches:
             found = []
-            for x in batch.column(1):
+            for x, n in zip(batch.column(1), batch.column(2).to_pylist()):
                 s = np.frombuffer(x.as_buffer(), np.uint64)
                 rank = (level[_counter(s)].astype(np.uint64) << np.uint64(57)) | (s >> np.uint64(7))
-                size = len(s) + (-percent * len(s) // 100) + 1
+                size = len(s) + (-percent * n // 100) + 1
                 found.append(s[np.argsort(rank, kind="stable")[:size]])
             node = np.repeat(batch.column(0).to_numpy(), [len(g) for g in found])
             sig = np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sig)], names=["node", "sig"])
 
-    tokens = sets.select("node", "set").mapInArrow(first, "node long, sig long")
+    tokens = sets.select("node", "set", "n").mapInArrow(first, "node long, sig long")
     shared = tokens.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     return tokens.join(shared.select("sig"), "sig").distinct()
 
@@ -500,81 +485,59 @@ def _open_places(wide: DataFrame, found: DataFrame, trie_sets: int) -> DataFrame
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, trie_sets: int = TRIE_SETS) -> DataFrame:
-    """doc_id, key (of doc_id and text), n_shingles, component_id per document; see the
-    module's text.  `percent` is at least 67: linked sets then lie in one or two adjacent
-    size families."""
-    if percent * WIDTH < 100:
-        raise ValueError(f"percent must be 67 or more, not {percent}")
+    """doc_id, key (of doc_id and text), n_shingles, node (name of the set) and component_id
+    per document; see the module's text."""
     C.small_batches(docs.sparkSession)
     rows = C.stage(sets_of(docs, n), "sets")
-    some = rows.where("n > 0")
-    classes = C.stage(
-        some.groupBy("digest").agg(F.min("doc_id").alias("node")).where("node IS NOT NULL"), "classes"
-    )
-    # A set has at most about half as many signatures as elements.
     elements = rows.agg(F.sum("n")).first()[0] or 0
-    buckets = 1 << max(6, math.ceil(math.log2(max(1, elements / 2 / BUCKET_KEYS))))
-    near = candidate_links(docs, n, percent, buckets)
-    # Copies stand for their class.
-    copies = some.join(classes, "digest").where("doc_id != node").select("doc_id", "node").distinct()
-    copies = C.stage(copies, "copies")
-    for end in ("u", "v"):
-        to = copies.select(F.col("doc_id").alias(end), F.col("node").alias("to"))
-        near = near.join(to, end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
-
-    # Candidate groups: sets connected by shared signatures.  Links never leave a group.
-    groups = C.stage(components(near.select("u", "v")).withColumnRenamed("component", "grp"), "groups")
+    buckets = 1 << max(6, math.ceil(math.log2(max(1, elements / BUCKET_KEYS))))
+    sets = C.stage(shared_sets(docs, n, percent, buckets), "shared")
+
+    # Candidate groups: sets connected by one of their first n-grams.
+    wide = C.stage(_rare_tokens(sets, percent), "wide")
+    near = wide.join(wide.groupBy("sig").agg(F.min("node").alias("v")), "sig").select(F.col("node").alias("u"), "v")
+    groups = C.stage(components(near).withColumnRenamed("component", "grp"), "groups")
     sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
     large = C.stage(sizes.where(F.col("size") > trie_sets).select("grp"), "large")
 
-    # Sets of the documents in question, from their whole texts.
-    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = [shingle_set(t, n).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["node", "set"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("binary").alias("text"))
-    # Rows that share an id may hold several sets: each is a member.
-    sets = C.stage(
-        texts.where("text IS NOT NULL").join(groups.select("node").hint("shuffle_hash"), "node")
-        .mapInArrow(to_sets, "node long, set binary"),
-        "wanted",
-    ).where(F.octet_length("set") > 0)
-
     # First round: a group that fits in one trie is joined whole; a larger one by
-    # tries of a hub and a share of the sets that share a signature with it.
+    # tries of a hub and a share of the sets that share an n-gram with it.
     whole = groups.join(large, "grp", "left_anti").select(
         F.col("grp").alias("hub"), F.lit(0).cast("long").alias("share"), "node", F.lit(0).alias("rank")
     )
     members = groups.join(large, "grp", "left_semi").select("node")
-    wide = C.stage(_rare_tokens(C.stage(sets.join(members, "node"), "members"), percent), "wide")
+    wide = C.stage(wide.join(members, "node", "left_semi"), "large-wide")
     places = whole.unionByName(_hub_places(wide, trie_sets))
     blocks = places.join(sets, "node").select(
         F.struct("hub", "share").alias("block"), F.lit(0).alias("side"), "node", F.col("node").alias("component"),
-        "rank", "set",
+        "rank", "n", "set",
     )
     links = C.stage(_links(blocks, percent), "links")
     found = C.stage(components(links), "components")
 
-    # Second round: signatures of large groups whose sets are in several components.
+    # Second round: n-grams of large groups whose sets are in several components.
     rest = _open_places(wide, found, trie_sets)
     late = C.stage(_links(rest.join(sets, "node"), percent), "late")
     found = C.stage(components(links.unionByName(late)), "components")
 
-    # A class takes the component of its representative.
-    label = classes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
-    return rows.join(label, "digest", "left").select(
-        "doc_id", "key", F.col("n").alias("n_shingles"), "digest",
-        F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"),
+    # The smallest doc_id of each component, for each of its sets.
+    named = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("low")).join(found, "node", "left")
+    named = C.stage(named.select("node", "low", F.coalesce("component", "node").alias("component")), "named")
+    least = named.groupBy("component").agg(F.min("low").alias("component_id"))
+    label = named.join(least, "component").select("node", "component_id")
+    return rows.join(label, "node", "left").select(
+        "doc_id", "key", F.col("n").alias("n_shingles"), "node",
+        F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """`docs` with one row of each component: its smallest doc_id, and of rows that
-    repeat that id the one of the smallest row key.  Rows without an id stay if no
-    row with an id has their set, one of each set."""
+    repeat that id the one of the smallest row key.  Rows of components without any id
+    stay, one of each set."""
     rows = near_duplicates(docs, n, percent)
-    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("#"), F.hex("digest")), F.lit("#"))
+    group = F.coalesce(
+        F.col("component_id").cast("string"), F.concat(F.lit("#"), F.col("node").cast("string")), F.lit("#"))
     first = F.struct(
         (~F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("other"), F.col("key").alias("key")
     )

@@ -77,19 +77,26 @@ def test_chains_copies_and_large_blocks(spark):
         assert got(T.near_duplicates(df, n, percent, trie_sets=7)) == brute(rows, n, percent)
 
 
-def test_signatures_are_shared_by_linked_sets():
-    rng = np.random.default_rng(3)
-    for percent in (70, 80, 90):
-        for _ in range(300):
-            size = int(np.exp(rng.uniform(0.7, 6.5)))
-            a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64) * np.uint64(2))
-            most = (100 - percent) * len(a) // percent
-            b = np.unique(np.concatenate([a, rng.integers(0, 2**63, rng.integers(0, most + 1)).astype(np.uint64)]))
-            drop = rng.permutation(len(b))[: rng.integers(0, most + 1)]
-            b = np.delete(b, drop)
-            both = len(np.intersect1d(a, b))
-            if 100 * both >= percent * (len(a) + len(b) - both) and not np.array_equal(a, b):
-                assert np.intersect1d(T.signatures(a, percent), T.signatures(b, percent)).size
+@pytest.mark.parametrize("held", [2 << 20, 40])
+def test_sets_are_cut_to_what_others_hold(spark, monkeypatch, held):
+    monkeypatch.setattr(T, "HELD", held)  # many chunks: the buckets do the work
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(60)]
+    docs = [edited(rng, base, rng.randrange(0, 12)) for _ in range(40)] + [[f"x{i}{j}" for j in range(30)] for i in range(9)]
+    texts = [" ".join(w) for w in docs] + [" ".join(docs[0])]
+    sets = {T._name(s): s for s in (T.shingle_set(t.encode(), 3) for t in texts)}
+    grams, counts = np.unique(np.concatenate(list(sets.values())), return_counts=True)
+    shared = set(grams[counts > 1].tolist()) | set(T.shingle_set(texts[0].encode(), 3).tolist())  # its copy may lie in another chunk
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.node: (r.n, np.frombuffer(r.set, np.uint64).tolist()) for r in T.shared_sets(df, 3, 70, 64).collect()}
+    least = {k: [g for g in s.tolist() if g in set(grams[counts > 1].tolist())] for k, s in sets.items()}
+    for name, s in sets.items():
+        most = [g for g in s.tolist() if g in shared]
+        if name in got:
+            n, kept = got[name]
+            assert n == len(s) and 100 * len(kept) >= 70 * n and set(least[name]) <= set(kept) <= set(most)
+        else:
+            assert 100 * len(least[name]) < 70 * len(s)
 
 
 def test_trie_links_equal_all_pairs():
@@ -129,8 +136,24 @@ def test_keep_one_keeps_one_of_each_group(spark):
     assert T.keep_one(data.empty_docs(spark)).count() == 0
 
 
-def test_a_percent_beyond_the_size_families_is_refused(spark):
-    with pytest.raises(ValueError):
-        T.near_duplicates(data.edge_docs(spark), 5, 66)
-    assert all(T.families(s, 67)[-1] >= T.families(-(-s * 67 // 100), 67)[0] for s in range(1, 3000))
-    assert all(set(T.families(s, 67)) & set(T.families(t, 67)) for s in range(1, 400) for t in range(s, s * 100 // 67 + 1))
+@pytest.mark.parametrize("percent", [1, 40, 66, 100])
+def test_any_percent(spark, percent):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(30)]
+    rows = [(i, " ".join(edited(rng, base[: rng.randrange(5, 31)], rng.randrange(0, 8)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(T.near_duplicates(df, 2, percent, trie_sets=9)) == brute(rows, 2, percent)
+
+
+def test_trie_links_of_cut_sets():
+    """Sets given by their shared elements and their full sizes link like the whole ones."""
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2**60, 80).astype(np.uint64)
+    whole = [np.unique(np.concatenate([rng.permutation(base)[: rng.integers(60, 81)], rng.integers(2**61, 2**62, rng.integers(0, 12)).astype(np.uint64)])) for _ in range(30)]
+    cut = [(i, i, s[s < 2**60].tobytes()) for i, s in enumerate(whole)]
+    full = T.trie_links([(i, i, s.tobytes()) for i, s in enumerate(whole)], 80)
+    ends = [T._Union(), T._Union()]
+    for known, links in zip(ends, (full, T.trie_links(cut, 80, sizes=[len(s) for s in whole]))):
+        for a, b in links:
+            known.join(a, b)
+    assert all((ends[0].find(i) == ends[0].find(j)) == (ends[1].find(i) == ends[1].find(j)) for i in range(30) for j in range(i))
