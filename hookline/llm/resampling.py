@@ -27,6 +27,7 @@ the smoothing alone; an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import zlib
 from bisect import bisect_left
@@ -50,8 +51,9 @@ PERCENT = 5
 SEED = 42
 #: Runs that give samples, at most, and segments; the samples are their product.
 MOST_RUNS = 1_000
-#: Words whose crc a task remembers.
+#: Words whose crc a task remembers, and words that are hashed together, about.
 KNOWN_WORDS = 400_000
+PART_WORDS = 200_000
 
 SCORED_SCHEMA = "doc_id long, n_words long, n_features long, weight long, score long"
 
@@ -98,17 +100,35 @@ class _Words(dict):
         return value
 
 
-def feature_buckets(words: list[bytes], known: _Words, buckets: int = BUCKETS, longest: int = LONGEST_RUN) -> np.ndarray:
-    """Buckets of all runs of one to `longest` words, repeats included."""
+def feature_buckets(texts: list[list[bytes]], known: _Words, buckets: int = BUCKETS, longest: int = LONGEST_RUN):
+    """(text number, bucket) of all runs of one to `longest` words of texts, given as
+    their words; repeats included."""
+    words = list(itertools.chain.from_iterable(texts))
+    of = np.repeat(np.arange(len(texts)), [len(w) for w in texts])
     got = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     spaced, length = (got >> np.uint64(32)).astype(np.uint32), (got & np.uint64(0xFFFFFFFF)).astype(np.int64)
     # A word alone: " " + word without the space's share.
     run = _joined(np.full(len(words), _SPACE, np.uint32), spaced, length - 1)
-    out = [run]
-    for k in range(1, min(longest, len(words))):
+    found, owner = [run], [of]
+    for k in range(1, longest):
         run = _joined(run[:-1], spaced[k:], length[k:])
-        out.append(run)
-    return np.concatenate(out).astype(np.int64) % buckets if len(words) else np.zeros(0, np.int64)
+        inside = of[k:] == of[: len(run)]
+        found.append(run[inside])
+        owner.append(of[k:][inside])
+    return np.concatenate(owner), np.concatenate(found).astype(np.int64) % buckets
+
+
+def _in_parts(texts: list[bytes | None]) -> Iterator[list[list[bytes]]]:
+    """Words of texts, in parts of about `PART_WORDS` words."""
+    part: list[list[bytes]] = []
+    held = 0
+    for text in texts:
+        part.append(C.alnum_words(text))
+        held += len(part[-1])
+        if held >= PART_WORDS:
+            yield part
+            part, held = [], 0
+    yield part
 
 
 #: XORed with the crc of " " + word and moved behind it, gives the crc of the word.
@@ -119,8 +139,8 @@ def _counter(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, total = _Words(), np.zeros(buckets, np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                total += np.bincount(feature_buckets(C.alnum_words(text), known, buckets), minlength=buckets)
+            for part in _in_parts(batch.column(0).to_pylist()):
+                total += np.bincount(feature_buckets(part, known, buckets)[1], minlength=buckets)
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], names=["bucket", "n"])
 
@@ -162,11 +182,17 @@ def _scorer(gain: np.ndarray, seed: int):
         for batch in batches:
             ids = batch.column(0).to_pylist()
             rows = np.zeros((len(ids), 4), np.int64)
-            for at, text in enumerate(batch.column(1).to_pylist()):
-                words = C.alnum_words(text)
-                found = feature_buckets(words, known, len(gain))
-                weight = int(gain[found].sum())
-                rows[at] = len(words), len(found), weight, weight + noise(ids[at], seed)
+            rows[:, 3] = [noise(i, seed) for i in ids]
+            at = 0
+            for part in _in_parts(batch.column(1).to_pylist()):
+                owner, found = feature_buckets(part, known, len(gain))
+                mine = rows[at : at + len(part)]
+                mine[:, 0] = [len(words) for words in part]
+                mine[:, 1] = np.bincount(owner, minlength=len(part))
+                # Sums of whole numbers below 2**53 are exact.
+                mine[:, 2] = np.bincount(owner, gain[found], len(part))
+                at += len(part)
+            rows[:, 3] += rows[:, 2]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), *(pa.array(rows[:, k]) for k in range(4))],
                 names=["doc_id", "n_words", "n_features", "weight", "score"])

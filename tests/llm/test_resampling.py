@@ -52,11 +52,21 @@ def target():
     return pq.read_table(f"{data.SF}/benchmark.parquet")["text"].to_pylist()
 
 
+some_words = st.lists(st.one_of(st.sampled_from(["a", "bc", "é東"]), st.integers(0, 300).map(lambda n: "x" * n + "y")), max_size=20)
+
+
 @settings(max_examples=100, deadline=None)
-@given(st.lists(st.one_of(st.sampled_from(["a", "bc", "é東"]), st.integers(0, 300).map(lambda n: "x" * n + "y")), max_size=40))
-def test_buckets_of_runs(some):
-    got = K.feature_buckets([w.encode() for w in some], K._Words())
-    assert sorted(got.tolist()) == sorted(buckets(" ".join(some)))
+@given(st.lists(some_words, max_size=5))
+def test_buckets_of_runs(texts):
+    owner, got = K.feature_buckets([[w.encode() for w in t] for t in texts], K._Words())
+    for i, t in enumerate(texts):
+        assert sorted(got[owner == i].tolist()) == sorted(buckets(" ".join(t)))
+
+
+def test_parts_hold_all_texts(monkeypatch):
+    monkeypatch.setattr(K, "PART_WORDS", 5)
+    texts = [b"a b c", None, b"", b"d e f g h i j", b"k", b"l m n o p"]
+    assert [w for part in K._in_parts(texts) for w in part] == [(t or b"").split() for t in texts]
 
 
 def test_documents_equal_brute_force(spark):
