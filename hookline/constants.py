@@ -347,3 +347,6 @@ URL_SCHEMES_WITH_PARAMS = [
 
 # Suffixes of one kind of derived URL: plain, two labels, wildcard, exception.
 ODD_SUFFIXES = [".tk", ".ru", ".com.cn", ".co.uk", ".gov.ck", ".www.ck", ".x.kobe.jp", ".city.kobe.jp", ".nosuchsuffix"]
+
+#: Characters of the generators' random tokens.
+TOKEN_ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789"

@@ -8,6 +8,7 @@ driver-side state.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from functools import reduce
 
@@ -156,8 +157,15 @@ def make_url(host: Column, tld: Column, sub: Column | None, path: Column, query:
 
 
 def random_token(h: Column, n: int) -> Column:
-    """Lower-case alphanumeric token of length ``n`` from a hash."""
-    return F.substr(F.md5(F.concat(F.lit("t|"), h.cast("string"))), F.lit(1), F.lit(n))
+    """Lower-case alphanumeric token of length ``n`` (up to 16) from a hash: each byte of
+    it draws a character."""
+
+    def spelt(digest: Column) -> Column:
+        byte = lambda i: F.conv(F.substr(digest, F.lit(2 * i + 1), F.lit(2)), 16, 10).cast("int")
+        return F.concat(*[F.substr(F.lit(K.TOKEN_ALPHABET), byte(i) % len(K.TOKEN_ALPHABET) + 1, F.lit(1)) for i in range(n)])
+
+    digest = F.md5(F.concat(F.lit("t|"), h.cast("string")))
+    return F.transform(F.array(digest), spelt)[0]
 
 
 def random_path(key: Column, seed: int) -> Column:
@@ -286,8 +294,13 @@ def merge_on_common_columns(frames: Sequence[DataFrame]) -> DataFrame:
 
 
 def merge_same_schema(frames: Sequence[DataFrame]) -> DataFrame:
-    """Stack same-schema frames by name."""
-    return reduce(lambda a, b: a.unionByName(b), frames)
+    """Stack same-schema frames by name.  Frames whose columns differ from the first
+    one's, in names or order, are stacked with a warning; what they lack is null."""
+    expected = frames[0].columns
+    for i, f in enumerate(frames[1:], 2):
+        if f.columns != expected:
+            warnings.warn(f"frame {i} has the columns {f.columns}, expected {expected}", stacklevel=2)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
 # ------------------------------------------------------ sampling and splits

@@ -1,17 +1,19 @@
 """Browser-side rules (F1–F8) and page content scans.
 
-All native column expressions; the threat list join (F2) is an equi-join on
-the first characters of the threats.
+Native column expressions but for the threat list (F2), whose threats go into
+automata of bounded size.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hookline import constants as K
 from hookline.functions import text as TX
 from hookline.functions import urls as U
+from hookline.session import parallelism
 
 
 # ----------------------------------------------------------------------- F1
@@ -37,28 +39,48 @@ def quick_risk_score(url: Column) -> Column:
 
 # ----------------------------------------------------------------------- F2
 
-def threat_match(df: DataFrame, threats: DataFrame, url_col: str = "url", threat_col: str = "threat") -> DataFrame:
+#: Bytes of threats in one automaton, and distinct URLs that one task scans, about.
+BLOCK_BYTES = 4 << 20
+PART_URLS = 200_000
+
+
+def _holds_threat(urls: pa.Table, threats: pa.Table) -> pa.Table:
+    """URLs of the left table that contain a threat of the right one, or whose host does."""
+    import ahocorasick
+
+    found: list[str] = []
+    if urls.num_rows and threats.num_rows:
+        automaton = ahocorasick.Automaton()
+        for t in threats.column("_t").to_pylist():
+            automaton.add_word(t, True)
+        automaton.make_automaton()
+        for u, host in zip(urls.column("_u").to_pylist(), urls.column("_host").to_pylist()):
+            if any(next(automaton.iter(x), None) for x in (u, host or "")):
+                found.append(u)
+    return pa.table({"_u": pa.array(found, pa.string())})
+
+
+def threat_match(df: DataFrame, threats: DataFrame, url_col: str = "url", threat_col: str = "threat",
+                 block_bytes: int = BLOCK_BYTES, part_urls: int = PART_URLS) -> DataFrame:
     """add ``known_threat`` — some threat string is contained in the URL or
     in its hostname.
 
-    The distinct URLs give their substrings as long as the shortest threat; an
-    equi-join with the threats on those first characters leaves few candidates,
-    which are verified.  The flagged URLs join back on the URL."""
+    The distinct URLs are dealt into parts and the threats into blocks of bounded bytes;
+    each part meets each block in a task, which builds one automaton of the block and
+    scans each URL once, however short or alike the threats are.  The numbers of parts
+    and blocks are subqueries of the same plan.  The flagged URLs join back on the URL."""
     t = threats.select(F.col(threat_col).alias("_t")).where(F.col("_t").isNotNull() & (F.col("_t") != "")).distinct()
-    k = t.agg(F.min(F.length("_t"))).first()[0] or 1
-    t = t.withColumn("_g", F.substring("_t", 1, k))
-
-    def grams(c: Column) -> Column:
-        return F.when(
-            F.length(c) >= k,
-            F.transform(F.sequence(F.lit(1), F.length(c) - k + 1), lambda i: F.substr(c, i, F.lit(k))),
-        ).otherwise(F.array().cast("array<string>"))
-
-    u = df.select(F.col(url_col).alias("_u")).where(F.col(url_col).isNotNull()).distinct()
-    u = u.withColumn("_host", U.browser_hostname(F.col("_u")))
-    cand = u.select("_u", "_host", F.explode(F.array_distinct(F.concat(grams(F.col("_u")), grams(F.col("_host"))))).alias("_g"))
-    hit = (F.instr(F.col("_u"), F.col("_t")) > 0) | (F.instr(F.col("_host"), F.col("_t")) > 0)
-    flagged = cand.join(t, "_g").where(hit).select(F.col("_u").alias(url_col)).distinct()
+    u = df.select(F.col(url_col).alias("_u")).where(F.col(url_col).isNotNull())
+    blocks = t.agg(F.greatest(F.ceil(F.sum(F.octet_length("_t")) / block_bytes), F.lit(1)).cast("int")).scalar()
+    parts = u.agg(F.greatest(F.ceil(F.count(F.lit(1)) / part_urls), F.lit(parallelism(df.sparkSession))).cast("int")).scalar()
+    left = u.distinct().withColumns({"_n": blocks, "_p": parts}).select(
+        "_u", U.browser_hostname(F.col("_u")).alias("_host"), F.pmod(F.xxhash64("_u"), F.col("_p")).cast("int").alias("_part"),
+        F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_block"))
+    right = t.withColumns({"_n": blocks, "_p": parts}).select(
+        "_t", F.pmod(F.xxhash64("_t"), F.col("_n")).cast("int").alias("_block"),
+        F.explode(F.sequence(F.lit(0), F.col("_p") - 1)).alias("_part"))
+    found = left.groupBy("_part", "_block").cogroup(right.groupBy("_part", "_block")).applyInArrow(_holds_threat, "_u string")
+    flagged = found.select(F.col("_u").alias(url_col)).distinct()
     return df.join(flagged.withColumn("known_threat", F.lit(True)), url_col, "left").select(
         *df.columns, F.coalesce(F.col("known_threat"), F.lit(False)).alias("known_threat")
     )

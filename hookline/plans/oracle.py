@@ -1119,7 +1119,10 @@ def upick(values, h: str) -> str:
 
 
 def token(key: str, n: int) -> str:
-    return f"substr(md5('t|' || ({key})), 1, {n})"
+    size = len(K.TOKEN_ALPHABET)
+    return "(" + " || ".join(
+        f"substr('{K.TOKEN_ALPHABET}', ('0x' || substr(md5('t|' || ({key})), {2 * i + 1}, 2))::INTEGER % {size} + 1, 1)"
+        for i in range(n)) + ")"
 
 
 def make_url_sql(host: str, tld: str, sub: str | None, path: str, query: str, h: str) -> str:

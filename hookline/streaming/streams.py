@@ -224,21 +224,23 @@ def run_page_views(stream: DataFrame, folder: str, keep: Callable[[DataFrame], D
                    step: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """O3, O6 as streams: results that depend on the order of a page view's events.
 
-    Files may come late, so a micro-batch stores its own events and computes anew
-    the page views that it touches, from the stored events of those alone; the last
-    result of a page view counts.  The order of the files doesn't matter, and no
+    Files may come late, so a micro-batch stores its own events, by day, and computes
+    anew the page views that it touches, from the stored events of their days alone; the
+    last result of a page view counts.  The order of the files doesn't matter, and no
     state lives in memory.  ``keep`` selects and prunes events, ``step`` is the batch
     operator."""
     spark = stream.sparkSession
     events = f"{folder}/events"
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = keep(batch)
-        rows.write.mode("overwrite").parquet(f"{events}/batch={number}")
-        now = with_kind(spark.read.parquet(f"{events}/batch={number}"))
+        rows = with_kind(keep(batch)).withColumn("on_day", F.col("day").cast("string")).drop("kind", "day")
+        rows.write.mode("overwrite").partitionBy("on_day").parquet(f"{events}/batch={number}")
+        stored = spark.read.schema(EVENT_SCHEMA + ", batch long, on_day string").parquet(events)
+        now = with_kind(stored.where(F.col("batch") == number))
+        days = [r.on_day for r in now.where("on_day IS NOT NULL").select("on_day").distinct().collect()]  # folder names
         # Later batches of a job that is run again are not there yet.
-        seen = with_kind(spark.read.schema(EVENT_SCHEMA + ", batch long").parquet(events)).where(F.col("batch") <= number)
-        touched = seen.join(now.select(*PAGE_VIEW).distinct(), PAGE_VIEW, "left_semi").drop("batch", "kind", "day")
+        seen = with_kind(stored.where((F.col("batch") <= number) & F.col("on_day").isin(days)))
+        touched = seen.join(now.select(*PAGE_VIEW).distinct(), PAGE_VIEW, "left_semi").drop("batch", "kind", "day", "on_day")
         step(touched).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
     _run(stream, folder, write, "append")

@@ -116,3 +116,17 @@ def test_shuffle_of_equal_rows_and_of_none(spark):
     same = spark.range(500).select(F.lit(None).cast("string").alias("url"))
     assert sorted(r.position for r in CO.shuffle(same, "url", 7).collect()) == list(range(500))
     assert CO.shuffle(same.limit(0), "url", 7).count() == 0
+
+
+def test_stacked_frames_with_other_columns_warn(spark):
+    a = spark.createDataFrame([("u", "benign")], "url string, type string")
+    b = spark.createDataFrame([("phishing", 1)], "type string, n int")
+    with pytest.warns(UserWarning, match="frame 2"):
+        got = CO.merge_same_schema([a, b])
+    assert sorted(map(tuple, got.collect()), key=str) == [("u", "benign", None), (None, "phishing", 1)]
+
+
+def test_tokens_are_letters_and_digits(spark):
+    got = [r.t for r in spark.range(500).select(CO.random_token(F.col("id"), 6).alias("t")).collect()]
+    assert all(len(t) == 6 for t in got) and len(set(got)) == 500
+    assert set("".join(got)) == set("abcdefghijklmnopqrstuvwxyz0123456789")

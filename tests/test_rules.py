@@ -60,6 +60,19 @@ def test_threat_match(spark):
     assert none.count() == 7 and none.where("known_threat").count() == 0
 
 
+def test_threat_match_equals_containment(spark):
+    import random
+
+    rnd = random.Random(3)
+    urls = [f"https://{rnd.choice('abcde')}{rnd.randrange(99)}.org/{''.join(rnd.choices('abcxyz', k=9))}" for _ in range(300)]
+    threats = ["z", "xyx", "7.org/a", "b1", "https://c9.org", "no such thing"] + [f"{a}{b}c" for a in "abc" for b in "xyz"]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    for some, size in ((threats, 1 << 20), (threats[1:], 7), (threats[-3:], 3)):  # one block, several
+        t = spark.createDataFrame([(x,) for x in some], "threat string")
+        got = {r.url: r.known_threat for r in R.threat_match(df, t, block_bytes=size, part_urls=50).collect()}
+        assert got == {u: any(x in u for x in some) for u in urls}
+
+
 def test_stray_percent_signs_stand_for_themselves(spark):
     cases = {"https://x.org/?q=50%%3Cscript%3E": ["q"], "https://x.org/?q=%zz%3Cscript%3E&b=1": ["q"],
              "https://x.org/?q=100%": [], "https://x.org/?a=%3Cscript%3E": ["a"]}
