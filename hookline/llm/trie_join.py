@@ -24,7 +24,9 @@ order (by hash).  Two documents link when 100 * |A and B| >= percent * |A or B|.
     concerned, chunk by chunk, so that no link between components is missed and no task
     holds more than two chunks.
 
-A set is named by 64 bits of its digest, so copies are one set from the start.  The
+A set is named by 64 bits of its digest, so copies are one set from the start.  From
+step 1 on, n-grams are the leading bits of their hashes, `SPARE_BITS` more than it takes
+to count all n-grams of the corpus, and travel as differences of sorted ones.  The
 components are those of all links; pairs inside a component need not all be emitted.
 
 Edge cases: null and empty texts and texts without words have the empty set, link
@@ -54,6 +56,8 @@ from hookline.llm.components import components
 TRIE_SETS = 400
 #: N-grams of a chunk of documents, and of a bucket, about.
 HELD, BUCKET_KEYS = 2 << 20, 1 << 18
+#: Bits of an n-gram beyond those that count the n-grams of the corpus.
+SPARE_BITS = 18
 #: Counters of shared n-grams: 2**SKETCH_BITS.
 SKETCH_BITS = 22
 #: Stands for "several documents of the chunk" in place of one's number.
@@ -116,13 +120,22 @@ def _parts(first: np.ndarray, x: np.ndarray) -> list[bytes]:
 _ASKED, _SHARED, _NAMES = range(3)
 
 
-def shared_sets(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
-    """node, n (full size) and set (n-grams that another set holds too, ascending) of the
-    distinct sets that keep at least `percent` of their n-grams.
+def _coded(s: np.ndarray) -> bytes:
+    """Ascending numbers as differences, bytes of equal significance together."""
+    return C.planes(np.diff(s, prepend=np.uint64(0)))
 
-    An n-gram of very many documents costs its bucket one entry per chunk.  (Where
-    copies of a set lie in several chunks, their n-grams count as shared.)"""
-    shift = 64 - int(math.log2(buckets))
+
+def _numbers(raw: bytes) -> np.ndarray:
+    return np.cumsum(C.from_planes(raw, np.uint64))
+
+
+def shared_sets(docs: DataFrame, n: int, percent: int, buckets: int, bits: int = 64) -> DataFrame:
+    """node, n (full size) and set (coded n-grams of `bits` bits that another set holds too)
+    of the sets that keep at least `percent` of their n-grams.
+
+    An n-gram of very many documents costs its bucket one entry per chunk.  Copies of a
+    set that lie in several chunks give equal rows (their n-grams count as shared)."""
+    shift, less = np.uint64(bits - int(math.log2(buckets))), np.uint64(64 - bits)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -134,13 +147,13 @@ def shared_sets(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFram
 
         def sent() -> Iterator[pa.RecordBatch]:
             size = np.array([len(s) for s in sets])
-            gram, number = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint32), size)
+            gram, number = np.concatenate(sets) >> less, np.repeat(np.arange(len(sets), dtype=np.uint32), size)
             order = np.argsort(gram, kind="stable")
             gram, number = gram[order], number[order]
             new = np.concatenate([[True], gram[1:] != gram[:-1]])
             several = np.diff(np.append(np.flatnonzero(new), len(gram))) > 1
             own, one = gram[new], np.where(several, np.uint32(_SEVERAL), number[new])
-            bucket = (own >> np.uint64(shift)).astype(np.int64)
+            bucket = (own >> shift).astype(np.int64)
             first = np.flatnonzero(np.diff(bucket, prepend=-1))
             step = np.diff(own, prepend=np.uint64(0))
             step[first] = own[first]
@@ -148,7 +161,7 @@ def shared_sets(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFram
             # What the chunk knows by itself goes where its answers go.
             known = several[np.cumsum(new) - 1]
             place = -1 - chunk
-            yield _message(place, chunk, _SHARED, [C.planes(gram[known])], [C.planes(number[known])])
+            yield _message(place, chunk, _SHARED, [_coded(gram[known])], [C.planes(number[known])])
             yield _message(place, chunk, _NAMES, [C.planes(np.array(list(names), np.int64))], [C.planes(size)])
 
         for batch in batches:
@@ -169,7 +182,7 @@ def shared_sets(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFram
         if part.column("kind")[0].as_py() != _ASKED:  # a chunk's own messages pass
             return part
         rows = part.to_pylist()
-        gram = np.concatenate([np.cumsum(C.from_planes(r["a"], np.uint64)) for r in rows])
+        gram = np.concatenate([_numbers(r["a"]) for r in rows])
         number = np.concatenate([C.from_planes(r["b"], np.uint32) for r in rows])
         ends = np.cumsum([len(r["b"]) // 4 for r in rows])
         order = np.argsort(gram, kind="stable")
@@ -181,7 +194,7 @@ def shared_sets(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFram
         for r, a, b in zip(rows, [0, *ends], ends):
             mine = a + np.flatnonzero(shared[a:b] & (number[a:b] != _SEVERAL))
             if len(mine):
-                out.append(_message(r["place"], r["chunk"], _SHARED, [C.planes(gram[mine])], [C.planes(number[mine])]))
+                out.append(_message(r["place"], r["chunk"], _SHARED, [_coded(gram[mine])], [C.planes(number[mine])]))
         return pa.Table.from_batches(out, part.schema) if out else part.slice(0, 0)
 
     def put_together(part: pa.Table) -> pa.Table:
@@ -189,18 +202,17 @@ def shared_sets(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFram
         named = next(r for r in rows if r["kind"] == _NAMES)
         names, size = C.from_planes(named["a"], np.int64), C.from_planes(named["b"], np.int64)
         some = [r for r in rows if r["kind"] == _SHARED]
-        gram = np.concatenate([C.from_planes(r["a"], np.uint64) for r in some])
+        gram = np.concatenate([_numbers(r["a"]) for r in some])
         number = np.concatenate([C.from_planes(r["b"], np.uint32) for r in some]).astype(np.int64)
         order = np.lexsort((gram, number))
         gram, ends = gram[order], np.cumsum(np.bincount(number, minlength=len(names)))
         kept = np.flatnonzero(100 * np.diff(ends, prepend=0) >= percent * size)
-        raw = [gram[ends[k - 1] if k else 0 : ends[k]].tobytes() for k in kept]
+        raw = [_coded(gram[ends[k - 1] if k else 0 : ends[k]]) for k in kept]
         return pa.table({"node": names[kept], "n": size[kept], "set": pa.array(raw, pa.binary())})
 
     asked = docs.where(F.col("text").isNotNull()).select(F.col("text").cast("binary")).mapInArrow(ask, MESSAGE)
     told = asked.groupBy("place").applyInArrow(answer, MESSAGE)
-    sets = told.groupBy("chunk").applyInArrow(put_together, "node long, n long, set binary")
-    return sets.dropDuplicates(["node"])  # copies in several chunks keep the same n-grams
+    return told.groupBy("chunk").applyInArrow(put_together, "node long, n long, set binary")
 
 
 # ------------------------------------------------------------------ the trie
@@ -346,7 +358,8 @@ def _links(blocks: DataFrame, percent: int) -> DataFrame:
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["rank", "node"], kind="stable")
         sides = part["side"].tolist()
-        members = list(zip(part["node"].tolist(), part["component"].tolist(), part["set"].tolist()))
+        raw = [_numbers(x).tobytes() for x in part["set"]]
+        members = list(zip(part["node"].tolist(), part["component"].tolist(), raw))
         found = trie_links(members, percent, sides if any(sides) else None, part["n"].tolist())
         return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
@@ -360,8 +373,7 @@ def _sketch(sets: DataFrame) -> np.ndarray:
         total = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
             for x in batch.column(1):
-                s = np.frombuffer(x.as_buffer(), np.uint64)  # distinct n-grams, few per counter
-                np.add.at(total, _counter(s), 1)
+                np.add.at(total, _counter(_numbers(x.as_py())), 1)
         for begin in range(0, len(total), 1 << 16):
             some = begin + np.flatnonzero(total[begin : begin + (1 << 16)])
             if len(some):
@@ -400,8 +412,8 @@ def _rare_tokens(sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             found = []
             for x, n in zip(batch.column(1), batch.column(2).to_pylist()):
-                s = np.frombuffer(x.as_buffer(), np.uint64)
-                rank = (level[_counter(s)].astype(np.uint64) << np.uint64(57)) | (s >> np.uint64(7))
+                s = _numbers(x.as_py())
+                rank = (level[_counter(s)].astype(np.uint64) << np.uint64(57)) | (C.mix(s) >> np.uint64(7))
                 size = len(s) + (-percent * n // 100) + 1
                 found.append(s[np.argsort(rank, kind="stable")[:size]])
             node = np.repeat(batch.column(0).to_numpy(), [len(g) for g in found])
@@ -491,10 +503,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, trie_sets: i
     rows = C.stage(sets_of(docs, n), "sets")
     elements = rows.agg(F.sum("n")).first()[0] or 0
     buckets = 1 << max(6, math.ceil(math.log2(max(1, elements / BUCKET_KEYS))))
-    sets = C.stage(shared_sets(docs, n, percent, buckets), "shared")
+    bits = min(64, math.ceil(math.log2(max(2, elements))) + SPARE_BITS)
+    sets = C.stage(shared_sets(docs, n, percent, buckets, bits), "shared")
 
     # Candidate groups: sets connected by one of their first n-grams.
     wide = C.stage(_rare_tokens(sets, percent), "wide")
+    sets = sets.dropDuplicates(["node"])  # in the same exchange as the joins by node below
     near = wide.join(wide.groupBy("sig").agg(F.min("node").alias("v")), "sig").select(F.col("node").alias("u"), "v")
     groups = C.stage(components(near).withColumnRenamed("component", "grp"), "groups")
     sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))

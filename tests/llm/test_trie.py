@@ -88,7 +88,9 @@ def test_sets_are_cut_to_what_others_hold(spark, monkeypatch, held):
     grams, counts = np.unique(np.concatenate(list(sets.values())), return_counts=True)
     shared = set(grams[counts > 1].tolist()) | set(T.shingle_set(texts[0].encode(), 3).tolist())  # its copy may lie in another chunk
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    got = {r.node: (r.n, np.frombuffer(r.set, np.uint64).tolist()) for r in T.shared_sets(df, 3, 70, 64).collect()}
+    got = {r.node: (r.n, T._numbers(r.set).tolist()) for r in T.shared_sets(df, 3, 70, 64).collect()}
+    short = {r.node: (r.n, T._numbers(r.set).tolist()) for r in T.shared_sets(df, 3, 70, 64, 44).collect()}
+    assert short == {k: (n, [g >> 20 for g in kept]) for k, (n, kept) in got.items()}
     least = {k: [g for g in s.tolist() if g in set(grams[counts > 1].tolist())] for k, s in sets.items()}
     for name, s in sets.items():
         most = [g for g in s.tolist() if g in shared]
