@@ -138,3 +138,30 @@ def test_a_hot_domain_is_split(spark):
     assert len(salts) == LK.SALTS and max(r["count"] for r in salts) < 2 * 18_000 / LK.SALTS
     plan = staged.select("key").distinct()._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Exchange") < plan.rindex("HashAggregate")
+
+
+def test_ratios_equal_the_plain_ones_and_share_masked_strings():
+    import random
+    from difflib import SequenceMatcher
+
+    import pandas as pd
+
+    from hookline.operators import lookalike as LK
+
+    draw = random.Random(3)
+    words = ["", "1", "1\0x", "\0", "paypal", "paypa1-", "éamazonx"] + [
+        "".join(draw.choice("amzonpyl019-é\0") for _ in range(draw.randint(0, 12))) for _ in range(150)]
+    # Strings that differ after a NUL only were taken for one, and got null.
+    got = LK.near_ratios.func(pd.Series([None, *words]))
+    assert got.iloc[0] is None
+    for word, near in zip(words, got.iloc[1:]):
+        best = 0.0
+        for brand, value in zip(LK.K.BRAND_KEYWORDS, near):
+            plain = SequenceMatcher(None, word, brand).ratio()
+            assert LK.against(brand).ratio(word) == plain
+            assert value == plain or (value == 0.0 and plain < LK.RATIO_FLOOR and plain <= best), (word, brand)
+            best = max(best, plain)
+    one = LK.Against("paypal")
+    for i in range(500):
+        one.ratio(f"download{i}")
+    assert len(one.known) == 1
