@@ -26,7 +26,7 @@ from hookline.constants import (
 )
 from hookline.functions import text as T
 from hookline.functions import urls as U
-from hookline.functions.measures import Measures, dealt
+from hookline.functions.measures import Measures, NativeMeasures, dealt
 
 # Column order of the 66-column main profile.
 MAIN_FEATURES = [
@@ -242,14 +242,15 @@ def _zero(name: str) -> Column:
     return F.lit(0.0) if name in DOUBLE_FEATURES else F.lit(0)
 
 
-def featurize_main(df: DataFrame, url_col: str = "url", native_only: bool = True) -> DataFrame:
+def featurize_main(df: DataFrame, url_col: str = "url", native_only: bool = True, batches: bool = False) -> DataFrame:
     """D1–D66 (native part): the main 66-column profile minus the ratio pair.
 
-    Invalid URLs (null, blank, unparsable netloc) get the all-zero row.
+    Invalid URLs (null, blank, unparsable netloc) get the all-zero row.  With
+    ``batches`` the measures come from the Arrow UDF, otherwise there is no Python.
     """
     p = "_p_"
     parts = url_parts(dealt(df), url_col, p)
-    m = Measures()
+    m = Measures() if batches else NativeMeasures()
     ex = _main_exprs(
         m, F.col(f"{p}u"), F.col(f"{p}scheme"), F.col(f"{p}netloc"), F.col(f"{p}path"), F.col(f"{p}query"),
         F.col(f"{p}sub"), F.col(f"{p}dom"), F.col(f"{p}sfx"),
@@ -407,7 +408,7 @@ def featurize_urls(df: DataFrame, url_col: str = "url", profile: str = "main") -
     if profile == "main":
         from hookline.operators.lookalike import add_typosquatting
 
-        return add_typosquatting(featurize_main(df, url_col), url_col)
+        return add_typosquatting(featurize_main(df, url_col, batches=True), url_col)
     if profile == "main_native":
         return featurize_main(df, url_col)
     if profile == "v1":

@@ -432,7 +432,7 @@ from hookline.operators import train as TR  # noqa: E402
 
 
 def _train_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = FT.featurize_main(D.typed_urls(spark, sf_dir))
+    f = FT.featurize_main(D.typed_urls(spark, sf_dir), batches=True)
     f = f.withColumn("key", F.concat_ws(":", F.col("source"), F.col("id").cast("string")))
     return CO.split_assignments(f, "type", "key", 42)
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from hookline.functions import features as FT
 from hookline.functions import text as T
-from hookline.functions.measures import Measures
+from hookline.functions.measures import Measures, NativeMeasures
 from hookline.session import parallelism
 
 ODD = [None, "", " ", "\n\n\n", "aaa\n\n\n\nbb", "http://exämple.com/päth?q=ß", "HTTP://İstanbul/K12", "日本語.jp/路径", "😀😀😀.x😀",
@@ -17,10 +17,11 @@ def texts(spark):
     return spark.createDataFrame(list(enumerate(ODD)), "id int, s string").coalesce(1)
 
 
-def test_same_as_column_functions(texts):
+@pytest.mark.parametrize("kind", [Measures, NativeMeasures])
+def test_same_as_column_functions(texts, kind):
     words = ["paypa1", "login", "x", "verify", "ß", "a.b", "&&"]
     classes = ["[0-9]", r"\p{L}", r"\p{Lu}", r"[^\p{L}\p{N}]", "[@!*]", r"\.", "[^A-Za-z0-9]"]
-    s, m = F.col("s"), Measures()
+    s, m = F.col("s"), kind()
     asked = {}
     for name, f in (("one", T), ("many", m)):
         asked[name] = [
