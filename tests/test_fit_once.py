@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from hookline import constants as K
+from hookline.functions import features as FT
 from hookline.operators import corpus as CO
 from hookline.operators import train as TR
 from hookline.plans import catalog as C
@@ -69,3 +70,15 @@ def test_train_frame_counts_rows_without_features(spark, monkeypatch):
     monkeypatch.setattr(CO, "split_assignments", lambda df, *a, **k: seen.update(k) or df)
     C._train_frame(spark, "/root/testdata/sf0.001")
     assert seen["counted"].columns == ["type", "key"]
+
+
+def test_scored_rows_are_made_once(spark, monkeypatch):
+    base = typed_rows(spark, 80).drop("x", "y").select("*", *[
+        F.pmod(F.xxhash64("id", F.lit(i)), F.lit(5)).cast("double").alias(c) for i, c in enumerate(FT.MAIN_NATIVE_FEATURES)])
+    df, seen = counting(base, "type")
+    df = df.withColumn("split", F.when(F.col("type") == "x", "test").otherwise(F.col("split")))
+    forest = TR.random_forest
+    monkeypatch.setattr(C, "_train_frame", lambda *a: df)
+    monkeypatch.setattr(TR, "random_forest", lambda: forest(3, 4))
+    got = C.q_score_with_model(spark, "").collect()
+    assert len(got) == 80 and seen.value == 80
