@@ -91,3 +91,28 @@ def test_cues_bound_the_odds():
     some = L.cues(weights, np.array([1.0, 0.0, 0.0]), vocabulary, 0.6)
     assert some == ["a"]  # without it: 0.2 and 0.4 of the log odds, against 1.4 and more
     assert L.cues(weights, np.array([0.0, 3.0, 0.0]), vocabulary, 0.6) is None
+
+
+def test_passages_of_all_documents_teach_and_calibrate(spark, monkeypatch):
+    """The unknown class rests on every passage, also of documents beyond the first hundreds."""
+    docs = spark.range(1_200).selectExpr("id AS key", "concat('plain words of row ', id, '\\nand of no law') AS text")
+    staged, stage = {}, L.C.stage
+    monkeypatch.setattr(L.C, "stage", lambda df, name, *a: staged.setdefault(name, stage(df, name, *a)))
+    L.train(docs)
+    rows = staged["background"].collect()
+    assert sum(r["n"] for r in rows) == 1_200 * 3 + 1  # two lines, a break, and the made-up passage
+    weight = {bool(r.label): r.w for r in staged["notices"].groupBy("label").agg({"weight": "sum"}).toDF("label", "w").collect()}
+    assert abs(weight[False] - L.UNKNOWN_WEIGHT) < 1e-6
+
+
+def test_passages_keep_the_grams_of_templates(spark):
+    docs = spark.createDataFrame([(1, "Some MIT license here\nunder no terms of the work"), (2, "")], "key long, text string")
+    got = {(r.key, r.line, r.seam): sorted(r.grams) for r in L.passages(docs).collect()}
+    known = set(L._counter(spark).vocabulary)
+
+    def want(words):
+        return sorted(g for g in {*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))} if g in known)
+
+    first, second = "some mit license here".split(), "under no terms of the work".split()
+    assert got == {(1, 0, False): want(first), (1, 1, False): want(second), (1, 1, True): want(first + second)}
+    assert "mit license" in got[1, 0, False] and "some" not in got[1, 0, False]
