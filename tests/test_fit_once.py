@@ -82,3 +82,11 @@ def test_scored_rows_are_made_once(spark, monkeypatch):
     monkeypatch.setattr(TR, "random_forest", lambda: forest(3, 4))
     got = C.q_score_with_model(spark, "").collect()
     assert len(got) == 80 and seen.value == 80
+
+
+def test_rows_of_the_binary_forest_are_made_once(spark, monkeypatch):
+    df, seen = counting(typed_rows(spark).select("id", "source", "url", "type"), "url")
+    monkeypatch.setattr(C.D, "typed_urls", lambda *a: df)
+    got = C.q_predict_from_record(spark, "")
+    assert seen.value == 240
+    assert got.count() == 240
